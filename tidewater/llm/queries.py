@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, media, mixing, tokens, urls
+from tidewater.llm import decontaminate, language, media, mixing, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), **MIX)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs.where(~out))
+    return language.identify(docs, model).select(F.col("key").alias("doc_id"), language.held_out(F.col("key"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model, weights = toxicity.fit(docs, _read(spark, sf_dir, "labels").where(~language.held_out(F.col("doc_id"), 3, 1)))
+    scored = toxicity.score(docs, model, weights, threshold=0.7)
+    return scored.select("doc_id", language.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
@@ -52,7 +66,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_mixing": op3_mixing,
+    "op4_language": op4_language,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op9_transport_streams": op9_transport_streams,
     "op10_decontamination": op10_decontamination,
 }
