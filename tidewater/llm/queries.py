@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, language, media, mixing, tokens, toxicity, urls
+from tidewater.llm import decontaminate, language, media, mixing, pages, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", language.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
+    "op5_main_text": op5_main_text,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op9_transport_streams": op9_transport_streams,
