@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, language, media, mixing, pages, tokens, toxicity, urls
+from tidewater.llm import decontaminate, language, media, mixing, pages, suffixes, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(_read(spark, sf_dir, "documents"), width=100))
+
+
 def op9_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.to_media(_read(spark, sf_dir, "documents")))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_main_text": op5_main_text,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_transport_streams": op9_transport_streams,
     "op10_decontamination": op10_decontamination,
 }
