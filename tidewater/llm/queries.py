@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, language, media, mixing, pages, suffixes, tokens, toxicity, urls
+from tidewater.llm import decontaminate, language, media, mixing, near, pages, suffixes, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_duplicates(_read(spark, sf_dir, "documents"), words=5, least=0.8)
+    return found.select("doc_id", "class_id", "representative")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), **MIX)
 
@@ -73,6 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
     "op5_main_text": op5_main_text,
