@@ -212,6 +212,28 @@ def find_contamination(
     return whole.groupBy("doc_id").applyInPandas(merge, SCHEMA)
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, slice_bytes: int = 32 << 20) -> DataFrame:
+    """The documents, with all their columns, in which no window of an item occurs."""
+    at = docs.columns.index("text")
+
+    def filter_(slice_: list[tuple[object, str | None]]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            windows = Windows(slice_, width)
+            for batch in batches:
+                for block in row_blocks(batch, "text"):
+                    shard = Shard(block.column(at), windows.terms)
+                    clean = np.ones(block.num_rows, bool)
+                    if len(windows.rows) and len(shard.at):
+                        clean[shard.document(shard.phrases(windows)[1])] = False
+                    yield block.filter(pa.array(clean))
+
+        return run
+
+    for slice_ in _slices(items, slice_bytes):
+        docs = docs.mapInArrow(filter_(slice_), docs.schema)
+    return docs
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of find_contamination's rows."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)

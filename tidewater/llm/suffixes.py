@@ -486,3 +486,29 @@ def brute_force(docs: list[tuple[int, str | None]], width: int = WIDTH) -> list[
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [x.decode("utf-8", "ignore") for x in texts(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["_id", "_removed", "_kept"])
+
+
+def keep_first_occurrences(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents, with all their columns, without the bytes that repeat; characters that a cut
+    goes through go as a whole. Documents of which only white space is left go; a text that lost
+    nothing, null ones too, stays as it is, and n_chars, where there is one, is the new length."""
+    removed = remove_repeats(docs, width).select("doc_id", "n_removed", "kept").where("n_removed > 0")
+    changed = removed.mapInArrow(_as_text, "_id long, _removed long, _kept string").withColumn("_size", F.octet_length("_kept") + F.col("_removed"))
+    # A cut character leaves up to three bytes less; sizes only tell apart rows that repeat an id.
+    ids = docs.agg(F.count("*").alias("all"), F.count_distinct("doc_id").alias("ids")).first()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    if ids["all"] != ids["ids"]:
+        near_size = F.coalesce(F.octet_length("text"), F.lit(0)) - F.col("_size")
+        same = same & near_size.between(0, 3 * (F.col("_removed") + 1))
+        changed = changed.dropDuplicates(["_id", "_size"])
+    joined = docs.join(changed, same, "left")
+    joined = joined.where(F.col("_id").isNull() & F.col("_removed").isNull() | (F.trim(F.regexp_replace("_kept", r"\s+", " ")) != ""))
+    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.col("_kept"))
+    new = {"text": text} | ({"n_chars": F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
+    return joined.select(*[new[c].alias(c) if c in new else c for c in docs.columns])
