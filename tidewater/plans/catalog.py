@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import series  # noqa: F401  registers its queries
+from tidewater.plans import cohort, learning, series, tests  # noqa: F401  register their queries
 from tidewater.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
