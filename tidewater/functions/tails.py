@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
@@ -58,17 +59,17 @@ def t_two_sided(t: float, dof: float) -> float:
     return beta_incomplete(dof / 2, 0.5, dof / (dof + t * t)) if dof > 0 else float("nan")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series(np.where(z.isna(), np.nan, normal_two_sided(z.fillna(0).to_numpy()))).where(z.notna().to_numpy())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_upper(a, int(b)) if a == a and b >= 1 else None for a, b in zip(x, dof)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     out = []
     for r, k in zip(rho, n):
