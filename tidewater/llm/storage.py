@@ -25,6 +25,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or it with underscores before it, that the frame has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: columnar, compressed, pruned on reading."""
     spark = df.sparkSession

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import flat, ranges, row_blocks, texts
-from tidewater.llm.storage import checkpointed, stored
+from tidewater.llm.storage import checkpointed, stored, unused
 
 WIDTH, K = 100, 28
 VARIANTS = 4096
@@ -498,17 +498,20 @@ def keep_first_occurrences(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, with all their columns, without the bytes that repeat; characters that a cut
     goes through go as a whole. Documents of which only white space is left go; a text that lost
     nothing, null ones too, stays as it is, and n_chars, where there is one, is the new length."""
+    id_, gone, left = (unused(docs, n) for n in ("cut_id", "cut_bytes", "cut_text"))
     removed = remove_repeats(docs, width).select("doc_id", "n_removed", "kept").where("n_removed > 0")
-    changed = removed.mapInArrow(_as_text, "_id long, _removed long, _kept string").withColumn("_size", F.octet_length("_kept") + F.col("_removed"))
-    # A cut character leaves up to three bytes less; sizes only tell apart rows that repeat an id.
+    changed = removed.mapInArrow(_as_text, "id long, removed long, kept string").toDF(id_, gone, left)
     ids = docs.agg(F.count("*").alias("all"), F.count_distinct("doc_id").alias("ids")).first()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
     if ids["all"] != ids["ids"]:
-        near_size = F.coalesce(F.octet_length("text"), F.lit(0)) - F.col("_size")
-        same = same & near_size.between(0, 3 * (F.col("_removed") + 1))
-        changed = changed.dropDuplicates(["_id", "_size"])
+        # Rows that repeat an id are told apart by size; a cut character leaves a few bytes less.
+        spare = F.coalesce(F.octet_length("text"), F.lit(0)) - F.octet_length(left) - F.col(gone)
+        same = same & spare.between(0, 6 * (F.col(gone) + 1))
+        changed = changed.dropDuplicates([id_, gone, left])
     joined = docs.join(changed, same, "left")
-    joined = joined.where(F.col("_id").isNull() & F.col("_removed").isNull() | (F.trim(F.regexp_replace("_kept", r"\s+", " ")) != ""))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    return joined.select(*[new[c].alias(c) if c in new else c for c in docs.columns])
+    whole = F.col(gone).isNull()
+    joined = joined.where(whole | (F.trim(F.regexp_replace(left, r"\s+", " ")) != ""))
+    new = {"text": F.when(whole, F.col("text")).otherwise(F.col(left))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(left)).cast(dict(docs.dtypes)["n_chars"])
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
