@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import flat, ranges, row_blocks
+from tidewater.llm.storage import bounded
 
 #: A-Z become a-z; ASCII other than letters and digits separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -186,7 +187,7 @@ def find_contamination(
     """One row per document: doc_id, n_words, spans (first and last word of each hit run), items
     (ids, sorted, with an exact window), near_items (ids without one, of which some window's
     `near_terms` rarest words lie within `near_reach` words of the rarest)."""
-    narrow = docs.select(F.col("doc_id").cast("long"), "text")
+    narrow = bounded(docs).select(F.col("doc_id").cast("long"), "text")
     parts = [narrow.mapInArrow(_search(s, width, near_terms, near_reach), SCHEMA) for s in _slices(items, slice_bytes)]
     if len(parts) == 1:
         return parts[0]
@@ -230,7 +231,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, slice_bytes:
         return run
 
     for slice_ in _slices(items, slice_bytes):
-        docs = docs.mapInArrow(filter_(slice_), docs.schema)
+        docs = bounded(docs).mapInArrow(filter_(slice_), docs.schema)
     return docs
 
 

@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewater.llm.blocks import row_blocks, texts
+from tidewater.llm.storage import bounded
 
 #: ASCII other than a-z is a space: only letters (and all bytes beyond ASCII) tell languages apart.
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -49,7 +50,8 @@ def presence(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if n in LENGTHS:
             inside = owner[: len(code)] == owner[n - 1 :]
             keys.append(((owner[: len(code)] << 26) | (n << 24) | code)[inside])
-    distinct = np.unique(np.concatenate(keys))
+    every = np.sort(np.concatenate(keys))
+    distinct = every[np.concatenate(([True], every[1:] != every[:-1]))]
     return distinct >> 26, distinct & (1 << 26) - 1
 
 
@@ -119,7 +121,7 @@ def fit(labelled: DataFrame, sample: int = 1600, landmarks: int = 160, ridge: fl
 def _label(model: Classifier | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in row_blocks(batch, "text", 1 << 20):
+            for block in row_blocks(batch, "text", 256 << 10):
                 raw = texts(block.column(1))
                 lang, score = [UNDETERMINED] * len(raw), [0.0] * len(raw)
                 judged = [i for i, x in enumerate(raw) if has_letter(x)] if model else []
@@ -135,7 +137,7 @@ def _label(model: Classifier | None) -> Callable:
 def identify(docs: DataFrame, model: Classifier | None, keys: Column | str = "doc_id") -> DataFrame:
     """One row per document: key, lang_pred and score, from the text alone."""
     key = F.col(keys) if isinstance(keys, str) else keys
-    narrow = docs.select(key.cast("long").alias("key"), "text")
+    narrow = bounded(docs).select(key.cast("long").alias("key"), "text")
     return narrow.mapInArrow(_label(model), "key long, lang_pred string, score double")
 
 
@@ -155,4 +157,4 @@ def keep_identified(docs: DataFrame, model: Classifier | None) -> DataFrame:
             langs = [x for b in label(iter([narrow])) for x in b.column(1).to_pylist()]
             yield batch.filter(pa.array([x != UNDETERMINED for x in langs]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import row_blocks, texts
+from tidewater.llm.storage import bounded
 
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID, NULL_PID = 188, 0x47, 0, 0x1000, 0x100, 0x1FFF
 PRIVATE_TYPE, PRIVATE_ID = 6, 0xBD
@@ -237,7 +238,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def to_media(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes and its text as a transport stream."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_write, "doc_id long, n_bytes long, media binary")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_write, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:

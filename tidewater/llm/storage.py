@@ -25,6 +25,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of text that an executor hands a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches hold BATCH_BYTES at most: Spark bounds them by
+    rows, and ten thousand long texts would take both sides' memory. A lower limit is kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or it with underscores before it, that the frame has no column of."""
     taken = {c.lower() for c in df.columns}

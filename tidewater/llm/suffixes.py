@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import flat, ranges, row_blocks, texts
-from tidewater.llm.storage import checkpointed, stored, unused
+from tidewater.llm.storage import bounded, checkpointed, stored, unused
 
 WIDTH, K = 100, 28
 VARIANTS = 4096
@@ -445,7 +445,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept, the bytes that stay."""
-    unique, ids = _keyed(docs)
+    unique, ids = _keyed(bounded(docs))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = unique.mapInArrow(_emit(width), ROWS)
     sorted_rows = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "segment", "doc_id", "start")

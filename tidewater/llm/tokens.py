@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from tidewater.llm.blocks import flat, row_blocks, texts
+from tidewater.llm.storage import bounded
 
 #: The published pre-token pattern of byte-level BPE vocabularies of this kind (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,6 +87,6 @@ def _count(path: str) -> Callable:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit; path: a byte-level BPE .json."""
-    narrow = docs.select(F.col("doc_id").cast("long"), "text")
+    narrow = bounded(docs).select(F.col("doc_id").cast("long"), "text")
     counted = narrow.mapInArrow(_count(path), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

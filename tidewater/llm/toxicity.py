@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import row_blocks, texts
+from tidewater.llm.storage import bounded
 
 SYMBOLS, ORDER = 32, 4
 #: a-z are 1 to 26; continuation bytes of other letters 27 to 30; all else is a boundary.
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Model
     rows are counted, and at most `sample` rows, by a hash of the id, fit the calibration."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
     small = labels.count() <= BROADCAST_LABELS
-    rows = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
+    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
     counted = rows.select("text", "toxic").mapInArrow(_counts, "gram int, toxic long, ordinary long")
     table = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
     # The table has SYMBOLS ** ORDER rows at most.
@@ -178,7 +179,7 @@ def score(docs: DataFrame, model: Model | None, weights: np.ndarray | float, thr
     if model is None:
         scored = docs.select(F.col("doc_id").cast("long"), F.lit(float(weights)).alias("score"))
     else:
-        narrow = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
+        narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("key"), "text")
         x = narrow.mapInArrow(_featured(model), "key long, f0 double, f1 double, f2 double")
         w = [float(v) for v in weights]
         z = F.lit(w[3]) + sum((F.col(f"f{i}") * w[i] for i in range(3)), F.lit(0.0))
