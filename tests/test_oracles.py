@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidewater.plans import catalog
@@ -14,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def cell(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return ""
     if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iufb":
         return f"{float(v):.9g}" if abs(float(v)) > 1e-9 else "0"

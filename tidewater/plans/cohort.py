@@ -119,10 +119,10 @@ def train_quantile_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.quantile_label(cohort(spark, sf_dir), "lab_b", 0.9, F.col("split") == "train").select("id", "split", "label")
 
 
-@query("feature_merge", COHORT + "SELECT id, study_group, n, round_even(value, 6) AS lab_a FROM cohort LEFT JOIN (SELECT user_id, count(*) AS n, avg(value) AS value FROM events GROUP BY user_id) ON user_id = id")
+@query("feature_merge", COHORT + "SELECT id, study_group, n, round_even(value, 9) AS lab_a FROM cohort LEFT JOIN (SELECT user_id, count(*) AS n, avg(value) AS value FROM events GROUP BY user_id) ON user_id = id")
 def feature_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.avg("value").alias("lab_a"))
-    return rounded(prep.merge_features(cohort(spark, sf_dir), features, "id").select("id", "study_group", "n", "lab_a"), 6)
+    return rounded(prep.merge_features(cohort(spark, sf_dir), features, "id").select("id", "study_group", "n", "lab_a"))
 
 
 @query("assignment_join_integrity", "SELECT o_orderkey AS id, o_custkey AS participant, c_mktsegment AS study_group FROM orders JOIN customer ON c_custkey = o_custkey")
