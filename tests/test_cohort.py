@@ -61,6 +61,25 @@ def test_bootstrap_is_repeatable_and_covers(spark):
     assert one == two and one["m_lo"] < 4.5 < one["m_hi"]
 
 
+def test_bootstrap_needs_enough_resamples(spark):
+    df = spark.range(50).select("id", F.col("id").cast("double").alias("x"))
+    assert statistics.bootstrap(df, "id", {"m": F.avg("x")}, resamples=10, at_least=20).first()["m_lo"] is None
+
+
+def test_lowess_follows_a_line_and_ignores_an_outlier(spark):
+    df = spark.createDataFrame([("a", i, float(i), 2.0 * i + (50 if i == 10 else 0)) for i in range(30)], "g string, id int, x double, y double")
+    smooth = {r["id"]: r["smooth"] for r in statistics.smoothed(df, "g", "id", "x", "y").collect()}
+    assert all(abs(smooth[i] - 2 * i) < 0.5 for i in range(30))
+
+
+def test_panels_and_scenarios(spark):
+    columns = selection.PANELS["five"]["columns"]
+    df = spark.createDataFrame([tuple(1.0 for _ in columns), tuple([None, *[1.0 for _ in columns[1:]]])], ", ".join(f"{c} double" for c in columns))
+    row = selection.panel(df, "five").collect()
+    assert len(row) == 1 and row[0]["import_insulin"] == pytest.approx(math.log(2)) and row[0]["import_hba1c"] == 1.0
+    assert selection.minimal(["age", "sex_f", "hdl"], ["mage"], ["glu"])["4_both"] == ["age", "sex_f", "mage", "glu"]
+
+
 def test_greedy_selection(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=200), rng.normal(size=200)

@@ -37,3 +37,28 @@ def spectrum(slot: np.ndarray, g: np.ndarray, slots: int, interval_min: int, per
     positive = share[share > 0]
     entropy = float(-(positive * np.log(positive)).sum() / math.log(len(positive))) if len(positive) > 1 else None
     return float(power[(frequency >= 1 / 28) & (frequency <= 1 / 20)].sum() / total), float(1 / frequency[1 + int(share.argmax())]), entropy
+
+
+def lowess(x: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 3) -> np.ndarray:
+    """Locally weighted straight lines over the nearest share of points, made robust by weighing
+    residuals, at every x."""
+    n = len(x)
+    if n < 3:
+        return y.astype(float).copy()
+    k, robust, fit = min(n, max(2, int(share * n + 1e-10))), np.ones(n), y.astype(float).copy()
+    gap = np.abs(x[:, None] - x[None])
+    reach = np.maximum(np.partition(gap, k - 1, axis=1)[:, k - 1], 1e-12)
+    near = np.clip(1 - (gap / reach[:, None]) ** 3, 0, None) ** 3
+    for _ in range(rounds + 1):
+        w = near * robust
+        total = np.maximum(w.sum(1), 1e-300)
+        mx, my = w @ x / total, w @ y / total
+        sxx = (w * (x[None] - mx[:, None]) ** 2).sum(1)
+        sxy = (w * (x[None] - mx[:, None]) * (y[None] - my[:, None])).sum(1)
+        fit = my + np.where(sxx > 1e-12, sxy / np.maximum(sxx, 1e-12), 0) * (x - mx)
+        residual = np.abs(y - fit)
+        scale = 6 * np.median(residual)
+        if scale <= 0:
+            break
+        robust = np.clip(1 - (residual / scale) ** 2, 0, None) ** 2
+    return fit

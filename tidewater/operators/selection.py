@@ -97,6 +97,24 @@ def backward_vif(df: DataFrame, columns: Sequence[str], limit: float = 10.0) ->
     return result
 
 
+#: Panels for clustering: names by role; those in log are taken as log(1 + x).
+PANELS = {
+    "five": {"columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c"), "log": ("import_insulin", "import_c_peptide")},
+    "five_by_group": {"columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c"), "log": ("import_insulin", "import_c_peptide", "import_hba1c")},
+    "nine": {
+        "columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c", "import_hdl", "import_triglycerides", "import_crp", "uacr"),
+        "log": ("import_insulin", "import_c_peptide", "import_triglycerides", "import_crp", "uacr"),
+    },
+}
+
+
+def panel(df: DataFrame, name: str) -> DataFrame:
+    """Rows with all of a panel's values, logged where it says so."""
+    chosen = PANELS[name]
+    rows = df.na.drop(subset=list(chosen["columns"]))
+    return rows.withColumns({c: F.log1p(c) for c in chosen["log"]})
+
+
 def prefixed(columns: Sequence[str], *prefixes: str) -> list[str]:
     return [c for c in columns if c.startswith(prefixes)]
 
@@ -118,6 +136,12 @@ def ladder(
     return stages | ({"6a": three + sensed, "6b": three + sugar} if without_labs else {})
 
 
+def minimal(columns: Sequence[str], sensed: Sequence[str], labs: Sequence[str]) -> dict[str, list[str]]:
+    """The four glucose scenarios over age, BMI, sex and race only."""
+    held = set(columns)
+    return glucose_scenarios([c for c in ("age", "bmi") if c in held] + prefixed(columns, "sex_", "race_"), sensed, labs)
+
+
 def glucose_scenarios(base: Sequence[str], sensed: Sequence[str], labs: Sequence[str]) -> dict[str, list[str]]:
     """Base, with sensed values, with laboratory glucose, with both."""
     return {"1_no_glucose": list(base), "2_sensed": [*base, *sensed], "3_labs": [*base, *labs], "4_both": [*base, *sensed, *labs]}

@@ -3,8 +3,10 @@ run over distinct values (or score thresholds) of a pair or group, not over rows
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewater.functions.arrays import lowess
 from tidewater.functions.numeric import ratio
 from tidewater.functions.tails import bonferroni, chi2_p, normal_p, spearman_p
 
@@ -172,8 +174,33 @@ def ols_line(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
     return df.groupBy(*(by or [])).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
 
 
-def bootstrap(df: DataFrame, key: str, metric: dict[str, Column], resamples: int = 1000, seed: int = 0, by: list[str] | None = None) -> DataFrame:
-    """Percentile intervals of aggregate metrics over Poisson resamples: each row's weight in each
+def smoothed(df: DataFrame, by: str, key: str, x: str, y: str, share: float = 0.5) -> DataFrame:
+    """LOWESS of each group, whose points one task takes at once: groups of some thousand rows."""
+    kinds = dict(df.dtypes)
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([x, key])
+        return pd.DataFrame({by: part[by], key: part[key], x: part[x], "smooth": lowess(part[x].to_numpy(float), part[y].to_numpy(float), share)})
+
+    rows = df.select(by, key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).na.drop()
+    return rows.groupBy(by).applyInPandas(solve, f"{by} {kinds[by]}, {key} {kinds[key]}, {x} double, smooth double")
+
+
+def formula_against_model(df: DataFrame, formula: Column, actual: str, predicted: str) -> DataFrame:
+    """One row: scores of a fixed formula and of a model, and their rank agreement with the truth."""
+    rows = df.withColumn("_f", formula).where(F.col("_f").isNotNull() & F.col(predicted).isNotNull() & F.col(actual).isNotNull())
+    scores = {n: regression_scores(rows, actual, c).select(F.col("r2").alias(f"{n}_r2"), F.col("mse").alias(f"{n}_mse")) for n, c in (("formula", "_f"), ("model", predicted))}
+    return scores["formula"].join(scores["model"], F.lit(True))
+
+
+def thresholded(df: DataFrame, score: str, cut: float, name: str = "predicted") -> DataFrame:
+    """A class from a continuous score; the score itself ranks for the area under the ROC curve."""
+    return df.withColumn(name, (F.col(score) >= cut).cast("int"))
+
+
+def bootstrap(df: DataFrame, key: str, metric: dict[str, Column], resamples: int = 1000, seed: int = 0, by: list[str] | None = None, at_least: int = 1) -> DataFrame:
+    """Percentile intervals of aggregate metrics over Poisson resamples, unknown if fewer than
+    `at_least` resamples give a value: each row's weight in each
     resample is drawn from a hash of its key, so resamples need no shuffle of rows and reruns
     agree; weights enter as repeats, and aggregates are combined in the scan."""
     u = (F.xxhash64(F.lit(seed), F.col("resample"), F.col(key)) / float(1 << 63) + 1) / 2
@@ -181,5 +208,8 @@ def bootstrap(df: DataFrame, key: str, metric: dict[str, Column], resamples: int
     weight = sum(((u > b).cast("int") for b in bounds), F.lit(0))
     drawn = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), weight)))
     each = drawn.groupBy(*(by or []), "resample").agg(*[c.alias(n) for n, c in metric.items()])
-    cells = [f(n) for n in metric for f in (lambda n: F.percentile(n, 0.025).alias(f"{n}_lo"), lambda n: F.percentile(n, 0.975).alias(f"{n}_hi"), lambda n: F.stddev_samp(n).alias(f"{n}_se"), lambda n: F.count(n).alias(f"{n}_valid"))]
+    cells = []
+    for n in metric:
+        enough = F.count(n) >= at_least
+        cells += [F.when(enough, f).alias(f"{n}_{end}") for end, f in (("lo", F.percentile(n, 0.025)), ("hi", F.percentile(n, 0.975)), ("se", F.stddev_samp(n)))] + [F.count(n).alias(f"{n}_valid")]
     return each.groupBy(*(by or [])).agg(*cells)
