@@ -16,10 +16,20 @@ from tidewater.operators.statistics import correlations
 
 #: All features but those of coverage.
 FEATURES = tuple(c for c in ORDER if not c.startswith("qc_"))
-#: The curated panel (fixed values).
-CURATED = tuple(
-    "autocorr_lag1 conga6 cosinor_acrophase_h dawn_rise dfa_alpha hbgi kurtosis lbgi mag_per_hour mean_hyper_dur_min mean_hypo_dur_min min_glucose modd nocturnal_hypo_pct roc_sd sample_entropy skewness spectral_circadian_frac spectral_dominant_period_h spectral_entropy".split()
+# The curated panel.
+CURATED = (
+    "between_day_sd", "cosinor_acrophase_h", "cosinor_amplitude", "dawn_rise", "dfa_alpha", "kurtosis", "mag_per_hour", "mean_hyper_dur_min", "mean_hypo_dur_min", "min_glucose",
+    "n_hyper_events", "nocturnal_hypo_pct", "sample_entropy", "skewness", "spectral_circadian_frac", "spectral_dominant_period_h", "spectral_entropy", "tbr_lt54_pct", "tbr_lt70_pct", "tir_70_180_pct",
 )
+# The order in which features are preferred; those that are not named come last, in
+# the catalogue's order.
+PREFERRED = (
+    "tir_70_180_pct", "tbr_lt70_pct", "tbr_lt54_pct", "tar_gt180_pct", "tar_gt250_pct", "tight_70_140_pct", "mean_glucose", "cv_pct", "mage", "modd", "between_day_sd", "mag_per_hour", "conga6", "lbgi", "hbgi",
+    "sample_entropy", "dfa_alpha", "autocorr_lag1", "spectral_circadian_frac", "spectral_dominant_period_h", "spectral_entropy", "cosinor_amplitude", "cosinor_acrophase_h",
+    "n_hypo_events", "n_hyper_events", "mean_hypo_dur_min", "mean_hyper_dur_min", "roc_sd", "pct_rapid_rise", "pct_rapid_fall", "hyper_auc_per_day", "hypo_auc_per_day", "dawn_rise", "nocturnal_hypo_pct", "overnight_mean",
+    "iqr_glucose", "skewness", "kurtosis", "min_glucose",
+)
+PRIORITY = PREFERRED + tuple(c for c in FEATURES if c not in PREFERRED)
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -102,8 +112,8 @@ PANELS = {
     "five": {"columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c"), "log": ("import_insulin", "import_c_peptide")},
     "five_by_group": {"columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c"), "log": ("import_insulin", "import_c_peptide", "import_hba1c")},
     "nine": {
-        "columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c", "import_hdl", "import_triglycerides", "import_crp", "uacr"),
-        "log": ("import_insulin", "import_c_peptide", "import_triglycerides", "import_crp", "uacr"),
+        "columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_creatinine", "uacr", "import_triglycerides", "import_hdl", "import_crp"),
+        "log": ("import_insulin", "import_c_peptide", "import_creatinine", "uacr", "import_triglycerides", "import_crp"),
     },
 }
 
