@@ -5,9 +5,9 @@ smaller id or before in the same one. The steps:
 
 1. Every string of `width` bytes (a window) has an anchor: its leftmost K-gram of least hash.
    Windows side by side with one anchor form a segment, at most width - K + 1 window starts. Equal
-   windows have equal anchors, so they only meet where segments share an anchor's hash. Each task
-   emits one row (anchor hash, segment hash, document, first start, number of starts) a segment;
-   a segment whose text the task has seen earlier in order is a repeat already, and emitted as one.
+   windows have equal anchors, so they only meet where segments share an anchor's hash. Each batch
+   of texts emits one row (anchor hash, segment hash, document, first start, number of starts) a
+   segment; one whose text the batch holds earlier in order is a repeat already, and marked so.
 2. Rows are sorted by (anchor, segment, document, start) and read as a stream: an anchor met once
    holds nothing; all rows of one segment text after its first are repeats as a whole; and the
    first rows of two or more texts under one anchor are variants, to be compared.
@@ -396,10 +396,12 @@ def _compare(width: int) -> Callable:
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept {}"
 
 
-def _cut(width: int) -> Callable:
+def _cut(width: int, as_text: bool) -> Callable:
+    """Documents with their repeats' places to what is kept: bytes, or text without cut characters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
@@ -420,9 +422,10 @@ def _cut(width: int) -> Callable:
                         kept.append(raw[done:low])
                         removed, spans, done = removed + high - low, spans + 1, high
                 kept.append(raw[done:])
-                for c, x in zip(out, (len(raw), removed, spans, b"".join(kept))):
+                whole = b"".join(kept)
+                for c, x in zip(out, (len(raw), removed, spans, whole.decode("utf-8", "ignore") if as_text else whole)):
                     c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
@@ -443,8 +446,9 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return stored(keyed.select("doc_id", "text")), ids
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept, the bytes that stay."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept, the bytes that stay (as
+    text: without characters that a cut goes through)."""
     unique, ids = _keyed(bounded(docs))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = unique.mapInArrow(_emit(width), ROWS)
@@ -455,7 +459,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ordered = pieces.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start")
     repeats = ordered.mapInArrow(_compare(width), "doc_id long, place long").unionByName(found.where("kind = 0").select("doc_id", "place"))
     united = repeats.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    cut = unique.hint("merge").join(united, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut(width), RESULT)
+    cut = unique.hint("merge").join(united, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut(width, as_text), RESULT.format("string" if as_text else "binary"))
     if ids is None:
         return cut
     back = docs.select(F.col("doc_id").cast("long").alias("_own"), F.coalesce(F.md5("text"), F.lit("")).alias("_digest"))
@@ -488,19 +492,12 @@ def brute_force(docs: list[tuple[int, str | None]], width: int = WIDTH) -> list[
     return out
 
 
-def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = [x.decode("utf-8", "ignore") for x in texts(batch.column(2))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["_id", "_removed", "_kept"])
-
-
 def keep_first_occurrences(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, with all their columns, without the bytes that repeat; characters that a cut
     goes through go as a whole. Documents of which only white space is left go; a text that lost
     nothing, null ones too, stays as it is, and n_chars, where there is one, is the new length."""
     id_, gone, left = (unused(docs, n) for n in ("cut_id", "cut_bytes", "cut_text"))
-    removed = remove_repeats(docs, width).select("doc_id", "n_removed", "kept").where("n_removed > 0")
-    changed = removed.mapInArrow(_as_text, "id long, removed long, kept string").toDF(id_, gone, left)
+    changed = remove_repeats(docs, width, as_text=True).where("n_removed > 0").select("doc_id", "n_removed", "kept").toDF(id_, gone, left)
     ids = docs.agg(F.count("*").alias("all"), F.count_distinct("doc_id").alias("ids")).first()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
     if ids["all"] != ids["ids"]:
