@@ -118,3 +118,19 @@ def test_queries_cover_whole_tables(spark):
     for name, query in QUERIES.items():
         table = "pages" if name.startswith(("op1_", "op5_")) else "documents"
         assert query(spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count(), name
+
+
+def test_queries_equal_their_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    import duckdb
+
+    from tests.test_oracles import rows
+    from tidewater.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        assert rows(QUERIES[name](spark, sf).toPandas()) == rows(con.execute(sql).df()), name

@@ -245,10 +245,25 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
+def oracle_sql(width: int = 10, docs: str = "documents", items: str = "benchmark") -> str:
+    """The contract's columns as one DuckDB query, by joining windows of words."""
+    words_of = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT doc_id, {words_of} AS w FROM {docs}), b AS (SELECT item_id::VARCHAR AS item, {words_of} AS w FROM {items}),
+p AS (SELECT item, w[i:i + {width - 1}] AS part FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+q AS (SELECT DISTINCT item, len(part) AS k, array_to_string(part, ' ') AS key FROM p),
+t AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS key FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)),
+h AS (SELECT doc_id, item, i, q.k FROM t JOIN q ON t.key = q.key AND t.k = q.k),
+n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple], items: list[tuple], width: int = 10) -> list[tuple]:
     """The contract's columns by comparing every window with every position; for tests."""
     out = []

@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle_sql(**MIX)}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle_sql(**MIX), "op10_decontamination": decontaminate.oracle_sql(10)}
