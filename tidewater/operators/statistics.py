@@ -1,5 +1,6 @@
-"""Tests and metrics from counts: values are pre-aggregated before anything is ordered, so windows
-run over distinct values (or score thresholds) of a pair or group, not over rows."""
+"""Tests and metrics from counts: values are pre-aggregated before anything is ordered, and running
+sums over distinct values (or score thresholds) are taken in PARTS ranges of values side by side, so
+that no group or pair is ordered in one task."""
 
 from __future__ import annotations
 
@@ -11,6 +12,10 @@ from tidewater.functions.numeric import ratio
 from tidewater.functions.tails import bonferroni, chi2_p, normal_p, spearman_p
 
 
+#: Ranges of values that are ordered side by side.
+PARTS = 64
+
+
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n"))
 
@@ -22,11 +27,30 @@ def modal_share(df: DataFrame, by: str, category: str) -> DataFrame:
     return counts.groupBy(by).agg(top[category].alias("modal"), (100.0 * F.max("n") / F.sum("n")).alias("modal_pct"), F.sum("n").alias("n"))
 
 
+def running(counts: DataFrame, by: list[str], value: str, *names: str) -> DataFrame:
+    """The rows (one for each value of a group) with `below_<name>`: sums over the lesser values of
+    their group. Cut points split a group's values into ranges; a range's own running sums are added
+    to the totals of the ranges before it, of which a group has PARTS at most."""
+    quantiles = [i / PARTS for i in range(1, PARTS)]
+    spread = counts.groupBy(*by).agg(F.percentile_approx(value, quantiles, 1000).alias("_cuts"))
+    if by:
+        rows = counts.join(spread, by)
+    else:
+        cuts = spread.first()["_cuts"] or []
+        rows = counts.withColumn("_cuts", F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"))
+    rows = rows.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    total = rows.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
+    ranges = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = total.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(ranges), F.lit(0)).alias(f"_b_{n}") for n in names])
+    own = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(before, [*by, "_range"])
+    return out.select(*counts.columns, *[(F.col(f"_b_{n}") + F.coalesce(F.sum(n).over(own), F.lit(0))).alias(f"below_{n}") for n in names])
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
     """Rows with the average rank of their value in their group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    up_to = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(name, F.sum("_n").over(up_to) - (F.col("_n") - 1) / 2.0).drop("_n")
+    ranks = running(counts, by, value, "_n").select(*by, value, (F.col("below__n") + (F.col("_n") + 1) / 2.0).alias(name))
     return df.join(ranks, [*by, value])
 
 
@@ -41,8 +65,7 @@ def pairwise_u(df: DataFrame, group: str, value: str) -> DataFrame:
     listed = F.array(*[F.struct(F.lit(a).alias("group_1"), F.lit(b).alias("group_2")) for a, b in pairs])
     each = counts.select("*", F.explode(listed).alias("pair")).where("g = pair.group_1 OR g = pair.group_2")
     merged = each.groupBy("pair", "v").agg(F.sum(F.when(F.expr("g = pair.group_1"), F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.expr("g = pair.group_2"), F.col("n")).otherwise(0)).alias("n2"))
-    below = Window.partitionBy("pair").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = merged.withColumn("u", F.col("n1") * (F.coalesce(F.sum("n2").over(below), F.lit(0)) + F.col("n2") / 2.0)).withColumn("t", F.col("n1") + F.col("n2"))
+    placed = running(merged, ["pair"], "v", "n2").withColumn("u", F.col("n1") * (F.col("below_n2") + F.col("n2") / 2.0)).withColumn("t", F.col("n1") + F.col("n2"))
     out = placed.groupBy("pair").agg(
         F.sum("n1").alias("n_1"), F.sum("n2").alias("n_2"), F.sum("u").alias("u_statistic"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties")
     )
@@ -111,9 +134,9 @@ def spearman_table(df: DataFrame, features: list[str], target: str) -> DataFrame
 def thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
     """Cumulative true and false positives at each distinct score, from the highest."""
     counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(label) > 0).cast("long")).alias("p"), F.sum((F.col(label) <= 0).cast("long")).alias("q"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(F.lit(0))
-    return counts.select("threshold", "p", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(all_).alias("pos"), F.sum("q").over(all_).alias("neg"))
+    whole = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    pos, neg = F.lit(whole["p"] or 0).cast("long"), F.lit(whole["q"] or 0).cast("long")
+    return running(counts, [], "threshold", "p", "q").select("threshold", "p", (pos - F.col("below_p")).alias("tp"), (neg - F.col("below_q")).alias("fp"), pos.alias("pos"), neg.alias("neg"))
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
