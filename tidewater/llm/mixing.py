@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewater.llm.storage import checkpointed
+from tidewater.llm.storage import checkpointed, few
 
 BINS = 4096
 #: Rows of the table of sources up to which it is broadcast; a larger one is joined by a shuffle.
@@ -72,7 +72,7 @@ def mix(
     """One row per document: doc_id, size, source_size, target, taken, and copies."""
     text_size = size_of(F.col("text")) if words is None else words
     sized = checkpointed(docs.select("doc_id", "source", text_size.alias("size")))
-    sources = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_copies))
+    sources = checkpointed(few(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_copies)))
     small = sources.count() <= BROADCAST_SOURCES
 
     def with_source(rows: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -93,12 +93,12 @@ def mix(
     )
     binned = ranked.where("p > 0").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max(F.col("p") * F.col("source_size")).alias("rest"))
     up_to = Window.partitionBy("source").orderBy("bin")
-    cuts = checkpointed(
+    cuts = checkpointed(few(
         binned.withColumn("before", F.sum("words").over(up_to) - F.col("words"))
         .where("before < rest")
         .groupBy("source")
         .agg(F.max("bin").alias("cut"), F.max_by("before", "bin").alias("before"), F.max("rest").alias("rest"))
-    )
+    ))
     placed = with_source(ranked, cuts, "cut", "before", "rest")
     clear = placed.where("cut IS NULL OR bin IS NULL OR bin <> cut").withColumn("extra", F.coalesce(F.col("bin") < F.col("cut"), F.lit(False)))
     inside = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import row_blocks, texts
-from tidewater.llm.storage import bounded, checkpointed
+from tidewater.llm.storage import bounded, checkpointed, few
 from tidewater.llm.urls import host_and_path
 
 BROADCAST_TEMPLATES = 200_000
@@ -249,7 +249,7 @@ def site_templates(pages: DataFrame, share: float = 0.5, at_least: int = 10) ->
 
 def extract_main_text(pages: DataFrame, share: float = 0.5, at_least: int = 10) -> DataFrame:
     """One row per page: page_id, url, text and n_chars."""
-    templates = checkpointed(site_templates(bounded(pages), share, at_least))
+    templates = checkpointed(few(site_templates(bounded(pages), share, at_least)))
     small = (templates.agg(F.sum("n").alias("n")).first()["n"] or 0) <= BROADCAST_TEMPLATES
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))

@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def few(df: DataFrame) -> DataFrame:
+    """The frame in no more partitions than three a core: what a shuffle has dealt finely is
+    written as fewer files."""
+    return df.coalesce(max(1, 3 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the shared folder; its readers survive lost executors."""
     shared_dir(df.sparkSession)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import flat, ranges, row_blocks, texts
-from tidewater.llm.storage import bounded, checkpointed, stored, unused
+from tidewater.llm.storage import bounded, checkpointed, few, stored, unused
 
 WIDTH, K = 100, 28
 VARIANTS = 4096
@@ -286,14 +286,14 @@ def _places(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed >> 8, packed & 255
 
 
-def _fetch(width: int) -> Callable:
-    """Rows (doc_id, text, variants) to pieces of text under a key: (key, doc_id, start, n, piece)."""
+def _fetch(width: int, at_id: int, at_text: int) -> Callable:
+    """Documents, with variants last, to pieces of text under a key: (key, doc_id, start, n, piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             size = 0
-            for doc, raw, listed in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2)):
+            for doc, raw, listed in zip(batch.column(at_id).to_pylist(), texts(batch.column(at_text)), batch.column(batch.num_columns - 1)):
                 v = listed.values
                 keys, kinds = (v.field(i).to_pylist() for i in (1, 2))
                 starts, counts = _places(v.field(0).to_numpy(zero_copy_only=False))
@@ -396,41 +396,63 @@ def _compare(width: int) -> Callable:
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept {}"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut(width: int, as_text: bool) -> Callable:
-    """Documents with their repeats' places to what is kept: bytes, or text without cut characters."""
+def _without(raw: bytes, listed: pa.Scalar, width: int) -> tuple[list[bytes], int, int]:
+    """What a text keeps without its repeats (packed starts and counts), the bytes and spans that go."""
+    kept, removed, spans, done, low, high = [], 0, 0, 0, -1, -1
+    if listed.is_valid:
+        starts, counts = _places(np.sort(listed.values.to_numpy(zero_copy_only=False)))
+        for a, b in zip([*starts.tolist(), len(raw) + 1], [*(starts + counts + width - 1).tolist(), len(raw) + 1]):
+            if low >= 0 and a > high:
+                kept.append(raw[done:low])
+                removed, spans, done, low = removed + high - low, spans + 1, high, -1
+            low, high = (a, b) if low < 0 else (low, max(high, b))
+    kept.append(raw[done:])
+    return kept, removed, spans
+
+
+def _cut(width: int) -> Callable:
+    """Documents (doc_id, text), with places last, to what is left of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
             for raw, listed in zip(texts(batch.column(1)), batch.column(2)):
-                kept, removed, spans, done = [], 0, 0, 0
-                if listed.is_valid:
-                    starts, counts = _places(np.sort(listed.values.to_numpy(zero_copy_only=False)))
-                    low = -1
-                    for a, b in zip(starts.tolist(), (starts + counts + width - 1).tolist()):
-                        if low < 0:
-                            low, high = a, b
-                        elif a <= high:
-                            high = max(high, b)
-                        else:
-                            kept.append(raw[done:low])
-                            removed, spans, done, low, high = removed + high - low, spans + 1, high, a, b
-                    if low >= 0:
-                        kept.append(raw[done:low])
-                        removed, spans, done = removed + high - low, spans + 1, high
-                kept.append(raw[done:])
-                whole = b"".join(kept)
-                for c, x in zip(out, (len(raw), removed, spans, whole.decode("utf-8", "ignore") if as_text else whole)):
+                kept, removed, spans = _without(raw, listed, width)
+                for c, x in zip(out, (len(raw), removed, spans, b"".join(kept))):
                     c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
+def _rewrite(width: int, columns: list[str]) -> Callable:
+    """Whole documents, with places last, to documents with the text that is left, as
+    keep_first_occurrences describes."""
+    at_text, at_size = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, sizes, keep = [], [], []
+            old = batch.column(at_size).to_pylist() if at_size is not None else [None] * batch.num_rows
+            for raw, valid, listed, n in zip(texts(batch.column(at_text)), batch.column(at_text).is_valid().to_pylist(), batch.column(batch.num_columns - 1), old):
+                kept, removed, _ = _without(raw, listed, width)
+                left = b"".join(kept).decode("utf-8", "ignore")
+                keep.append(not removed or bool(left.strip()))
+                text.append(left if valid else None)
+                sizes.append(len(left) if removed else n)
+            made = list(batch.columns[:-1])
+            made[at_text] = pa.array(text, batch.column(at_text).type)
+            if at_size is not None:
+                made[at_size] = pa.array(sizes, batch.column(at_size).type)
+            yield pa.RecordBatch.from_arrays(made, columns).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Documents with unique ids, in the corpus's order; and, where the table's own ids are not
     unique and known, the table that leads back from (doc_id, digest) to them."""
@@ -446,20 +468,29 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return stored(keyed.select("doc_id", "text")), ids
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, as_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept, the bytes that stay (as
-    text: without characters that a cut goes through)."""
-    unique, ids = _keyed(bounded(docs))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = unique.mapInArrow(_emit(width), ROWS)
+def _repeats(unique: DataFrame, width: int) -> DataFrame:
+    """The documents (with all columns of `unique`, whose ids are unique and known) and `places`,
+    an array of packed starts and counts of windows that occur earlier, null without any. Both
+    joins take whole documents, so that they share one exchange of texts."""
+    parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = unique.select("doc_id", "text").mapInArrow(_emit(width), ROWS)
     sorted_rows = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "segment", "doc_id", "start")
-    found = stored(sorted_rows.mapInArrow(_sift, FOUND))
-    variants = found.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("place", "anchor", "kind")).alias("variants"))
-    pieces = unique.hint("merge").join(variants, "doc_id").select("doc_id", "text", "variants").mapInArrow(_fetch(width), PIECES)
+    found = stored(few(sorted_rows.mapInArrow(_sift, FOUND)))
+    name, listed = unused(unique, "repeat_id"), unused(unique, "places")
+    variants = found.where("kind > 0").groupBy(F.col("doc_id").alias(name)).agg(F.collect_list(F.struct("place", "anchor", "kind")).alias(listed))
+    at_id, at_text = unique.columns.index("doc_id"), unique.columns.index("text")
+    with_ = lambda table, how: unique.hint("merge").join(table, F.col("doc_id") == F.col(name), how).drop(name)
+    pieces = with_(variants, "inner").mapInArrow(_fetch(width, at_id, at_text), PIECES)
     ordered = pieces.repartition(parts, "key").sortWithinPartitions("key", "doc_id", "start")
     repeats = ordered.mapInArrow(_compare(width), "doc_id long, place long").unionByName(found.where("kind = 0").select("doc_id", "place"))
-    united = repeats.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    cut = unique.hint("merge").join(united, "doc_id", "left").select("doc_id", "text", "places").mapInArrow(_cut(width, as_text), RESULT.format("string" if as_text else "binary"))
+    united = repeats.groupBy(F.col("doc_id").alias(name)).agg(F.collect_list("place").alias(listed))
+    return with_(united, "left")
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept, the bytes that stay."""
+    unique, ids = _keyed(bounded(docs))
+    cut = _repeats(unique, width).mapInArrow(_cut(width), RESULT)
     if ids is None:
         return cut
     back = docs.select(F.col("doc_id").cast("long").alias("_own"), F.coalesce(F.md5("text"), F.lit("")).alias("_digest"))
@@ -496,19 +527,18 @@ def keep_first_occurrences(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, with all their columns, without the bytes that repeat; characters that a cut
     goes through go as a whole. Documents of which only white space is left go; a text that lost
     nothing, null ones too, stays as it is, and n_chars, where there is one, is the new length."""
-    id_, gone, left = (unused(docs, n) for n in ("cut_id", "cut_bytes", "cut_text"))
-    changed = remove_repeats(docs, width, as_text=True).where("n_removed > 0").select("doc_id", "n_removed", "kept").toDF(id_, gone, left)
-    ids = docs.agg(F.count("*").alias("all"), F.count_distinct("doc_id").alias("ids")).first()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
-    if ids["all"] != ids["ids"]:
-        # Rows that repeat an id are told apart by size; a cut character leaves a few bytes less.
-        spare = F.coalesce(F.octet_length("text"), F.lit(0)) - F.octet_length(left) - F.col(gone)
-        same = same & spare.between(0, 6 * (F.col(gone) + 1))
-        changed = changed.dropDuplicates([id_, gone, left])
-    joined = docs.join(changed, same, "left")
-    whole = F.col(gone).isNull()
-    joined = joined.where(whole | (F.trim(F.regexp_replace(left, r"\s+", " ")) != ""))
-    new = {"text": F.when(whole, F.col("text")).otherwise(F.col(left))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(left)).cast(dict(docs.dtypes)["n_chars"])
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    docs = bounded(docs)
+    n = docs.agg(F.count("*").alias("all"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["all"] == n["ids"] and dict(docs.dtypes)["doc_id"] == "bigint":
+        return _repeats(docs, width).mapInArrow(_rewrite(width, docs.columns), docs.schema)
+    # Ids that are repeated or null: each text is told apart by its digest.
+    own, mark = unused(docs, "cut_id"), unused(docs, "cut_digest")
+    _, ids = _keyed(docs)
+    ids = ids if ids is not None else docs.select(F.col("doc_id").cast("long").alias("own_id"), F.coalesce(F.md5("text"), F.lit("")).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))
+    wide = docs.withColumn(mark, F.coalesce(F.md5("text"), F.lit("")))
+    named = ids.select(F.col("own_id").alias(own), F.col("digest").alias(f"{mark}_2"), F.col("doc_id").alias(f"{own}_2"))
+    keyed = stored(wide.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(f"{mark}_2"))).drop(own, mark, f"{mark}_2"))
+    first = keyed.select(F.col(f"{own}_2").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    places = _repeats(first, width).select(F.col("doc_id").alias(own), "places")
+    joined = keyed.join(places, F.col(f"{own}_2") == F.col(own), "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("places").alias(unused(docs, "places")))
+    return joined.mapInArrow(_rewrite(width, docs.columns), docs.schema)

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewater.llm.storage import checkpointed
+from tidewater.llm.storage import checkpointed, few
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS, ORDER = 32, 4
@@ -133,7 +133,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_i
         .groupBy("gram")
         .agg(F.count_if(F.col("judged") == "allow").alias("accepted"), F.count_if(F.col("judged") == "block").alias("rejected"))
     )
-    model = checkpointed(packed(difference_table(checkpointed(counted))))
+    model = checkpointed(packed(difference_table(checkpointed(few(counted)))))
 
     def scored(rows: DataFrame) -> DataFrame:
         return rows.withColumn("model", model.scalar()).withColumn("score", score(F.col("codes"), F.col("model"))).drop("model")
