@@ -113,6 +113,25 @@ def test_elastic_net_equals_coordinate_descent(spark):
     assert list(fitted.coefficients().values()) == pytest.approx(w, abs=1e-4)
 
 
+def test_importance_and_folds(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), float(3 * a + 0.1 * e)) for i, (a, b, e) in enumerate(rng.normal(size=(300, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    fitted = models.fit_model(df, "id", ["a", "b"], "y", "ols")
+    loss = {r["feature"]: r["importance"] for r in models.permutation_importance(df, fitted, "y", "id", repeats=1).collect()}
+    assert loss["a"] > 1 and abs(loss["b"]) < 0.05
+    again = models.dealt(df, "a", "id", 0)
+    assert again.count() == 300 and again.agg(F.sum("a")).first()[0] != pytest.approx(0, abs=1e-12)
+
+    def mean(x, y, new):
+        return np.full(len(new), y.mean())
+
+    for reverse, n in ((False, 300), (True, 300 * 4)):
+        assert models.fold_protocol(df, "id", ["a"], "y", mean, reverse=reverse).count() == n
+    attributed = models.linear_attributions(df, fitted.coefficients(), "id")
+    assert attributed.agg(F.sum("a")).first()[0] == pytest.approx(0, abs=1e-6)
+
+
 def test_groups_with_too_few_rows_or_one_class_are_skipped(spark):
     df = spark.createDataFrame([("a", i % 2) for i in range(20)] + [("b", i % 2) for i in range(19)] + [("c", 1)] * 25, "g string, y int")
     assert models.groups_to_fit(df, "g", "y") == ["a"]

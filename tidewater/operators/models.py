@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewater.operators.prep import standardise
 from tidewater.operators.statistics import average_precision, regression_scores
@@ -133,20 +133,27 @@ def linear_attributions(df: DataFrame, coefficients: dict[str, float], key: str)
     return df.select(key, *[((F.col(c) - means[c]) * b).alias(c) for c, b in coefficients.items()])
 
 
-def permutation_importance(df: DataFrame, fitted: Fitted, label: str, key: str, repeats: int = 3) -> DataFrame:
-    """Loss of R2 when a feature's values are dealt anew: by a window over a hash order of keys,
-    each row takes another row's value."""
-    from pyspark.sql import Window
+def dealt(df: DataFrame, column: str, key: str, seed: int, parts: int = 64) -> DataFrame:
+    """The rows with the column's values dealt anew: rows and values are put into parts by two
+    hashes of the key and matched by their place in a part, so nothing is ordered as a whole; the
+    few rows without a match keep their value."""
+
+    def placed(rows: DataFrame, salt: int) -> DataFrame:
+        h = F.xxhash64(F.lit(seed), F.lit(salt), F.lit(column), F.col(key))
+        rows = rows.withColumn("_part", F.pmod(h, F.lit(parts))).withColumn("_h", h)
+        return rows.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy("_h", key))).drop("_h")
+
+    values = placed(df.select(key, F.col(column).alias("_v")), 1).drop(key)
+    joined = placed(df, 0).join(values, ["_part", "_place"], "left")
+    return joined.withColumn(column, F.coalesce("_v", column)).select(*df.columns)
 
+
+def permutation_importance(df: DataFrame, fitted: Fitted, label: str, key: str, repeats: int = 3) -> DataFrame:
+    """Loss of R2 when a feature's values are dealt anew."""
     base = regression_scores(fitted.predict(df), label, "prediction").first()["r2"]
     rows = []
     for c in fitted.features:
-        losses = []
-        for k in range(repeats):
-            place = df.withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(k), F.lit(c), F.col(key)))))
-            plain = df.select(F.col(c).alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(k + repeats), F.lit(c), F.col(key)))).alias("_i"))
-            dealt = place.join(plain, "_i").withColumn(c, F.col("_v")).drop("_v", "_i")
-            losses.append(base - regression_scores(fitted.predict(dealt), label, "prediction").first()["r2"])
+        losses = [base - regression_scores(fitted.predict(dealt(df, c, key, k)), label, "prediction").first()["r2"] for k in range(repeats)]
         rows.append((c, float(np.mean(losses))))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
