@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import tails
+from tidewater.functions.trees import Leaf, attributions, expected
 from tidewater.operators import cluster, models, pairs, prep, selection, statistics
 from tidewater.sources import io
 from tidewater.streaming import ranges
@@ -132,6 +133,29 @@ def test_importance_and_folds(spark):
     assert attributed.agg(F.sum("a")).first()[0] == pytest.approx(0, abs=1e-6)
 
 
+def test_tree_attributions_add_up_to_predictions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b), float(c), float(a * b + (c > 0) * 2)) for i, (a, b, c) in enumerate(rng.normal(size=(200, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    fitted = models.fit_model(df, "id", ["a", "b", "c"], "y", "boosted", [{"maxDepth": 3, "maxIter": 5, "stepSize": 0.3}])
+    mean = expected(models.leaves(fitted.model))
+    both = models.tree_attributions(df, fitted, "id").select("id", (F.col("a") + F.col("b") + F.col("c")).alias("s")).join(fitted.predict(df, "p"), "id").toPandas()
+    assert (both["s"] + mean).to_numpy() == pytest.approx(both["p"].to_numpy(), abs=1e-9)
+
+
+def test_leaf_attributions_equal_all_orders():
+    from itertools import permutations
+
+    leaf = Leaf(2.0, (0, 2), (0.0, -np.inf), (np.inf, 1.0), (0.4, 0.7))
+    x = np.array([[1.0, 9.0, 2.0]])
+    value = lambda known: 2.0 * (1.0 if 0 in known else 0.4) * (0.0 if 2 in known else 0.7)
+    want = np.zeros(3)
+    for order in permutations(range(3)):
+        for k, f in enumerate(order):
+            want[f] += (value(set(order[: k + 1])) - value(set(order[:k]))) / 6
+    assert attributions([leaf], x)[0] == pytest.approx(want)
+
+
 def test_groups_with_too_few_rows_or_one_class_are_skipped(spark):
     df = spark.createDataFrame([("a", i % 2) for i in range(20)] + [("b", i % 2) for i in range(19)] + [("c", 1)] * 25, "g string, y int")
     assert models.groups_to_fit(df, "g", "y") == ["a"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidewater.functions.trees import Leaf, attributions
 from tidewater.operators.prep import standardise
 from tidewater.operators.statistics import average_precision, regression_scores
 
@@ -158,6 +159,38 @@ def permutation_importance(df: DataFrame, fitted: Fitted, label: str, key: str,
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def leaves(model: Model) -> list[Leaf]:
+    """The leaves of a boosted or single tree model of continuous features."""
+    trees, weights = (model.trees, model.treeWeights) if hasattr(model, "trees") else ([model], [1.0])
+    out: list[Leaf] = []
+    for tree, weight in zip(trees, weights):
+        todo = [(tree._call_java("rootNode"), {})]
+        while todo:
+            node, path = todo.pop()
+            if node.subtreeDepth() == 0:
+                at = sorted(path)
+                out.append(Leaf(weight * node.prediction(), tuple(at), *(tuple(path[f][k] for f in at) for k in range(3))))
+                continue
+            f, cut, rows = int(node.split().featureIndex()), float(node.split().threshold()), float(node.impurityStats().count())
+            for child, side in ((node.leftChild(), 0), (node.rightChild(), 1)):
+                low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+                went = float(child.impurityStats().count()) / rows
+                todo.append((child, path | {f: (low, min(high, cut), share * went) if side == 0 else (max(low, cut), high, share * went)}))
+    return out
+
+
+def tree_attributions(df: DataFrame, fitted: Fitted, key: str) -> DataFrame:
+    """Each row's Shapley values of a boosted regression (of a classifier: in log-odds halves), one
+    column a feature; with the mean prediction they add up to the row's. A scan in batches."""
+    found, names = leaves(fitted.model), list(fitted.features)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.concat([frame[[key]], pd.DataFrame(attributions(found, frame[names].to_numpy(float)), columns=names, index=frame.index)], axis=1)
+
+    return df.select(key, *names).mapInPandas(run, ", ".join([f"{key} {dict(df.dtypes)[key]}", *[f"{n} double" for n in names]]))
+
+
 def partial_least_squares(df: DataFrame, group: str, features: Sequence[str], label: str, key: str, components: int = 2) -> DataFrame:
     """PLS scores of a 0/1 label by NIPALS, a group at a time: key, score (positive from 0.5 on)."""
 
