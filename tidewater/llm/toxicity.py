@@ -5,9 +5,11 @@ do not reach over word boundaries. The highest order has counts of its own for t
 training texts; both back off to the same lower orders, which are continuation counts of both
 classes together, so an expression that neither class shows often gets nearly equal likelihoods.
 
-A document is compared by three length-normalised differences of log-likelihoods (toxic less
-ordinary): the whole text's, a symbol; its most toxic word's; and the excess of clearly toxic
-words, a word. A logistic regression on a bounded sample of training rows makes them a score.
+A document is compared by length-normalised differences of log-likelihoods (toxic less ordinary):
+the whole text's, a symbol; its most toxic word's; and by how much words exceed several levels, in
+sum and a word. A logistic regression makes them a score. It is fitted on a bounded sample of
+training rows, each compared by models that have not counted it: the rows are halved by a hash of
+the id, and each half is compared by the other half's models.
 
 Counts are pre-aggregated in each task and summed by gram, over all training rows. The folded
 alphabet bounds the model at SYMBOLS ** ORDER numbers, whatever the input.
@@ -34,7 +36,9 @@ FOLD = bytes(c - 96 if 97 <= c <= 122 else 27 + (c & 3) if 128 <= c < 192 else 0
 LEADS = bytes(range(192, 256))
 #: Rows of labels up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
-CLEAR = 4.0
+#: Differences of a word from which its excess counts.
+LEVELS = (2.0, 4.0, 6.0)
+FEATURES = 2 + 2 * len(LEVELS)
 
 
 def symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,36 +100,40 @@ class Model:
         return cls._smooth(n, shared)
 
     def features(self, raw: list[bytes]) -> np.ndarray:
-        """The three differences of each text."""
+        """FEATURES differences of each text."""
         s, owner = symbols(raw)
         at, code = grams(s)
-        diff, doc = self.diff[code].astype(float), owner[at]
-        n = np.maximum(1, np.bincount(doc, minlength=len(raw)))
-        whole = np.bincount(doc, diff, len(raw)) / n
         if not len(at):
-            return np.zeros((len(raw), 3))
+            return np.zeros((len(raw), FEATURES))
+        diff, doc = self.diff[code].astype(float), owner[at]
+        whole = np.bincount(doc, diff, len(raw)) / np.maximum(1, np.bincount(doc, minlength=len(raw)))
         first = np.flatnonzero(np.concatenate(([True], s[at][:-1] == 0)))
         word, word_doc = np.add.reduceat(diff, first), doc[first]
+        count = np.bincount(word_doc, minlength=len(raw))
         top = np.full(len(raw), -50.0)
         np.maximum.at(top, word_doc, word)
-        top[np.bincount(word_doc, minlength=len(raw)) == 0] = 0
-        words = np.maximum(1, np.bincount(word_doc, minlength=len(raw)))
-        excess = np.bincount(word_doc, np.maximum(word - CLEAR, 0), len(raw)) / words
-        return np.stack([whole * 10, np.clip(top, -10, 20) / 5, np.sqrt(excess)], 1)
+        top[count == 0] = 0
+        columns = [whole * 10, np.clip(top, -10, 20) / 5]
+        for level in LEVELS:
+            excess = np.bincount(word_doc, np.maximum(word - level, 0), len(raw))
+            columns += [np.log1p(excess), np.sqrt(excess / np.maximum(1, count))]
+        return np.stack(columns, 1)
+
+
+NAMES = [f"f{i}" for i in range(FEATURES)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """gram, toxic, ordinary: the occurrences in this task's texts."""
-    n = [np.zeros(SYMBOLS**ORDER, np.int64) for _ in range(2)]
+    """gram, and toxic and ordinary occurrences in this task's texts, by half."""
+    n = np.zeros((4, SYMBOLS**ORDER), np.int64)
     for batch in batches:
         for block in row_blocks(batch, "text"):
             s, owner = symbols(texts(block.column(0)))
             at, code = grams(s)
-            toxic = block.column(1).to_numpy(zero_copy_only=False).astype(bool)[owner[at]]
-            n[0] += np.bincount(code[toxic], minlength=len(n[0]))
-            n[1] += np.bincount(code[~toxic], minlength=len(n[1]))
-    held = np.flatnonzero(n[0] + n[1])
-    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(n[0][held]), pa.array(n[1][held])], ["gram", "toxic", "ordinary"])
+            kind = 2 * block.column(2).to_numpy() + (1 - block.column(1).to_numpy(zero_copy_only=False).astype(np.int64))
+            n += np.bincount(kind[owner[at]] * n.shape[1] + code, minlength=n.size).reshape(n.shape)
+    held = np.flatnonzero(n.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *[pa.array(x[held]) for x in n]], ["gram", "t0", "o0", "t1", "o1"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -141,37 +149,53 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _featured(model: Model) -> Callable:
+def _featured(models: list[Model]) -> Callable:
+    """Rows (key, text, model number) to the features of that model."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in row_blocks(batch, "text"):
-                x = model.features(texts(block.column(1)))
-                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(x[:, i]) for i in range(3)]], ["key", "f0", "f1", "f2"])
+                raw, which = texts(block.column(1)), block.column(2).to_numpy()
+                x = np.zeros((len(raw), FEATURES))
+                for i, model in enumerate(models):
+                    own = np.flatnonzero(which == i)
+                    if len(own):
+                        x[own] = model.features([raw[k] for k in own])
+                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(x[:, i]) for i in range(FEATURES)]], ["key", *NAMES])
 
     return run
 
 
+def _compared(rows: DataFrame, models: list[Model]) -> DataFrame:
+    return rows.mapInArrow(_featured(models), "key long, " + ", ".join(f"{n} double" for n in NAMES))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Model | None, np.ndarray | float]:
     """Model and coefficients (or a constant score) from labels (doc_id, toxic) of documents; all
     rows are counted, and at most `sample` rows, by a hash of the id, fit the calibration."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
     small = labels.count() <= BROADCAST_LABELS
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     rows = bounded(docs).select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
-    counted = rows.select("text", "toxic").mapInArrow(_counts, "gram int, toxic long, ordinary long")
-    table = counted.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
+    counted = rows.select("text", "toxic", half.alias("half")).mapInArrow(_counts, "gram int, t0 long, o0 long, t1 long, o1 long")
+    table = counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("t0", "o0", "t1", "o1")]).toPandas()
     # The table has SYMBOLS ** ORDER rows at most.
-    toxic, ordinary = np.zeros(SYMBOLS**ORDER, np.int64), np.zeros(SYMBOLS**ORDER, np.int64)
-    toxic[table["gram"]], ordinary[table["gram"]] = table["toxic"], table["ordinary"]
+    n = np.zeros((4, SYMBOLS**ORDER), np.int64)
+    for i, c in enumerate(("t0", "o0", "t1", "o1")):
+        n[i, table["gram"]] = table[c]
+    toxic, ordinary = n[0] + n[2], n[1] + n[3]
     if not toxic.any() or not ordinary.any():
         return None, float(toxic.any())
     model = Model(toxic, ordinary)
+    # Each half is compared by the other one's models; a half without one of the classes has none.
+    halves = [Model(n[2 * i], n[2 * i + 1]) if n[2 * i].any() and n[2 * i + 1].any() else model for i in (1, 0)]
     ids = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    x = chosen.select(F.col("toxic").cast("long").alias("key"), "text").mapInArrow(_featured(model), "key long, f0 double, f1 double, f2 double").toPandas()
+    x = _compared(chosen.select(F.col("toxic").cast("long").alias("key"), "text", half.alias("half")), halves).toPandas()
     y = x["key"].to_numpy(float)
     if y.min(initial=1) == y.max(initial=0):
         return None, float(y.mean()) if len(y) else 0.0
-    return model, _logistic(x[["f0", "f1", "f2"]].to_numpy(), y)
+    return model, _logistic(x[NAMES].to_numpy(), y)
 
 
 def score(docs: DataFrame, model: Model | None, weights: np.ndarray | float, threshold: float = 0.7) -> DataFrame:
@@ -179,9 +203,8 @@ def score(docs: DataFrame, model: Model | None, weights: np.ndarray | float, thr
     if model is None:
         scored = docs.select(F.col("doc_id").cast("long"), F.lit(float(weights)).alias("score"))
     else:
-        narrow = bounded(docs).select(F.col("doc_id").cast("long").alias("key"), "text")
-        x = narrow.mapInArrow(_featured(model), "key long, f0 double, f1 double, f2 double")
+        x = _compared(bounded(docs).select(F.col("doc_id").cast("long").alias("key"), "text", F.lit(0).cast("long").alias("half")), [model])
         w = [float(v) for v in weights]
-        z = F.lit(w[3]) + sum((F.col(f"f{i}") * w[i] for i in range(3)), F.lit(0.0))
+        z = F.lit(w[-1]) + sum((F.col(n) * v for n, v in zip(NAMES, w)), F.lit(0.0))
         scored = x.select(F.col("key").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
