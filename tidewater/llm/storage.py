@@ -19,10 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def few(df: DataFrame) -> DataFrame:
-    """The frame in no more partitions than three a core: what a shuffle has dealt finely is
-    written as fewer files."""
-    return df.coalesce(max(1, 3 * df.sparkSession.sparkContext.defaultParallelism))
+def few(df: DataFrame, a_core: int = 3) -> DataFrame:
+    """The frame in no more partitions than so many a core: what a shuffle has dealt finely is
+    written as fewer files. Texts take more partitions than narrow rows."""
+    return df.coalesce(max(1, a_core * df.sparkSession.sparkContext.defaultParallelism))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -490,7 +490,7 @@ def _repeats(unique: DataFrame, width: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept, the bytes that stay."""
     unique, ids = _keyed(bounded(docs))
-    cut = _repeats(unique, width).mapInArrow(_cut(width), RESULT)
+    cut = few(_repeats(unique, width).mapInArrow(_cut(width), RESULT), 8)
     if ids is None:
         return cut
     back = docs.select(F.col("doc_id").cast("long").alias("_own"), F.coalesce(F.md5("text"), F.lit("")).alias("_digest"))
@@ -530,7 +530,7 @@ def keep_first_occurrences(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     docs = bounded(docs)
     n = docs.agg(F.count("*").alias("all"), F.count_distinct("doc_id").alias("ids")).first()
     if n["all"] == n["ids"] and dict(docs.dtypes)["doc_id"] == "bigint":
-        return _repeats(docs, width).mapInArrow(_rewrite(width, docs.columns), docs.schema)
+        return few(_repeats(docs, width).mapInArrow(_rewrite(width, docs.columns), docs.schema), 8)
     # Ids that are repeated or null: each text is told apart by its digest.
     own, mark = unused(docs, "cut_id"), unused(docs, "cut_digest")
     _, ids = _keyed(docs)
