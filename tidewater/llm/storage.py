@@ -20,9 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def few(df: DataFrame, a_core: int = 3) -> DataFrame:
-    """The frame in no more partitions than so many a core: what a shuffle has dealt finely is
-    written as fewer files. Texts take more partitions than narrow rows."""
-    return df.coalesce(max(1, a_core * df.sparkSession.sparkContext.defaultParallelism))
+    """The frame in no more partitions than so many a core, or than that share of a shuffle's: what
+    is dealt finely is written as fewer files. Texts take more partitions than narrow rows."""
+    spark = df.sparkSession
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, a_core * spark.sparkContext.defaultParallelism, a_core * dealt // 24))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
