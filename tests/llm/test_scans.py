@@ -109,6 +109,16 @@ def test_templates_of_a_host_are_removed(spark):
     assert pages.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    body = "<nav>menu</nav><article><div>Read our other stories</div><p>story {}</p><a href='{}'>on</a></article>"
+    rows = [(i, f"https://site.example.org/{i}", body.format("told often", i)) for i in range(30)] + [(100 + i, "https://site.example.org/x", body.format(i, i)) for i in range(15)]
+    # All pages of the second host share a whole article or main element.
+    rows += [(200 + 20 * k + i, "https://same.example.org/x", f"<p>{i}</p>{tag}the one text{end}") for k, (tag, end) in enumerate((("<article>", "</article>"), ("<div role=main>", "</div>"))) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(30)} == {"story told often"} and got[103] == "story 3"
+    assert {got[200 + i] for i in range(40)} == {"the one text"}
+
+
 def test_queries_cover_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):

@@ -1,9 +1,11 @@
 """Main text of web pages: site templates are found across pages of a host and removed.
 
 Two passes over the pages. The first parses each page, hashes every element subtree (tag, marks,
-text and children) and emits each distinct hash once a page; Spark counts pages per (host, hash),
-pre-aggregated in the scan, so a host with a third of all pages spreads by its subtrees. A subtree
-on at least `share` of its host's pages, and on `pages` pages or more, is a template. The second
+text and children) and emits each distinct hash once a page; Spark counts different pages per
+(host, hash), copies of a page (equal but for references to other places) as one, first by page,
+so a host with a third of all pages spreads by its subtrees and pages. A subtree on at least
+`share` of its host's different pages, and on `at_least` of them or more, is a template; an article
+or main element never is as a whole. The second
 pass parses again, deletes templates and the elements that are never main text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments), and joins the blocks of
 the articles, of the main element, or else of the body.
@@ -14,7 +16,7 @@ shuffle beyond.
 
 Defined results: null and empty html give an empty text; a page without a host has no template;
 unclosed, misnested and unknown elements are read as browsers do for their text; repeated rows
-count as pages of their own and each gets its text.
+and copies count as one page of their host, and each gets its text.
 """
 
 from __future__ import annotations
@@ -57,6 +59,10 @@ NAMES = frozenset(
 )
 
 
+#: Stands for the page itself among the hashes of its subtrees.
+PAGE = 0
+
+
 class Node:
     __slots__ = ("tag", "marks", "children", "hash")
 
@@ -157,7 +163,7 @@ def hashed(node: Node, into: set[int]) -> int:
             todo.pop()
             full = len(parts) > 1
             here.hash = int.from_bytes(xxhash.xxh64_digest("\x1f".join(parts)), "big", signed=True)
-            if full and here.tag not in ("#root", "html", "body"):
+            if full and here.tag not in ("#root", "html", "body", "article", "main") and not ("main" in here.marks and marked(here).get("role") == "main"):
                 into.add(here.hash)
             if todo and full:
                 todo[-1][2].append(f"{here.hash:x}")
@@ -211,12 +217,12 @@ def main_text(root: Node, templates: frozenset[int]) -> str:
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in row_blocks(batch, "html"):
-            found = []
+            page, found = [], []
             for raw in texts(block.column(1)):
-                own: set[int] = set()
-                hashed(parse(raw.decode()), own)
+                own: set[int] = {PAGE}
+                page.append(hashed(parse(raw.decode()), own))
                 found.append(sorted(own))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "hashes"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(page, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "page", "hashes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,18 +238,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_templates(pages: DataFrame, share: float = 0.5, at_least: int = 10) -> DataFrame:
-    """host, templates: hashes of the subtrees on `share` of the host's pages and `at_least` pages."""
+    """host, templates: hashes of the subtrees on `share` of the host's different pages and `at_least` of them."""
     host, _ = host_and_path(F.col("url"))
     hosted = pages.select(host.alias("host"), "html").where("host <> ''")
-    totals = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= at_least)
     counts = (
-        hosted.mapInArrow(_subtrees, "host string, hashes array<long>")
-        .select("host", F.explode("hashes").alias("hash"))
+        hosted.mapInArrow(_subtrees, "host string, page long, hashes array<long>")
+        .select("host", "page", F.explode("hashes").alias("hash"))
         .groupBy("host", "hash")
-        .agg(F.count("*").alias("on"))
+        .agg(F.count_distinct("page").alias("on"))
         .where(F.col("on") >= at_least)
     )
-    often = counts.join(totals, "host").where(F.col("on") >= F.col("pages") * share)
+    counts = checkpointed(few(counts))
+    totals = counts.where(F.col("hash") == PAGE).select("host", F.col("on").alias("pages"))
+    often = counts.where(F.col("hash") != PAGE).join(totals, "host").where(F.col("on") >= F.col("pages") * share)
     return often.groupBy("host").agg(F.collect_list("hash").alias("templates"), F.count("*").alias("n"))
 
 
