@@ -131,3 +131,47 @@ def test_models_are_distributions():
     shared = toxicity.Model._shared(counts)
     assert shared.reshape(-1, toxicity.SYMBOLS).sum(1) == pytest.approx(1)
     assert toxicity.Model._top(counts, shared).reshape(-1, toxicity.SYMBOLS).sum(1) == pytest.approx(1)
+
+
+def test_toxic_words_of_ordinary_characters(spark, monkeypatch):
+    """Both classes have the same grams of four characters; only the whole words differ."""
+    rng = random.Random(4)
+    pairs = (("taenelo", "mieneru"), ("taeneru", "mienelo"))
+    rows = [(i, " ".join([*texts_of("en", rng, 20).split(), *pairs[i % 4 == 0], "Été"])) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fitted, weights = toxicity.fit(df, known.where("doc_id % 3 <> 1"))
+    got = toxicity.score(df, fitted, weights).join(known, "doc_id").where("doc_id % 3 = 1")
+    assert got.count() == 133 and got.where("predicted <> toxic").count() == 0
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", 0)
+    assert got.select("doc_id", "score").exceptAll(toxicity.score(df, fitted, weights).select("doc_id", "score").where("doc_id % 3 = 1")).count() == 0
+
+
+def test_word_differences_equal_plain_recursion(spark):
+    rng = random.Random(6)
+    make = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 7)))
+    rows = [(i, " ".join(make() for _ in range(12))) for i in range(60)]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    fitted, _ = toxicity.fit(df, known)
+    counts = Counter()
+    for i, text in rows:
+        for w in text.split():
+            for k in range(toxicity.SHORTEST + 1, len(w) + 2):
+                counts[i % 3 == 0, (w + "$")[:k]] += 1
+
+    def p(toxic, gram, q):
+        held = [n for (c, g), n in counts.items() if c == toxic and len(g) == len(gram) and g[:-1] == gram[:-1]]
+        one, two = (sum(n == k for (c, _), n in counts.items() if c == toxic) for k in (1, 2))
+        d = one / (one + 2 * two)
+        return (max(counts[toxic, gram] - d, 0) + d * len(held) * q) / sum(held) if held else q
+
+    tests = [*{w for _, text in rows for w in text.split()}][:40] + [make() + "zab" for _ in range(10)]
+    found = {r["word"]: r["word2"] for r in toxicity.word_differences(spark.createDataFrame([(w,) for w in tests], "text string"), fitted, (2,)).collect()}
+    model = fitted.models[2]
+    for w in tests:
+        code, want = toxicity.beginnings([w.encode()])[2], 0.0
+        for k in range(1, len(w) + 2):
+            q = [float(x[code[k - 1]]) for x in (model.toxic, model.ordinary)]
+            both = [p(c, (w + "$")[:k], x) if k > toxicity.SHORTEST else x for c, x in zip((True, False), q)]
+            want += math.log(both[0] / both[1])
+        assert found[toxicity.xxhash.xxh64_intdigest(w.encode()) - (1 << 64) * (toxicity.xxhash.xxh64_intdigest(w.encode()) >> 63)] == pytest.approx(want, abs=1e-3)

@@ -1,9 +1,14 @@
-"""Toxicity scores from class-conditional Kneser-Ney character models.
-
-Texts are folded to SYMBOLS symbols: boundary, letters a-z, and groups of other letters; contexts
-do not reach over word boundaries. The highest order has counts of its own for toxic and ordinary
-training texts; both back off to the same lower orders, which are continuation counts of both
-classes together, so an expression that neither class shows often gets nearly equal likelihoods.
+"""Toxicity scores from class-conditional Kneser-Ney models of variable order.
+
+Two tables, counted over all training rows. `Model` has grams of ORDER characters folded to SYMBOLS
+symbols: boundary, letters a-z, and groups of other letters; its highest order has counts of its
+own for toxic and ordinary texts, and both back off to the same lower orders, which are continuation
+counts of both classes together. The node table has every beginning of every training word, exact
+to the byte, up to the word with its end: each is counted for both classes in the context of all
+that stands before it in the word, with an absolute discount, and backs off to `Model`. So whole
+words and long stems have probabilities of their own, rare ones nearly equal ones in both classes,
+and words that training lacks those of their longest known beginning and then of characters.
+Contexts do not reach over word boundaries.
 
 A document is compared by length-normalised differences of log-likelihoods (toxic less ordinary):
 the whole text's, a symbol; its most toxic word's; and by how much words exceed several levels, in
@@ -11,8 +16,9 @@ sum and a word. A logistic regression makes them a score. It is fitted on a boun
 training rows, each compared by models that have not counted it: the rows are halved by a hash of
 the id, and each half is compared by the other half's models.
 
-Counts are pre-aggregated in each task and summed by gram, over all training rows. The folded
-alphabet bounds the model at SYMBOLS ** ORDER numbers, whatever the input.
+The node table grows with the training rows' words and stays a keyed table: the different words of
+the documents meet it by their beginnings, and the documents meet their words' differences. Nodes
+and words are broadcast up to BROADCAST_WORDS rows and joined by a shuffle beyond.
 
 Defined results: null, empty and letterless texts have differences of 0 and the score of such
 texts; with no training row, or with one class only, all scores are the share of that class
@@ -21,14 +27,18 @@ texts; with no training row, or with one class only, all scores are the share of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.llm.blocks import row_blocks, texts
-from tidewater.llm.storage import bounded
+from tidewater.llm.storage import bounded, few, stored
 
 SYMBOLS, ORDER = 32, 4
 #: a-z are 1 to 26; continuation bytes of other letters 27 to 30; all else is a boundary.
@@ -36,6 +46,13 @@ FOLD = bytes(c - 96 if 97 <= c <= 122 else 27 + (c & 3) if 128 <= c < 192 else 0
 LEADS = bytes(range(192, 256))
 #: Rows of labels up to which they are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
+#: Rows up to which nodes are broadcast to words, and words' differences to the documents.
+BROADCAST_WORDS = 1_000_000
+#: Entries of a task's table of words, and words that are taken apart at once.
+KEPT, WORDS_AT_ONCE = 500_000, 50_000
+#: Symbols of the shortest beginning that is a node: up to it, `Model` has the same contexts.
+SHORTEST = 3
+_WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: Differences of a word from which its excess counts.
 LEVELS = (2.0, 4.0, 6.0)
 FEATURES = 2 + 2 * len(LEVELS)
@@ -66,7 +83,8 @@ class Model:
 
     def __init__(self, toxic: np.ndarray, ordinary: np.ndarray):
         q = self._shared(toxic + ordinary)
-        self.diff = (np.log(self._top(toxic, q)) - np.log(self._top(ordinary, q))).astype(np.float32)
+        self.toxic, self.ordinary = (self._top(n, q).astype(np.float32) for n in (toxic, ordinary))
+        self.diff = np.log(self.toxic) - np.log(self.ordinary)
 
     @staticmethod
     def _discount(n: np.ndarray) -> float:
@@ -99,28 +117,41 @@ class Model:
     def _top(cls, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
         return cls._smooth(n, shared)
 
-    def features(self, raw: list[bytes]) -> np.ndarray:
-        """FEATURES differences of each text."""
-        s, owner = symbols(raw)
-        at, code = grams(s)
-        if not len(at):
-            return np.zeros((len(raw), FEATURES))
-        diff, doc = self.diff[code].astype(float), owner[at]
-        whole = np.bincount(doc, diff, len(raw)) / np.maximum(1, np.bincount(doc, minlength=len(raw)))
-        first = np.flatnonzero(np.concatenate(([True], s[at][:-1] == 0)))
-        word, word_doc = np.add.reduceat(diff, first), doc[first]
-        count = np.bincount(word_doc, minlength=len(raw))
-        top = np.full(len(raw), -50.0)
-        np.maximum.at(top, word_doc, word)
-        top[count == 0] = 0
-        columns = [whole * 10, np.clip(top, -10, 20) / 5]
-        for level in LEVELS:
-            excess = np.bincount(word_doc, np.maximum(word - level, 0), len(raw))
-            columns += [np.log1p(excess), np.sqrt(excess / np.maximum(1, count))]
-        return np.stack(columns, 1)
+
+@dataclass
+class Fitted:
+    """Character models for the texts of each half and for all others, and the node table: node (a
+    hash) and gain0 to gain2, by number of the model: its difference, and by how much what its
+    context gives symbols without a node exceeds the node before's. So the gains of a word's nodes,
+    each the beginning of the next, sum to their differences and the last one's backing off."""
+
+    models: list[Model]
+    nodes: DataFrame
 
 
 NAMES = [f"f{i}" for i in range(FEATURES)]
+KINDS = ("t0", "o0", "t1", "o1")
+
+
+def words(text: bytes) -> list[bytes]:
+    return _WORD.findall(text.decode().lower().encode())
+
+
+def beginnings(of: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every symbol of the words, their ends included: number of the word, place in it, gram of
+    characters, and node: the hash of the word's bytes up to the symbol (0 below SHORTEST)."""
+    s, owner = symbols(of)
+    at, code = grams(s)
+    word = owner[at]
+    first = np.searchsorted(word, np.arange(len(of)))
+    nodes: list[int] = []
+    digest = xxhash.xxh64_intdigest
+    for w in of:
+        ends = range(1, len(w) + 1) if w.isascii() else [i + 1 for i, c in enumerate(w) if c < 192]
+        nodes += [0] * min(SHORTEST - 1, len(ends))
+        nodes += [digest(w[:e]) for e in ends[SHORTEST - 1 :]]
+        nodes.append(digest(w + b"\0") if len(ends) >= SHORTEST - 1 else 0)
+    return word, np.arange(len(word)) - first[word], code, np.array(nodes, np.uint64).view(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,28 +180,164 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def _featured(models: list[Model]) -> Callable:
-    """Rows (key, text, model number) to the features of that model."""
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, and its occurrences in this task's texts by KINDS."""
+    held: tuple[Counter, ...] = tuple(Counter() for _ in KINDS)
+
+    def rows() -> pa.RecordBatch:
+        every = list(set().union(*held))
+        columns = [pa.array([c[w] for w in every], pa.int64()) for c in held]
+        for c in held:
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *columns], ["word", *KINDS])
+
+    for batch in batches:
+        for block in row_blocks(batch, "text"):
+            for raw, toxic, half in zip(texts(block.column(0)), block.column(1).to_pylist(), block.column(2).to_pylist()):
+                held[2 * half + (not toxic)].update(words(raw))
+            if sum(map(len, held)) > KEPT:
+                yield rows()
+    yield rows()
+
+
+def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, KINDS) to those of its nodes, with the node before each (0 if none is)."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, WORDS_AT_ONCE):
+            part = batch.slice(i, WORDS_AT_ONCE)
+            word, place, code, node = beginnings(part.column(0).to_pylist())
+            at = np.flatnonzero(place >= SHORTEST - 1)
+            counts = [pa.array(part.column(1 + k).to_numpy()[word[at]]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at - 1]), pa.array(code[at].astype(np.int32)), *counts], ["node", "before", "code", *KINDS])
+
+
+def _gains(models: list[Model], discounts: np.ndarray) -> Callable:
+    """Rows (node, code, then for each model's classes n, total and kinds of the node before, and
+    total and kinds of the node) to node and gains."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, out = batch.column(1).to_numpy(), []
+            for m, model in enumerate(models):
+                gain = np.zeros(batch.num_rows)
+                for c, (sign, q) in enumerate(((1, model.toxic), (-1, model.ordinary))):
+                    n, total, kinds, total_on, kinds_on = (batch.column(2 + 6 * k + 2 * m + c).to_numpy() for k in range(5))
+                    d, q = discounts[2 * m + c], q[code].astype(float)
+                    p = np.where(total > 0, (np.maximum(n - d, 0) + d * kinds * q) / np.maximum(total, 1), q)
+                    before, on = (np.where(t > 0, d * k / np.maximum(t, 1), 1) for t, k in ((total, kinds), (total_on, kinds_on)))
+                    gain += sign * (np.log(p) - np.log(before) + np.log(on))
+                out.append(pa.array(gain.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["node", "gain0", "gain1", "gain2"])
+
+    return run
+
+
+def _nodes(rows: DataFrame, models: list[Model], used: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """The node table of rows (text, toxic, half); used: the counts of each model's classes."""
+    spelled = rows.mapInArrow(_spelled, "word binary, " + ", ".join(f"{c} long" for c in KINDS))
+    spelled = spelled.groupBy("word").agg(*[F.sum(c).alias(c) for c in KINDS])
+    noded = spelled.mapInArrow(_noded, "node long, before long, code int, " + ", ".join(f"{c} long" for c in KINDS))
+    counted = stored(few(noded.groupBy("node").agg(F.max("before").alias("before"), F.max("code").alias("code"), *[F.sum(c).alias(c) for c in KINDS])))
+    names, uses = [f"{m}{c}" for m in range(3) for c in "to"], [x for pair in used for x in pair]
+    deep = counted.where("before <> 0")
+    often = deep.agg(*[F.count_if(x == k).alias(f"{n}_{k}") for n, x in zip(names, uses) for k in (1, 2)]).first()
+    discounts = np.array([often[f"{n}_1"] / (often[f"{n}_1"] + 2 * often[f"{n}_2"]) if often[f"{n}_1"] and often[f"{n}_2"] else 0.5 for n in names])
+    totals = deep.groupBy("before").agg(*[F.sum(x).alias(f"total{n}") for n, x in zip(names, uses)], *[F.count_if(x > 0).alias(f"kinds{n}") for n, x in zip(names, uses)])
+    after = totals.select(F.col("before").alias("node"), *[F.col(f"{x}{n}").alias(f"{x}_on{n}") for x in ("total", "kinds") for n in names])
+    wide = counted.join(totals, "before", "left").join(after, "node", "left")
+    columns = [F.coalesce(f"{x}{n}", F.lit(0)) for x in ("total", "kinds", "total_on", "kinds_on") for n in names]
+    wide = wide.select("node", "code", *[c.alias(f"_{i}") for i, c in enumerate([*uses, *columns])])
+    return stored(few(wide.mapInArrow(_gains(models, discounts), "node long, gain0 float, gain1 float, gain2 float")))
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: set[bytes] = set()
+    for batch in batches:
+        for block in row_blocks(batch, "text"):
+            for raw in texts(block.column(0)):
+                held.update(words(raw))
+            if len(held) > KEPT:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary())], ["word"])
+                held.clear()
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary())], ["word"])
+
+
+def _begun(models: list[Model], which: Sequence[int]) -> Callable:
+    """Rows (word) to its key, and its nodes with their differences by characters; the symbols
+    before the first node are one row without a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in row_blocks(batch, "text"):
-                raw, which = texts(block.column(1)), block.column(2).to_numpy()
-                x = np.zeros((len(raw), FEATURES))
-                for i, model in enumerate(models):
-                    own = np.flatnonzero(which == i)
-                    if len(own):
-                        x[own] = model.features([raw[k] for k in own])
-                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(x[:, i]) for i in range(FEATURES)]], ["key", *NAMES])
+            for i in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.column(0).slice(i, WORDS_AT_ONCE).to_pylist()
+                word, place, code, node = beginnings(part)
+                key = np.array([xxhash.xxh64_intdigest(w) for w in part], np.uint64).view(np.int64)
+                own = np.flatnonzero(place >= SHORTEST - 1)
+                early = place < SHORTEST - 1
+                columns = []
+                for m in which:
+                    diff = models[m].diff[code].astype(float)
+                    columns.append(pa.array(np.concatenate((np.bincount(word[early], diff[early], len(part)), diff[own])).astype(np.float32)))
+                nodes = pa.array(np.concatenate((np.zeros(len(part), np.int64), node[own])), mask=np.arange(len(part) + len(own)) < len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, key[word[own]]))), nodes, *columns], ["word", "node", *[f"char{m}" for m in which]])
 
     return run
 
 
-def _compared(rows: DataFrame, models: list[Model]) -> DataFrame:
-    return rows.mapInArrow(_featured(models), "key long, " + ", ".join(f"{n} double" for n in NAMES))
+def word_differences(rows: DataFrame, fitted: Fitted, which: Sequence[int]) -> DataFrame:
+    """word (a hash) and word0, ...: the models' differences, of all words of rows (text)."""
+    different = rows.select("text").mapInArrow(_different, "word binary").distinct()
+    begun = different.mapInArrow(_begun(fitted.models, which), "word long, node long, " + ", ".join(f"char{m} float" for m in which))
+    nodes = fitted.nodes.select("node", *[f"gain{m}" for m in which])
+    met = begun.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_WORDS else nodes, "node", "left")
+    return met.groupBy("word").agg(*[F.sum(F.coalesce(f"gain{m}", f"char{m}").cast("double")).alias(f"word{m}") for m in which]).select("word", *[F.col(f"word{m}").cast("float") for m in which])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Model | None, np.ndarray | float]:
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, key, which, text) to the text's different words, how often they occur and their
+    symbols; a text without words has one row without a word."""
+    for batch in batches:
+        for block in row_blocks(batch, "text"):
+            at, hashes, n, size = [], [], [], []
+            keys: dict[bytes, tuple[int, int]] = {}
+            for i, raw in enumerate(texts(block.column(3))):
+                held = Counter(words(raw))
+                for w in held:
+                    if w not in keys:
+                        keys[w] = (xxhash.xxh64_intdigest(w), len(w.translate(None, LEADS)) + 1)
+                known = [keys[w] for w in held] or [(0, 0)]
+                at += [i] * len(known)
+                hashes += [k for k, _ in known]
+                size += [k for _, k in known]
+                n += held.values() or (0,)
+            take = pa.array(at, pa.int32())
+            columns = [pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*[block.column(k).take(take) for k in range(3)], *columns], ["row", "key", "which", "word", "n", "size"])
+
+
+def _compared(rows: DataFrame, fitted: Fitted, which: Sequence[int]) -> DataFrame:
+    """key and FEATURES differences of each of the rows (key, text, which: its model)."""
+    table = stored(few(word_differences(rows, fitted, which)))
+    table = F.broadcast(table) if table.count() <= BROADCAST_WORDS else table
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "key", F.col("which").cast("int").alias("which"), "text")
+    met = numbered.mapInArrow(_worded, "row long, key long, which int, word long, n int, size int").join(table, "word", "left")
+    diff = F.coalesce(*[F.when(F.col("which") == m, F.col(f"word{m}")) for m in which], F.lit(0.0)).cast("double")
+    held = met.withColumn("diff", F.when(F.col("n") > 0, diff)).groupBy("row").agg(
+        F.first("key").alias("key"),
+        F.sum("n").alias("n"),
+        F.sum(F.col("diff") * F.col("n")).alias("whole"),
+        F.sum(F.col("size") * F.col("n")).alias("size"),
+        F.max("diff").alias("top"),
+        *[F.sum(F.greatest(F.col("diff") - level, F.lit(0.0)) * F.col("n")).alias(f"excess{i}") for i, level in enumerate(LEVELS)],
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    columns = [zero(F.col("whole") / F.nullif("size", F.lit(0))) * 10, zero(F.greatest(F.least("top", F.lit(20.0)), F.lit(-10.0))) / 5]
+    for i in range(len(LEVELS)):
+        columns += [F.log1p(zero(F.col(f"excess{i}"))), F.sqrt(zero(F.col(f"excess{i}")) / F.greatest("n", F.lit(1)))]
+    return held.select("key", *[c.alias(n) for n, c in zip(NAMES, columns)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Fitted | None, np.ndarray | float]:
     """Model and coefficients (or a constant score) from labels (doc_id, toxic) of documents; all
     rows are counted, and at most `sample` rows, by a hash of the id, fit the calibration."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
@@ -188,22 +355,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Model
         return None, float(toxic.any())
     model = Model(toxic, ordinary)
     # Each half is compared by the other one's models; a half without one of the classes has none.
-    halves = [Model(n[2 * i], n[2 * i + 1]) if n[2 * i].any() and n[2 * i + 1].any() else model for i in (1, 0)]
+    sums = F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1")
+    halves = [(Model(n[2 * i], n[2 * i + 1]), (F.col(f"t{i}"), F.col(f"o{i}"))) if n[2 * i].any() and n[2 * i + 1].any() else (model, sums) for i in (1, 0)]
+    models, used = map(list, zip(*halves, (model, sums)))
+    fitted = Fitted(models, _nodes(rows.select("text", "toxic", half.alias("half")), models, used))
     ids = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    x = _compared(chosen.select(F.col("toxic").cast("long").alias("key"), "text", half.alias("half")), halves).toPandas()
+    x = _compared(chosen.select(F.col("toxic").cast("long").alias("key"), "text", half.alias("which")), fitted, (0, 1)).toPandas()
     y = x["key"].to_numpy(float)
     if y.min(initial=1) == y.max(initial=0):
         return None, float(y.mean()) if len(y) else 0.0
-    return model, _logistic(x[NAMES].to_numpy(), y)
+    return fitted, _logistic(x[NAMES].to_numpy(), y)
 
 
-def score(docs: DataFrame, model: Model | None, weights: np.ndarray | float, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: Fitted | None, weights: np.ndarray | float, threshold: float = 0.7) -> DataFrame:
     """One row per document: doc_id, score and predicted, from the text alone."""
     if model is None:
         scored = docs.select(F.col("doc_id").cast("long"), F.lit(float(weights)).alias("score"))
     else:
-        x = _compared(bounded(docs).select(F.col("doc_id").cast("long").alias("key"), "text", F.lit(0).cast("long").alias("half")), [model])
+        x = _compared(bounded(docs).select(F.col("doc_id").cast("long").alias("key"), "text", F.lit(2).alias("which")), model, (2,))
         w = [float(v) for v in weights]
         z = F.lit(w[-1]) + sum((F.col(n) * v for n, v in zip(NAMES, w)), F.lit(0.0))
         scored = x.select(F.col("key").alias("doc_id"), (1 / (1 + F.exp(-z))).alias("score"))
