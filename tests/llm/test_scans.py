@@ -79,6 +79,19 @@ def test_contamination_equals_brute_force(spark, awkward, empty):
     assert decontaminate.find_contamination(df, bench.limit(0)).where("size(items) > 0").count() == 0
 
 
+def test_sliced_contamination_keeps_rows(spark, awkward):
+    rng = random.Random(8)
+    items = [(i, prose(rng, 12)) for i in range(6)]
+    docs = [(1, "x " + items[0][1]), (1, "clean words"), (1, "x " + items[0][1]), (None, items[1][1] + " " + items[2][1]), (None, "other clean words here"), (2, None), (2, None), (2, ""), (3, prose(rng, 40))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    sliced = decontaminate.digest(decontaminate.find_contamination(df, bench, slice_bytes=100))
+    assert key(sliced.collect()) == key(decontaminate.brute_force(docs, items))
+    whole, parts = (decontaminate.digest(decontaminate.find_contamination(awkward, bench, slice_bytes=n)).collect() for n in (32 << 20, 100))
+    assert key(whole) == key(parts) and len(parts) == awkward.count()
+    assert decontaminate.keep_clean(awkward, bench, slice_bytes=100).count() == awkward.count()
+
+
 def test_proximity_finds_shuffled_words(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     docs = [(1, " ".join(reversed(item.split()))), (2, item), (3, "alpha and many other words " * 30), (4, "alpha " + "x " * 40 + "beta " + "x " * 40 + "gamma delta")]

@@ -7,11 +7,14 @@ are candidate starts, and the offset-adjusted lists of the other terms are inter
 next rarest on. Documents never move, so no source, word or passage can gather in one task.
 
 The benchmark goes to every task in slices of at most `slice_bytes` bytes of text, one pass over
-the documents for each slice; what a task holds is bounded by one slice and one shard.
+the documents for each slice; the driver fetches a slice when the one before is done, and what a
+task holds is bounded by one slice and one shard. Hits of several slices are kept by id and digest
+of the text, and joined to the documents' rows.
 
 Defined results: a null or wordless document has no words, no hits and no items; a null or
 wordless item has no window; repeated items each count by their own id; an empty benchmark leaves
-all documents clean, an empty document table gives an empty result.
+all documents clean, an empty document table gives an empty result; rows that repeat an id, or
+have none, each have a row of their own text.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import flat, ranges, row_blocks
-from tidewater.llm.storage import bounded
+from tidewater.llm.storage import bounded, few, stored
 
 #: A-Z become a-z; ASCII other than letters and digits separates words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -138,6 +141,8 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(items: list[tuple[object, str | None]], width: int, near_terms: int, near_reach: int) -> Callable:
+    """Rows (doc_id, text) to SCHEMA; further columns go along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(items, width)
         for batch in batches:
@@ -166,19 +171,20 @@ def _search(items: list[tuple[object, str | None]], width: int, near_terms: int,
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
                         pa.array([sorted(set(x)) for x in found], pa.list_(pa.string())),
                         pa.array([sorted(set(x)) for x in close], pa.list_(pa.string())),
+                        *block.columns[2:],
                     ],
-                    ["doc_id", "n_words", "spans", "items", "near_items"],
+                    ["doc_id", "n_words", "spans", "items", "near_items", *block.schema.names[2:]],
                 )
 
     return run
 
 
-def _slices(items: DataFrame, slice_bytes: int) -> list[list[tuple[object, str | None]]]:
-    """The items, in slices that are fetched one by one and hold about slice_bytes of text."""
+def _slices(items: DataFrame, slice_bytes: int) -> tuple[int, Callable]:
+    """The number of slices that hold about slice_bytes of text, and what fetches one of them."""
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // slice_bytes))
     part = F.pmod(F.xxhash64(F.col("item_id").cast("string")), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in items.where(part == k).select("item_id", "text").collect()] for k in range(n)]
+    return n, lambda k: [(r["item_id"], r["text"]) for r in items.where(part == k).select("item_id", "text").collect()]
 
 
 def find_contamination(
@@ -188,9 +194,11 @@ def find_contamination(
     (ids, sorted, with an exact window), near_items (ids without one, of which some window's
     `near_terms` rarest words lie within `near_reach` words of the rarest)."""
     narrow = bounded(docs).select(F.col("doc_id").cast("long"), "text")
-    parts = [narrow.mapInArrow(_search(s, width, near_terms, near_reach), SCHEMA) for s in _slices(items, slice_bytes)]
-    if len(parts) == 1:
-        return parts[0]
+    n, fetch = _slices(items, slice_bytes)
+    if n == 1:
+        return narrow.mapInArrow(_search(fetch(0), width, near_terms, near_reach), SCHEMA)
+    keyed = narrow.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    with_digest = SCHEMA + ", digest string"
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         inside: set[int] = set()
@@ -204,13 +212,19 @@ def find_contamination(
         near = {x for xs in group["near_items"] for x in xs} - exact
         spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(low, high)]
         return pd.DataFrame(
-            {"doc_id": group["doc_id"][:1], "n_words": group["n_words"][:1], "spans": [spans], "items": [sorted(exact)], "near_items": [sorted(near)]}
+            {"doc_id": group["doc_id"][:1], "n_words": group["n_words"][:1], "spans": [spans], "items": [sorted(exact)], "near_items": [sorted(near)], "digest": group["digest"][:1]}
         )
 
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("doc_id").applyInPandas(merge, SCHEMA)
+    hits = None
+    for k in range(n):
+        found = keyed.mapInArrow(_search(fetch(k), width, near_terms, near_reach), with_digest)
+        part = stored(few(found.where("size(items) > 0 OR size(near_items) > 0")))
+        hits = part if hits is None else hits.union(part)
+    whole = hits.distinct().groupBy("doc_id", "digest").applyInPandas(merge, with_digest).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "spans", "items", "near_items")
+    rows = keyed.mapInArrow(_search([], width, near_terms, near_reach), with_digest).select("doc_id", "n_words", "digest")
+    joined = rows.join(whole, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    none = {name: F.from_json(F.lit("[]"), kind) for name, kind in (("spans", "array<struct<first:int,last:int>>"), ("items", "array<string>"), ("near_items", "array<string>"))}
+    return joined.select("doc_id", "n_words", *[F.coalesce(name, empty).alias(name) for name, empty in none.items()])
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, slice_bytes: int = 32 << 20) -> DataFrame:
@@ -230,8 +244,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, width: int = 10, slice_bytes:
 
         return run
 
-    for slice_ in _slices(items, slice_bytes):
-        docs = bounded(docs).mapInArrow(filter_(slice_), docs.schema)
+    n, fetch = _slices(items, slice_bytes)
+    for k in range(n):
+        docs = bounded(docs).mapInArrow(filter_(fetch(k)), docs.schema)
+        if k < n - 1:
+            docs = stored(docs)
     return docs
 
 
