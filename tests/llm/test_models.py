@@ -91,6 +91,12 @@ def test_language_on_held_out_texts(spark, awkward, empty):
     assert kept.columns == awkward.columns and {2, 3, 4, 9}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() == awkward.count() - 4
 
 
+def test_letters_decide_without_a_language_model(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "汉字", None), (3, "12 !?", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert language.fit(df) is None
+    assert {r["doc_id"] for r in language.keep_identified(df, language.fit(df)).collect()} == {1, 2}
+
+
 def test_kernel_is_that_of_shared_ngrams():
     def features(t):
         b = (" " + t + " ").encode()

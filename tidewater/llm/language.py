@@ -146,13 +146,17 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 def keep_identified(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """The documents, with all their columns, whose language is determined: it has a letter."""
+    """The documents, with all their columns, whose language is determined: it has a letter. Without
+    a model, too, those that have a letter."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = _label(model)
         at = columns.index("text")
         for batch in batches:
+            if model is None:
+                yield batch.filter(pa.array([has_letter(x) for x in texts(batch.column(at))], pa.bool_()))
+                continue
             narrow = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["key", "text"])
             langs = [x for b in label(iter([narrow])) for x in b.column(1).to_pylist()]
             yield batch.filter(pa.array([x != UNDETERMINED for x in langs]))
