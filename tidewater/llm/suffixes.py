@@ -6,9 +6,10 @@ smaller id or before in the same one. The steps:
 1. Every string of `width` bytes (a window) has an anchor: its leftmost K-gram of least hash.
    Windows side by side with one anchor form a segment, at most width - K + 1 window starts. Equal
    windows have equal anchors, so they only meet where segments share an anchor's hash. Each batch
-   of texts emits one row (anchor hash, segment hash, document, first start, number of starts) a
-   segment; one whose text the batch holds earlier in order is a repeat already, and marked so.
-2. Rows are sorted by (anchor, segment, document, start) and read as a stream: an anchor met once
+   of texts emits one row (anchor hash, segment hash, document, first start and number of starts) a
+   segment; one whose text the batch holds earlier in order is a repeat already, marked so and dealt
+   anywhere: of a passage in a third of all texts, its anchor's task gets one row a batch.
+2. Rows are sorted by (anchor, segment, document, place) and read as a stream: an anchor met once
    holds nothing; all rows of one segment text after its first are repeats as a whole; and the
    first rows of two or more texts under one anchor are variants, to be compared.
 3. Variants get their text. A suffix array over the variants of many anchors, some MB at a time, is
@@ -203,7 +204,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     return owner, first - offsets[owner], count, gram[anchor[first]].view(np.int64), text.view(np.int64)
 
 
-ROWS = "anchor long, segment long, doc_id long, start int, n int, repeat boolean"
+#: place: start and number of starts, packed; its complement where the batch holds the segment earlier.
+ROWS = "anchor long, segment long, doc_id long, place long"
 
 
 def _emit(width: int) -> Callable:
@@ -213,19 +215,19 @@ def _emit(width: int) -> Callable:
             found, base = [], 0
             for block in row_blocks(batch, "text", HASH_BYTES):
                 owner, start, n, anchor, segment = segments(*flat(block.column(1)), width)
-                found.append((ids[base + owner], start, n, anchor, segment))
+                found.append((ids[base + owner], start << 8 | n, anchor, segment))
                 base += block.num_rows
-            doc, start, n, anchor, segment = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((start, doc, segment, anchor))
+            if not found:
+                continue
+            doc, place, anchor, segment = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((place, doc, segment, anchor))
             a, s = anchor[order], segment[order]
-            repeat = np.zeros(len(order), bool)
-            repeat[order[1:]] = (a[1:] == a[:-1]) & (s[1:] == s[:-1])
+            repeat = order[1:][(a[1:] == a[:-1]) & (s[1:] == s[:-1])]
+            # These are decided: they need not meet their anchor's rows, so a hot one's are dealt evenly.
+            anchor[repeat] = _mixed(doc[repeat].astype(np.uint64) * np.uint64(_BASE_A) + place[repeat].astype(np.uint64)).view(np.int64)
+            place[repeat] = ~place[repeat]
             for k in range(0, len(doc), 100_000):
-                part = slice(k, k + 100_000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[part]), pa.array(segment[part]), pa.array(doc[part]), pa.array(start[part].astype(np.int32)), pa.array(n[part].astype(np.int32)), pa.array(repeat[part])],
-                    ["anchor", "segment", "doc_id", "start", "n", "repeat"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (anchor, segment, doc, place)], ["anchor", "segment", "doc_id", "place"])
 
     return run
 
@@ -235,7 +237,7 @@ FOUND = "doc_id long, place long, anchor long, kind int"
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (anchor, segment, doc_id, start) to repeats and variants."""
+    """Rows in order of (anchor, segment, doc_id, place) to repeats and variants."""
 
     def table(doc: np.ndarray, place: np.ndarray, anchor: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(anchor), pa.array(kind.astype(np.int32))], ["doc_id", "place", "anchor", "kind"])
@@ -243,11 +245,10 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def decide(a: np.ndarray, s: np.ndarray, doc: np.ndarray, place: np.ndarray, again: np.ndarray, last: tuple | None, hot: bool) -> pa.RecordBatch:
         """Whole groups, or, if hot, a part of one that is known to have too many variants."""
         new_a = np.concatenate(([last is None or a[0] != last[0]], a[1:] != a[:-1]))
-        new_s = new_a | np.concatenate(([last is None or (a[0], s[0]) != last], s[1:] != s[:-1]))
+        new_s = (new_a | np.concatenate(([last is None or (a[0], s[0]) != last], s[1:] != s[:-1]))) & ~again
         group = np.cumsum(new_a) - new_a[0]
         kinds = np.bincount(group, new_s)[group]
-        repeat = ~new_s | again
-        variant = new_s & ~again & ((kinds > 1) | hot)
+        repeat, variant = ~new_s, new_s & ((kinds > 1) | hot)
         many = hot | (kinds > VARIANTS)
         keep = repeat | variant
         return table(doc[keep], place[keep], a[keep], np.where(repeat, 0, np.where(many, 2, 1))[keep])
@@ -256,8 +257,8 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, hot = None, False
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        now = [*now[:3], now[3].astype(np.int64) << 8 | batch.column(4).to_numpy(zero_copy_only=False), batch.column(5).to_numpy(zero_copy_only=False)]
-        now = [now[0], now[1], now[2], now[3], now[4]]
+        again = now[3] < 0
+        now = [*now[:3], np.where(again, ~now[3], now[3]), again]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
             held = None
@@ -473,8 +474,10 @@ def _repeats(unique: DataFrame, width: int) -> DataFrame:
     an array of packed starts and counts of windows that occur earlier, null without any. Both
     joins take whole documents, so that they share one exchange of texts."""
     parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Known ids, said of both joins' texts: an inner join alone would filter, and exchange them anew.
+    unique = unique.where("doc_id IS NOT NULL")
     rows = unique.select("doc_id", "text").mapInArrow(_emit(width), ROWS)
-    sorted_rows = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "segment", "doc_id", "start")
+    sorted_rows = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "segment", "doc_id", "place")
     found = stored(few(sorted_rows.mapInArrow(_sift, FOUND)))
     name, listed = unused(unique, "repeat_id"), unused(unique, "places")
     variants = found.where("kind > 0").groupBy(F.col("doc_id").alias(name)).agg(F.collect_list(F.struct("place", "anchor", "kind")).alias(listed))
