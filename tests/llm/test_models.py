@@ -149,27 +149,43 @@ def test_toxic_words_of_ordinary_characters(spark, monkeypatch):
     fitted, weights = toxicity.fit(df, known.where("doc_id % 3 <> 1"))
     got = toxicity.score(df, fitted, weights).join(known, "doc_id").where("doc_id % 3 = 1")
     assert got.count() == 133 and got.where("predicted <> toxic").count() == 0
-    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", 0)
-    assert got.select("doc_id", "score").exceptAll(toxicity.score(df, fitted, weights).select("doc_id", "score").where("doc_id % 3 = 1")).count() == 0
 
 
-def test_word_differences_equal_plain_recursion(spark):
+@pytest.mark.parametrize("words", [0, 1_000_000])
+def test_toxicity_is_equal_by_arrays_and_joins(spark, awkward, monkeypatch, words):
+    known = awkward.selectExpr("doc_id", "if(doc_id % 2 = 0, 1, 0) AS toxic")
+    fitted, weights = toxicity.fit(awkward, known)
+    scores = lambda: sorted((r["doc_id"] or -1, round(r["score"], 5)) for r in toxicity.score(awkward, fitted, weights).collect())
+    whole = scores()
+    monkeypatch.setattr(toxicity, "AT_ONCE", -1)
+    monkeypatch.setattr(toxicity, "BROADCAST_WORDS", words)
+    assert scores() == whole
+
+
+@pytest.mark.parametrize("cutoff", [1, 2, 3])
+def test_word_differences_equal_plain_recursion(spark, cutoff):
     rng = random.Random(6)
     make = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 7)))
     rows = [(i, " ".join(make() for _ in range(12))) for i in range(60)]
     df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    fitted, _ = toxicity.fit(df, known)
+    fitted, _ = toxicity.fit(df, known, cutoff=cutoff)
     counts = Counter()
     for i, text in rows:
         for w in text.split():
             for k in range(toxicity.SHORTEST + 1, len(w) + 2):
                 counts[i % 3 == 0, (w + "$")[:k]] += 1
 
+    kept = {g for _, g in counts if counts[True, g] + counts[False, g] >= cutoff}
+
     def p(toxic, gram, q):
-        held = [n for (c, g), n in counts.items() if c == toxic and len(g) == len(gram) and g[:-1] == gram[:-1]]
-        one, two = (sum(n == k for (c, _), n in counts.items() if c == toxic) for k in (1, 2))
+        held = {g: n for (c, g), n in counts.items() if c == toxic and n and len(g) == len(gram) and g[:-1] == gram[:-1]}
+        one, two = (sum(n == k for (c, g), n in counts.items() if c == toxic and g in kept) for k in (1, 2))
         d = one / (one + 2 * two)
-        return (max(counts[toxic, gram] - d, 0) + d * len(held) * q) / sum(held) if held else q
+        own = max(held.get(gram, 0) - d, 0) if gram in kept else 0
+        free = sum(d if g in kept else n for g, n in held.items())
+        # A beginning that is no node tells nothing of what follows it.
+        before = sum(n for (_, g), n in counts.items() if len(g) == len(gram) and g[:-1] == gram[:-1]) >= cutoff
+        return (own + free * q) / sum(held.values()) if held and before else q
 
     tests = [*{w for _, text in rows for w in text.split()}][:40] + [make() + "zab" for _ in range(10)]
     found = {r["word"]: r["word2"] for r in toxicity.word_differences(spark.createDataFrame([(w,) for w in tests], "text string"), fitted, (2,)).collect()}

@@ -3,12 +3,17 @@
 Two tables, counted over all training rows. `Model` has grams of ORDER characters folded to SYMBOLS
 symbols: boundary, letters a-z, and groups of other letters; its highest order has counts of its
 own for toxic and ordinary texts, and both back off to the same lower orders, which are continuation
-counts of both classes together. The node table has every beginning of every training word, exact
-to the byte, up to the word with its end: each is counted for both classes in the context of all
-that stands before it in the word, with an absolute discount, and backs off to `Model`. So whole
-words and long stems have probabilities of their own, rare ones nearly equal ones in both classes,
-and words that training lacks those of their longest known beginning and then of characters.
-Contexts do not reach over word boundaries.
+counts of both classes together. The node table has the beginnings of the training words, exact to
+the byte, up to the word with its end: each is counted for both classes in the context of all that
+stands before it in the word, with an absolute discount, and backs off to `Model`. So whole words
+and long stems have probabilities of their own, rare ones nearly equal ones in both classes, and
+words that training lacks those of their longest known beginning and then of characters. What
+occurs less than CUTOFF times in all training rows is left to backing off, as is usual for high
+orders. Contexts do not reach over word boundaries.
+
+Training words, counted in each task, are dealt by their first bytes and read in order, so that one
+pass over them makes every node beside the one before: a stack as deep as a word is long. What is
+dealt are different words, so a word that a third of all rows hold is one row a task.
 
 A document is compared by length-normalised differences of log-likelihoods (toxic less ordinary):
 the whole text's, a symbol; its most toxic word's; and by how much words exceed several levels, in
@@ -16,13 +21,16 @@ sum and a word. A logistic regression makes them a score. It is fitted on a boun
 training rows, each compared by models that have not counted it: the rows are halved by a hash of
 the id, and each half is compared by the other half's models.
 
-The node table grows with the training rows' words and stays a keyed table: the different words of
-the documents meet it by their beginnings, and the documents meet their words' differences. Nodes
-and words are broadcast up to BROADCAST_WORDS rows and joined by a shuffle beyond.
+The node table grows with the training rows' words. Up to AT_ONCE nodes, their number checked, it goes
+to the tasks as two arrays, and a document is scored where it is read; beyond, it stays a keyed
+table: the different words of the documents meet it by their beginnings, and the documents meet
+their words' differences. Both ways give the same scores.
 
 Defined results: null, empty and letterless texts have differences of 0 and the score of such
 texts; with no training row, or with one class only, all scores are the share of that class
-(0 without rows); an id with several labels counts as toxic if one is; null labels are ignored.
+(0 without rows); an id with several labels counts as toxic if one is; null labels are ignored; equal texts have equal
+scores; a very long text is read whole, in memory of about 20 times its bytes; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +39,12 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidewater.llm.blocks import row_blocks, texts
 from tidewater.llm.storage import bounded, few, stored
@@ -45,16 +54,20 @@ SYMBOLS, ORDER = 32, 4
 FOLD = bytes(c - 96 if 97 <= c <= 122 else 27 + (c & 3) if 128 <= c < 192 else 0 for c in range(256))
 LEADS = bytes(range(192, 256))
 #: Rows of labels up to which they are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_LABELS = 4_000_000
-#: Rows up to which nodes are broadcast to words, and words' differences to the documents.
+BROADCAST_LABELS = 1_000_000
+#: Rows up to which words' differences are broadcast to the documents.
 BROADCAST_WORDS = 1_000_000
+#: Nodes up to which their table (12 bytes each) goes to the tasks whole.
+AT_ONCE = 4_000_000
+#: Occurrences in training rows from which a beginning is a node.
+CUTOFF = 2
 #: Entries of a task's table of words, and words that are taken apart at once.
 KEPT, WORDS_AT_ONCE = 500_000, 50_000
 #: Symbols of the shortest beginning that is a node: up to it, `Model` has the same contexts.
 SHORTEST = 3
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: Differences of a word from which its excess counts.
-LEVELS = (2.0, 4.0, 6.0)
+LEVELS = (1.0, 2.0, 4.0, 6.0)
 FEATURES = 2 + 2 * len(LEVELS)
 
 
@@ -200,54 +213,147 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, KINDS) to those of its nodes, with the node before each (0 if none is)."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, WORDS_AT_ONCE):
-            part = batch.slice(i, WORDS_AT_ONCE)
-            word, place, code, node = beginnings(part.column(0).to_pylist())
-            at = np.flatnonzero(place >= SHORTEST - 1)
-            counts = [pa.array(part.column(1 + k).to_numpy()[word[at]]) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at - 1]), pa.array(code[at].astype(np.int32)), *counts], ["node", "before", "code", *KINDS])
+#: A node and its counts by KINDS; `up`, of the node before it: its counts, `kinds`, how many nodes
+#: follow it that a class has, and `cut`, occurrences of what follows it and is no node; `on`: its own.
+#: Classes are KINDS, then toxic and ordinary of both halves.
+_SIDES = [*KINDS, "t", "o"]
+_TRIE = [*KINDS, *[f"up_{k}" for k in KINDS], *[f"up_kinds_{k}" for k in _SIDES], *[f"up_cut_{k}" for k in KINDS], *[f"on_kinds_{k}" for k in _SIDES], *[f"on_cut_{k}" for k in KINDS]]
+
+
+class _Trie:
+    """Words in order, with counts, to nodes (see _TRIE), in memory of one word's beginnings."""
+
+    def __init__(self, cutoff: int) -> None:
+        self.cutoff = cutoff
+        self.rows: list[tuple] = []
+        self.open: list[list] = []  # of each beginning of the last word: end, counts, kinds, cut, nodes that follow
+        self.word = b""
+
+    def _fold(self, name: bytes, n: list[int], kinds: list[int], cut: list[int], up: list | None) -> None:
+        """A beginning that no further word has: it goes to the one before, or is the first."""
+        if sum(n) < self.cutoff:
+            if up:
+                up[3] = [x + y for x, y in zip(up[3], n)]
+            return
+        row = (name, *n)
+        if not up:
+            self.rows.append((*row, *[0] * 14, *kinds, *cut))
+            return
+        t, o = n[0] + n[2], n[1] + n[3]
+        up[2] = [x + (y > 0) for x, y in zip(up[2], (*n, t, o))]
+        up[4].append((row, kinds, cut))
+
+    def _close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            end, n, kinds, cut, follow = self.open.pop()
+            up = self.open[-1] if self.open else None
+            if up:
+                up[1] = [x + y for x, y in zip(up[1], n)]
+            for row, own, own_cut in follow:
+                self.rows.append((*row, *n, *kinds, *cut, *own, *own_cut))
+            self._fold(self.word[:end], n, kinds, cut, up)
+
+    def add(self, word: bytes, n: list[int], shared: int) -> None:
+        """shared: bytes at the word's beginning that the next word has too."""
+        ends = range(1, len(word) + 1) if word.isascii() else [i + 1 for i, c in enumerate(word) if c < 192]
+        if len(ends) < SHORTEST - 1:
+            return
+        # The beginnings that the last word had too are open; of those that only this one has, the
+        # counts are its own, and so many that they are nodes or none is.
+        at, often = SHORTEST - 1 + len(self.open), sum(n) >= self.cutoff
+        self.word = word
+        while at < len(ends) and (ends[at] <= shared or often):
+            self.open.append([ends[at], [0] * 4, [0] * 6, [0] * 4, []])
+            at += 1
+        up = self.open[-1] if self.open else None
+        if up:
+            up[1] = [x + y for x, y in zip(up[1], n)]
+        if at == len(ends):
+            self._fold(word + b"\0", n, [0] * 6, [0] * 4, up)
+        elif up:
+            up[3] = [x + y for x, y in zip(up[3], n)]
+        keep = 0
+        while keep < len(self.open) and self.open[keep][0] <= shared:
+            keep += 1
+        self._close(keep)
+
+    def taken(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) or [()] * (1 + len(_TRIE))
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["name", *_TRIE])
+
+
+def _noded(cutoff: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (word, KINDS) in order of words to _TRIE."""
+        trie, last, n = _Trie(cutoff), None, [0] * 4
+        for batch in batches:
+            for word, *now in zip(*[c.to_pylist() for c in batch.columns]):
+                if word == last:
+                    n = [x + y for x, y in zip(n, now)]
+                    continue
+                if last is not None:
+                    shared = 0
+                    for x, y in zip(last, word):
+                        if x != y:
+                            break
+                        shared += 1
+                    trie.add(last, n, shared)
+                last, n = word, now
+            if len(trie.rows) >= WORDS_AT_ONCE:
+                yield trie.taken()
+        if last is not None:
+            trie.add(last, n, 0)
+        yield trie.taken()
+
+    return run
 
 
-def _gains(models: list[Model], discounts: np.ndarray) -> Callable:
-    """Rows (node, code, then for each model's classes n, total and kinds of the node before, and
-    total and kinds of the node) to node and gains."""
+def _gains(models: list[Model], used: Sequence[tuple[int, int]], discounts: np.ndarray) -> Callable:
+    """Rows (name, _TRIE) to node and gains; used: each model's classes, as places in _SIDES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code, out = batch.column(1).to_numpy(), []
-            for m, model in enumerate(models):
-                gain = np.zeros(batch.num_rows)
-                for c, (sign, q) in enumerate(((1, model.toxic), (-1, model.ordinary))):
-                    n, total, kinds, total_on, kinds_on = (batch.column(2 + 6 * k + 2 * m + c).to_numpy() for k in range(5))
-                    d, q = discounts[2 * m + c], q[code].astype(float)
-                    p = np.where(total > 0, (np.maximum(n - d, 0) + d * kinds * q) / np.maximum(total, 1), q)
-                    before, on = (np.where(t > 0, d * k / np.maximum(t, 1), 1) for t, k in ((total, kinds), (total_on, kinds_on)))
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_pylist()
+            column = {c: batch.column(1 + i).to_numpy().astype(float) for i, c in enumerate(_TRIE)}
+            for x in ("", "up_", "up_cut_", "on_cut_"):
+                column |= {f"{x}{c}": column[f"{x}{c}0"] + column[f"{x}{c}1"] for c in "to"}
+            ended = np.array([x.endswith(b"\0") for x in names])
+            s, owner = symbols([x.removesuffix(b"\0") for x in names])
+            at, code = grams(s)
+            # The gram of the last symbol: a word's end, or the letter before it.
+            last = np.searchsorted(owner[at], np.arange(len(names)), "right") - 1
+            code = code[last - ~ended]
+            out = []
+            for model, sides in zip(models, used):
+                gain = np.zeros(len(names))
+                for sign, side, q in zip((1, -1), sides, (model.toxic, model.ordinary)):
+                    c, d, q = _SIDES[side], discounts[side], q[code].astype(float)
+                    n, total = column[c], column[f"up_{c}"]
+                    free, free_on = (d * column[f"{x}_kinds_{c}"] + column[f"{x}_cut_{c}"] for x in ("up", "on"))
+                    p = np.where(total > 0, (np.maximum(n - d, 0) * (n > 0) + free * q) / np.maximum(total, 1), q)
+                    before, on = (np.where((t > 0) & (f > 0), f / np.maximum(t, 1), 1) for t, f in ((total, free), (np.where(ended, 0, n), free_on)))
                     gain += sign * (np.log(p) - np.log(before) + np.log(on))
                 out.append(pa.array(gain.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["node", "gain0", "gain1", "gain2"])
+            node = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([node, *out], ["node", "gain0", "gain1", "gain2"])
 
     return run
 
 
-def _nodes(rows: DataFrame, models: list[Model], used: Sequence[tuple[Column, Column]]) -> DataFrame:
-    """The node table of rows (text, toxic, half); used: the counts of each model's classes."""
+def _nodes(rows: DataFrame, models: list[Model], used: Sequence[tuple[int, int]], cutoff: int) -> DataFrame:
+    """The node table of rows (text, toxic, half); used: each model's classes, as places in _SIDES."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spelled = rows.mapInArrow(_spelled, "word binary, " + ", ".join(f"{c} long" for c in KINDS))
-    spelled = spelled.groupBy("word").agg(*[F.sum(c).alias(c) for c in KINDS])
-    noded = spelled.mapInArrow(_noded, "node long, before long, code int, " + ", ".join(f"{c} long" for c in KINDS))
-    counted = stored(few(noded.groupBy("node").agg(F.max("before").alias("before"), F.max("code").alias("code"), *[F.sum(c).alias(c) for c in KINDS])))
-    names, uses = [f"{m}{c}" for m in range(3) for c in "to"], [x for pair in used for x in pair]
-    deep = counted.where("before <> 0")
-    often = deep.agg(*[F.count_if(x == k).alias(f"{n}_{k}") for n, x in zip(names, uses) for k in (1, 2)]).first()
-    discounts = np.array([often[f"{n}_1"] / (often[f"{n}_1"] + 2 * often[f"{n}_2"]) if often[f"{n}_1"] and often[f"{n}_2"] else 0.5 for n in names])
-    totals = deep.groupBy("before").agg(*[F.sum(x).alias(f"total{n}") for n, x in zip(names, uses)], *[F.count_if(x > 0).alias(f"kinds{n}") for n, x in zip(names, uses)])
-    after = totals.select(F.col("before").alias("node"), *[F.col(f"{x}{n}").alias(f"{x}_on{n}") for x in ("total", "kinds") for n in names])
-    wide = counted.join(totals, "before", "left").join(after, "node", "left")
-    columns = [F.coalesce(f"{x}{n}", F.lit(0)) for x in ("total", "kinds", "total_on", "kinds_on") for n in names]
-    wide = wide.select("node", "code", *[c.alias(f"_{i}") for i, c in enumerate([*uses, *columns])])
-    return stored(few(wide.mapInArrow(_gains(models, discounts), "node long, gain0 float, gain1 float, gain2 float")))
+    dealt = spelled.repartition(parts, F.substring("word", 1, SHORTEST)).sortWithinPartitions("word")
+    counted = stored(few(dealt.mapInArrow(_noded(cutoff), "name binary, " + ", ".join(f"{c} long" for c in _TRIE))))
+    sides = [F.col(c) for c in KINDS] + [F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1")]
+    after = counted.where(" + ".join(f"up_{k}" for k in KINDS) + " > 0")
+    often = after.agg(*[F.count_if(x == k).alias(f"n{i}_{k}") for i, x in enumerate(sides) for k in (1, 2)]).first()
+    discounts = np.array([often[f"n{i}_1"] / (often[f"n{i}_1"] + 2 * often[f"n{i}_2"]) if often[f"n{i}_1"] and often[f"n{i}_2"] else 0.5 for i in range(len(sides))])
+    return stored(few(counted.mapInArrow(_gains(models, used, discounts), "node long, gain0 float, gain1 float, gain2 float")))
 
 
 def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +395,7 @@ def word_differences(rows: DataFrame, fitted: Fitted, which: Sequence[int]) -> D
     different = rows.select("text").mapInArrow(_different, "word binary").distinct()
     begun = different.mapInArrow(_begun(fitted.models, which), "word long, node long, " + ", ".join(f"char{m} float" for m in which))
     nodes = fitted.nodes.select("node", *[f"gain{m}" for m in which])
-    met = begun.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_WORDS else nodes, "node", "left")
+    met = begun.join(nodes, "node", "left")
     return met.groupBy("word").agg(*[F.sum(F.coalesce(f"gain{m}", f"char{m}").cast("double")).alias(f"word{m}") for m in which]).select("word", *[F.col(f"word{m}").cast("float") for m in which])
 
 
@@ -315,8 +421,67 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[block.column(k).take(take) for k in range(3)], *columns], ["row", "key", "which", "word", "n", "size"])
 
 
+def _features(whole: np.ndarray, size: np.ndarray, top: np.ndarray, excess: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
+    """NAMES of texts with n words and `size` symbols."""
+    columns = [whole / np.maximum(size, 1) * 10, np.clip(top, -10, 20) / 5]
+    for e in excess:
+        columns += [np.log1p(e), np.sqrt(e / np.maximum(n, 1))]
+    return columns
+
+
+def _here(models: list[Model], which: Sequence[int], nodes: np.ndarray, gains: np.ndarray) -> Callable:
+    """Rows (key, which, text) to key and NAMES, by the node table as arrays: nodes ascend, gains has
+    a row for each model of `which`."""
+    place = {m: i for i, m in enumerate(which)}
+
+    def differences(of: list[bytes]) -> np.ndarray:
+        word, _, code, node = beginnings(of)
+        at = np.minimum(np.searchsorted(nodes, node), max(len(nodes) - 1, 0))
+        known = (nodes[at] == node) & (node != 0) if len(nodes) else np.zeros(len(node), bool)
+        out = np.empty((len(which), len(of)), np.float32)
+        for i, m in enumerate(which):
+            diff = models[m].diff[code].astype(float)
+            if known.any():
+                diff[known] = gains[i][at[known]]
+            out[i] = np.bincount(word, diff, len(of))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[bytes, int] = {}
+        held, sizes = np.zeros((len(which), 0), np.float32), np.zeros(0, np.int64)
+        for batch in batches:
+            for block in row_blocks(batch, "text"):
+                if len(index) > KEPT:
+                    index, held, sizes = {}, held[:, :0], sizes[:0]
+                rows, at, n, counts = block.num_rows, [], [], []
+                for raw in texts(block.column(2)):
+                    found = Counter(words(raw))
+                    counts.append(len(found))
+                    at += [index.setdefault(w, len(index)) for w in found]
+                    n += found.values()
+                fresh = list(islice(index, len(sizes), None))
+                held = np.concatenate([held, *[differences(fresh[i : i + WORDS_AT_ONCE]) for i in range(0, len(fresh), WORDS_AT_ONCE)]], 1)
+                sizes = np.concatenate((sizes, np.array([len(w.translate(None, LEADS)) + 1 for w in fresh], np.int64)))
+                owner, n = np.repeat(np.arange(rows), counts), np.array(n, float)
+                at, model = np.array(at, np.int64), np.array([place[m] for m in block.column(1).to_pylist()], np.int64)
+                diff = held[model[owner], at].astype(float)
+                total = lambda x: np.bincount(owner, x, rows)
+                top = np.full(rows, -np.inf)
+                np.maximum.at(top, owner, diff)
+                top[np.isinf(top)] = 0
+                excess = [total(np.maximum(diff - level, 0) * n) for level in LEVELS]
+                columns = _features(total(diff * n), total(sizes[at] * n), top, excess, total(n))
+                yield pa.RecordBatch.from_arrays([block.column(0), *[pa.array(c) for c in columns]], ["key", *NAMES])
+
+    return run
+
+
 def _compared(rows: DataFrame, fitted: Fitted, which: Sequence[int]) -> DataFrame:
     """key and FEATURES differences of each of the rows (key, text, which: its model)."""
+    if fitted.nodes.count() <= AT_ONCE:
+        known = fitted.nodes.select("node", *[f"gain{m}" for m in which]).toPandas().sort_values("node")
+        run = _here(fitted.models, which, known["node"].to_numpy(), known[[f"gain{m}" for m in which]].to_numpy().T)
+        return rows.select("key", F.col("which").cast("int").alias("which"), "text").mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in NAMES))
     table = stored(few(word_differences(rows, fitted, which)))
     table = F.broadcast(table) if table.count() <= BROADCAST_WORDS else table
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "key", F.col("which").cast("int").alias("which"), "text")
@@ -331,13 +496,13 @@ def _compared(rows: DataFrame, fitted: Fitted, which: Sequence[int]) -> DataFram
         *[F.sum(F.greatest(F.col("diff") - level, F.lit(0.0)) * F.col("n")).alias(f"excess{i}") for i, level in enumerate(LEVELS)],
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    columns = [zero(F.col("whole") / F.nullif("size", F.lit(0))) * 10, zero(F.greatest(F.least("top", F.lit(20.0)), F.lit(-10.0))) / 5]
+    columns = [zero(F.col("whole") / F.nullif("size", F.lit(0))) * 10, zero(F.when(F.col("top").isNotNull(), F.greatest(F.least("top", F.lit(20.0)), F.lit(-10.0)))) / 5]
     for i in range(len(LEVELS)):
         columns += [F.log1p(zero(F.col(f"excess{i}"))), F.sqrt(zero(F.col(f"excess{i}")) / F.greatest("n", F.lit(1)))]
     return held.select("key", *[c.alias(n) for n, c in zip(NAMES, columns)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Fitted | None, np.ndarray | float]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, cutoff: int = CUTOFF) -> tuple[Fitted | None, np.ndarray | float]:
     """Model and coefficients (or a constant score) from labels (doc_id, toxic) of documents; all
     rows are counted, and at most `sample` rows, by a hash of the id, fit the calibration."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
@@ -355,10 +520,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[Fitte
         return None, float(toxic.any())
     model = Model(toxic, ordinary)
     # Each half is compared by the other one's models; a half without one of the classes has none.
-    sums = F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1")
-    halves = [(Model(n[2 * i], n[2 * i + 1]), (F.col(f"t{i}"), F.col(f"o{i}"))) if n[2 * i].any() and n[2 * i + 1].any() else (model, sums) for i in (1, 0)]
+    sums = 4, 5
+    halves = [(Model(n[2 * i], n[2 * i + 1]), (2 * i, 2 * i + 1)) if n[2 * i].any() and n[2 * i + 1].any() else (model, sums) for i in (1, 0)]
     models, used = map(list, zip(*halves, (model, sums)))
-    fitted = Fitted(models, _nodes(rows.select("text", "toxic", half.alias("half")), models, used))
+    fitted = Fitted(models, _nodes(rows.select("text", "toxic", half.alias("half")), models, used, cutoff))
     ids = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     x = _compared(chosen.select(F.col("toxic").cast("long").alias("key"), "text", half.alias("which")), fitted, (0, 1)).toPandas()
