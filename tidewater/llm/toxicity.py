@@ -57,10 +57,10 @@ LEADS = bytes(range(192, 256))
 BROADCAST_LABELS = 1_000_000
 #: Rows up to which words' differences are broadcast to the documents.
 BROADCAST_WORDS = 1_000_000
-#: Nodes up to which their table (12 bytes each) goes to the tasks whole.
+#: Nodes up to which their table (12 or 16 bytes each) goes to the tasks whole.
 AT_ONCE = 4_000_000
 #: Occurrences in training rows from which a beginning is a node.
-CUTOFF = 2
+CUTOFF = 3
 #: Entries of a task's table of words, and words that are taken apart at once.
 KEPT, WORDS_AT_ONCE = 500_000, 50_000
 #: Symbols of the shortest beginning that is a node: up to it, `Model` has the same contexts.
@@ -309,8 +309,9 @@ def _noded(cutoff: int) -> Callable:
     return run
 
 
-def _gains(models: list[Model], used: Sequence[tuple[int, int]], discounts: np.ndarray) -> Callable:
-    """Rows (name, _TRIE) to node and gains; used: each model's classes, as places in _SIDES."""
+def _gains(shorter: list[tuple[np.ndarray, np.ndarray]], used: Sequence[tuple[int, int]], discounts: np.ndarray) -> Callable:
+    """Rows (name, _TRIE) to node and gains; shorter: each model's probabilities of grams, toxic and
+    ordinary; used: its classes, as places in _SIDES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,9 +328,9 @@ def _gains(models: list[Model], used: Sequence[tuple[int, int]], discounts: np.n
             last = np.searchsorted(owner[at], np.arange(len(names)), "right") - 1
             code = code[last - ~ended]
             out = []
-            for model, sides in zip(models, used):
+            for by_class, sides in zip(shorter, used):
                 gain = np.zeros(len(names))
-                for sign, side, q in zip((1, -1), sides, (model.toxic, model.ordinary)):
+                for sign, side, q in zip((1, -1), sides, by_class):
                     c, d, q = _SIDES[side], discounts[side], q[code].astype(float)
                     n, total = column[c], column[f"up_{c}"]
                     free, free_on = (d * column[f"{x}_kinds_{c}"] + column[f"{x}_cut_{c}"] for x in ("up", "on"))
@@ -353,7 +354,7 @@ def _nodes(rows: DataFrame, models: list[Model], used: Sequence[tuple[int, int]]
     after = counted.where(" + ".join(f"up_{k}" for k in KINDS) + " > 0")
     often = after.agg(*[F.count_if(x == k).alias(f"n{i}_{k}") for i, x in enumerate(sides) for k in (1, 2)]).first()
     discounts = np.array([often[f"n{i}_1"] / (often[f"n{i}_1"] + 2 * often[f"n{i}_2"]) if often[f"n{i}_1"] and often[f"n{i}_2"] else 0.5 for i in range(len(sides))])
-    return stored(few(counted.mapInArrow(_gains(models, used, discounts), "node long, gain0 float, gain1 float, gain2 float")))
+    return stored(few(counted.mapInArrow(_gains([(m.toxic, m.ordinary) for m in models], used, discounts), "node long, gain0 float, gain1 float, gain2 float")))
 
 
 def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +369,7 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary())], ["word"])
 
 
-def _begun(models: list[Model], which: Sequence[int]) -> Callable:
+def _begun(diffs: list[np.ndarray], which: Sequence[int]) -> Callable:
     """Rows (word) to its key, and its nodes with their differences by characters; the symbols
     before the first node are one row without a node."""
 
@@ -381,8 +382,8 @@ def _begun(models: list[Model], which: Sequence[int]) -> Callable:
                 own = np.flatnonzero(place >= SHORTEST - 1)
                 early = place < SHORTEST - 1
                 columns = []
-                for m in which:
-                    diff = models[m].diff[code].astype(float)
+                for table in diffs:
+                    diff = table[code].astype(float)
                     columns.append(pa.array(np.concatenate((np.bincount(word[early], diff[early], len(part)), diff[own])).astype(np.float32)))
                 nodes = pa.array(np.concatenate((np.zeros(len(part), np.int64), node[own])), mask=np.arange(len(part) + len(own)) < len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((key, key[word[own]]))), nodes, *columns], ["word", "node", *[f"char{m}" for m in which]])
@@ -393,7 +394,7 @@ def _begun(models: list[Model], which: Sequence[int]) -> Callable:
 def word_differences(rows: DataFrame, fitted: Fitted, which: Sequence[int]) -> DataFrame:
     """word (a hash) and word0, ...: the models' differences, of all words of rows (text)."""
     different = rows.select("text").mapInArrow(_different, "word binary").distinct()
-    begun = different.mapInArrow(_begun(fitted.models, which), "word long, node long, " + ", ".join(f"char{m} float" for m in which))
+    begun = different.mapInArrow(_begun([fitted.models[m].diff for m in which], which), "word long, node long, " + ", ".join(f"char{m} float" for m in which))
     nodes = fitted.nodes.select("node", *[f"gain{m}" for m in which])
     met = begun.join(nodes, "node", "left")
     return met.groupBy("word").agg(*[F.sum(F.coalesce(f"gain{m}", f"char{m}").cast("double")).alias(f"word{m}") for m in which]).select("word", *[F.col(f"word{m}").cast("float") for m in which])
@@ -429,9 +430,9 @@ def _features(whole: np.ndarray, size: np.ndarray, top: np.ndarray, excess: list
     return columns
 
 
-def _here(models: list[Model], which: Sequence[int], nodes: np.ndarray, gains: np.ndarray) -> Callable:
-    """Rows (key, which, text) to key and NAMES, by the node table as arrays: nodes ascend, gains has
-    a row for each model of `which`."""
+def _here(diffs: list[np.ndarray], which: Sequence[int], nodes: np.ndarray, gains: list[np.ndarray]) -> Callable:
+    """Rows (key, which, text) to key and NAMES, by the differences of grams and the node table as
+    arrays, for each model of `which`; nodes ascend."""
     place = {m: i for i, m in enumerate(which)}
 
     def differences(of: list[bytes]) -> np.ndarray:
@@ -439,8 +440,8 @@ def _here(models: list[Model], which: Sequence[int], nodes: np.ndarray, gains: n
         at = np.minimum(np.searchsorted(nodes, node), max(len(nodes) - 1, 0))
         known = (nodes[at] == node) & (node != 0) if len(nodes) else np.zeros(len(node), bool)
         out = np.empty((len(which), len(of)), np.float32)
-        for i, m in enumerate(which):
-            diff = models[m].diff[code].astype(float)
+        for i, table in enumerate(diffs):
+            diff = table[code].astype(float)
             if known.any():
                 diff[known] = gains[i][at[known]]
             out[i] = np.bincount(word, diff, len(of))
@@ -479,8 +480,11 @@ def _here(models: list[Model], which: Sequence[int], nodes: np.ndarray, gains: n
 def _compared(rows: DataFrame, fitted: Fitted, which: Sequence[int]) -> DataFrame:
     """key and FEATURES differences of each of the rows (key, text, which: its model)."""
     if fitted.nodes.count() <= AT_ONCE:
-        known = fitted.nodes.select("node", *[f"gain{m}" for m in which]).toPandas().sort_values("node")
-        run = _here(fitted.models, which, known["node"].to_numpy(), known[[f"gain{m}" for m in which]].to_numpy().T)
+        known = fitted.nodes.select("node", *[f"gain{m}" for m in which]).toArrow()
+        order = np.argsort(known.column(0).to_numpy())
+        nodes, *gains = [c.to_numpy()[order] for c in known.columns]
+        del known, order
+        run = _here([fitted.models[m].diff for m in which], which, nodes, gains)
         return rows.select("key", F.col("which").cast("int").alias("which"), "text").mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in NAMES))
     table = stored(few(word_differences(rows, fitted, which)))
     table = F.broadcast(table) if table.count() <= BROADCAST_WORDS else table
