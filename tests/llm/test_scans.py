@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import pytest
@@ -103,12 +104,61 @@ PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><a>menu<
 
 
 def test_main_text():
-    assert pages.main_text(pages.parse(PAGE), frozenset()) == "Head & line\none bold text next\ntwo"
-    assert pages.main_text(pages.parse("<p>a &lt; b<li>c<li>d<table><tr><td>e<td>f</table> 3 < 4"), frozenset()) == "a < b\nc\nd\ne\nf\n3 < 4"
-    assert pages.main_text(pages.parse(""), frozenset()) == ""
-    assert pages.main_text(pages.parse("<div" + " x" * 10), frozenset()).startswith("<div")
-    assert pages.main_text(pages.parse("<div>" * 5000 + "deep"), frozenset()) == "deep"
-    pages.hashed(pages.parse("<div>" * 5000 + "deep"), set())
+    assert pages.text_of(PAGE) == "Head & line\none bold text next\ntwo"
+    assert pages.text_of("<p>a &lt; b<li>c<li>d<table><tr><td>e<td>f</table> 3 < 4") == "a < b\nc\nd\ne\nf\n3 < 4"
+    assert pages.text_of("") == "" and pages.text_of("<!-- a") == "" and pages.text_of("x <!-- a --> y <b") == "x y <b"
+    assert pages.text_of("<div" + " x" * 10).startswith("<div")
+    assert pages.text_of("<div>" * 5000 + "deep") == "deep"
+    assert pages.text_of("""<p title="a > b" id='c > d'>e</p><p title="x>f</p>""") == "e\nf"
+
+
+@pytest.mark.parametrize("part", ["<a ", "< ", "<a \"", "<a '\">", "<span><hr>", "<div></p>", "<b></i><div></b>", "<li><tr><td>", "<script ", "<!-", "<!--"])
+def test_long_malformed_pages_take_time_in_proportion(part):
+    began = time.process_time()
+    pages.text_of(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 20
+    for n in (30_000, 30_001):
+        pages.text_of("<div>" * n + "</table>" * n + part * 9 + ">")
+
+
+def test_wrappers_keep_their_story():
+    story = "<h1>News</h1><p>A long story that goes on and on.</p>"
+    for marks in ('id="content" class="no-sidebar"', 'class="page-with-header"', 'class="share-price-analysis"'):
+        assert pages.text_of(f"<body><div {marks}>{story}</div></body>").startswith("News\n")
+    assert pages.text_of(f"<div class=widget><article>{story}</article></div><div class=comments>more than the story has {'x' * 400}</div>").startswith("News\n")
+    assert pages.text_of(f"{story}<div class='comments'>{'more than the story ' * 40}</div>") == "News\nA long story that goes on and on."
+    assert pages.text_of(f"{story}<div class='cookie'>we use them</div>") == "News\nA long story that goes on and on."
+
+
+def plain_texts(rows, share=0.5, at_least=10):
+    """Templates counted in dictionaries."""
+    seen, copies = {}, {}
+    for _, url, html in rows:
+        host, own = (url or "").partition("://")[2].split("/")[0].lower(), set()
+        page = pages.hashed(pages.parse(html or ""), own)
+        if host and page not in copies.setdefault(host, set()):
+            copies[host].add(page)
+            for h in own:
+                seen[host, h] = seen.get((host, h), 0) + 1
+    out = {}
+    for i, url, html in rows:
+        host = (url or "").partition("://")[2].split("/")[0].lower()
+        found = frozenset(h for (where, h), n in seen.items() if where == host and n >= at_least and n >= share * len(copies[host]))
+        out[i] = pages.text_of(html or "", found)
+    return out
+
+
+def test_templates_equal_a_plain_count(spark):
+    """Without an article element, what goes are recurring subtrees and shapes."""
+    rows = []
+    for i in range(60):
+        site = i % 3
+        notice = f"<div class='site-notice n{site}'>Number {i} of today</div>" if i % 2 or site else ""
+        rows.append((i, f"http://s{site}.example.org/{i}", f"<div class='top bar{site}'>Site {site}<p>All of it</p></div>{notice}<p>Story {i} {'la ' * (i % 7)}</p><div>Part {i % 4}</div>"))
+    rows += [(100, None, "<div class='top bar1'>Site 1</div>"), (101, "http://s1.example.org/x", None)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == plain_texts(rows)
+    assert got[1] == "Story 1 la\nPart 1" and got[101] == ""
 
 
 def test_templates_of_a_host_are_removed(spark):
