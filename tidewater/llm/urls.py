@@ -1,19 +1,23 @@
 """URL filter: path rules first, then a ratio of character language models.
 
-URLs that a rule judges train two smoothed variable-order Markov models, one of accepted and one
-of rejected URLs. Characters are folded to SYMBOLS symbols (letters, one for digits, dot, slash,
-hyphen, other, start); contexts have up to ORDER - 1 of them, and each order backs off to the next
-shorter one by Witten-Bell weights, down to a uniform distribution. A URL without a rule is judged
-by the mean, over its characters, of the difference of log-likelihoods, against a threshold that
-balances the two errors best on the URLs with a rule.
-
-The folded alphabet bounds the model at SYMBOLS ** ORDER numbers whatever the input, so it goes to
-every task as one scalar (an array of arrays), and scoring shuffles nothing. Counts of n-grams are
-pre-aggregated in the scan; hosts with many pages never meet in a task.
+URLs that a rule judges train two smoothed variable-order Markov models, one of accepted and one of
+rejected URLs, over the characters of whole URLs (A-Z lower-cased). Contexts have up to ORDER - 1
+characters, and each order backs off to the next shorter one by Witten-Bell weights, down to a
+uniform distribution. A URL without a rule is judged by the mean, over its characters, of the
+difference of log-likelihoods, against a threshold that balances the two errors best on the URLs
+with a rule. For this they are halved by a hash of the URL, and each half is scored by the models of
+the other one: no URL is measured by models that have counted it.
+
+The models are one keyed table: the different runs of ORDER characters that occur in any URL, each
+with its difference. It grows with the URLs, is made order by order from pre-aggregated counts, and
+meets the URLs' characters by a join: broadcast up to BROADCAST_GRAMS rows, a shuffle beyond. Only
+built-in functions are used.
 
 Defined results: a null URL, or one without "://", has empty host and path and no rule, and is
-scored as an empty string: only its end symbol counts; if no URL has a rule, all scores are 0 and
-all are allowed; repeated URLs count as often as they occur; ties with the threshold are allowed.
+scored by its text, null as an empty one, of which only the end counts; if no URL has a rule, all
+scores are 0 and all are allowed; repeated URLs count as often as they occur, and each row has its
+result, null ids too; ties with the threshold are allowed; a very long URL is one row a character in
+the join; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +26,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewater.llm.storage import checkpointed, few
+from tidewater.llm.storage import checkpointed, few, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SYMBOLS, ORDER = 32, 4
-START, OTHER, DIGIT, DOT, SLASH, HYPHEN = 0, 27, 28, 29, 30, 31
+ORDER = 6
+#: Stand before a URL's first and after its last character.
+START, END = "\x02", "\x03"
+#: Characters that the uniform distribution counts.
+ALPHABET = 256
+#: Rows of the models' table up to which it is broadcast to the URLs' characters.
+BROADCAST_GRAMS = 1_000_000
 #: Bins of the calibration, over score differences from -RANGE to RANGE a character.
 CALIBRATION_BINS, RANGE = 1000, 5.0
+#: Occurrences in accepted and rejected URLs of both halves.
+COUNTS = ("a0", "r0", "a1", "r1")
 
 Rule = tuple[str, str]
 
@@ -53,103 +64,70 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     return which, verdict
 
 
-def symbols(text: Column) -> Column:
-    """The text's characters as numbers from 1, behind ORDER - 1 starts and before an OTHER end."""
-    kept = F.regexp_replace(F.lower(text), r"[^a-z0-9./-]", "|")
-    folded = F.translate(kept, LOWER + "0123456789./-|", "".join(map(chr, range(65, 91))) + chr(64 + DIGIT) * 10 + "".join(chr(64 + x) for x in (DOT, SLASH, HYPHEN, OTHER)))
-    padded = F.concat(F.lit(chr(64 + START) * (ORDER - 1)), folded, F.lit(chr(64 + OTHER)))
-    return F.transform(F.split(padded, ""), lambda c: F.ascii(c) - 64)
-
-
-def grams(codes: Column) -> Column:
-    """Each position's symbol with its ORDER - 1 predecessors, as one number."""
-
-    def at(i: Column) -> Column:
-        code = F.lit(0)
-        for k in range(ORDER):
-            code = code * SYMBOLS + F.get(codes, i - (ORDER - 1 - k))
-        return code
-
-    return F.transform(F.sequence(F.lit(ORDER - 1), F.size(codes) - 1), at)
+def grams(url: Column) -> Column:
+    """The run of ORDER characters that ends at each character of a URL, and at its end."""
+    text = F.concat(F.lit(START * (ORDER - 1)), F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), F.lit(END))
+    run = lambda each, i: F.concat(*[F.get(each, i + k) for k in range(ORDER)])
+    runs = lambda each: F.transform(F.sequence(F.lit(0), F.size(each) - ORDER), lambda i: run(each, i))
+    # An array around the characters binds them to a name, so that they are split once a URL.
+    return F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0))
 
 
 def difference_table(counted: DataFrame) -> DataFrame:
-    """All SYMBOLS ** ORDER grams with diff, the difference of the models' log-probabilities.
-    counted: gram, accepted, rejected (numbers of occurrences)."""
-    spark = counted.sparkSession
-    classes = ("accepted", "rejected")
-    table = spark.range(1).select(F.lit(0).cast("long").alias("gram"), *[F.lit(1.0 / SYMBOLS).alias(f"p_{c}") for c in classes])
+    """gram and diff0 to diff2, differences of the log-probabilities of its last character after the
+    others, of every gram of counted (gram, COUNTS), by the models of all but the first half's URLs,
+    of all but the second's, and of all."""
+    used = {0: ("a1", "r1"), 1: ("a0", "r0"), 2: ("a0 + a1", "r0 + r1")}
+    sides = {f"{c}{m}": F.expr(pair[i]) for m, pair in used.items() for i, c in enumerate(("accepted", "rejected"))}
+    table = None
     for order in range(1, ORDER + 1):
-        own = counted.groupBy((F.col("gram") % SYMBOLS**order).alias("gram")).agg(*[F.sum(c).alias(c) for c in classes])
-        context = F.floor(F.col("gram") / SYMBOLS).alias("context")
-        held = own.groupBy(context).agg(*[F.sum(c).alias(f"n_{c}") for c in classes], *[F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in classes])
-        shorter = table.select(F.col("gram").alias("_shorter"), *[F.col(f"p_{c}").alias(f"q_{c}") for c in classes])
-        lower = SYMBOLS ** (order - 1)
-        joined = (
-            spark.range(SYMBOLS**order)
-            .select(F.col("id").alias("gram"), context_of("id").alias("context"))
-            .join(own, "gram", "left")
-            .join(held, "context", "left")
-            .join(shorter, (F.col("gram") % lower if order > 1 else F.lit(0)) == F.col("_shorter"))
-        )
-
-        def smooth(c: str) -> Column:
-            n, t, here = (F.coalesce(F.col(x), F.lit(0)) for x in (f"n_{c}", f"t_{c}", c))
-            return F.when(n + t > 0, (here + t * F.col(f"q_{c}")) / (n + t)).otherwise(F.col(f"q_{c}"))
-
-        table = joined.select("gram", *[smooth(c).alias(f"p_{c}") for c in classes])
-    return table.select("gram", (F.ln("p_accepted") - F.ln("p_rejected")).cast("float").alias("diff"))
-
-
-def context_of(gram: str) -> Column:
-    return F.floor(F.col(gram) / SYMBOLS)
-
-
-def packed(table: DataFrame) -> DataFrame:
-    """The table as one row: an array, by a gram's upper half, of arrays by its lower half."""
-    half = SYMBOLS ** (ORDER // 2)
-    rows = table.groupBy(F.floor(F.col("gram") / half).alias("upper")).agg(F.sort_array(F.collect_list(F.struct("gram", "diff"))).alias("cells"))
-    row = F.struct("upper", F.transform("cells", lambda c: c["diff"]).alias("cells"))
-    return rows.groupBy().agg(F.sort_array(F.collect_list(row)).alias("rows")).select(F.transform("rows", lambda r: r["cells"]).alias("model"))
-
+        own = counted.groupBy(F.substring("gram", ORDER - order + 1, order).alias("gram")).agg(*[F.sum(c).alias(c) for c in COUNTS])
+        same = Window.partitionBy(F.substring("gram", 1, order - 1))
+        rows = own.select("gram", *[x.alias(n) for n, x in sides.items()], *[y for n, x in sides.items() for y in (F.sum(x).over(same).alias(f"n_{n}"), F.count_if(x > 0).over(same).alias(f"t_{n}"))])
+        if table is not None:
+            shorter = table.select(F.col("gram").alias("_shorter"), *[F.col(f"p_{n}").alias(f"q_{n}") for n in sides])
+            rows = rows.join(shorter, F.substring("gram", 2, order - 1) == F.col("_shorter"))
 
-def score(codes: Column, model: Column) -> Column:
-    """Mean difference of log-likelihoods a character."""
-    half = SYMBOLS ** (ORDER // 2)
-    found = grams(codes)
-    cell = lambda g: F.get(F.get(model, F.floor(g / half).cast("int")), (g % half).cast("int")).cast("double")
-    return F.aggregate(found, F.lit(0.0), lambda s, g: s + cell(g)) / F.size(found)
+        def smooth(n: str) -> Column:
+            seen, kinds, q = F.col(f"n_{n}"), F.col(f"t_{n}"), F.lit(1.0 / ALPHABET) if table is None else F.col(f"q_{n}")
+            return F.when(seen > 0, (F.col(n) + kinds * q) / (seen + kinds)).otherwise(q)
 
+        table = rows.select("gram", *[smooth(n).alias(f"p_{n}") for n in sides])
+    return table.select("gram", *[(F.ln(f"p_accepted{m}") - F.ln(f"p_rejected{m}")).cast("float").alias(f"diff{m}") for m in used])
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score and threshold."""
-    host, path = host_and_path(F.col("url"))
-    parsed = pages.select(F.col(id_column).alias("page_id"), host.alias("host"), path.alias("path"))
-    which, judged = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = parsed.withColumns({"rule": which, "judged": judged, "codes": symbols(F.concat("host", "path"))})
-    labelled = parsed.where("judged IS NOT NULL")
-    counted = (
-        labelled.select("judged", F.explode(grams(F.col("codes"))).alias("gram"))
-        .groupBy("gram")
-        .agg(F.count_if(F.col("judged") == "allow").alias("accepted"), F.count_if(F.col("judged") == "block").alias("rejected"))
-    )
-    model = checkpointed(packed(difference_table(checkpointed(few(counted)))))
-
-    def scored(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("model", model.scalar()).withColumn("score", score(F.col("codes"), F.col("model"))).drop("model")
 
+def _threshold(rows: DataFrame) -> DataFrame:
+    """One row, threshold: the cut of score that balances the errors of rows (judged, score) best."""
     width = 2 * RANGE / CALIBRATION_BINS
-    bins = (
-        scored(labelled)
-        .groupBy(F.least(F.greatest(F.floor((F.col("score") + RANGE) / width), F.lit(0)), F.lit(CALIBRATION_BINS - 1)).alias("bin"))
-        .agg(F.count_if(F.col("judged") == "allow").alias("good"), F.count_if(F.col("judged") == "block").alias("bad"))
+    bins = rows.groupBy(F.least(F.greatest(F.floor((F.col("score") + RANGE) / width), F.lit(0)), F.lit(CALIBRATION_BINS - 1)).alias("bin")).agg(
+        F.count_if(F.col("judged") == "allow").alias("good"), F.count_if(F.col("judged") == "block").alias("bad")
     )
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     share = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0)), F.sum(c).over(Window.partitionBy(F.lit(0))))
     # Cut below the bin: errors are accepted URLs under it and rejected ones from it on.
     errors = F.coalesce(share("good"), F.lit(0.0)) + 1 - F.coalesce(share("bad"), F.lit(0.0))
-    rated = bins.select("bin", errors.alias("errors"))
-    threshold = checkpointed(rated.groupBy().agg(F.coalesce(F.min(F.struct("errors", F.abs(F.col("bin") - CALIBRATION_BINS // 2).alias("far"), "bin"))["bin"] * width - RANGE, F.lit(0.0)).alias("threshold")))
-    judged_all = scored(parsed).withColumn("threshold", threshold.scalar())
+    best = F.min(F.struct("errors", F.abs(F.col("bin") - CALIBRATION_BINS // 2).alias("far"), "bin"))["bin"]
+    return bins.select("bin", errors.alias("errors")).groupBy().agg(F.coalesce(best * width - RANGE, F.lit(0.0)).alias("threshold"))
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_column: str = "page_id") -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score and threshold."""
+    host, path = host_and_path(F.col("url"))
+    parsed = pages.select(F.col(id_column).alias("page_id"), "url", host.alias("host"), path.alias("path"))
+    which, judged = rule_of(F.col("host"), F.col("path"), rules)
+    half = F.pmod(F.xxhash64("url"), F.lit(2))
+    parsed = stored(parsed.withColumns({"rule": which, "judged": judged, "half": half, "row": F.monotonically_increasing_id()}))
+    spelled = parsed.select("row", "judged", "half", F.explode(grams(F.col("url"))).alias("gram"))
+    sides = [(F.col("judged") == verdict) & (F.col("half") == h) for h in (0, 1) for verdict in ("allow", "block")]
+    counted = stored(few(spelled.groupBy("gram").agg(*[F.count_if(x).alias(c) for c, x in zip(COUNTS, sides)])))
+    key = F.xxhash64("gram").alias("key")
+    table = stored(few(difference_table(counted).select(key, "diff0", "diff1", "diff2")))
+    table = F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
+    apart = F.when(F.col("half") == 0, F.col("diff0")).otherwise(F.col("diff1"))
+    # Whole millionths, so that a sum does not depend on the order of its terms.
+    mean = lambda x: F.sum(F.round(x * 1_000_000).cast("long")) / F.count("*") / 1_000_000
+    met = spelled.select("row", "half", key).join(table, "key").groupBy("row").agg(mean(F.col("diff2")).alias("score"), mean(apart).alias("apart"))
+    scored = stored(few(parsed.drop("url", "half").join(met, "row")))
+    threshold = checkpointed(_threshold(scored.where("judged IS NOT NULL").select("judged", F.col("apart").alias("score"))))
     by_model = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
-    return judged_all.select("page_id", "host", "path", "rule", F.coalesce("judged", by_model).alias("verdict"), "score", "threshold")
+    return scored.withColumn("threshold", threshold.scalar()).select("page_id", "host", "path", "rule", F.coalesce("judged", by_model).alias("verdict"), "score", "threshold")
