@@ -1,5 +1,6 @@
 """URL filter, language identification and toxicity."""
 
+import hashlib
 import math
 import random
 from collections import Counter
@@ -109,6 +110,27 @@ def test_language_on_held_out_texts(spark, awkward, empty):
     assert kept.columns == awkward.columns and {2, 3, 4, 9}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() == awkward.count() - 4
 
 
+def test_predictions_decide_what_is_kept(spark):
+    rng = random.Random(5)
+    rows = [(i, texts_of(("en", "fr")[i % 2], rng, 30), ("en", "fr")[i % 2]) for i in range(80)]
+    other = [(100, "Съешь ещё этих мягких французских булок", None), (101, "12 34", None), (102, None, "en"), (103, texts_of("fr", rng, 30), "en")]
+    df = spark.createDataFrame(rows + other, "doc_id long, text string, lang string").selectExpr("*", "'x' AS score", "'y' AS key")
+    model = language.fit(df.where("doc_id < 80"))
+    kept = lambda **how: {r["doc_id"] for r in language.keep_identified(df, model, **how).collect()}
+    assert kept() == {*range(80), 103}
+    assert kept(languages=("en",)) == set(range(0, 80, 2))
+    assert kept(least=0.0) == {*range(80), 100, 103}
+
+
+def test_sample_takes_the_first_rows_of_each_language(spark):
+    """Ties and repeated ids too, whatever share of the rows a language has."""
+    rows = [(i // 2, f"t{i}", "en" if i % 50 else "fr") for i in range(3000)]
+    got = language.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40).collect()
+    key = lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])
+    want = [sorted(key(r) for r in rows if r[2] == lang)[:20] for lang in ("en", "fr")]
+    assert len(got) == 40 and all({key((r["doc_id"],)) for r in got if r["lang"] == lang} <= set(w) for lang, w in zip(("en", "fr"), want))
+
+
 def test_letters_decide_without_a_language_model(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, "汉字", None), (3, "12 !?", None), (4, None, None)], "doc_id long, text string, lang string")
     assert language.fit(df) is None

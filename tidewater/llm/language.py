@@ -10,12 +10,14 @@ The classifier is fitted on at most `sample` labelled rows, chosen by a hash of
 in turn; what goes to the tasks is bounded by the landmarks. Scoring is one pass without a shuffle.
 
 Defined results: a null text or one without a letter is `und` with score 0; without any labelled
-row all texts are `und`; equal texts get equal results; ties go to the first language by code point.
+row all texts are `und`; equal texts get equal results; ties go to the first language by code point;
+a null id is not held out and not learned from; a very long text is one block, of some 30 bytes of
+memory a byte; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,10 @@ LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LENGTHS = (1, 2, 3)
 BATCH = 128
 UNDETERMINED = "und"
+#: Hexadecimal digits of the hash whose values are counted to find a language's first rows.
+BIN = 3
+#: Score under which a text is taken to be of none of the learned languages.
+LEAST = 0.2
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -100,10 +106,18 @@ class Classifier:
 
 
 def training_sample(labelled: DataFrame, sample: int) -> DataFrame:
-    """At most `sample` rows of (doc_id, text, lang), languages in turn, in order of a hash."""
+    """At most `sample` rows of (doc_id, text, lang), languages in turn, in order of a hash. Counts by
+    language and the hash's first BIN digits tell which bins hold a language's first `sample` rows;
+    only those are ordered, so that a language of most rows is not one task's."""
     key = F.md5(F.col("doc_id").cast("string"))
+    keyed = labelled.select("doc_id", "lang", key.alias("_key"), F.substring(key, 1, BIN).alias("_bin"))
+    counts = keyed.groupBy("lang", "_bin").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("lang").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = counts.select("lang", "_bin", before.alias("_before")).where(F.col("_before") < sample).select("lang", "_bin")
+    # A language has 16 ** BIN bins at most.
+    near = keyed.join(F.broadcast(bins), ["lang", "_bin"])
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("_key", "doc_id"))
-    ids = labelled.select("doc_id", "lang", key.alias("_key")).withColumn("_turn", turn).where(F.col("_turn") <= sample)
+    ids = near.withColumn("_turn", turn).where(F.col("_turn") <= sample)
     ids = ids.orderBy("_turn", "lang", "doc_id").limit(sample).select("doc_id", "lang", "_turn")
     # At most `sample` narrow rows: the side that is broadcast is bounded.
     return labelled.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"]).orderBy("_turn", "lang", "doc_id").limit(sample).drop("_turn")
@@ -142,12 +156,13 @@ def identify(docs: DataFrame, model: Classifier | None, keys: Column | str = "do
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts == part
+    """Whether the id falls into the held-out part; a null id does not."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """The documents, with all their columns, whose language is determined: it has a letter. Without
-    a model, too, those that have a letter."""
+def keep_identified(docs: DataFrame, model: Classifier | None, languages: Sequence[str] | None = None, least: float = LEAST) -> DataFrame:
+    """The documents, with all their columns, that are predicted to be of one of `languages` (None: of
+    any learned one) with a score of `least`. Without a model, those that have a letter."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +173,7 @@ def keep_identified(docs: DataFrame, model: Classifier | None) -> DataFrame:
                 yield batch.filter(pa.array([has_letter(x) for x in texts(batch.column(at))], pa.bool_()))
                 continue
             narrow = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["key", "text"])
-            langs = [x for b in label(iter([narrow])) for x in b.column(1).to_pylist()]
-            yield batch.filter(pa.array([x != UNDETERMINED for x in langs]))
+            rows = [x for b in label(iter([narrow])) for x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least and (languages is None or lang in languages) for lang, score in rows], pa.bool_()))
 
     return bounded(docs).mapInArrow(run, docs.schema)

@@ -44,7 +44,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     out = language.held_out(F.col("doc_id"), 4, 2)
-    model = language.fit(docs.where(~out))
+    model = language.fit(docs.where(~out & F.col("doc_id").isNotNull()))
     return language.identify(docs, model).select(F.col("key").alias("doc_id"), language.held_out(F.col("key"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
