@@ -6,6 +6,8 @@ import random
 import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import prose
@@ -63,11 +65,12 @@ def test_damaged_streams_are_counted():
 
 def test_contamination_equals_brute_force(spark, awkward, empty):
     rng = random.Random(5)
-    items = [(i, prose(rng, n)) for i, n in enumerate((12, 30, 10, 9, 3, 1))] + [(6, None), (7, " ,.! "), (8, "the1 the1 the1 the1 the1 the1 the1 the1 the1 the1 the1 the1")]
-    docs = [(i, prose(rng, 300)) for i in range(20)] + [(20, None), (21, ""), (22, "the1 " * 40), (23, items[0][1].upper()), (24, "x " + items[1][1] + " y " + items[4][1]), (25, items[2][1].replace(" ", ", "))]
+    items = [(i, prose(rng, n)) for i, n in enumerate((12, 30, 10, 9, 3, 1))] + [(None, "an item without an id"), (6, None), (7, " ,.! "), (8, "the1 the1 the1 the1 the1 the1 the1 the1 the1 the1 the1 the1")]
+    docs = [(i, prose(rng, 300)) for i in range(20)] + [(20, None), (21, ""), (22, "the1 " * 40), (23, items[0][1].upper()), (24, "x " + items[1][1] + " y " + items[4][1]), (25, items[2][1].replace(" ", ", ")), (26, "an id item x without an"), (27, " ".join(reversed(items[0][1].split())))]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = sorted(decontaminate.brute_force(docs, items))
-    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "near_items"]
+    assert any(w[6] for w in want)
     got = decontaminate.digest(decontaminate.find_contamination(df, bench))
     assert sorted(map(tuple, got.select(columns).collect())) == want
     sliced = decontaminate.digest(decontaminate.find_contamination(df, bench, slice_bytes=200))
@@ -100,6 +103,24 @@ def test_proximity_finds_shuffled_words(spark):
     assert {r["doc_id"]: (r["items"], r["near_items"]) for r in found.collect()} == {1: ([], ["1"]), 2: (["1"], []), 3: ([], []), 4: ([], [])}
 
 
+def test_index_keeps_every_posting():
+    raw = ["The end. The, the END!", None, "", "é è 5a", "x " * 4000]
+    shard = decontaminate.Shard.of(pa.array(raw))
+    again = decontaminate.Shard.unpacked(shard.n_words, *shard.packed())
+    cut = np.cumsum(again.counts)
+    found = {(w, int(d), int(p - again.first[d])) for w, a, b in zip(again.terms, cut - again.counts, cut) for p in again.postings[a:b] for d in [again.document(p)]}
+    assert found == {(w, d, i) for d, text in enumerate(raw) for i, w in enumerate(decontaminate.words(text))}
+    assert len(decontaminate.Shard.of(pa.array([None], pa.string())).postings) == 0
+
+
+def test_one_index_serves_several_searches(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "e d c b a")], "doc_id long, text string")
+    index = decontaminate.build_index(docs)
+    for text, hits in (("a b c", {1}), ("c b", {2}), ("x", set())):
+        found = decontaminate.search(index, spark.createDataFrame([(1, text)], "item_id long, text string"))
+        assert {r["doc_id"] for r in found.where("size(items) > 0").collect()} == hits and found.count() == 2
+
+
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>Head &amp; line</h1><p>one  <b>bold</b>&nbsp;text<br>next<p>two</article><aside>side</aside><div id=comments><p>hi</div><footer>&copy;</footer><script>var x='</p>'</script></body></html>"
 
 
