@@ -356,14 +356,14 @@ h AS (SELECT doc_id, item, i, q.k FROM t JOIN q ON t.key = q.key AND t.k = q.k),
 n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM h) GROUP BY doc_id),
 e AS (SELECT DISTINCT doc_id, item FROM h),
 s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM e GROUP BY doc_id),
-u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
 c AS (SELECT word, count(*) AS n FROM u GROUP BY word),
 r AS (SELECT key, item, word, row_number() OVER (PARTITION BY key, item ORDER BY coalesce(n, 0), word) AS turn
       FROM (SELECT DISTINCT key, item, unnest(string_split(key, ' ')) AS word FROM q) LEFT JOIN c USING (word)),
 f AS (SELECT key, item, list(word ORDER BY turn) AS chosen FROM r WHERE turn <= {near_terms} GROUP BY key, item HAVING count(*) = {near_terms}),
-l AS (SELECT f.key, f.item, chosen, doc_id, at FROM f JOIN u ON u.word = f.chosen[1]),
-o AS (SELECT l.key, l.item, l.doc_id, l.at FROM l JOIN u ON u.doc_id = l.doc_id AND list_contains(l.chosen, u.word) AND abs(u.at - l.at) <= {near_reach}
-      GROUP BY l.key, l.item, l.doc_id, l.at HAVING count(DISTINCT u.word) = {near_terms}),
+l AS (SELECT f.key, f.item, chosen, doc_id, pos FROM f JOIN u ON u.word = f.chosen[1]),
+o AS (SELECT l.key, l.item, l.doc_id, l.pos FROM l JOIN u ON u.doc_id = l.doc_id AND list_contains(l.chosen, u.word) AND abs(u.pos - l.pos) <= {near_reach}
+      GROUP BY l.key, l.item, l.doc_id, l.pos HAVING count(DISTINCT u.word) = {near_terms}),
 x AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT doc_id, item FROM o) ANTI JOIN e USING (doc_id, item) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, '') AS near_items
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN x USING (doc_id)
