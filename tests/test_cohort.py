@@ -194,8 +194,8 @@ def test_sources_round_trip(spark, tmp_path):
     assert io.upsert_features(spark, f"{tmp_path}/base", new, "id", f"{tmp_path}/next").first()["v"] == 9.0
     with pytest.raises(ValueError):
         io.upsert_features(spark, f"{tmp_path}/base", new, "id", f"{tmp_path}/base")
-    io.append_results(df, f"{tmp_path}/results")
-    io.append_results(df, f"{tmp_path}/results")
+    for group in ("a", "b", "a"):  # the last one again
+        io.append_results(df.withColumn("study_group", F.lit(group)), f"{tmp_path}/results")
     assert spark.read.parquet(f"{tmp_path}/results").count() == 2
     io.write_csv(df, f"{tmp_path}/csv")
     assert io.read_csv(spark, f"{tmp_path}/csv", ["id", "v"]).columns == ["id", "v"]

@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -45,8 +49,21 @@ def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
-def test_entry_imports_without_the_llm_subpackage(spark):
+def test_entry_lists_the_queries(spark):
     import __spark_entry__ as entry
 
-    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("gone", ["folders", "library"])
+def test_entry_imports_without_the_llm_subpackage(tmp_path, gone):
+    """On a copy without the subpackage and the pipeline, or without a library that only they need."""
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "tidewater", tmp_path / "tidewater", ignore=shutil.ignore_patterns("__pycache__", *["llm"] * (gone == "folders")))
+    for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * (gone == "library")]:
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    block = "import sys; sys.modules['xxhash'] = None; " if gone == "library" else ""
+    said = subprocess.run([sys.executable, "-c", block + "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], said.stderr

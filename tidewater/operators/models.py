@@ -19,7 +19,9 @@ from tidewater.operators.prep import standardise
 from tidewater.operators.statistics import average_precision, regression_scores
 
 L1_RATIOS, ALPHAS = (0.1, 0.5, 0.7, 0.9, 1.0), (0.01, 0.1, 1.0, 10.0)
-TREES = tuple({"maxDepth": d, "maxIter": n, "stepSize": s} for d in (2, 3, 4) for n in (20, 40) for s in (0.03, 0.1))
+TREES = tuple({"maxDepth": d, "maxIter": n, "stepSize": s} for d in (2, 3, 4) for n in (100, 200) for s in (0.03, 0.1))
+#: Penalties of the logistic models: ten, in equal steps of their logarithm from 1e4 to 1e-4.
+STRENGTHS = tuple(10 ** (4 - 8 * i / 9) for i in range(10))
 MIN_ROWS = 20
 
 
@@ -49,7 +51,8 @@ def _vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def folds(df: DataFrame, key: str, n: int = 5, seed: int = 0) -> DataFrame:
     """A fold for each row, from a hash of its key: reruns and any partitioning agree."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)))
+    text = F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string"))
+    return df.withColumn("fold", F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n)
 
 
 def elastic_settings(alpha: float, l1_ratio: float, sd_label: float) -> dict[str, float]:
@@ -99,7 +102,7 @@ def fit_model(df: DataFrame, key: str, features: Sequence[str], label: str, kind
     elif kind == "boosted":
         default, fit, score = TREES, _estimate(GBTRegressor, label, seed=0), _r2(label)
     elif kind in ("logistic", "elastic_logistic"):
-        default = [{"regParam": a, "elasticNetParam": r} for a in (0.001, 0.01, 0.1) for r in L1_RATIOS] if kind == "elastic_logistic" else [{"regParam": 0.0}]
+        default = [{"regParam": a, "elasticNetParam": r} for a in STRENGTHS for r in L1_RATIOS] if kind == "elastic_logistic" else [{"regParam": 0.0}]
         fit, score = _estimate(LogisticRegression, label, standardization=False, maxIter=100), _ap(label)
     elif kind == "boosted_classifier":
         default, fit, score = TREES, _estimate(GBTClassifier, label, seed=0), _ap(label)
@@ -119,7 +122,7 @@ def ablation(df: DataFrame, key: str, label: str, scenarios: dict[str, Sequence[
     """Predictions of each scenario's model for the test rows: scenario, key, actual, predicted."""
     out = None
     for name, features in scenarios.items():
-        scaled = standardise(df, features, suffix="_z")
+        scaled = standardise(df, features, suffix="_z", learn=learn)
         z = [f"{c}_z" for c in features]
         known = scaled.na.fill(0.0, z).where(F.col(label).isNotNull())
         fitted = fit_model(known.where(learn), key, z, label, kind, grid)
@@ -128,6 +131,27 @@ def ablation(df: DataFrame, key: str, label: str, scenarios: dict[str, Sequence[
     return out
 
 
+def coefficients_table(df: DataFrame, group: str, key: str, features: Sequence[str], label: str, kind: str = "ols", learn: str = "split = 'train'", test: str = "split = 'test'", grid: Sequence[dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A model for every group with MIN_ROWS to learn from, on columns scaled by its own learning
+    rows: coefficients (group, feature, coefficient) and scores of its test rows (group, r2, mse, n)."""
+    spark, rows, scores = df.sparkSession, [], None
+    kind_of = dict(df.dtypes)[group]
+    for g in groups_to_fit(df.where(learn), group):
+        part = standardise(df.where(F.col(group) == g), features, learn=learn)
+        z = [f"{c}_z" for c in features]
+        known = part.na.fill(0.0, z).where(F.col(label).isNotNull())
+        fitted = fit_model(known.where(learn), key, z, label, kind, grid)
+        rows += [(g, f.removesuffix("_z"), v) for f, v in fitted.coefficients().items()]
+        one = regression_scores(fitted.predict(known.where(test), "_p"), label, "_p", [group])
+        scores = one if scores is None else scores.unionByName(one)
+    return spark.createDataFrame(rows, f"`{group}` {kind_of}, feature string, coefficient double"), scores if scores is not None else spark.createDataFrame([], f"`{group}` {kind_of}, r2 double, mse double, n long")
+
+
+def mean_absolute(attributed: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, mean_abs: the mean absolute attribution of each feature, in one aggregation."""
+    return attributed.agg(*[F.avg(F.abs(c)).alias(c) for c in features]).unpivot([], list(features), "feature", "mean_abs")
+
+
 def linear_attributions(df: DataFrame, coefficients: dict[str, float], key: str) -> DataFrame:
     """Each feature's coefficient times its value less its mean."""
     means = df.agg(*[F.avg(c).alias(c) for c in coefficients]).first()

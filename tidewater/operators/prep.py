@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.functions.numeric import bins, finite, first_of
+from tidewater.operators.statistics import average_ranks
 
 BMI = ([18.5, 25.0, 30.0], ["underweight", "healthy", "overweight", "obese"])
 HBA1C = ([5.7, 6.5], ["normal", "prediabetes", "diabetes"])
@@ -73,9 +74,10 @@ def statistics(df: DataFrame, columns: Sequence[str], population: bool = True) -
     return {c: (row[f"{i}m"], row[f"{i}s"]) for i, c in enumerate(columns)}
 
 
-def standardise(df: DataFrame, columns: Sequence[str], population: bool = True, suffix: str = "_z") -> DataFrame:
-    """Columns less their mean, over their SD; 0 where the SD is 0."""
-    known = statistics(df, columns, population)
+def standardise(df: DataFrame, columns: Sequence[str], population: bool = True, suffix: str = "_z", learn: Column | str | None = None) -> DataFrame:
+    """Columns less their mean, over their SD, of the rows to learn from (all by default); 0 where the
+    SD is 0."""
+    known = statistics(df if learn is None else df.where(learn), columns, population)
     z = lambda c: F.lit(None).cast("double") if known[c][0] is None else (finite(F.col(f"`{c}`")) - known[c][0]) / (known[c][1] or 1.0)
     return df.withColumns({f"{c}{suffix}": z(c) for c in columns})
 
@@ -91,6 +93,23 @@ def split_of(key: Column, parts: int = 5) -> Column:
     return F.when(F.pmod(key, F.lit(parts)) == 0, "test").otherwise("train")
 
 
+def split_by_stratum(df: DataFrame, key: str, stratum: str, share: float = 0.2, seed: int = 0, name: str = "split") -> DataFrame:
+    """A test share of every stratum, rounded half up, in order of a hash of the key. Ranks come from
+    ranges of hash values side by side, so a large stratum is not one task's."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double")
+    ranked = average_ranks(df.withColumn("_h", h), "_h", [stratum], "_rank")
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    held = ranked.join(sizes, F.col(stratum) == F.col("_s"))
+    return held.withColumn(name, F.when(F.col("_rank") <= F.floor(F.col("_n") * share + 0.5), "test").otherwise("train")).drop("_h", "_rank", "_s", "_n")
+
+
+def join_suffixed(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str]) -> DataFrame:
+    """Inner join of two tables on a key; columns that both have get the suffixes."""
+    shared = (set(a.columns) & set(b.columns)) - {key}
+    left, right = (t.select(*[F.col(c).alias(c + x if c in shared else c) for c in t.columns]) for t, x in zip((a, b), suffixes))
+    return left.join(right, key)
+
+
 def merge_features(base: DataFrame, features: DataFrame, key: str, replaced: Sequence[str] = ()) -> DataFrame:
     """The base with new feature columns in place of any it had under these or `replaced` names."""
     new = [c for c in features.columns if c != key]

@@ -72,7 +72,8 @@ def greedy(df: DataFrame, priority: Sequence[str], limit: float = 0.8, vif_limit
     result = Selection([], [(c, "constant", float("nan")) for c in flat])
     if not columns:
         return result
-    r = np.abs(correlation_matrix(df, columns))
+    signed = correlation_matrix(df, columns)
+    r = np.abs(signed)
     kept: list[int] = []
     for i, c in enumerate(columns):
         worst = max(kept, key=lambda j: r[i, j], default=None)
@@ -80,7 +81,6 @@ def greedy(df: DataFrame, priority: Sequence[str], limit: float = 0.8, vif_limit
             result.dropped.append((c, columns[worst], float(r[i, worst])))
         else:
             kept.append(i)
-    signed = correlation_matrix(df, columns)
     while len(kept) > 1:
         v = variance_inflation(signed[np.ix_(kept, kept)])
         if not v.max() > vif_limit:
@@ -163,6 +163,16 @@ def one_added(base: Sequence[str], added: Sequence[str], combined: Sequence[str]
     return stages | ({f"{len(stages) + 1}_add_{'_'.join(combined)}": [*base, *combined]} if combined else {})
 
 
+def without(stages: dict[str, list[str]], *dropped: str) -> dict[str, list[str]]:
+    """Scenarios without some columns; those that are left empty, or equal to the one before, go."""
+    out: dict[str, list[str]] = {}
+    for name, columns in stages.items():
+        left = [c for c in columns if c not in dropped]
+        if left and left != next(reversed(out.values()), None):
+            out[name] = left
+    return out
+
+
 def all_but(columns: Sequence[str], admin: Sequence[str], target: str, drop: Sequence[str]) -> list[str]:
     """Everything but identifiers, the target and a list of exclusions."""
     return [c for c in columns if c not in {*admin, target, *drop}]

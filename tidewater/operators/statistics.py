@@ -226,7 +226,8 @@ def bootstrap(df: DataFrame, key: str, metric: dict[str, Column], resamples: int
     `at_least` resamples give a value: each row's weight in each
     resample is drawn from a hash of its key, so resamples need no shuffle of rows and reruns
     agree; weights enter as repeats, and aggregates are combined in the scan."""
-    u = (F.xxhash64(F.lit(seed), F.col("resample"), F.col(key)) / float(1 << 63) + 1) / 2
+    text = F.concat_ws("|", F.lit(seed).cast("string"), F.col("resample").cast("string"), F.col(key).cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
     bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     weight = sum(((u > b).cast("int") for b in bounds), F.lit(0))
     drawn = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), weight)))

@@ -242,8 +242,3 @@ def cluster_target_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = prep.standardise(means, ["a", "b"]).withColumn("score", F.coalesce("a_z", F.lit(0.0)) + F.coalesce("b_z", F.lit(0.0)))
     # One row a cluster: the window without a key orders that table only.
     return rounded(z.select("nation", "score", (F.row_number().over(Window.orderBy("score", "nation")) - 1).cast("long").alias("canonical")), 6)
-
-
-@query("feature_dictionary", None)
-def feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.dictionary(spark)

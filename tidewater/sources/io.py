@@ -32,8 +32,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_results(df: DataFrame, path: str, by: str = "study_group") -> None:
-    """Add a group's results to a partitioned table, so a stopped run keeps what it has."""
-    df.write.mode("append").partitionBy(by).parquet(path)
+    """Add a group's results to a partitioned table, so a stopped run keeps what it has; a group that
+    is written again takes the place of its former results."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def upsert_features(spark: SparkSession, base: str, features: DataFrame, key: str, target: str, legacy: Sequence[str] = ()) -> DataFrame:
@@ -66,12 +67,22 @@ def save_meta(spark: SparkSession, path: str, **entries: Any) -> dict[str, Any]:
 
 
 UNITS = {"pct": "%", "min": "min", "h": "h", "days": "days"}
+# Features in mg/dL whose names do not say so (fixed values).
+_GLUCOSE = "mage modd conga1 conga2 conga4 conga6 mean_daily_range within_day_sd between_day_sd poincare_sd1 poincare_sd2 cosinor_mesor cosinor_amplitude overnight_mean daytime_mean dawn_rise".split()
+
+
+def unit_of(column: str) -> str:
+    """The unit a feature's name stands for; empty where it has none."""
+    if column.endswith("_glucose") or column in _GLUCOSE:
+        return "mg/dL"
+    if column.startswith("roc_"):
+        return "mg/dL/min"
+    return "mg/dL/h" if column == "mag_per_hour" else UNITS.get(column.rsplit("_", 1)[-1], "count" if column.startswith(("n_", "qc_n")) else "")
 
 
 def dictionary(spark: SparkSession) -> DataFrame:
-    """The feature table's columns, in order, with their published digits and units by suffix."""
-    rows = [(i + 1, c, DIGITS.get(c), UNITS.get(c.rsplit("_", 1)[-1], "count" if c.startswith(("n_", "qc_n")) else "")) for i, c in enumerate(ORDER)]
-    return spark.createDataFrame(rows, "place int, column string, digits int, unit string")
+    """The feature table's columns, in order, with their published digits, and units by name."""
+    return spark.createDataFrame([(i + 1, c, DIGITS.get(c), unit_of(c)) for i, c in enumerate(ORDER)], "place int, column string, digits int, unit string")
 
 
 def report(df: DataFrame, template: str) -> list[str]:
@@ -85,8 +96,10 @@ def synthetic_readings(spark: SparkSession, days: int = 10, subjects: int = 1, i
     slot = F.col("id") % (days * per_day)
     subject = F.floor(F.col("id") / (days * per_day))
     hour = slot * interval_min / 60.0 % 24
-    meals = sum((a * F.exp(-F.pow(hour - h, F.lit(2.0)) / 1.5) for h, a in ((8.0, 45.0), (13.0, 55.0), (19.0, 60.0))), F.lit(0.0))
-    value = 120 + 15 * F.cos((hour - 8) * (3.141592653589793 / 12)) + meals + 8 * F.randn(seed)
+    # The wave's mean, swing and zero, and the meals' heights, hours and widths.
+    wave = 120 + 30 * F.sin((hour - 6) * (3.141592653589793 / 12))
+    meals = sum((a * F.exp(-F.pow(hour - h, F.lit(2.0)) / w) for a, h, w in ((40.0, 8.0, 2.0), (45.0, 13.0, 2.0), (50.0, 19.0, 1.5))), F.lit(0.0))
+    value = F.least(F.greatest(wave + meals + 8 * F.randn(seed), F.lit(40.0)), F.lit(400.0))
     at = F.timestamp_add("MINUTE", slot * interval_min, F.lit("2024-01-01").cast("timestamp_ntz"))
-    rows = spark.range(subjects * days * per_day).select(subject.alias("participant_id"), at.alias("t"), F.least(F.greatest(value, F.lit(40.0)), F.lit(400.0)).alias("glucose"), F.rand(seed + 1).alias("_u"), F.col("id").alias("reading"))
-    return rows.where("_u >= 0.05").drop("_u")
+    rows = spark.range(subjects * days * per_day).select(subject.alias("participant_id"), at.alias("t"), value.alias("glucose"), F.rand(seed + 1).alias("_u"), F.col("id").alias("reading"))
+    return rows.where("_u > 0.05").drop("_u")
