@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewater.functions.arrays import lowess
 from tidewater.functions.numeric import ratio
 from tidewater.functions.tails import bonferroni, chi2_p, normal_p, spearman_p
+from tidewater.sources.shared import shared_dir
 
 
 #: Ranges of values that are ordered side by side.
@@ -27,6 +28,12 @@ def modal_share(df: DataFrame, by: str, category: str) -> DataFrame:
     return counts.groupBy(by).agg(top[category].alias("modal"), (100.0 * F.max("n") / F.sum("n")).alias("modal_pct"), F.sum("n").alias("n"))
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The frame, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def running(counts: DataFrame, by: list[str], value: str, *names: str) -> DataFrame:
     """The rows (one for each value of a group) with `below_<name>`: sums over the lesser values of
     their group. Cut points split a group's values into ranges; a range's own running sums are added
@@ -116,18 +123,28 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     return one.select(F.when((F.col("dof") == 1) & F.lit(yates), F.col("shifted")).otherwise(F.col("plain")).alias("chi2"), "dof").withColumn("p_value", chi2_p("chi2", "dof"))
 
 
+def _rank_correlation(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """rho and n of rows (by, x, y): ranks of both come from one table of counts by value pair, and
+    average ranks have the mean (n + 1) / 2."""
+    met = once(pairs.groupBy(*by, "x", "y").agg(F.count("*").alias("k")))
+    for v in ("x", "y"):
+        counts = met.groupBy(*by, v).agg(F.sum("k").alias("_n"))
+        met = met.join(running(counts, by, v, "_n").select(*by, v, (F.col("below__n") + (F.col("_n") + 1) / 2.0).alias(f"r{v}")), [*by, v])
+    sizes = met.groupBy(*by).agg(F.sum("k").alias("n"), *[F.sum(F.col("k") * f).alias(c) for c, f in (("sx", F.col("rx")), ("sy", F.col("ry")), ("xx", F.col("rx") * F.col("rx")), ("yy", F.col("ry") * F.col("ry")), ("xy", F.col("rx") * F.col("ry")))])
+    spread = lambda a, b, c: F.col(a) - F.col(b) * F.col(c) / F.col("n")
+    rho = ratio(spread("xy", "sx", "sy"), F.sqrt(spread("xx", "sx", "sx") * spread("yy", "sy", "sy")))
+    return sizes.select(*by, rho.alias("rho"), "n").withColumn("p_value", spearman_p("rho", "n"))
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: correlation of average ranks, n and p."""
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    both = average_ranks(average_ranks(known, "x", [], "rx"), "y", [], "ry")
-    return both.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n")).withColumn("p_value", spearman_p("rho", "n"))
+    return _rank_correlation(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), [])
 
 
 def spearman_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Each feature's rank correlation with the target, by absolute value, with Bonferroni p."""
     long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.expr("stack({}, {}) AS (feature, x)".format(len(features), ", ".join(f"'{c}', cast(`{c}` AS double)" for c in features)))).where("x IS NOT NULL")
-    ranks = average_ranks(average_ranks(long, "x", ["feature"], "rx"), "y", ["feature"], "ry")
-    out = ranks.groupBy("feature").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n")).withColumn("p_value", spearman_p("rho", "n"))
+    out = _rank_correlation(long.select("feature", "x", F.col("y").cast("double").alias("y")), ["feature"])
     return out.withColumn("p_value_bonferroni", bonferroni(F.col("p_value"), len(features))).orderBy(F.abs("rho").desc(), "feature")
 
 
