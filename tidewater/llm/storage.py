@@ -24,7 +24,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of text that an executor hands a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:

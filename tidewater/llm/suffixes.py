@@ -46,7 +46,7 @@ VARIANTS = 4096
 #: Bytes of text hashed at once; working arrays of 8 bytes a place should stay in the cache.
 HASH_BYTES = 512 << 10
 #: Bytes of variants under one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 384 << 10
 END = 255  # no UTF-8 text holds it
 
 _M = (1 << 64) - 1
