@@ -68,6 +68,21 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sum(r["representative"] for r in got.collect()) == len(set(found.values()))
 
 
+def test_weights_and_classes_do_not_depend_on_partitions(spark):
+    rng = random.Random(11)
+    shared = prose(rng, 12)
+    rows = [(i, f"{shared} {prose(rng, 40)}") for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (1, 7, 60):
+        w = near.shingle_weights(df.repartition(parts))
+        found.append((w.hashes.tolist(), w.idf.round(12).tolist()))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 8
+    classes = [sorted(map(tuple, near.near_duplicates(df.repartition(parts)).select("doc_id", "class_id").collect())) for parts in (1, 60)]
+    assert classes[0] == classes[1] and len({c for _, c in classes[0]}) == 60
+
+
 def test_near_duplicates_edge_tables(spark, awkward, empty):
     rows = near.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count()
