@@ -70,10 +70,10 @@ _LISTED = ", ".join(f"({i + 1}, '{c}', {DIGITS.get(c, 'NULL')})" for i, c in enu
 
 @query(
     "feature_dictionary",
-    f"""SELECT place, name AS "column", digits, CASE WHEN name LIKE '%\\_glucose' ESCAPE '\\' OR name IN ('mage', 'modd', 'conga1', 'conga2', 'conga4', 'conga6', 'mean_daily_range', 'within_day_sd', 'between_day_sd', 'poincare_sd1',
+    f"""SELECT place, name AS "column", digits::DOUBLE AS digits, CASE WHEN name LIKE '%\\_glucose' ESCAPE '\\' OR name IN ('mage', 'modd', 'conga1', 'conga2', 'conga4', 'conga6', 'mean_daily_range', 'within_day_sd', 'between_day_sd', 'poincare_sd1',
 'poincare_sd2', 'cosinor_mesor', 'cosinor_amplitude', 'overnight_mean', 'daytime_mean', 'dawn_rise') THEN 'mg/dL' WHEN starts_with(name, 'roc_') THEN 'mg/dL/min' WHEN name = 'mag_per_hour' THEN 'mg/dL/h'
 WHEN ends_with(name, '_pct') THEN '%' WHEN ends_with(name, '_min') THEN 'min' WHEN ends_with(name, '_h') THEN 'h' WHEN ends_with(name, '_days') THEN 'days' WHEN starts_with(name, 'n_') OR starts_with(name, 'qc_n') THEN 'count' ELSE '' END AS unit
 FROM (VALUES {_LISTED}) AS t(place, name, digits)""",
 )
 def feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.dictionary(spark)
+    return io.dictionary(spark).withColumn("digits", F.col("digits").cast("double"))
