@@ -63,6 +63,44 @@ def test_damaged_streams_are_counted():
     assert zlib.crc32(b"") == 0 and media.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packet(pid, counter, body, start=False, adaptation=b""):
+    field = bytes([len(adaptation)]) + adaptation if adaptation else b""
+    room = 184 - len(field)
+    assert len(body) <= room
+    if len(body) < room:  # stuffing in the adaptation field
+        short = room - len(body)
+        field = (bytes([field[0] + short]) + field[1:] + b"\xff" * short) if field else (b"\0" if short == 1 else bytes([short - 1, 0]) + b"\xff" * (short - 2))
+    return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, (0x30 if field else 0x10) | counter & 15]) + field + body
+
+
+def section(table, body):
+    head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + b"\0\1\xc1\0\0" + body
+    return head + media.crc32_mpeg(head).to_bytes(4, "big")
+
+
+def test_foreign_streams():
+    """Tables over several packets, two sections in one, other PIDs, a lost byte, repeated packets."""
+    pat = section(0, b"\0\0\xe0\x10" + b"\0\7\xe1\x23")
+    pmt = section(2, b"\xe2\0\xf0\0" + b"".join(bytes([6, 0xE2 + i // 256, i % 256, 0xF0, 2, 9, 9]) for i in range(60)))
+    assert len(pmt) > 2 * 184
+    other = section(0x42, b"private")
+    parts = [packet(0, 0, b"\0" + pat, True), packet(0x123, 5, b"\0" + pmt[:183], True), packet(0x123, 6, pmt[183:367])]
+    rest = pmt[367:]
+    parts += [packet(0x123, 7, bytes([len(rest)]) + rest + other, True), packet(0x1FFF, 0, b"")]
+    pes = lambda n, data: b"\0\0\1\xbd\0\0\x80\x80\5" + bytes([0x21 | n >> 29 & 14]) + (n >> 14 & 0xFFFE | 1).to_bytes(2, "big") + ((n & 0x7FFF) << 1 | 1).to_bytes(2, "big") + data
+    parts += [packet(0x200, 0, pes(90_000, b"one"), True), packet(0x200, 1, b" more"), packet(0x200, 1, b" more"), packet(0x200, 2, pes(180_000, b"two"), True)]
+    found = media.demux(b"".join(parts))
+    assert found.programs == {7: 0x123} and len(found.types) == 60 and set(found.types.values()) == {6}
+    assert [(u[0], u[1], u[3]) for u in found.units] == [(0x200, 90_000, b"one more"), (0x200, 180_000, b"two")]
+    assert (found.repeats, found.gaps, found.bad_tables) == (1, 0, 0)
+    lost = b"".join(parts[:5]) + b"\1\2\3" + b"".join(parts[5:])
+    again = media.demux(lost)
+    assert again.units == found.units and again.gaps == 1
+    assert media.demux(b"".join(parts[:8] + parts[7:])).repeats == 1 and media.demux(b"".join(parts[:8] + [parts[7], *parts[7:]])).gaps >= 1
+    cut = media.demux(b"".join([parts[0], parts[1], parts[2], packet(0x123, 7, b"\0" + other, True)]))
+    assert cut.bad_tables == 1 and not cut.types
+
+
 def test_contamination_equals_brute_force(spark, awkward, empty):
     rng = random.Random(5)
     items = [(i, prose(rng, n)) for i, n in enumerate((12, 30, 10, 9, 3, 1))] + [(None, "an item without an id"), (6, None), (7, " ,.! "), (8, "the1 the1 the1 the1 the1 the1 the1 the1 the1 the1 the1 the1")]

@@ -5,9 +5,11 @@ A stream carries one program: PAT on PID 0, PMT on PID 0x1000, and one private e
 access units of UNIT bytes, one packetised elementary packet each, with a time stamp TICKS after
 the one before; every GOP-th unit starts with a random-access point and a clock reference.
 
-The parser takes any stream of 188-byte packets: it follows PAT and PMT (with their checksums),
-checks continuity counters per PID (a repeated packet is allowed once and ignored), reassembles
-elementary packets, and returns time stamps and random-access points.
+The parser takes any stream of 188-byte packets: it follows PAT and PMT (sections of one or several
+packets, several in one, with their checksums), checks continuity counters per PID (a packet may
+be repeated once, which is ignored), reassembles elementary packets, and returns time stamps and
+random-access points. Where a packet does not begin with the sync byte, it goes on at the next place
+where two packets do.
 
 Defined results: a null text has the empty payload's stream; equal texts give equal streams.
 """
@@ -113,21 +115,56 @@ class Stream:
         return b"".join(u[3] for u in self.units if u[0] == pid)
 
 
-def _whole_section(payload: bytes) -> bytes | None:
-    """The section at a table packet's pointer, None if it is cut or its checksum is wrong."""
-    at = 1 + payload[0] if payload else 1
-    if len(payload) < at + 3:
-        return None
-    section = payload[at : at + 3 + (int.from_bytes(payload[at + 1 : at + 3], "big") & 0xFFF)]
-    return section if len(section) >= 12 and crc32_mpeg(section) == 0 else None
+class _Sections:
+    """Sections of one table PID, which may begin anywhere in a packet and go over several."""
+
+    def __init__(self) -> None:
+        self.held: bytes | None = None
+
+    def add(self, body: bytes, start: bool) -> tuple[list[bytes], int]:
+        """Whole sections that a packet's payload ends, and how many it breaks off."""
+        out, broken = [], 0
+        if start and body:
+            self._take(out, body[1 : 1 + body[0]])
+            broken = int(self.held is not None)
+            self.held = b""
+            body = body[1 + body[0] :]
+        self._take(out, body)
+        return out, broken
+
+    def _take(self, out: list[bytes], more: bytes) -> None:
+        if self.held is None:
+            return
+        self.held += more
+        while self.held is not None and len(self.held) >= 3:
+            size = 3 + (int.from_bytes(self.held[1:3], "big") & 0xFFF)
+            if self.held[0] == 0xFF:  # stuffing up to the packet's end
+                self.held = None
+            elif len(self.held) < size:
+                return
+            else:
+                out.append(self.held[:size])
+                self.held = self.held[size:] or None
+        if self.held is not None and self.held[:1] in (b"", b"\xff"):
+            self.held = None
+
+
+def _next_sync(stream: bytes, at: int) -> int:
+    """The next place from which two packets begin with the sync byte, or the last one does."""
+    while (at := stream.find(SYNC, at)) >= 0:
+        if at + PACKET >= len(stream) or stream[at + PACKET] == SYNC:
+            return at
+        at += 1
+    return len(stream)
 
 
 def demux(stream: bytes) -> Stream:
     """Parse a transport stream; damaged parts are counted, and never raise."""
     s = Stream()
-    last: dict[int, tuple[int, bytes]] = {}
+    last: dict[int, tuple[int, bytes, bool]] = {}
     open_: dict[int, tuple[list[bytes], bool]] = {}
-    sections: dict[bytes, bytes | None] = {}
+    tables: dict[int, _Sections] = {}
+    sound: dict[bytes, bool] = {}
 
     def close(pid: int) -> None:
         parts, access = open_.pop(pid, ([], False))
@@ -141,10 +178,15 @@ def demux(stream: bytes) -> Stream:
             pts = (pes[9] >> 1 & 7) << 30 | pes[10] << 22 | pes[11] >> 1 << 15 | pes[12] << 7 | pes[13] >> 1
         s.units.append((pid, pts, access, pes[begin:end]))
 
-    for at in range(0, len(stream) - PACKET + 1, PACKET):
+    at = -PACKET
+    while (at := at + PACKET) <= len(stream) - PACKET:
         p = stream[at : at + PACKET]
+        if p[0] != SYNC:
+            s.gaps += 1
+            at = _next_sync(stream, at + 1) - PACKET
+            continue
         s.packets += 1
-        if p[0] != SYNC or p[1] & 0x80:
+        if p[1] & 0x80:
             s.gaps += 1
             continue
         pid, control, counter = (p[1] & 0x1F) << 8 | p[2], p[3] >> 4 & 3, p[3] & 15
@@ -157,28 +199,32 @@ def demux(stream: bytes) -> Stream:
                 access, jump = bool(p[5] & 0x40), bool(p[5] & 0x80)
         body = p[begin:]
         if pid in last and not jump:
-            if counter == last[pid][0]:
-                if body == last[pid][1]:
-                    s.repeats += 1
-                    continue
+            if counter == last[pid][0] and body == last[pid][1] and not last[pid][2]:
+                s.repeats += 1
+                last[pid] = counter, body, True
+                continue
             if counter != last[pid][0] + 1 & 15:
                 s.gaps += 1
                 open_.pop(pid, None)
-        last[pid] = counter, body
+                tables.pop(pid, None)
+        last[pid] = counter, body, False
         if pid == PAT_PID or pid in s.programs.values():
-            if body not in sections:
-                sections[body] = _whole_section(body)
-            if (section := sections[body]) is None:
-                s.bad_tables += 1
-            elif pid == PAT_PID:
-                for i in range(8, len(section) - 4, 4):
-                    if number := int.from_bytes(section[i : i + 2], "big"):
-                        s.programs[number] = int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF
-            else:
-                i = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
-                while i + 5 <= len(section) - 4:
-                    s.types[int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF] = section[i]
-                    i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0xFFF)
+            found, broken = tables.setdefault(pid, _Sections()).add(body, bool(p[1] & 0x40))
+            s.bad_tables += broken
+            for section in found:
+                if section not in sound:
+                    sound[section] = len(section) >= 12 and crc32_mpeg(section) == 0
+                if not sound[section]:
+                    s.bad_tables += 1
+                elif pid == PAT_PID:
+                    for i in range(8, len(section) - 4, 4):
+                        if number := int.from_bytes(section[i : i + 2], "big"):
+                            s.programs[number] = int.from_bytes(section[i + 2 : i + 4], "big") & 0x1FFF
+                else:
+                    i = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+                    while i + 5 <= len(section) - 4:
+                        s.types[int.from_bytes(section[i + 1 : i + 3], "big") & 0x1FFF] = section[i]
+                        i += 5 + (int.from_bytes(section[i + 3 : i + 5], "big") & 0xFFF)
         elif pid in s.types:
             if p[1] & 0x40:
                 close(pid)
