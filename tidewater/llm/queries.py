@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm import decontaminate, language, media, mixing, near, pages, suffixes, tokens, toxicity, urls
+from tidewater.llm import decontaminate, divergence, language, media, mixing, near, packing, pages, suffixes, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_read(spark, sf_dir, "documents"), least_docs=3, most=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_near_duplicates": op2_near_duplicates,
@@ -87,6 +95,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_transport_streams": op9_transport_streams,
     "op10_decontamination": op10_decontamination,
+    "op11_packing": op11_packing,
+    "op12_source_divergence": op12_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle_sql(**MIX), "op10_decontamination": decontaminate.oracle_sql(10)}
+ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.oracle_sql(**MIX),
+    "op10_decontamination": decontaminate.oracle_sql(10),
+    "op12_source_divergence": divergence.oracle_sql(3, 200),
+}
