@@ -98,6 +98,38 @@ def one_vs_rest_u(df: DataFrame, level: str, value: str, at_least: int = 15) ->
     return out.select("level", "n_level", u.alias("u_statistic"), z.alias("z"), normal_p(z).alias("p_value"))
 
 
+def outcome_comparison(df: DataFrame, by: list[str], value: str, label: str) -> DataFrame:
+    """Both classes of a 0/1 label, for every group: sizes, quartiles, U of class 1, tie-corrected z,
+    area under the ROC curve, p and its Bonferroni bound over the groups that hold both classes.
+    Quartiles interpolate between the two nearest rows. Ranks, ties and quartiles all come from one
+    table of counts by value, so no group is ordered or gathered in one task."""
+    known = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
+    yes = F.col(label) > 0
+    counts = once(known.groupBy(*by, F.col(value).alias("v")).agg(F.count_if(yes).alias("k1"), F.count_if(~yes).alias("k0")))
+    sizes = counts.groupBy(*by).agg(F.sum("k1").alias("n_1"), F.sum("k0").alias("n_0"))
+    placed = running(counts, by, "v", "k1", "k0").join(sizes, by)
+    cells, named = [], {}
+    for c in ("1", "0"):
+        for name, share in (("p25", 0.25), ("median", 0.5), ("p75", 0.75)):
+            place = F.greatest(share * (F.col(f"n_{c}") - 1), F.lit(0.0))
+            for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+                here = (F.col(f"below_k{c}") <= at) & (at < F.col(f"below_k{c}") + F.col(f"k{c}"))
+                cells.append(F.max(F.when(here, F.col("v"))).alias(f"_{name}_{c}_{end}"))
+            low, high = F.col(f"_{name}_{c}_lo"), F.col(f"_{name}_{c}_hi")
+            named[f"{name}_{c}"] = low + (high - low) * (place - F.floor(place))
+    t = (F.col("k1") + F.col("k0")).cast("double")
+    out = placed.groupBy(*by, "n_1", "n_0").agg(
+        F.sum(F.col("k1") * (F.col("below_k0") + F.col("k0") / 2.0)).alias("u"), F.sum(t * t * t - t).alias("ties"), *cells
+    )
+    n, both = (F.col("n_1") + F.col("n_0")).cast("double"), F.col("n_1") * F.col("n_0").cast("double")
+    sigma = F.sqrt(both / 12 * (n + 1 - ratio(F.col("ties"), n * (n - 1))))
+    z = ratio(F.greatest(F.abs(F.col("u") - both / 2) - 0.5, F.lit(0.0)), sigma)
+    tests = sizes.where("n_1 > 0 AND n_0 > 0").count()
+    u = F.when(both > 0, F.col("u"))
+    tested = out.select(*by, "n_1", "n_0", *[c.alias(k) for k, c in named.items()], u.alias("u_statistic"), z.alias("z"), ratio(u, both).alias("auroc"))
+    return tested.withColumn("p_value", normal_p(F.col("z"))).withColumn("p_value_bonferroni", bonferroni(F.col("p_value"), tests))
+
+
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: H, corrected for ties, its degrees of freedom and p."""
     known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
