@@ -8,10 +8,10 @@ bins: what a bin holds, as (length, count) pairs, and how many such bins there a
 The genetic algorithm works on those groups. Crossover injects a random part of the well-filled bins
 of one parent whole into the other, takes bins of the other as often as their documents are still
 there (which removes duplicates), and best-fits the documents that lost their bins into the room
-that is left. Mutation empties the worst bins and some others. Islands are Spark tasks, each with a
-population of its own; after every epoch the elite of an island moves to the next one, by a shuffle
-of solutions. It ends when a solution meets the lower bound of Martello and Toth, which proves that
-no packing is smaller, or after EPOCHS.
+that is left. Mutation empties bins with room and copies of some full ones. Islands are Spark tasks,
+each with a population of its own; after every epoch the elite of an island moves to the next one, by
+a shuffle of solutions. It ends when a solution meets the lower bound of Martello and Toth, which
+proves that no packing is smaller, when an epoch betters nothing, or after EPOCHS.
 
 Pieces then get their places without meeting in one task: they are numbered within their length in
 SALTS parts, a part's first number is the sum of the parts before it, and number and length give
@@ -24,6 +24,7 @@ agree; a null id stays null; no row is dropped; extra columns are not read; an e
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ from tidewater.llm.storage import bounded, few, stored
 CLOSING = 0
 #: Words whose ids a task keeps; beyond it the table starts anew. Longer ones than LONG are not kept.
 KEPT, LONG = 1_200_000, 64
-ISLANDS, POPULATION, GENERATIONS, EPOCHS = 6, 6, 8, 5
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 6, 6, 6, 8
 #: Kinds of bins a solution may have; a child with more is not taken into the population.
 KINDS = 20_000
 #: Pieces numbered in one part of a length, and the least number of parts.
@@ -73,9 +74,9 @@ class _Words(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Codes new words; pre-tokens of ASCII travel together, and word ends part them again."""
-        fresh = words - self.keys()
+        fresh = [w for w in words if w not in self]
         parts = {w: PRE_TOKEN.findall(w) for w in fresh if w.isascii()}
-        single = list({p for found in parts.values() for p in found} - self.keys())
+        single = [p for p in {p for found in parts.values() for p in found} if p not in self]
         for i in range(0, len(single), 512):
             some = single[i : i + 512]
             (coded,) = self.code([b" ".join(some)])
@@ -242,16 +243,20 @@ def crossover(a: Solution, b: Solution, counts: np.ndarray, rng: np.random.Gener
 
 
 def mutate(solution: Solution, counts: np.ndarray, rng: np.random.Generator) -> Solution:
-    """Empties the bins with most room, and one in twenty of the others, and best-fits what they held."""
+    """Empties half of the kinds of bins with room and some copies of one in twenty full kinds, and
+    best-fits what they held, in an order that is disturbed more or less."""
     capacity = len(counts) - 1
-    worst = sorted(solution, key=lambda c: -room(c, capacity))
-    out = set(worst[: 1 + len(worst) // 20]) | {c for c, u in zip(worst, rng.random(len(worst))) if u < 0.05}
-    left = np.zeros_like(counts)
-    for content in out:
-        for length, k in content:
-            left[length] += k * solution[content]
-    kept = {c: m for c, m in solution.items() if c not in out}
-    return best_fit(kept, iter(_shuffled(left, rng, 0.5)), capacity)
+    left, kept = np.zeros_like(counts), dict(solution)
+    for (content, m), u, v in zip(solution.items(), rng.random(len(solution)), rng.random(len(solution))):
+        loose = room(content, capacity) > 0
+        if u < (0.5 if loose else 0.05):
+            out = m if loose else math.ceil(m**v)
+            kept[content] -= out
+            if not kept[content]:
+                del kept[content]
+            for length, k in content:
+                left[length] += k * out
+    return best_fit(kept, iter(_shuffled(left, rng, rng.choice((0, 0.01, 0.05, 0.2)))), capacity)
 
 
 def _packed_up(solution: Solution) -> bytes:
@@ -318,9 +323,11 @@ def evolved(pieces_: DataFrame, capacity: int) -> tuple[Solution, int]:
         # The elite of an island also lives on the next one from here on.
         moved = living.where("place = 0").withColumn("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))
         both = living.unionByName(moved) if epoch else living
-        living = stored(both.groupBy("island").applyInArrow(_evolve(counts, bound, epoch), schema))
-        best = living.orderBy("bins", "spread", "island", "place").first()
-        if best["bins"] <= bound:
+        # A stated number of partitions: small ones would else be joined, and islands wait for each other.
+        dealt = both.repartition(ISLANDS, "island")
+        living = stored(dealt.groupBy("island").applyInArrow(_evolve(counts, bound, epoch), schema))
+        former, best = best, living.orderBy("bins", "spread", "island", "place").first()
+        if best["bins"] <= bound or former and best["bins"] == former["bins"]:
             break
     return unpacked(bytes(best["solution"])), bound
 
