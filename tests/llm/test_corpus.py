@@ -180,6 +180,13 @@ def test_cut_characters_go_as_a_whole(spark):
     assert kept == {1: head + "é", 3: "  \n"}
 
 
+def duckdb_rows(sql, **tables):
+    con = duckdb.connect()
+    for name, frame in tables.items():
+        con.register(name, frame)
+    return con.execute(sql).fetchall()
+
+
 def test_mix_equals_sql(spark, awkward, empty):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(200)), rng.choice(["a", "a", "a", "b", "B", "ü", None])) for i in range(500)] + [(500, None, "z"), (501, " ", "z")]
@@ -196,6 +203,24 @@ def test_mix_equals_sql(spark, awkward, empty):
     assert mixing.mix(awkward, **MIX).count() == awkward.count() and mixing.mix(empty, **MIX).count() == 0
 
 
+@pytest.mark.parametrize("known", [0.0, 0.5])
+def test_mix_meets_targets_without_ids(spark, known):
+    rng = random.Random(9)
+    rows = [(i if rng.random() < known else None, prose(rng, rng.randrange(1, 60)), rng.choice(["a", "a", "b", "c", None])) for i in range(900)]
+    rows += [(None, "the same words again", "c")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(str, duckdb_rows(mixing.oracle_sql(**MIX), documents=df.toPandas().astype({"doc_id": "Int64"}))))
+    found = mixing.mix(df, **MIX).select("doc_id", "size", "source_size", "target", "taken", "copies").collect()
+    assert len(found) == len(rows) == len(want)
+    by = {}
+    for r in found:
+        by.setdefault((r["source_size"], r["target"]), []).append(r)
+    assert all(sum(r["taken"] for r in v) == pytest.approx(target, rel=0.03) for (_, target), v in by.items())
+    assert all(r["taken"] <= 2 * r["size"] for r in found)
+    again = mixing.mix(df.repartition(7), **MIX).select(*found[0].asDict()).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 40)], "source string, source_size long")
     found = {r["source"]: r["target"] for r in mixing.targets(sizes, (5, 2, 1), 1.5, 2).collect()}

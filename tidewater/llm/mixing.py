@@ -4,16 +4,19 @@ Sources share a multiple of all words by weight; a target above max_copies times
 size stops there, and the excess goes to the others by weight (water filling, in closed form over
 the table of sources). A document's expected copies are target / size of its source: the whole
 part is allocated to every document, the fraction is its inclusion probability p. Documents are
-ranked by the Pareto variable (u / (1 - u)) / (p / (1 - p)), with u from a hash of the id, and
-taken in that order until the source's remaining words are reached, to the nearest document.
+ranked by the Pareto variable (u / (1 - u)) / (p / (1 - p)), with u from a hash of id and
+text, and taken in that order until the source's remaining words are reached, to the nearest document.
 
 The cut is found without ordering a source in one task: sizes are summed per source and rank bin
 (at most BINS rows a source), bins before the cut are taken whole, and only the bin that holds the
 cut, about one BINS-th of a source, is ordered.
 
 Defined results: a null text or one of white space has size 0 and nothing taken; a null source is
-a source of its own, last in order; sources of size 0 have target 0; equal rows are equal in rank;
-rows that repeat an id are ranked by their size too; empty tables give empty results.
+a source of its own, last in order; sources of size 0 have target 0; a null id stays null, and its row
+is drawn by its text alone; equal rows are equal in rank, and at the cut as many of them are taken as
+the source has words for; rows that repeat an id with another text are drawn on their own; texts of
+any length are counted whole; only doc_id, source and text are read, so extra columns do not matter;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, seed: str = "") -> Column:
-    """A number between 0 and 1, both excluded, from 52 bits of the key's hash."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), key.cast("string"))), 1, 13), 16, 10)
+def uniform(key: Column, text: Column, seed: str = "") -> Column:
+    """A number between 0 and 1, both excluded, from 52 bits of a hash of the key and the text: rows
+    without a key are drawn by their text."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), known(key), F.lit("|"), known(F.md5(text)))), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -71,7 +76,8 @@ def mix(
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and copies."""
     text_size = size_of(F.col("text")) if words is None else words
-    sized = checkpointed(docs.select("doc_id", "source", text_size.alias("size")))
+    drawn = uniform(F.col("doc_id"), F.col("text"), seed)
+    sized = checkpointed(docs.select("doc_id", "source", text_size.alias("size"), drawn.alias("u")))
     sources = checkpointed(few(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_copies)))
     small = sources.count() <= BROADCAST_SOURCES
 
@@ -87,7 +93,6 @@ def mix(
         .withColumn("ratio", ratio)
         .withColumn("whole", F.floor("ratio"))
         .withColumn("p", F.col("ratio") - F.col("whole"))
-        .withColumn("u", uniform(F.col("doc_id"), seed))
         .withColumn("rank", odds)
         .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
     )
@@ -113,7 +118,9 @@ def oracle_sql(weights: Sequence[float], share: float, max_copies: float, table:
     n, listed = len(weights), ", ".join(f"{float(x)!r}::DOUBLE" for x in weights)
     return rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {table}),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM {table}),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, ([{listed}])[((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {n} + 1)::BIGINT] AS weight,
         source_size * {float(max_copies)!r}::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * {float(share)!r}::DOUBLE AS total FROM src),
@@ -123,8 +130,7 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNB
 t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, water * weight) END AS target
       FROM (SELECT *, min(CASE WHEN level <= fill THEN place END) OVER () AS stop FROM l) a
       LEFT JOIN (SELECT place AS p0, level AS water FROM l) b ON b.p0 = a.stop),
-r AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio,
-        (('0x' || substr(md5(doc_id::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+r AS (SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS ratio
       FROM sized s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS p FROM r),
 k AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM q),
