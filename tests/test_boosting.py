@@ -145,3 +145,17 @@ def test_few_rows_and_constant_columns(spark):
     assert boosting.boost(df.where("id < 0"), "id", ["x0", "x1"], "y", [Setting(2, 1.0)], 1)[0].base.tolist() == [0.0]
     with pytest.raises(ValueError, match="bins"):
         boosting.boost(df, "id", ["x0"], "y", [Setting()], 1, bins=255)
+
+
+def test_left_out_precision_of_a_logistic_loss(spark, data):
+    x, y = data
+    y, fold = (y > np.median(y)).astype(float), np.arange(len(y)) % 3
+    df = frame(spark, x, y, part=fold)
+    model, scores = boosting.boost(df, "id", ["x0", "x1", "x2"], "y", [Setting(2, 0.3), Setting(1, 0.1)], 4, folds=3, fold="part", loss="logistic", score_at=(2, 4))
+    for r in scores.collect():
+        out = fold == model.folds[r["run"]]
+        p = np.round(guesses(df, model, r["run"], r["rounds"]), 4)[out]
+        want = sum(y[out][p == t].sum() / y[out].sum() * y[out][p >= t].mean() for t in np.unique(p))
+        assert r["precision"] == pytest.approx(want, abs=0.02)
+    best = boosting.chosen(model, scores, "precision")
+    assert best[0]["precision"] >= best[-1]["precision"] and len(best) == 4

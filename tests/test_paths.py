@@ -83,3 +83,16 @@ def test_constant_columns_and_no_rows(frame):
     assert fit.coefficients["e"] == 0.0 and fit.coefficients["a"] != 0.0
     fit, table = paths.search(paths.moments(frame.where("false"), list("abcd"), "y", "k", 4))
     assert len(table) == 36 and not any(fit.coefficients.values())
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_fold_predictions_equal_refits(data, frame, reverse):
+    x, y, fold = data
+    known = frame.where("k IS NOT NULL").na.drop().where("NOT isnan(d)")
+    got = {(r["run"], r["a"]): r["predicted"] for r in paths.fold_predictions(known, "a", list("abcd"), "y", "k", 4, reverse).collect()}
+    assert len(got) == len(y) * (3 if reverse else 1)
+    for k in range(4):
+        learn = fold == k if reverse else fold != k
+        c, b = plain(x[learn], y[learn], 0.0, 1.0)
+        for i in np.flatnonzero(~learn):
+            assert got[k, x[i, 0]] == pytest.approx(c + x[i] @ b, abs=1e-5)

@@ -103,3 +103,18 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id long, y int, s double")
     assert resampling.ranked(df, "id", "y", "s", None, 5).count() == 0
     assert resampling.regression(df, "id", "y", "s", None, 5).count() == 0
+
+
+def test_rates_equal_plain(data):
+    rows, df, numbers = data
+    df = df.withColumn("p", (F.col("s") > 0.5).cast("int"))
+    got = {(r["g"], r["resample"]): r for r in resampling.rates(df.where("s IS NOT NULL AND NOT isnan(s)"), "id", "y", "p", "g", B).collect()}
+    for g in ("a", "b", "one class"):
+        mine = [r for r in rows if r[3] == g]
+        w = resampling.weights(np.array([numbers[r[0]] for r in mine]), B)
+        y, p = np.array([r[1] for r in mine]), np.array([r[2] > 0.5 for r in mine])
+        for b in range(B):
+            for name, c in (("sensitivity", y == 1), ("specificity", y == 0)):
+                n = (w[:, b] * c).sum()
+                want = (w[:, b] * c * (p == (name == "sensitivity"))).sum() / n if n else None
+                assert got[g, b + 1][name] == (pytest.approx(want) if n else None)

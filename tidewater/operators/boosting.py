@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewater.functions.numeric import finite
 from tidewater.functions.trees import Leaf
+from tidewater.operators.discriminant import BINS, LOGIT_ENDS, average_precision
 from tidewater.sources.shared import temporary
 
 #: Code of an unknown value, and rounds after which margins are stored anew.
@@ -241,8 +242,8 @@ def boost(
     loss: str = "squared", bins: int = 64, penalty: float = 1.0, least: float = 1.0, seed: int = 0, score_at: Sequence[int] = (),
 ) -> tuple[Boosted, DataFrame | None]:
     """The trees of every setting, for all rows and, given a column of folds from 0 on, without each
-    of them; and the squared and absolute errors of left-out rows after the rounds in `score_at`: run,
-    rounds, n, error, y, yy (sums). loss: squared, or logistic for a 0/1 label."""
+    of them; and, after the rounds in `score_at`, what the left-out rows sum up to: run, rounds, n,
+    error (squares), y, yy, and the average precision of a logistic loss. loss: squared, or logistic for a 0/1 label."""
     if bins >= UNKNOWN:
         raise ValueError(f"at most {UNKNOWN - 1} bins")
     runs = [(s, k) for s in settings for k in (None, *range(folds))]
@@ -296,7 +297,7 @@ def boost(
                 state, since = store(state.mapInArrow(_renew(len(runs), p, since), schema)), []
             if t + 1 in score_at:
                 scores += _left_out(state, model, t + 1)
-        sums_schema = "run int, rounds int, n long, error double, y double, yy double"
+        sums_schema = "run int, rounds int, n long, error double, y double, yy double, precision double"
         return model, df.sparkSession.createDataFrame(scores, sums_schema) if score_at else None
 
 
@@ -328,35 +329,52 @@ def _renew(runs: int, p: int, since: list[Trees]):  # noqa: ANN202
 
 
 def _left_out(state: DataFrame, model: Boosted, rounds: int) -> list[tuple]:
-    """Sums over the left-out rows of each run, in one scan of the margins."""
-    runs, p = len(model.folds), len(model.features)
+    """Sums over the left-out rows of each run, in one scan of the margins; with a logistic loss also
+    their average precision, from counts of positives and negatives by bin of the margin."""
+    runs, p, ranked = len(model.folds), len(model.features), model.loss == "logistic"
+    wide = 4 + 2 * BINS * ranked
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((runs, 4))
+        total = np.zeros((runs, wide))
         for batch in batches:
             _, y, fold, _, f = _rows(batch, runs, p)
             for r, k in enumerate(model.folds):
-                if k is not None:
-                    out = fold == k
-                    guess = f[out, r] if model.loss == "squared" else 1 / (1 + np.exp(-f[out, r]))
-                    total[r] += out.sum(), ((y[out] - guess) ** 2).sum(), y[out].sum(), (y[out] ** 2).sum()
+                if k is None:
+                    continue
+                out = fold == k
+                guess = 1 / (1 + np.exp(-f[out, r])) if ranked else f[out, r]
+                total[r, :4] += out.sum(), ((y[out] - guess) ** 2).sum(), y[out].sum(), (y[out] ** 2).sum()
+                if ranked:
+                    at = np.clip((f[out, r] - LOGIT_ENDS[0]) / (LOGIT_ENDS[1] - LOGIT_ENDS[0]) * BINS, 0, BINS - 1).astype(np.int64)
+                    total[r, 4:] += np.bincount(at + BINS * (y[out] <= 0), minlength=2 * BINS)
         held = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), *(pa.array(total[held, i]) for i in range(4))], ["run", "n", "error", "y", "yy"])
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([total[i].tobytes() for i in held], pa.binary())], ["run", "sums"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        t = sum(np.frombuffer(r, np.float64) for r in sorted(rows.column("sums").to_pylist()))
+        found = {c: [float(v)] for c, v in zip(("n", "error", "y", "yy"), t)}
+        precision = average_precision(t[4 : 4 + BINS], t[4 + BINS :]) if ranked else None
+        return pa.table({"run": rows.column("run")[:1], **found, "precision": pa.array([precision], pa.float64())})
 
-    each = state.mapInArrow(sums, "run int, n double, error double, y double, yy double").groupBy("run").agg(*[F.sum(c).alias(c) for c in ("n", "error", "y", "yy")])
-    return [(r["run"], rounds, int(r["n"]), r["error"], r["y"], r["yy"]) for r in each.collect()]
+    each = state.mapInArrow(sums, "run int, sums binary").groupBy("run").applyInArrow(added, "run int, n double, error double, y double, yy double, precision double")
+    return [(r["run"], rounds, int(r["n"]), r["error"], r["y"], r["yy"], r["precision"]) for r in each.collect()]
 
 
-def chosen(model: Boosted, scores: DataFrame) -> list[dict]:
-    """The settings by their mean squared error over the folds, from the least on; with the run that
-    learned from all rows."""
-    by: dict[tuple[Setting, int], list[tuple[float, float]]] = {}
+def chosen(model: Boosted, scores: DataFrame, by: str = "mse") -> list[dict]:
+    """The settings from the best on by their mean over the folds: mse, r2 or precision; with the run
+    that learned from all rows. Equal ones are in order of rounds and of the settings given."""
+    each: dict[tuple[Setting, int], list[tuple[float, float, float]]] = {}
     for r in scores.collect():
         spread = r["yy"] - r["y"] ** 2 / r["n"]
-        by.setdefault((model.settings[r["run"]], r["rounds"]), []).append((r["error"] / r["n"], 1 - r["error"] / spread if spread > 0 else np.nan))
+        values = r["error"] / r["n"], 1 - r["error"] / spread if spread > 0 else np.nan, np.nan if r["precision"] is None else r["precision"]
+        each.setdefault((model.settings[r["run"]], r["rounds"]), []).append(values)
     whole = {s: r for r, (s, k) in enumerate(zip(model.settings, model.folds)) if k is None}
-    out = [{"setting": s, "rounds": n, "mse": float(np.mean([e for e, _ in v])), "r2": float(np.nanmean([x for _, x in v])), "run": whole[s]} for (s, n), v in by.items()]
-    return sorted(out, key=lambda o: (o["mse"], o["rounds"], o["run"]))
+    out = []
+    for (s, n), v in each.items():
+        mean = [float(np.mean([x for x in c if not np.isnan(x)] or [np.nan])) for c in zip(*v)]
+        out.append({"setting": s, "rounds": n, **dict(zip(("mse", "r2", "precision"), mean)), "run": whole[s]})
+    sign = 1 if by == "mse" else -1
+    return sorted(out, key=lambda o: (np.isnan(o[by]), sign * o[by], o["rounds"], o["run"]))
 
 
 def predict(df: DataFrame, model: Boosted, runs: dict[str, tuple[int, int]]) -> DataFrame:

@@ -12,7 +12,7 @@ rows to learn from (as one before the search is). A constant column keeps coeffi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,3 +146,34 @@ def search(m: Moments, alphas: Sequence[float] | None = ALPHAS, ratios: Sequence
     place = m.origin + mean
     fit = Fit(float(steps[r, s]), float(ratios[r]), error, float(place[-1] - b @ place[:-1]), dict(zip(m.features, b.tolist())), dict(zip(m.features, whole[-1].tolist())))
     return fit, [(float(steps[i, j]), float(ratios[i]), e) for e, i, j in order]
+
+
+def least_squares(m: Moments, fold: int | None, others: bool = True) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients by least squares (of least norm where columns depend on each other),
+    learned from the rows outside the fold, or from the fold alone."""
+    kept = np.arange(len(m.n)) != (-1 if fold is None else fold)
+    kept = kept if others else ~kept
+    n = max(m.n[kept].sum(), 1)
+    mean = m.first[kept].sum(0) / n
+    c = m.second[kept].sum(0) / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(c)[:-1], 0))
+    sd = np.where(sd > 1e-12 * (1 + np.abs(m.origin[:-1])), sd, np.inf)
+    b = np.linalg.lstsq(c[:-1, :-1] / np.outer(sd, sd), c[:-1, -1] / sd, rcond=1e-10)[0] / sd
+    place = m.origin + mean
+    return float(place[-1] - b @ place[:-1]), b
+
+
+def fold_predictions(df: DataFrame, key: str, features: Sequence[str], label: str, fold: str, folds: int = 5, reverse: bool = False, solve: Callable[[Moments, int, bool], tuple[float, np.ndarray]] = least_squares) -> DataFrame:
+    """run, key, actual, predicted: every fold by a model of the others or, in reverse, every other
+    fold by a model of one. Models come from the sums of the folds (`solve`), so rows are scanned once
+    for all of them, and once to be predicted."""
+    m = moments(df, features, label, fold, folds)
+    models = {k: solve(m, k, not reverse) for k in range(folds) if m.n[k] > 0 and m.n.sum() > m.n[k]}
+    guess = lambda c, b: sum((F.col(f"`{f}`") * float(w) for f, w in zip(features, b)), F.lit(float(c)))
+    asked = lambda k: (F.col(fold) != k) if reverse else (F.col(fold) == k)
+    runs = F.array(*[F.when(asked(k), F.struct(F.lit(k).cast("long").alias("run"), guess(*v).alias("predicted"))) for k, v in models.items()])
+    known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*features, label)))
+    if not models:
+        runs = F.expr("CAST(array() AS array<struct<run: bigint, predicted: double>>)")
+    out = known.select(F.col(key), F.col(label).cast("double").alias("actual"), F.inline(F.filter(runs, lambda r: r.isNotNull())))
+    return out.select("run", key, "actual", "predicted")

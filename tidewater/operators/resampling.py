@@ -220,3 +220,16 @@ def regression(df: DataFrame, key: str, actual: str, predicted: str, by: str | N
     r2 = F.when((F.col("n") > 0) & (spread > 1e-12 * F.col("yy")), 1 - F.col("e") / spread)
     found = out.select("g", "resample", r2.alias("r2"), F.when(F.col("n") > 0, F.col("e") / F.col("n")).alias("mse"))
     return found.withColumnRenamed("g", by) if by else found.drop("g")
+
+
+def rates(df: DataFrame, key: str, label: str, predicted: str, by: str | None = None, resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """by (if given, as a string), resample, sensitivity and specificity of every resample, from sums
+    alone; null for a class that a resample has no row of."""
+    out = []
+    for name, positive in (("sensitivity", True), ("specificity", False)):
+        kept = df.where((F.col(label) > 0) == positive).withColumn("_hit", ((F.col(predicted) > 0) == positive).cast("double"))
+        # The mean square of 1 - hit is the share that is missed.
+        each = regression(kept.withColumn("_one", F.lit(1.0)), key, "_hit", "_one", by, resamples, seed)
+        keys = [by] if by else []
+        out.append(each.select(*keys, "resample", (1 - F.col("mse")).alias(name)))
+    return out[0].join(out[1], [*([by] if by else []), "resample"], "full")
