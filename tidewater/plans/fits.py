@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.operators import cluster, models, prep, selection, statistics
+from tidewater.operators import cluster, models, paths, prep, selection, statistics
 from tidewater.plans.cohort import COHORT, cohort
 from tidewater.plans.registry import query, rounded
 from tidewater.plans.tests import _U
@@ -129,9 +128,9 @@ def ablation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.regression_scores(guesses, "actual", "predicted", ["scenario"]).select("scenario", "r2", "n"), 6)
 
 
-def _line(learn, actual, asked):
-    slope, cut = np.polyfit(learn.iloc[:, 0].astype(float), actual.astype(float), 1)
-    return cut + slope * asked.iloc[:, 0].astype(float).to_numpy()
+def _folded(spark: SparkSession, sf_dir: str, reverse: bool) -> DataFrame:
+    rows = models.folds(_known(spark, sf_dir), "id")
+    return rounded(paths.fold_predictions(rows, "id", ["n_orders"], "lab_b", "fold", reverse=reverse), 4)
 
 
 _FOLDED = ", f AS (SELECT id, n_orders AS x, lab_b AS t, ('0x' || substr(md5('0|' || id), 1, 8))::BIGINT % 5 AS fold FROM cohort WHERE lab_b IS NOT NULL), r AS (SELECT * FROM range(0, 5) AS t(run)) "
@@ -140,13 +139,13 @@ _FOLDED = ", f AS (SELECT id, n_orders AS x, lab_b AS t, ('0x' || substr(md5('0|
 @query("fold_protocol", COHORT + _FOLDED + ", m AS (SELECT run, regr_slope(t, x) AS b, regr_intercept(t, x) AS c FROM f, r WHERE fold <> run GROUP BY run) SELECT run, id, t AS actual, round_even(c + b * x, 4) AS predicted FROM f JOIN m ON fold = run")
 def fold_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fold is predicted by a regressor that learned from the others."""
-    return rounded(models.fold_protocol(_known(spark, sf_dir), "id", ["n_orders"], "lab_b", _line), 4)
+    return _folded(spark, sf_dir, False)
 
 
 @query("fold_to_others", COHORT + _FOLDED + ", m AS (SELECT run, regr_slope(t, x) AS b, regr_intercept(t, x) AS c FROM f, r WHERE fold = run GROUP BY run) SELECT run, id, t AS actual, round_even(c + b * x, 4) AS predicted FROM f JOIN m ON fold <> run")
 def fold_to_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each other fold is predicted by a regressor that learned from one."""
-    return rounded(models.fold_protocol(_known(spark, sf_dir), "id", ["n_orders"], "lab_b", _line, reverse=True), 4)
+    return _folded(spark, sf_dir, True)
 
 
 @query("mean_absolute_attribution", COHORT + ", k AS (SELECT n_orders, lab_a FROM cohort WHERE lab_b IS NOT NULL), m AS (SELECT avg(n_orders) AS a, avg(lab_a) AS b FROM k) SELECT 'n_orders' AS feature, round_even(avg(abs(2 * (n_orders - a))), 6) AS mean_abs FROM k, m UNION ALL SELECT 'lab_a', round_even(avg(abs(0.5 * (lab_a - b))), 6) FROM k, m")
