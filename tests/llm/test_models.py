@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,30 @@ def test_toxic_words_of_ordinary_characters(spark, monkeypatch):
     assert got.count() == 133 and got.where("predicted <> toxic").count() == 0
 
 
+def test_text_without_spaces_costs_in_proportion(spark):
+    """Three copies of a long run: every beginning of the whole run would be a node of its length."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    run = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    long = run(340_000)
+    assert b"".join(toxicity.words(long.encode())) == long.encode() and max(map(len, toxicity.words(long.encode()))) <= 4 * toxicity.LONGEST
+    mixed = "short " + "é" * 100 + " words, " + "x" * 48
+    assert [len(w.decode()) for w in toxicity.words(mixed.encode())] == [5, 48, 48, 4, 5, 48]
+    counted = [(w, [3, 0, 0, 0]) for w in sorted(set(toxicity.words(long[:40_000].encode())))]
+    columns = [pa.array([w for w, _ in counted], pa.binary()), *[pa.array([n[i] for _, n in counted], pa.int64()) for i in range(4)]]
+    tracemalloc.start()
+    began = time.process_time()
+    nodes = sum(b.num_rows for b in toxicity._noded(3)(iter([pa.RecordBatch.from_arrays(columns, ["word", *toxicity.KINDS])])))
+    assert nodes > 30_000 and tracemalloc.get_traced_memory()[1] < 150e6 and time.process_time() - began < 20
+    tracemalloc.stop()
+    part = long[:60_000]
+    df = spark.createDataFrame([(i, part if i < 3 else f"{run(30)} words {i}", i % 2) for i in range(12)], "doc_id long, text string, toxic int")
+    fitted, weights = toxicity.fit(df, df.select("doc_id", "toxic"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, fitted, weights).collect()}
+    assert len(got) == 12 and got[0] == got[1] == got[2]
+
+
 @pytest.mark.parametrize("words", [0, 1_000_000])
 def test_toxicity_is_equal_by_arrays_and_joins(spark, awkward, monkeypatch, words):
     known = awkward.selectExpr("doc_id", "if(doc_id % 2 = 0, 1, 0) AS toxic")

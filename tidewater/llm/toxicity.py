@@ -11,9 +11,11 @@ words that training lacks those of their longest known beginning and then of cha
 occurs less than CUTOFF times in all training rows is left to backing off, as is usual for high
 orders. Contexts do not reach over word boundaries.
 
-Training words, counted in each task, are dealt by their first bytes and read in order, so that one
+Training words, counted in each task, are dealt by their first symbols and read in order, so that one
 pass over them makes every node beside the one before: a stack as deep as a word is long. What is
-dealt are different words, so a word that a third of all rows hold is one row a task.
+dealt are different words, so a word that a third of all rows hold is one row a task. Runs of more
+than LONGEST letters, as scripts without spaces have, are taken in pieces of so many, all of them, so
+that time and memory grow with a text's length and not with its square.
 
 A document is compared by length-normalised differences of log-likelihoods (toxic less ordinary):
 the whole text's, a symbol; its most toxic word's; and by how much words exceed several levels, in
@@ -29,8 +31,9 @@ their words' differences. Both ways give the same scores.
 Defined results: null, empty and letterless texts have differences of 0 and the score of such
 texts; with no training row, or with one class only, all scores are the share of that class
 (0 without rows); an id with several labels counts as toxic if one is; null labels are ignored; equal texts have equal
-scores; a very long text is read whole, in memory of about 20 times its bytes; other columns are not
-read, whatever their names.
+scores; a very long text is read whole, in memory that grows with its different words; a null id stays
+null; repeated rows are scored each; an empty table gives none; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -65,15 +68,18 @@ CUTOFF = 3
 KEPT, WORDS_AT_ONCE = 500_000, 50_000
 #: Symbols of the shortest beginning that is a node: up to it, `Model` has the same contexts.
 SHORTEST = 3
+#: Letters of a word beyond which it is taken in pieces, each a word of its own: text without spaces.
+LONGEST = 48
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 #: Differences of a word from which its excess counts.
 LEVELS = (1.0, 2.0, 4.0, 6.0)
 FEATURES = 2 + 2 * len(LEVELS)
 
 
-def symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' symbols, each text between boundaries, and the number of its text at each."""
-    folded = [b"\0%b\0" % x.decode().lower().encode().translate(FOLD, LEADS) for x in raw]
+def symbols(raw: list[bytes], lowered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' symbols, each text between boundaries, and the number of its text at each. A letter of
+    three bytes has two symbols, so beginnings, which are lower-cased, may end inside one."""
+    folded = [b"\0%b\0" % (x if lowered else x.decode().lower().encode()).translate(FOLD, LEADS) for x in raw]
     owner = np.repeat(np.arange(len(raw)), [len(x) for x in folded])
     return np.frombuffer(b"".join(folded), np.uint8).astype(np.int32), owner
 
@@ -147,7 +153,18 @@ KINDS = ("t0", "o0", "t1", "o1")
 
 
 def words(text: bytes) -> list[bytes]:
-    return _WORD.findall(text.decode().lower().encode())
+    """The text's words in order, longer ones than LONGEST letters in pieces."""
+    found = _WORD.findall(text.decode().lower().encode())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    out: list[bytes] = []
+    for w in found:
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            letters = w.decode()
+            out += [letters[i : i + LONGEST].encode() for i in range(0, len(letters), LONGEST)]
+    return out
 
 
 def beginnings(of: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +177,7 @@ def beginnings(of: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     nodes: list[int] = []
     digest = xxhash.xxh64_intdigest
     for w in of:
-        ends = range(1, len(w) + 1) if w.isascii() else [i + 1 for i, c in enumerate(w) if c < 192]
+        ends = symbol_ends(w)
         nodes += [0] * min(SHORTEST - 1, len(ends))
         nodes += [digest(w[:e]) for e in ends[SHORTEST - 1 :]]
         nodes.append(digest(w + b"\0") if len(ends) >= SHORTEST - 1 else 0)
@@ -193,8 +210,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def symbol_ends(word: bytes) -> Sequence[int]:
+    """Bytes of the word up to each of its symbols."""
+    return range(1, len(word) + 1) if word.isascii() else [i + 1 for i, c in enumerate(word) if c < 192]
+
+
+def head(word: bytes) -> bytes:
+    """The word's first SHORTEST symbols: words that share a node share them."""
+    ends = symbol_ends(word[: 4 * SHORTEST])
+    return word[: ends[min(SHORTEST, len(ends)) - 1]]
+
+
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, and its occurrences in this task's texts by KINDS."""
+    """word, its head, and its occurrences in this task's texts by KINDS."""
     held: tuple[Counter, ...] = tuple(Counter() for _ in KINDS)
 
     def rows() -> pa.RecordBatch:
@@ -202,7 +230,7 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array([c[w] for w in every], pa.int64()) for c in held]
         for c in held:
             c.clear()
-        return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *columns], ["word", *KINDS])
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([head(w) for w in every], pa.binary()), *columns], ["word", "head", *KINDS])
 
     for batch in batches:
         for block in row_blocks(batch, "text"):
@@ -255,7 +283,7 @@ class _Trie:
 
     def add(self, word: bytes, n: list[int], shared: int) -> None:
         """shared: bytes at the word's beginning that the next word has too."""
-        ends = range(1, len(word) + 1) if word.isascii() else [i + 1 for i, c in enumerate(word) if c < 192]
+        ends = symbol_ends(word)
         if len(ends) < SHORTEST - 1:
             return
         # The beginnings that the last word had too are open; of those that only this one has, the
@@ -299,9 +327,9 @@ def _noded(cutoff: int) -> Callable:
                             break
                         shared += 1
                     trie.add(last, n, shared)
+                    if len(trie.rows) >= WORDS_AT_ONCE:
+                        yield trie.taken()
                 last, n = word, now
-            if len(trie.rows) >= WORDS_AT_ONCE:
-                yield trie.taken()
         if last is not None:
             trie.add(last, n, 0)
         yield trie.taken()
@@ -322,7 +350,7 @@ def _gains(shorter: list[tuple[np.ndarray, np.ndarray]], used: Sequence[tuple[in
             for x in ("", "up_", "up_cut_", "on_cut_"):
                 column |= {f"{x}{c}": column[f"{x}{c}0"] + column[f"{x}{c}1"] for c in "to"}
             ended = np.array([x.endswith(b"\0") for x in names])
-            s, owner = symbols([x.removesuffix(b"\0") for x in names])
+            s, owner = symbols([x.removesuffix(b"\0") for x in names], lowered=True)
             at, code = grams(s)
             # The gram of the last symbol: a word's end, or the letter before it.
             last = np.searchsorted(owner[at], np.arange(len(names)), "right") - 1
@@ -347,8 +375,8 @@ def _gains(shorter: list[tuple[np.ndarray, np.ndarray]], used: Sequence[tuple[in
 def _nodes(rows: DataFrame, models: list[Model], used: Sequence[tuple[int, int]], cutoff: int) -> DataFrame:
     """The node table of rows (text, toxic, half); used: each model's classes, as places in _SIDES."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spelled = rows.mapInArrow(_spelled, "word binary, " + ", ".join(f"{c} long" for c in KINDS))
-    dealt = spelled.repartition(parts, F.substring("word", 1, SHORTEST)).sortWithinPartitions("word")
+    spelled = rows.mapInArrow(_spelled, "word binary, head binary, " + ", ".join(f"{c} long" for c in KINDS))
+    dealt = spelled.repartition(parts, "head").drop("head").sortWithinPartitions("word")
     counted = stored(few(dealt.mapInArrow(_noded(cutoff), "name binary, " + ", ".join(f"{c} long" for c in _TRIE))))
     sides = [F.col(c) for c in KINDS] + [F.col("t0") + F.col("t1"), F.col("o0") + F.col("o1")]
     after = counted.where(" + ".join(f"up_{k}" for k in KINDS) + " > 0")
