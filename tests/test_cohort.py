@@ -124,11 +124,6 @@ def test_importance_and_folds(spark):
     again = models.dealt(df, "a", "id", 0)
     assert again.count() == 300 and again.agg(F.sum("a")).first()[0] != pytest.approx(0, abs=1e-12)
 
-    def mean(x, y, new):
-        return np.full(len(new), y.mean())
-
-    for reverse, n in ((False, 300), (True, 300 * 4)):
-        assert models.fold_protocol(df, "id", ["a"], "y", mean, reverse=reverse).count() == n
     attributed = models.linear_attributions(df, fitted.coefficients(), "id")
     assert attributed.agg(F.sum("a")).first()[0] == pytest.approx(0, abs=1e-6)
 

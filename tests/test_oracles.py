@@ -11,6 +11,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from jobs import queries as jobs
 from tidewater.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +45,11 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(catalog.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", sorted(jobs.QUERIES))
+def test_job_equals_oracle(spark, duck, name):
+    assert rows(jobs.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(jobs.ORACLES[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
@@ -60,10 +66,12 @@ def test_entry_lists_the_queries(spark):
 def test_entry_imports_without_the_llm_subpackage(tmp_path, gone):
     """On a copy without the subpackage and the pipeline, or without a library that only they need."""
     root = Path(__file__).parent.parent
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copytree(root / "tidewater", tmp_path / "tidewater", ignore=shutil.ignore_patterns("__pycache__", *["llm"] * (gone == "folders")))
     for name in ["__spark_entry__.py", *["corpus_pipeline.py"] * (gone == "library")]:
         if (root / name).exists():
             shutil.copy(root / name, tmp_path)
     block = "import sys; sys.modules['xxhash'] = None; " if gone == "library" else ""
     said = subprocess.run([sys.executable, "-c", block + "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
-    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], said.stderr
+    rest = [len(catalog.QUERIES) + len(jobs.QUERIES), len(catalog.ORACLES) + len(jobs.ORACLES)]
+    assert said.stdout.split() == list(map(str, rest)), said.stderr

@@ -7,19 +7,37 @@ import math
 import numpy as np
 
 
+#: Pairs of templates that are compared at once.
+PAIRS = 2_000_000
+
+
+def matches(t: np.ndarray, tolerance: float) -> int:
+    """Unordered pairs of rows that differ by no more than the tolerance in every column: rows are
+    sorted by their first column, and each is compared with those only that follow it within reach."""
+    t = t[np.argsort(t[:, 0], kind="stable")]
+    # A little further than the tolerance, as sums round; the pairs themselves are compared exactly.
+    reach = np.searchsorted(t[:, 0], t[:, 0] + tolerance * (1 + 1e-9), "right") - np.arange(len(t)) - 1
+    ends, total, start = np.cumsum(reach), 0, 0
+    while start < len(t):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] - reach[start] + PAIRS, "right")))
+        n = reach[start:stop]
+        first = np.repeat(np.arange(start, stop), n)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        near = np.ones(len(first), bool)
+        for column in t.T:
+            near &= np.abs(column[second] - column[first]) <= tolerance
+        total += int(near.sum())
+        start = stop
+    return total
+
+
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
-    """-ln of the ratio of template matches at m + 1 and m, in blocks of bounded memory."""
+    """-ln of the ratio of template matches at m + 1 and m."""
     n, sd = len(x), x.std() if len(x) else 0.0
     if n < m + 2 or sd == 0:
         return None
-    tolerance, matched = r * sd, []
-    for size in (m, m + 1):
-        t = np.lib.stride_tricks.sliding_window_view(x, size)
-        total, step = 0, max(1, 4_000_000 // (len(t) * size))
-        for a in range(0, len(t), step):
-            total += int((np.abs(t[a : a + step, None, :] - t[None]).max(2) <= tolerance).sum())
-        matched.append(total - len(t))
-    return -math.log(matched[1] / matched[0]) if all(matched) else None
+    found = [matches(np.lib.stride_tricks.sliding_window_view(x, size), r * sd) for size in (m, m + 1)]
+    return -math.log(found[1] / found[0]) if all(found) else None
 
 
 def spectrum(slot: np.ndarray, g: np.ndarray, slots: int, interval_min: int, per_day: int) -> tuple[float | None, float | None, float | None]:

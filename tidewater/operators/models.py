@@ -213,44 +213,3 @@ def tree_attributions(df: DataFrame, fitted: Fitted, key: str) -> DataFrame:
             yield pd.concat([frame[[key]], pd.DataFrame(attributions(found, frame[names].to_numpy(float)), columns=names, index=frame.index)], axis=1)
 
     return df.select(key, *names).mapInPandas(run, ", ".join([f"{key} {dict(df.dtypes)[key]}", *[f"{n} double" for n in names]]))
-
-
-def partial_least_squares(df: DataFrame, group: str, features: Sequence[str], label: str, key: str, components: int = 2) -> DataFrame:
-    """PLS scores of a 0/1 label by NIPALS, a group at a time: key, score (positive from 0.5 on)."""
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = part[list(features)].to_numpy(float), part[label].to_numpy(float)
-        sd = x.std(0)
-        x = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
-        e, f, pred = x.copy(), y - y.mean(), np.full(len(y), y.mean())
-        for _ in range(min(components, x.shape[1])):
-            w = e.T @ f
-            if not (norm := np.linalg.norm(w)):
-                break
-            t = e @ (w / norm)
-            tt = t @ t
-            pred += t * (t @ f / tt)
-            f = f - t * (t @ f / tt)
-            e = e - np.outer(t, e.T @ t / tt)
-        return pd.DataFrame({group: part[group], key: part[key], "score": pred})
-
-    kinds = dict(df.dtypes)
-    return df.select(group, key, label, *features).na.drop().groupBy(group).applyInPandas(solve, f"{group} {kinds[group]}, {key} {kinds[key]}, score double")
-
-
-def fold_protocol(df: DataFrame, key: str, features: Sequence[str], label: str, regressor: Callable[[pd.DataFrame, pd.Series, pd.DataFrame], np.ndarray], reverse: bool = False, n_folds: int = 5) -> DataFrame:
-    """Folds for any regressor (a pretrained one, say): standard folds learn on the others and
-    predict one; reversed ones learn on one and predict each other. A fold pair is a task."""
-    parted = folds(df.select(key, label, *features), key, n_folds).withColumnRenamed("fold", "_own")
-    runs = parted.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    kind = dict(df.dtypes)[key]
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        run = int(part["_run"].iloc[0])
-        one = part["_own"] == run
-        learn, rest = (part[one], part[~one]) if reverse else (part[~one], part[one])
-        if not len(learn) or not len(rest):
-            return pd.DataFrame({"run": [], key: [], "actual": [], "predicted": []})
-        return pd.DataFrame({"run": run, key: rest[key], "actual": rest[label].astype(float), "predicted": regressor(learn[list(features)], learn[label], rest[list(features)])})
-
-    return runs.groupBy("_run").applyInPandas(solve, f"run long, {key} {kind}, actual double, predicted double")

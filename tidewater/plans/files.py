@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.operators.glucose import DIGITS, ORDER
+from tidewater.operators import glucose, series
+from tidewater.operators.glucose import ORDER
 from tidewater.plans.cohort import COHORT, cohort
-from tidewater.plans.registry import query, rounded, table
+from tidewater.plans.registry import ORACLES, query, rounded, table
+from tidewater.plans.series import RAW, USERS
 from tidewater.sources import io
 from tidewater.sources.shared import shared_dir
 
@@ -38,14 +41,13 @@ def csv_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_csv(spark, path, index=True).withColumns({c: F.col(c).cast("long") for c in ("index", "n_regionkey")})
 
 
-@query("metadata_merge", "SELECT * FROM (VALUES ('best', '{\"alpha\": 0.5}'), ('rows', '2000'), ('stage', '\"second\"')) AS t(name, value)")
+@query("metadata_merge", COHORT + """SELECT 'best' AS name, '{"group": "' || min(study_group) || '"}' AS value FROM cohort UNION ALL SELECT 'rows', count(*)::VARCHAR FROM cohort UNION ALL SELECT 'stage', '"second"' """)
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later entries take the place of former ones, others stay."""
-    import json
-
+    """Later entries take the place of former ones, others stay; what is kept is counted in the cohort."""
     path = _path(spark, "meta")
-    io.save_meta(spark, path, stage="first", rows=2000)
-    io.save_meta(spark, path, stage="second", best={"alpha": 0.5})
+    found = cohort(spark, sf_dir).agg(F.count("*").alias("n"), F.min("study_group").alias("g")).first()
+    io.save_meta(spark, path, stage="first", rows=found["n"])
+    io.save_meta(spark, path, stage="second", best={"group": found["g"]})
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in io.load_meta(spark, path).items()], "name string, value string")
 
 
@@ -65,15 +67,22 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in io.report(rows, "group {study_group}: {n} participants, {k} with urgent orders")], "line string")
 
 
-_LISTED = ", ".join(f"({i + 1}, '{c}', {DIGITS.get(c, 'NULL')})" for i, c in enumerate(ORDER))
+FAMILIES = ("cgm_central", "cgm_percentiles", "cgm_time_in_range", "cgm_gmi_jindex", "cgm_mvalue", "cgm_risk_lbgi_hbgi", "cgm_gri")
+
+
+def _dictionary_sql() -> str:
+    """Features, in the published order, with units by name and how many users have them."""
+    parts = [f"SELECT feature, value FROM (UNPIVOT (SELECT * EXCLUDE (series) FROM ({ORACLES[f]})) ON COLUMNS(*) INTO NAME feature VALUE value)" for f in FAMILIES]
+    order = ", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(ORDER))
+    return f"""SELECT place, name AS "column", CASE WHEN name LIKE '%\\_glucose' ESCAPE '\\' THEN 'mg/dL' WHEN ends_with(name, '_pct') THEN '%' ELSE '' END AS unit, count(*) AS n_known
+FROM (VALUES {order}) AS t(place, name) JOIN ({' UNION ALL '.join(parts)}) ON feature = name GROUP BY ALL"""
 
 
-@query(
-    "feature_dictionary",
-    f"""SELECT place, name AS "column", digits::DOUBLE AS digits, CASE WHEN name LIKE '%\\_glucose' ESCAPE '\\' OR name IN ('mage', 'modd', 'conga1', 'conga2', 'conga4', 'conga6', 'mean_daily_range', 'within_day_sd', 'between_day_sd', 'poincare_sd1',
-'poincare_sd2', 'cosinor_mesor', 'cosinor_amplitude', 'overnight_mean', 'daytime_mean', 'dawn_rise') THEN 'mg/dL' WHEN starts_with(name, 'roc_') THEN 'mg/dL/min' WHEN name = 'mag_per_hour' THEN 'mg/dL/h'
-WHEN ends_with(name, '_pct') THEN '%' WHEN ends_with(name, '_min') THEN 'min' WHEN ends_with(name, '_h') THEN 'h' WHEN ends_with(name, '_days') THEN 'days' WHEN starts_with(name, 'n_') OR starts_with(name, 'qc_n') THEN 'count' ELSE '' END AS unit
-FROM (VALUES {_LISTED}) AS t(place, name, digits)""",
-)
+@query("feature_dictionary", _dictionary_sql())
 def feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.dictionary(spark).withColumn("digits", F.col("digits").cast("double"))
+    """The dictionary's entries of the raw families, with how many users have the feature."""
+    families = {n: c for f in FAMILIES for n, c in RAW[f][0]().items()}
+    rows = glucose.per_series(series.readings(table(spark, sf_dir, "events"), USERS), USERS, families)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("n_known")) for c in families])
+    known = rows.agg(cells.alias("cells")).select(F.inline("cells")).where("n_known > 0")
+    return io.dictionary(spark).join(F.broadcast(known), "column").select("place", "column", "unit", "n_known")

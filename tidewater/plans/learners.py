@@ -296,3 +296,11 @@ def forced_clusters_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = ranked.unionByName(rates).select(F.lit(c).alias("cluster"), "metric", value.alias("value"), "lo", "hi", "valid", F.lit(whole[0]["n_positive"]).cast("long").alias("n_positive"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("lowess_lines", COHORT + "SELECT nation, id, n_orders::DOUBLE AS x, round_even(3e0 * n_orders + nation, 6) AS smooth FROM cohort WHERE n_orders IS NOT NULL")
+def lowess_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local lines over points of a straight line, one of each nation, lie on it."""
+    rows = cohort(spark, sf_dir).where("n_orders IS NOT NULL").select("nation", "id", F.col("n_orders").cast("double").alias("x"))
+    lines = rows.withColumn("y", 3.0 * F.col("x") + F.col("nation"))
+    return rounded(statistics.smoothed(lines, "nation", "id", "x", "y"), 6)

@@ -1,23 +1,40 @@
-"""Queries of feature sets and scenarios: lists made from column names, beside plain VALUES."""
+"""Queries of feature sets and scenarios: lists made from column names, and what the cohort has of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.operators import prep, selection
+from tidewater.operators import glucose, prep, selection, series
 from tidewater.plans.cohort import COHORT, cohort
-from tidewater.plans.registry import query, rounded
+from tidewater.plans.registry import ORACLES, query, rounded, table
+from tidewater.plans.series import RAW, USERS
 
 COLUMNS = ["id", "study_group", "age", "bmi", "race_a", "race_b", "sex_f", "avg_daily_steps", "import_glucose", "import_insulin", "import_c_peptide", "import_hdl", "mage", "modd"]
+#: The cohort under the names that feature sets are made from: columns of the cohort, as SQL.
+NAMED = {
+    "age": "n_orders", "bmi": "lab_a / 1e4", "race_a": "nation % 2", "race_b": "1 - nation % 2", "sex_f": "id % 2", "avg_daily_steps": "n_urgent",
+    "import_glucose": "lab_b", "import_insulin": "lab_u", "import_c_peptide": "qc", "import_hdl": "balance", "mage": "lab_b - lab_a", "modd": "lab_a - lab_u",
+}
 
 
-def _listed(spark: SparkSession, stages: dict[str, list[str]]) -> DataFrame:
-    return spark.createDataFrame([(s, i, c) for s, names in stages.items() for i, c in enumerate(names)], "stage string, place int, feature string")
+def _listed(spark: SparkSession, sf_dir: str, stages: dict[str, list[str]]) -> DataFrame:
+    """The features of every set in order, with how many participants have them and their mean: one
+    aggregation over the cohort, whatever the sets."""
+    rows = cohort(spark, sf_dir).select(*[F.expr(e.replace("1e4", "1e4D")).cast("double").alias(c) for c, e in NAMED.items()])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.count(c).alias("n_known"), F.avg(c).alias("mean")) for c in NAMED])
+    found = rows.agg(cells.alias("cells")).select(F.inline("cells"))
+    listed = spark.createDataFrame([(s, i, c) for s, names in stages.items() for i, c in enumerate(names)], "stage string, place int, feature string")
+    return rounded(listed.join(F.broadcast(found), "feature", "left"), 6)
 
 
 def _values(**stages: str) -> str:
     rows = ", ".join(f"('{s.lstrip('_')}', {i}, '{c}')" for s, names in stages.items() for i, c in enumerate(names.split()))
-    return f"SELECT * FROM (VALUES {rows}) AS t(stage, place, feature)"
+    named = ", ".join(f"({e})::DOUBLE AS {c}" for c, e in NAMED.items())
+    return (
+        COHORT + f", n AS (SELECT {named} FROM cohort), u AS (UNPIVOT INCLUDE NULLS n ON {', '.join(NAMED)} INTO NAME feature VALUE v), "
+        f"f AS (SELECT feature, count(v) AS n_known, round_even(avg(v), 6) AS mean FROM u GROUP BY feature) "
+        f"SELECT stage, place, t.feature, n_known, mean FROM (VALUES {rows}) AS t(stage, place, feature) LEFT JOIN f ON f.feature = t.feature"
+    ).replace("UNPIVOT INCLUDE NULLS n ON", "UNPIVOT n ON")
 
 
 _BASE = "age race_a race_b sex_f"
@@ -27,7 +44,7 @@ _FOUR = f"{_THREE} import_hdl"
 
 @query("ladder", _values(_1=_BASE, _2=f"{_BASE} bmi", _3=_THREE, _4=_FOUR, _5a=f"{_FOUR} mage modd", _5b=f"{_FOUR} import_glucose", _6a=f"{_THREE} mage modd", _6b=f"{_THREE} import_glucose"))
 def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, selection.ladder(COLUMNS, exclude_c_peptide=True, sensor=("mage", "modd")))
+    return _listed(spark, sf_dir, selection.ladder(COLUMNS, exclude_c_peptide=True, sensor=("mage", "modd")))
 
 
 _MINIMAL = "age bmi race_a race_b sex_f"
@@ -35,52 +52,71 @@ _MINIMAL = "age bmi race_a race_b sex_f"
 
 @query("minimal_scenarios", _values(_1_no_glucose=_MINIMAL, _2_sensed=f"{_MINIMAL} mage modd", _3_labs=f"{_MINIMAL} import_glucose", _4_both=f"{_MINIMAL} mage modd import_glucose"))
 def minimal_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, selection.minimal(COLUMNS, ["mage", "modd"], ["import_glucose"]))
+    return _listed(spark, sf_dir, selection.minimal(COLUMNS, ["mage", "modd"], ["import_glucose"]))
 
 
 @query("glucose_scenarios", _values(_1_no_glucose="age", _2_sensed="age mage", _3_labs="age import_glucose", _4_both="age mage import_glucose"))
 def glucose_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, selection.glucose_scenarios(["age"], ["mage"], ["import_glucose"]))
+    return _listed(spark, sf_dir, selection.glucose_scenarios(["age"], ["mage"], ["import_glucose"]))
 
 
 @query("one_added_scenarios", _values(_1_base="age", _2_add_import_c_peptide="age import_c_peptide", _3_add_mage="age mage", _4_add_import_c_peptide_mage="age import_c_peptide mage"))
 def one_added_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, selection.one_added(["age"], ["import_c_peptide", "mage"], ["import_c_peptide", "mage"]))
+    return _listed(spark, sf_dir, selection.one_added(["age"], ["import_c_peptide", "mage"], ["import_c_peptide", "mage"]))
 
 
 @query("one_added_without", _values(_1_base="age", _3_add_mage="age mage"))
 def one_added_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenarios without C-peptide: what is left equal to the one before goes."""
-    return _listed(spark, selection.without(selection.one_added(["age"], ["import_c_peptide", "mage"], ["import_c_peptide", "mage"]), "import_c_peptide"))
+    return _listed(spark, sf_dir, selection.without(selection.one_added(["age"], ["import_c_peptide", "mage"], ["import_c_peptide", "mage"]), "import_c_peptide"))
 
 
 @query("excluded_features", _values(all_but="age bmi race_a race_b sex_f avg_daily_steps import_insulin import_hdl", usable="age bmi race_a race_b sex_f avg_daily_steps import_glucose import_insulin import_c_peptide import_hdl mage modd"))
 def excluded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     admin = ["id", "study_group", "split"]
     lists = {"all_but": selection.all_but(COLUMNS, admin, "import_glucose", ["import_c_peptide", "mage", "modd"]), "usable": prep.usable_features(COLUMNS, admin, "split")}
-    return _listed(spark, lists)
+    return _listed(spark, sf_dir, lists)
 
 
-@query(
-    "feature_lists",
-    _values(
-        curated="between_day_sd cosinor_acrophase_h cosinor_amplitude dawn_rise dfa_alpha kurtosis mag_per_hour mean_hyper_dur_min mean_hypo_dur_min min_glucose n_hyper_events nocturnal_hypo_pct sample_entropy skewness "
-        "spectral_circadian_frac spectral_dominant_period_h spectral_entropy tbr_lt54_pct tbr_lt70_pct tir_70_180_pct",
-        coverage="qc_n_egv qc_wear_span_days qc_n_days qc_pct_active",
-    )
-    + " UNION ALL SELECT 'number', 67, NULL",
+FAMILIES = ("cgm_central", "cgm_percentiles", "cgm_moments", "cgm_time_in_range", "cgm_gmi_jindex", "cgm_mvalue", "cgm_risk_lbgi_hbgi", "cgm_gri", "cgm_circadian_windows")
+
+
+def _lists_sql() -> str:
+    """Of every feature of these families: whether it is curated, and how many users have it."""
+    parts = []
+    for family in FAMILIES:
+        sql = ORACLES[family]
+        parts.append(f"SELECT feature, value FROM (UNPIVOT (SELECT * EXCLUDE (series) FROM ({sql})) ON COLUMNS(*) INTO NAME feature VALUE value)")
+    curated = ", ".join(f"'{c}'" for c in CURATED_LIST.split())
+    return f"SELECT feature, feature IN ({curated}) AS curated, count(*) AS n_known FROM ({' UNION ALL '.join(parts)}) GROUP BY feature"
+
+
+# The curated panel as published, beside the library's own.
+CURATED_LIST = (
+    "between_day_sd cosinor_acrophase_h cosinor_amplitude dawn_rise dfa_alpha kurtosis mag_per_hour mean_hyper_dur_min mean_hypo_dur_min min_glucose n_hyper_events nocturnal_hypo_pct sample_entropy skewness "
+    "spectral_circadian_frac spectral_dominant_period_h spectral_entropy tbr_lt54_pct tbr_lt70_pct tir_70_180_pct"
 )
+
+
+@query("feature_lists", _lists_sql())
 def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewater.operators.glucose import ORDER
+    """Which features of the raw families are curated, and for how many users they are known."""
+    families = {n: c for f in FAMILIES for n, c in RAW[f][0]().items()}
+    rows = glucose.per_series(series.readings(table(spark, sf_dir, "events"), USERS), USERS, families)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in selection.CURATED).alias("curated"), F.count(c).alias("n_known")) for c in families if c in selection.FEATURES])
+    return rows.agg(cells.alias("cells")).select(F.inline("cells")).where("n_known > 0")
+
 
-    listed = _listed(spark, {"curated": list(selection.CURATED), "coverage": [c for c in ORDER if c not in selection.FEATURES]})
-    return listed.union(spark.createDataFrame([("number", len(selection.FEATURES), None)], listed.schema))
+PLAIN = {"a_g_ratio": ("A/G ratio", "lab_a"), "a_g_ratio_2": ("a g-Ratio", "lab_b"), "column": ("%", "qc"), "pulse_vsorres_heart_rate_bpm": ("pulse_vsorres, Heart Rate (bpm)", "balance")}
 
 
-@query("plain_names", "SELECT * FROM (VALUES ('a_g_ratio', 'A/G ratio'), ('a_g_ratio_2', 'a g-Ratio'), ('column', '%'), ('pulse_vsorres_heart_rate_bpm', 'pulse_vsorres, Heart Rate (bpm)')) AS t(name, old)")
+@query("plain_names", COHORT + " UNION ALL ".join(f"SELECT '{n}' AS name, '{old}' AS old, count({c}) AS n_known, round_even(avg({c}), 6) AS mean FROM cohort" for n, (old, c) in PLAIN.items()))
 def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, names = prep.snake_case(spark.createDataFrame([(1, 2, 3, 4)], ["pulse_vsorres, Heart Rate (bpm)", "A/G ratio", "a g-Ratio", "%"]))
-    return spark.createDataFrame(list(names.items()), "name string, old string")
+    """The cohort under awkward names, read by plain ones."""
+    rows = cohort(spark, sf_dir).select(*[F.col(c).cast("double").alias(old) for old, c in PLAIN.values()])
+    plain, names = prep.snake_case(rows)
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(old).alias("old"), F.count(n).alias("n_known"), F.avg(n).alias("mean")) for n, old in names.items()])
+    return rounded(plain.agg(cells.alias("cells")).select(F.inline("cells")), 6)
 
 
 @query("renamed_values", "SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'house' WHEN 'MACHINERY' THEN 'plant' ELSE c_mktsegment END AS study_group FROM customer")
