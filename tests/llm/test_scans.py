@@ -32,6 +32,15 @@ def test_token_counts_equal_the_library(spark, awkward, empty):
     assert tokens.count_tokens(empty, path).count() == 0
 
 
+def test_other_vocabularies_are_refused():
+    try:
+        path = tokenizer_path("word_bpe_49k.json")
+    except ImportError:
+        pytest.skip("no vocabulary files")
+    with pytest.raises(ValueError, match="byte-level"):
+        tokens._load(path)
+
+
 def test_streams_round_trip(awkward, empty):
     want = {hashlib.sha256(media.pad((r["text"] or "").encode())).hexdigest() for r in awkward.collect()}
     rows = media.read_media(media.to_media(awkward)).collect()

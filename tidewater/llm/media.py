@@ -11,7 +11,9 @@ be repeated once, which is ignored), reassembles elementary packets, and returns
 random-access points. Where a packet does not begin with the sync byte, it goes on at the next place
 where two packets do.
 
-Defined results: a null text has the empty payload's stream; equal texts give equal streams.
+Defined results: a null text has the empty payload's stream; equal texts give equal streams, and
+repeated rows have one each; a null id stays null; a very long text is one stream, in memory of a few
+times its bytes; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

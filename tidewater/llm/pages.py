@@ -26,7 +26,7 @@ Defined results: null and empty html give an empty text; a page without a host h
 unclosed, misnested and unknown elements are read as browsers do for their text, in time that grows
 with the page, not with its square; repeated rows and copies count as one page of their host, and
 each gets its text; a very long page is parsed whole, in memory of some 50 times its bytes; other
-columns are not read, whatever their names.
+columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

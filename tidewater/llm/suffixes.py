@@ -26,7 +26,8 @@ order of places, which is all that windows need.
 Defined results: null and empty texts have no bytes and lose none; texts under `width` bytes lose
 none; rows that repeat an id and a text count as one document, and each gets its result; rows that
 repeat an id with other texts are documents of their own, in order of a hash of the text; a null id
-comes first.
+comes first; a very long text is cut whole, in segments of a batch; other columns are not read, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

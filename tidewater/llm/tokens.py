@@ -9,11 +9,14 @@ row is shuffled: a shuffle by pre-token would move several times the text's own
 
 Strings of special tokens inside a text are one token each, as the library reads them.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each.
+Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; a null
+id stays null; a very long text is a block of its own; other columns are not read, whatever their names;
+an empty table gives an empty result; a file of another kind of vocabulary is refused.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -35,6 +38,10 @@ KEPT = 400_000
 @lru_cache(maxsize=2)
 def _load(path: str) -> tuple[Tokenizer, list[str]]:
     whole = Tokenizer.from_file(path)
+    cut = json.loads(whole.to_str())
+    kind = cut["pre_tokenizer"] or {}
+    if cut["normalizer"] or kind.get("type") != "ByteLevel" or not kind.get("use_regex", True) or kind.get("add_prefix_space"):
+        raise ValueError("a byte-level BPE with the published pre-token pattern is needed")
     whole.no_truncation()
     whole.no_padding()
     special = [t.content for t in whole.get_added_tokens_decoder().values()]

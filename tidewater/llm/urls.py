@@ -17,7 +17,7 @@ Defined results: a null URL, or one without "://", has empty host and path and n
 scored by its text, null as an empty one, of which only the end counts; if no URL has a rule, all
 scores are 0 and all are allowed; repeated URLs count as often as they occur, and each row has its
 result, null ids too; ties with the threshold are allowed; a very long URL is one row a character in
-the join; other columns are not read, whatever their names.
+the join; other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
