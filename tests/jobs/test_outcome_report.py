@@ -102,7 +102,10 @@ def test_command_line(spark, tmp_path):
     rng = random.Random(3)
     records = docs(rng, 60)
     write(spark, tmp_path, records, [(i, i % 2) for i, *_ in records])
-    arguments = ["--records", f"{tmp_path}/docs", "--outcomes", f"{tmp_path}/labels", "--output", f"{tmp_path}/out", "--config", str(tmp_path / "c.json")]
+    arguments = [
+        "--records", f"{tmp_path}/docs", "--outcomes", f"{tmp_path}/labels", "--output", f"{tmp_path}/out", "--config",
+        str(tmp_path / "c.json")
+    ]
     (tmp_path / "c.json").write_text('{"floor": 1}')
     done = subprocess.run([sys.executable, "-m", "jobs.outcome_report", *arguments], capture_output=True, text=True, timeout=300)
     # Without a shared folder a session in one process takes a local one.

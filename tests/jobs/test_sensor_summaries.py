@@ -20,7 +20,10 @@ DAY0 = dt.datetime(2024, 2, 28)
 
 def draw(rng, n, first, days, ids):
     return [
-        (ids + i, DAY0 + dt.timedelta(days=first + rng.random() * days), rng.randrange(5), rng.choice([None, float("nan"), float("inf")]) if rng.random() < 0.1 else round(rng.uniform(40, 300), 1), "EGV")
+        (
+            ids + i, DAY0 + dt.timedelta(days=first + rng.random() * days), rng.randrange(5),
+            rng.choice([None, float("nan"), float("inf")]) if rng.random() < 0.1 else round(rng.uniform(40, 300), 1), "EGV"
+        )
         for i in range(n)
     ]
 
@@ -54,7 +57,9 @@ class Site:
         self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/in")
 
     def run(self, checkpoint="checkpoint"):
-        return sensor_summaries.run(self.spark, f"{self.path}/in", f"{self.path}/readings", f"{self.path}/out", f"{self.path}/{checkpoint}", self.config)
+        return sensor_summaries.run(
+            self.spark, f"{self.path}/in", f"{self.path}/readings", f"{self.path}/out", f"{self.path}/{checkpoint}", self.config
+        )
 
     def stands(self):
         rows = sensor_summaries.result(self.spark, f"{self.path}/out").collect()
@@ -168,8 +173,14 @@ def test_command_line(spark, tmp_path):
     site = Site(spark, tmp_path)
     site.upload(draw(random.Random(8), 50, 0, 2, 0))
     (tmp_path / "config.json").write_text(json.dumps({"where": "event_type = 'EGV'"}))
-    paths = [x for n, p in (("source", "in"), ("readings", "readings"), ("output", "out"), ("checkpoint", "checkpoint")) for x in (f"--{n}", str(tmp_path / p))]
-    run = subprocess.run([sys.executable, "-m", "jobs.sensor_summaries", *paths, "--config", str(tmp_path / "config.json")], capture_output=True, text=True, timeout=300)
+    paths = [
+        x for n,
+        p in (("source", "in"), ("readings", "readings"), ("output", "out"), ("checkpoint", "checkpoint")) for x in (f"--{n}", str(tmp_path / p))
+    ]
+    run = subprocess.run(
+        [sys.executable, "-m", "jobs.sensor_summaries", *paths, "--config", str(tmp_path / "config.json")], capture_output=True,
+        text=True, timeout=300
+    )
     assert run.returncode == 0, run.stderr[-2000:]
     assert '"read": 50' in run.stderr
     site.check()

@@ -88,7 +88,14 @@ def plain_em(x, own, k, tol, iterations=100):
         cov = np.stack([(resp[:, c, None] * (x - mean[c])).T @ (x - mean[c]) / n[c] + 1e-6 * np.eye(x.shape[1]) for c in range(k)])
         if before is None:
             break
-        dens = np.stack([n[c] / n.sum() * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - mean[c], np.linalg.inv(cov[c]), x - mean[c])) / np.sqrt((2 * np.pi) ** x.shape[1] * np.linalg.det(cov[c])) for c in range(k)], 1)
+        dens = np.stack(
+            [
+                n[c] / n.sum() * np.exp(
+                    -0.5 * np.einsum("ni,ij,nj->n", x - mean[c], np.linalg.inv(cov[c]), x - mean[c])
+                ) / np.sqrt((2 * np.pi) ** x.shape[1] * np.linalg.det(cov[c])) for c in range(k)
+            ],
+            1
+        )
         like = np.log(dens.sum(1)).mean()
         resp = dens / dens.sum(1, keepdims=True)
         if like - before < tol:

@@ -42,7 +42,9 @@ def exact_boost(x, y, depth, rate, rounds, logistic=False):
 
 def frame(spark, x, y, **more):
     rows = [(i, *map(float, r), float(v), *(int(c[i]) for c in more.values())) for i, (r, v) in enumerate(zip(x, y))]
-    return spark.createDataFrame(rows, ", ".join(["id long", *[f"x{j} double" for j in range(x.shape[1])], "y double", *[f"{c} int" for c in more]])).repartition(3)
+    return spark.createDataFrame(
+        rows, ", ".join(["id long", *[f"x{j} double" for j in range(x.shape[1])], "y double", *[f"{c} int" for c in more]])
+    ).repartition(3)
 
 
 def guesses(df, model, run, rounds):
@@ -151,7 +153,10 @@ def test_left_out_precision_of_a_logistic_loss(spark, data):
     x, y = data
     y, fold = (y > np.median(y)).astype(float), np.arange(len(y)) % 3
     df = frame(spark, x, y, part=fold)
-    model, scores = boosting.boost(df, "id", ["x0", "x1", "x2"], "y", [Setting(2, 0.3), Setting(1, 0.1)], 4, folds=3, fold="part", loss="logistic", score_at=(2, 4))
+    model, scores = boosting.boost(
+        df, "id", ["x0", "x1", "x2"], "y", [Setting(2, 0.3), Setting(1, 0.1)], 4, folds=3, fold="part", loss="logistic",
+        score_at=(2, 4)
+    )
     for r in scores.collect():
         out = fold == model.folds[r["run"]]
         p = np.round(guesses(df, model, r["run"], r["rounds"]), 4)[out]

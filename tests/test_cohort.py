@@ -26,7 +26,9 @@ def test_one_hot_ties_and_none_set(spark):
 
 def test_imputation_by_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", float("nan")), (None, 5.0)], "g string, x double")
-    assert sorted((r["g"] or "", r["x"] or -1) for r in prep.impute_by_group(df, "g", ["x"]).collect()) == [("", 5.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", -1)]
+    assert sorted(
+        (r["g"] or "", r["x"] or -1) for r in prep.impute_by_group(df, "g", ["x"]).collect()
+    ) == [("", 5.0), ("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", -1)]
 
 
 def test_assignments_must_be_whole(spark):
@@ -95,7 +97,9 @@ def test_ladder_stages():
     columns = ["age", "bmi", "race_a", "sex_f", "avg_daily_steps", "import_glucose", "import_hdl", "mage"]
     stages = selection.ladder(columns)
     assert list(stages) == ["1", "2", "3", "4", "5a", "5b", "6a", "6b"]
-    assert stages["4"] == ["age", "race_a", "sex_f", "bmi", "avg_daily_steps", "import_hdl"] and stages["5a"][-1] == "mage" and stages["6b"][-1] == "import_glucose"
+    assert stages["4"] == [
+        "age", "race_a", "sex_f", "bmi", "avg_daily_steps", "import_hdl"
+    ] and stages["5a"][-1] == "mage" and stages["6b"][-1] == "import_glucose"
 
 
 def test_elastic_net_equals_coordinate_descent(spark):
@@ -109,7 +113,9 @@ def test_elastic_net_equals_coordinate_descent(spark):
             r = c - x @ w + x[:, j] * w[j]
             z = x[:, j] @ r / 60
             w[j] = math.copysign(max(abs(z) - alpha * l1, 0), z) / (1 + alpha * (1 - l1))
-    df = spark.createDataFrame([(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double")
+    df = spark.createDataFrame(
+        [(i, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, a double, b double, c double, y double"
+    )
     fitted = models.fit_model(df, "id", ["a", "b", "c"], "y", "elastic_net", [models.elastic_settings(alpha, l1, float(y.std()))])
     assert list(fitted.coefficients().values()) == pytest.approx(w, abs=1e-4)
 
@@ -134,7 +140,9 @@ def test_tree_attributions_add_up_to_predictions(spark):
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
     fitted = models.fit_model(df, "id", ["a", "b", "c"], "y", "boosted", [{"maxDepth": 3, "maxIter": 5, "stepSize": 0.3}])
     mean = expected(models.leaves(fitted.model))
-    both = models.tree_attributions(df, fitted, "id").select("id", (F.col("a") + F.col("b") + F.col("c")).alias("s")).join(fitted.predict(df, "p"), "id").toPandas()
+    both = models.tree_attributions(df, fitted, "id").select(
+        "id", (F.col("a") + F.col("b") + F.col("c")).alias("s")
+    ).join(fitted.predict(df, "p"), "id").toPandas()
     assert (both["s"] + mean).to_numpy() == pytest.approx(both["p"].to_numpy(), abs=1e-9)
 
 

@@ -16,7 +16,10 @@ def data(spark):
     y = np.where(z[:, 0] + rng.normal(0, 1, 180) > 0.7, 1, np.where(z[:, 1] + rng.normal(0, 1, 180) > 0.8, 2, 0))
     fold = np.arange(180) % 3
     rows = [(*map(float, r), int(v), int(k)) for r, v, k in zip(x, y, fold)]
-    df = spark.createDataFrame(rows + [(None, 1.0, 1.0, 1, 0), (float("nan"), 1.0, 1.0, 0, 1), (1.0, 1.0, 1.0, None, 2)], "a double, b double, c double, y int, k int").repartition(4)
+    df = spark.createDataFrame(
+        rows + [(None, 1.0, 1.0, 1, 0), (float("nan"), 1.0, 1.0, 0, 1), (1.0, 1.0, 1.0, None, 2)],
+        "a double, b double, c double, y int, k int"
+    ).repartition(4)
     return x, y, fold, df
 
 

@@ -30,7 +30,10 @@ def test_mage_of_a_constant_series_is_unknown(spark):
     assert glucose.excursions(readings(spark, [120] * 6), SPEC).first()["mage"] is None
 
 
-@pytest.mark.parametrize("value, low, high", [(10, 100.041508, 0), (20, 100.041508, 0), (54, 18.461365, 0), (70, 7.755206, 0), (180, 0, 7.729312), (250, 0, 22.436200), (700, 0, 99.948051)])
+@pytest.mark.parametrize(
+    "value, low, high",
+    [(10, 100.041508, 0), (20, 100.041508, 0), (54, 18.461365, 0), (70, 7.755206, 0), (180, 0, 7.729312), (250, 0, 22.436200), (700, 0, 99.948051)]
+)
 def test_risk(spark, value, low, high):
     row = glucose.per_series(readings(spark, [value, value]), SPEC, glucose.risk()).first()
     assert (row["lbgi"], row["hbgi"]) == (pytest.approx(low, abs=1e-5), pytest.approx(high, abs=1e-5))

@@ -72,6 +72,9 @@ def test_entry_imports_without_the_llm_subpackage(tmp_path, gone):
         if (root / name).exists():
             shutil.copy(root / name, tmp_path)
     block = "import sys; sys.modules['xxhash'] = None; " if gone == "library" else ""
-    said = subprocess.run([sys.executable, "-c", block + "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    said = subprocess.run(
+        [sys.executable, "-c", block + "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path,
+        env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True
+    )
     rest = [len(catalog.QUERIES) + len(jobs.QUERIES), len(catalog.ORACLES) + len(jobs.ORACLES)]
     assert said.stdout.split() == list(map(str, rest)), said.stderr

@@ -95,7 +95,9 @@ def test_weights_are_poisson_and_equal_sql():
     con = duckdb.connect()
     sql = resampling.weight_sql("n", "r", 2)
     want = resampling.weights(number[:50], 20, 2)
-    got = con.execute(f"SELECT {sql} FROM (SELECT unnest({number[:50].tolist()}) AS n), range(1, 21) AS t(r) ORDER BY list_position({number[:50].tolist()}, n), r").fetchall()
+    got = con.execute(
+        f"SELECT {sql} FROM (SELECT unnest({number[:50].tolist()}) AS n), range(1, 21) AS t(r) ORDER BY list_position({number[:50].tolist()}, n), r"
+    ).fetchall()
     assert [g[0] for g in got] == want.ravel().tolist()
 
 

@@ -88,7 +88,9 @@ def _weight(number: np.ndarray, runs: Sequence[Run]) -> np.ndarray:
 def uniform(number: np.ndarray, seeds: np.ndarray, step: int) -> np.ndarray:
     """Numbers above 0 and below 1 (rows, seeds), by a 64-bit mix of key, seed and step."""
     with np.errstate(over="ignore"):
-        x = number.astype(np.uint64)[:, None] + ((seeds.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + np.uint64(step + 1) * np.uint64(0x9E3779B97F4A7C15))
+        x = number.astype(np.uint64)[:, None] + (
+            (seeds.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) + np.uint64(step + 1) * np.uint64(0x9E3779B97F4A7C15)
+        )
         for multiplier in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
             x = (x ^ (x >> np.uint64(29))) * np.uint64(multiplier)
     return ((x >> np.uint64(11)) + 0.5) / float(1 << 53)
@@ -145,10 +147,15 @@ def first_centres(rows: DataFrame, runs: Sequence[Run], p: int) -> list[np.ndarr
                         best[i] = float(value[at]), x[at]
             if best:
                 run, found = zip(*best.items())
-                yield pa.RecordBatch.from_arrays([pa.array(run, pa.int32()), pa.array([f[0] for f in found]), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))], ["run", "value", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(run, pa.int32()), pa.array([f[0] for f in found]), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))],
+                    ["run", "value", "x"]
+                )
 
         if open_:
-            found = rows.mapInArrow(nearest, "run int, value double, x array<double>").groupBy("run").agg(F.min(F.struct("value", "x"))["x"].alias("x"))
+            found = rows.mapInArrow(
+                nearest, "run int, value double, x array<double>"
+            ).groupBy("run").agg(F.min(F.struct("value", "x"))["x"].alias("x"))
             for r in found.collect():
                 chosen[r["run"]].append(np.array(r["x"]))
     # Fewer different rows than clusters: the last one stands for the rest.
@@ -249,11 +256,19 @@ def stability(df: DataFrame, key: str, columns: Sequence[str], label: str, k: in
                     total[name] = total.get(name, 0) + np.stack([(mine & (own == c)).sum(0) for c in range(k)], 1)
         for name, t in total.items():
             b, c = np.nonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(b)), pa.array(b.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(t[b, c])], ["original", "resample", "new", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(b)), pa.array(b.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(t[b, c])],
+                ["original", "resample", "new", "n"]
+            )
 
     known = " AND ".join(["number IS NOT NULL", *[f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(len(columns))]])
-    rows = named.select(key_number(F.col(key)).alias("number"), F.col(label).cast("string").alias("original"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).where(known)
-    cells = rows.mapInArrow(counts, "original string, resample int, new int, n long").groupBy("original", "resample", "new").agg(F.sum("n").alias("n"))
+    rows = named.select(
+        key_number(F.col(key)).alias("number"), F.col(label).cast("string").alias("original"),
+        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    ).where(known)
+    cells = rows.mapInArrow(
+        counts, "original string, resample int, new int, n long"
+    ).groupBy("original", "resample", "new").agg(F.sum("n").alias("n"))
     two = lambda c: c * (c - 1) / 2.0
     each = cells.groupBy("original", "resample").agg(F.sum(two(F.col("n"))).alias("together"), F.sum("n").alias("m"))
     pairs = F.sum(two(F.col("m")))

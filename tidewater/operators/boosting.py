@@ -189,7 +189,9 @@ def _pass(model: Boosted, since: list[Trees], partial: Trees, runs: Sequence[int
                 rows.append((r, node + first, table[:, node].tobytes()))
         if rows:
             run_, node, raw = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(run_, pa.int32()), pa.array(node, pa.int32()), pa.array(raw, pa.binary())], ["run", "node", "sums"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(run_, pa.int32()), pa.array(node, pa.int32()), pa.array(raw, pa.binary())], ["run", "node", "sums"]
+            )
 
     return run
 
@@ -216,7 +218,12 @@ def _best(columns: np.ndarray, bins: int, penalty: float, least: float):  # noqa
             if gain[f, cut] > best[0]:
                 best = (float(gain[f, cut]), int(f), int(cut), unknown_left, float(left[0, f, cut]), float(left[1, f, cut]))
         return pa.Table.from_pylist(
-            [dict(run=r, node=node, gain=best[0], feature=best[1], cut=best[2], unknown_left=best[3], gl=best[4], hl=best[5], g=float(total[0]), h=float(total[1]))],
+            [
+                dict(
+                    run=r, node=node, gain=best[0], feature=best[1], cut=best[2], unknown_left=best[3], gl=best[4], hl=best[5],
+                    g=float(total[0]), h=float(total[1])
+                )
+            ],
             _CUT,
         )
 
@@ -248,7 +255,10 @@ def boost(
         raise ValueError(f"at most {UNKNOWN - 1} bins")
     runs = [(s, k) for s in settings for k in (None, *range(folds))]
     of_fold = F.col(fold).cast("int") if fold else F.lit(-2)
-    rows = df.select(F.xxhash64(key).alias("id"), F.col(label).cast("double").alias("y"), of_fold.alias("fold"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    rows = df.select(
+        F.xxhash64(key).alias("id"), F.col(label).cast("double").alias("y"), of_fold.alias("fold"),
+        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    )
     rows = rows.where("y IS NOT NULL AND NOT isnan(y)")
     edges = quantile_edges(rows, [f"x{i}" for i in range(len(features))], bins)
     sums = {r["fold"]: (r["n"], r["y"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()}
@@ -268,7 +278,10 @@ def boost(
         for batch in batches:
             x = np.stack([batch.column(3 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(p)], 1)
             codes = [c.tobytes() for c in model.codes(x)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(codes, pa.binary()), pa.array([start] * len(codes), pa.binary())], ["id", "y", "fold", "codes", "f"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(3)), pa.array(codes, pa.binary()), pa.array([start] * len(codes), pa.binary())],
+                ["id", "y", "fold", "codes", "f"]
+            )
 
     schema = "id long, y double, fold int, codes binary, f binary"
     with temporary(df.sparkSession) as store:
@@ -356,7 +369,9 @@ def _left_out(state: DataFrame, model: Boosted, rounds: int) -> list[tuple]:
         precision = average_precision(t[4 : 4 + BINS], t[4 + BINS :]) if ranked else None
         return pa.table({"run": rows.column("run")[:1], **found, "precision": pa.array([precision], pa.float64())})
 
-    each = state.mapInArrow(sums, "run int, sums binary").groupBy("run").applyInArrow(added, "run int, n double, error double, y double, yy double, precision double")
+    each = state.mapInArrow(sums, "run int, sums binary").groupBy("run").applyInArrow(
+        added, "run int, n double, error double, y double, yy double, precision double"
+    )
     return [(r["run"], rounds, int(r["n"]), r["error"], r["y"], r["yy"], r["precision"]) for r in each.collect()]
 
 

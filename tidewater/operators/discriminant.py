@@ -67,8 +67,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[np.n
 
 def _rows(df: DataFrame, features: Sequence[str], label: str, fold: str) -> DataFrame:
     """label, fold and columns of the rows that are known in full, kept while passes read them."""
-    rows = df.select(F.col(label).cast("int").alias("label"), F.col(fold).cast("int").alias("fold"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)])
-    return rows.where(" AND ".join(["label IS NOT NULL AND fold IS NOT NULL", *[f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(len(features))]])).checkpoint()
+    rows = df.select(
+        F.col(label).cast("int").alias("label"), F.col(fold).cast("int").alias("fold"),
+        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    )
+    return rows.where(
+        " AND ".join(["label IS NOT NULL AND fold IS NOT NULL", *[f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(len(features))]])
+    ).checkpoint()
 
 
 def _kept(fold: np.ndarray, folds: np.ndarray, inside: bool) -> np.ndarray:
@@ -92,7 +97,9 @@ def average_precision(positive: np.ndarray, negative: np.ndarray) -> float | Non
     return float((tp / np.maximum(tp + fp, 1) * positive[::-1]).sum() / tp[-1])
 
 
-def left_out_precision(rows: DataFrame, problems: Sequence[Problem], score: Callable[[np.ndarray], np.ndarray], ends: tuple[float, float]) -> list[float | None]:
+def left_out_precision(
+    rows: DataFrame, problems: Sequence[Problem], score: Callable[[np.ndarray], np.ndarray], ends: tuple[float, float]
+) -> list[float | None]:
     """Each model's average precision over the rows of its fold; score: columns to (rows, models)."""
     labels, folds = np.array([p.label for p in problems]), np.array([-1 if p.fold is None else p.fold for p in problems])
 
@@ -105,7 +112,9 @@ def left_out_precision(rows: DataFrame, problems: Sequence[Problem], score: Call
             total += np.bincount(place, minlength=total.size).reshape(total.shape)
         some = np.flatnonzero(total.any((1, 2)))
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([total[i].tobytes() for i in some], pa.binary())], ["model", "sums"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array([total[i].tobytes() for i in some], pa.binary())], ["model", "sums"]
+            )
 
     def scored(table: pa.Table) -> pa.Table:
         pos, neg = np.frombuffer(_added("model")(table).column("sums")[0].as_py(), "<f8").reshape(2, BINS)
@@ -157,7 +166,10 @@ def fit_logistic(rows: DataFrame, problems: Sequence[Problem], mean: np.ndarray,
                 total[:, 1] += (loss * kept).sum(0)
                 total[:, 2 : p + 3] += ((prob - y) * kept).T @ z
                 total[:, p + 3 :] += (prob * (1 - prob) * kept).T @ (z[:, up[0]] * z[:, up[1]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(active), dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())], ["model", "sums"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(active), dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())],
+                ["model", "sums"]
+            )
 
         found = rows.mapInArrow(sums, "model int, sums binary").groupBy("model").applyInArrow(_added("model"), "model int, sums binary").collect()
         return {int(active[r["model"]]): np.frombuffer(bytes(r["sums"]), "<f8") for r in found}
@@ -253,7 +265,9 @@ def pls_coefficients(gram: np.ndarray, target: np.ndarray, most: int) -> np.ndar
     return np.array(out).reshape(most, p)
 
 
-def partial_least_squares(df: DataFrame, features: Sequence[str], label: str, fold: str, folds: int = 5, most: int = MOST_COMPONENTS) -> tuple[Linear, list[float]]:
+def partial_least_squares(
+    df: DataFrame, features: Sequence[str], label: str, fold: str, folds: int = 5, most: int = MOST_COMPONENTS
+) -> tuple[Linear, list[float]]:
     """The model of a 0/1 label with the number of components (up to `most`, and the columns) whose mean
     average precision over the folds is best, and that of each number. Columns are scaled by all rows
     to learn from; a score of 0.5 or more is a positive."""

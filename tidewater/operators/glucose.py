@@ -94,7 +94,10 @@ def glycemia_risk() -> dict[str, Column]:
 def windows_of_day() -> dict[str, Column]:
     h = hour_of_day(_t())
     night, day, dawn = (F.avg(F.when(c, _g())) for c in (h < 6, h >= 6, (h >= 6) & (h < 9)))
-    return {"overnight_mean": night, "daytime_mean": day, "dawn_rise": dawn - night, "nocturnal_hypo_pct": F.avg(F.when(h < 6, F.when(_g() < LOW, 100.0).otherwise(0.0)))}
+    return {
+        "overnight_mean": night, "daytime_mean": day, "dawn_rise": dawn - night,
+        "nocturnal_hypo_pct": F.avg(F.when(h < 6, F.when(_g() < LOW, 100.0).otherwise(0.0)))
+    }
 
 
 def cosinor(spec: SeriesSpec) -> dict[str, Column]:
@@ -124,7 +127,9 @@ def cosinor(spec: SeriesSpec) -> dict[str, Column]:
 def per_series(rows: DataFrame, spec: SeriesSpec, features: dict[str, Column]) -> DataFrame:
     """series and features; series with too few readings are left out. Aggregates are combined in
     the scan, before the shuffle."""
-    return rows.groupBy("series").agg(F.count("*").alias("_n"), *[c.alias(n) for n, c in features.items()]).where(F.col("_n") >= spec.min_readings).drop("_n")
+    return rows.groupBy("series").agg(
+        F.count("*").alias("_n"), *[c.alias(n) for n, c in features.items()]
+    ).where(F.col("_n") >= spec.min_readings).drop("_n")
 
 
 def absolute_deviation(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -186,7 +191,9 @@ def episodes(rows: DataFrame, spec: SeriesSpec, min_length: int = 3) -> DataFram
     out = rows.groupBy("series").agg(F.count("*").alias("_n")).where(F.col("_n") >= spec.min_readings).select("series")
     for name, flag in (("hypo", _g() < LOW), ("hyper", _g() > HIGH)):
         long_ = runs(rows, flag).where(F.col("length") >= min_length)
-        found = long_.groupBy("series").agg(F.count("*").alias(f"n_{name}_events"), (F.avg("length") * spec.interval_min).alias(f"mean_{name}_dur_min"))
+        found = long_.groupBy("series").agg(
+            F.count("*").alias(f"n_{name}_events"), (F.avg("length") * spec.interval_min).alias(f"mean_{name}_dur_min")
+        )
         out = out.join(found, "series", "left")
     return out.na.fill(0).select("series", "n_hypo_events", "mean_hypo_dur_min", "n_hyper_events", "mean_hyper_dur_min")
 
@@ -205,7 +212,11 @@ def grid_dynamics(slots: DataFrame, spec: SeriesSpec) -> DataFrame:
     varied = (F.stddev_pop(F.when(both, _g())) > 0) & (F.stddev_pop("g1") > 0)
     return rows.groupBy("series").agg(
         F.avg(F.abs(_g() - F.col("gday"))).alias("modd"),
-        *[(F.stddev_samp(_g() - F.col(f"gh{h}")) if hour or h * 60 >= spec.interval_min else F.lit(None).cast("double")).alias(f"conga{h}") for h in (1, 2, 4, 6)],
+        *[
+            (
+                F.stddev_samp(_g() - F.col(f"gh{h}")) if hour or h * 60 >= spec.interval_min else F.lit(None).cast("double")
+            ).alias(f"conga{h}") for h in (1, 2, 4, 6)
+        ],
         ratio(F.sum(F.abs(_g() - F.col("gprev"))), hours).alias("mag_per_hour"),
         F.avg(F.abs(rate)).alias("roc_mean_abs"),
         F.stddev_samp(rate).alias("roc_sd"),
@@ -257,7 +268,10 @@ def complexity(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
         part = part.sort_values("slot")
         slot, g = part["slot"].to_numpy(np.int64), part["g"].to_numpy(float)
         circadian, period, entropy = spectrum(slot, g, int(part["slots"].iloc[0]), step, per_day)
-        row = {"series": part["series"].iloc[0], "sample_entropy": sample_entropy(g), "spectral_circadian_frac": circadian, "spectral_dominant_period_h": period, "spectral_entropy": entropy}
+        row = {
+            "series": part["series"].iloc[0], "sample_entropy": sample_entropy(g), "spectral_circadian_frac": circadian,
+            "spectral_dominant_period_h": period, "spectral_entropy": entropy
+        }
         return pd.DataFrame([row])
 
     kind = dict(rows.dtypes)["series"]
@@ -267,7 +281,9 @@ def complexity(rows: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def nightly(rows: DataFrame) -> DataFrame:
     """Pooled mean of nights, and the mean of each night's mean."""
-    nights = rows.where(F.hour(_t()) < 6).groupBy("series", F.to_date(_t()).alias("night")).agg(F.avg("g").alias("mean"), F.sum("g").alias("total"), F.count("*").alias("n"))
+    nights = rows.where(F.hour(_t()) < 6).groupBy("series", F.to_date(_t()).alias("night")).agg(
+        F.avg("g").alias("mean"), F.sum("g").alias("total"), F.count("*").alias("n")
+    )
     return nights.groupBy("series").agg(
         ratio(F.sum("total"), F.sum("n")).alias("pooled_mean"), F.sum("n").alias("n_readings"), F.avg("mean").alias("mean_of_nightly_means"), F.count("*").alias("n_nights")
     )

@@ -62,12 +62,18 @@ def elastic_settings(alpha: float, l1_ratio: float, sd_label: float) -> dict[str
     return {"regParam": total, "elasticNetParam": alpha * l1_ratio / total if total else 0.0}
 
 
-def _tune(df: DataFrame, key: str, grid: Sequence[dict[str, float]], fit: Callable, score: Callable[[DataFrame], float], n_folds: int) -> tuple[dict[str, float], float]:
+def _tune(
+    df: DataFrame, key: str, grid: Sequence[dict[str, float]], fit: Callable, score: Callable[[DataFrame], float], n_folds: int
+) -> tuple[dict[str, float], float]:
     parted = folds(df, key, n_folds).persist()
     best: tuple[dict[str, float], float] = (dict(grid[0]), -np.inf)
     try:
         for settings in grid if len(grid) > 1 else []:
-            scores = [s for k in range(n_folds) if (s := score(fit(parted.where(F.col("fold") != k), settings).transform(parted.where(F.col("fold") == k)))) is not None]
+            scores = [
+                s for k in range(n_folds) if (
+                    s := score(fit(parted.where(F.col("fold") != k), settings).transform(parted.where(F.col("fold") == k)))
+                ) is not None
+            ]
             if scores and (mean := float(np.mean(scores))) > best[1]:
                 best = dict(settings), mean
     finally:
@@ -91,13 +97,18 @@ def _estimate(kind: type, label: str, **fixed: object) -> Callable[[DataFrame, d
     return lambda df, settings: kind(featuresCol="features", labelCol=label, **fixed, **settings).fit(df)
 
 
-def fit_model(df: DataFrame, key: str, features: Sequence[str], label: str, kind: str, grid: Sequence[dict[str, float]] | None = None, n_folds: int = 5) -> Fitted:
+def fit_model(
+    df: DataFrame, key: str, features: Sequence[str], label: str, kind: str, grid: Sequence[dict[str, float]] | None = None,
+    n_folds: int = 5
+) -> Fitted:
     """kind: ols, elastic_net, boosted, logistic, elastic_logistic or boosted_classifier. Features
     should be standardised (population SD) for the penalised kinds."""
     rows = _vector(df.select(key, label, *features), features)
     if kind in ("ols", "elastic_net"):
         sd = float(df.agg(F.stddev_pop(label).alias("s")).first()["s"] or 1.0)
-        default = [elastic_settings(a, r, sd) for a in ALPHAS for r in L1_RATIOS] if kind == "elastic_net" else [{"regParam": 0.0, "elasticNetParam": 0.0}]
+        default = [
+            elastic_settings(a, r, sd) for a in ALPHAS for r in L1_RATIOS
+        ] if kind == "elastic_net" else [{"regParam": 0.0, "elasticNetParam": 0.0}]
         fit, score = _estimate(LinearRegression, label, standardization=False, maxIter=200, tol=1e-8), _r2(label)
     elif kind == "boosted":
         default, fit, score = TREES, _estimate(GBTRegressor, label, seed=0), _r2(label)
@@ -118,7 +129,10 @@ def groups_to_fit(df: DataFrame, group: str, label: str | None = None, at_least:
     return [r[group] for r in n.where((F.col("n") >= at_least) & (F.col("classes") > 1)).orderBy(group).collect()]
 
 
-def ablation(df: DataFrame, key: str, label: str, scenarios: dict[str, Sequence[str]], kind: str, learn: str = "split = 'train'", test: str = "split = 'test'", grid: Sequence[dict[str, float]] | None = None) -> DataFrame:
+def ablation(
+    df: DataFrame, key: str, label: str, scenarios: dict[str, Sequence[str]], kind: str, learn: str = "split = 'train'",
+    test: str = "split = 'test'", grid: Sequence[dict[str, float]] | None = None
+) -> DataFrame:
     """Predictions of each scenario's model for the test rows: scenario, key, actual, predicted."""
     out = None
     for name, features in scenarios.items():
@@ -131,7 +145,10 @@ def ablation(df: DataFrame, key: str, label: str, scenarios: dict[str, Sequence[
     return out
 
 
-def coefficients_table(df: DataFrame, group: str, key: str, features: Sequence[str], label: str, kind: str = "ols", learn: str = "split = 'train'", test: str = "split = 'test'", grid: Sequence[dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+def coefficients_table(
+    df: DataFrame, group: str, key: str, features: Sequence[str], label: str, kind: str = "ols", learn: str = "split = 'train'",
+    test: str = "split = 'test'", grid: Sequence[dict[str, float]] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """A model for every group with MIN_ROWS to learn from, on columns scaled by its own learning
     rows: coefficients (group, feature, coefficient) and scores of its test rows (group, r2, mse, n)."""
     spark, rows, scores = df.sparkSession, [], None
@@ -144,7 +161,9 @@ def coefficients_table(df: DataFrame, group: str, key: str, features: Sequence[s
         rows += [(g, f.removesuffix("_z"), v) for f, v in fitted.coefficients().items()]
         one = regression_scores(fitted.predict(known.where(test), "_p"), label, "_p", [group])
         scores = one if scores is None else scores.unionByName(one)
-    return spark.createDataFrame(rows, f"`{group}` {kind_of}, feature string, coefficient double"), scores if scores is not None else spark.createDataFrame([], f"`{group}` {kind_of}, r2 double, mse double, n long")
+    return spark.createDataFrame(
+        rows, f"`{group}` {kind_of}, feature string, coefficient double"
+    ), scores if scores is not None else spark.createDataFrame([], f"`{group}` {kind_of}, r2 double, mse double, n long")
 
 
 def mean_absolute(attributed: DataFrame, features: Sequence[str]) -> DataFrame:

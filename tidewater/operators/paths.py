@@ -77,7 +77,10 @@ def moments(df: DataFrame, features: Sequence[str], label: str, fold: str, folds
                 total[k] += mine.T @ mine
         for k in np.flatnonzero(total[:, 0, 0]).tolist():
             i, j = np.triu_indices(m + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[k][i, j])], ["fold", "i", "j", "s"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), k, np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[k][i, j])],
+                ["fold", "i", "j", "s"]
+            )
 
     out = np.zeros((folds, m + 1, m + 1))
     for r in rows.mapInArrow(sums, "fold int, i int, j int, s double").groupBy("fold", "i", "j").agg(F.sum("s").alias("s")).collect():
@@ -115,7 +118,9 @@ def _scaled(m: Moments, fold: int | None, by: np.ndarray | None = None) -> tuple
     return c[:-1, :-1] / np.outer(sd, sd), c[:-1, -1] / sd, sd
 
 
-def search(m: Moments, alphas: Sequence[float] | None = ALPHAS, ratios: Sequence[float] = RATIOS, scale_in_folds: bool = True) -> tuple[Fit, list[tuple[float, float, float]]]:
+def search(
+    m: Moments, alphas: Sequence[float] | None = ALPHAS, ratios: Sequence[float] = RATIOS, scale_in_folds: bool = True
+) -> tuple[Fit, list[tuple[float, float, float]]]:
     """The penalty with the least mean squared error over the folds, and (alpha, ratio, mse) of all.
     Without alphas, each ratio has a path of PATH_LENGTH from the penalty that leaves no coefficient."""
     known = [k for k in range(len(m.n)) if m.n[k] > 0 and m.n.sum() > m.n[k]]
@@ -130,7 +135,10 @@ def search(m: Moments, alphas: Sequence[float] | None = ALPHAS, ratios: Sequence
     problems = [(i, r) for i in range(len(known)) for r in range(len(ratios))]
     mse = np.zeros(steps.shape)
     if problems:
-        w = descend(np.array([fits[i][0] for i, _ in problems]), np.array([fits[i][1] for i, _ in problems]), np.array([steps[r] for _, r in problems]), np.array([ratios[r] for _, r in problems]))
+        w = descend(
+            np.array([fits[i][0] for i, _ in problems]), np.array([fits[i][1] for i, _ in problems]),
+            np.array([steps[r] for _, r in problems]), np.array([ratios[r] for _, r in problems])
+        )
         for (i, r), path in zip(problems, w):
             k = known[i]
             _, mean, _ = m.without(k)
@@ -144,7 +152,10 @@ def search(m: Moments, alphas: Sequence[float] | None = ALPHAS, ratios: Sequence
     b = whole[-1] / sd
     _, mean, _ = m.without(None)
     place = m.origin + mean
-    fit = Fit(float(steps[r, s]), float(ratios[r]), error, float(place[-1] - b @ place[:-1]), dict(zip(m.features, b.tolist())), dict(zip(m.features, whole[-1].tolist())))
+    fit = Fit(
+        float(steps[r, s]), float(ratios[r]), error, float(place[-1] - b @ place[:-1]), dict(zip(m.features, b.tolist())),
+        dict(zip(m.features, whole[-1].tolist()))
+    )
     return fit, [(float(steps[i, j]), float(ratios[i]), e) for e, i, j in order]
 
 
@@ -163,7 +174,10 @@ def least_squares(m: Moments, fold: int | None, others: bool = True) -> tuple[fl
     return float(place[-1] - b @ place[:-1]), b
 
 
-def fold_predictions(df: DataFrame, key: str, features: Sequence[str], label: str, fold: str, folds: int = 5, reverse: bool = False, solve: Callable[[Moments, int, bool], tuple[float, np.ndarray]] = least_squares) -> DataFrame:
+def fold_predictions(
+    df: DataFrame, key: str, features: Sequence[str], label: str, fold: str, folds: int = 5, reverse: bool = False,
+    solve: Callable[[Moments, int, bool], tuple[float, np.ndarray]] = least_squares
+) -> DataFrame:
     """run, key, actual, predicted: every fold by a model of the others or, in reverse, every other
     fold by a model of one. Models come from the sums of the folds (`solve`), so rows are scanned once
     for all of them, and once to be predicted."""

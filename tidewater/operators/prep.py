@@ -100,7 +100,9 @@ def split_by_stratum(df: DataFrame, key: str, stratum: str, share: float = 0.2,
     ranked = average_ranks(df.withColumn("_h", h), "_h", [stratum], "_rank")
     sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
     held = ranked.join(sizes, F.col(stratum) == F.col("_s"))
-    return held.withColumn(name, F.when(F.col("_rank") <= F.floor(F.col("_n") * share + 0.5), "test").otherwise("train")).drop("_h", "_rank", "_s", "_n")
+    return held.withColumn(
+        name, F.when(F.col("_rank") <= F.floor(F.col("_n") * share + 0.5), "test").otherwise("train")
+    ).drop("_h", "_rank", "_s", "_n")
 
 
 def join_suffixed(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str]) -> DataFrame:

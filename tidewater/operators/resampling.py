@@ -121,7 +121,10 @@ def ranked(df: DataFrame, key: str, label: str, score: str, by: str | None = Non
     if it has one class only. Rows without label or score take no part."""
     spark = df.sparkSession
     g = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
-    rows = df.select(g.alias("g"), F.col(score).cast("double").alias("score"), (F.col(label) > 0).cast("int").alias("label"), key_number(F.col(key)).alias("number"))
+    rows = df.select(
+        g.alias("g"), F.col(score).cast("double").alias("score"), (F.col(label) > 0).cast("int").alias("label"),
+        key_number(F.col(key)).alias("number")
+    )
     rows = rows.where("score IS NOT NULL AND NOT isnan(score) AND label IS NOT NULL AND number IS NOT NULL")
     seen = rows.agg(F.count("*").alias("n"), F.percentile_approx("score", [i / 1024 for i in range(1, 1024)], 10_000).alias("cuts")).first()
     parts = min(1024, max(PARTS, seen["n"] // PART_ROWS))
@@ -186,14 +189,20 @@ def intervals(resampled: DataFrame, metrics: Sequence[str], by: str | None = Non
     long = resampled.select(*keys, F.inline(cells)).groupBy(*keys, "metric")
     enough = F.count("v") >= at_least
     return long.agg(
-        *[F.when(enough, f).alias(n) for n, f in (("lo", F.percentile("v", 0.025)), ("hi", F.percentile("v", 0.975)), ("se", F.stddev_samp("v")))], F.count("v").alias("valid")
+        *[
+            F.when(enough, f).alias(n) for n,
+            f in (("lo", F.percentile("v", 0.025)), ("hi", F.percentile("v", 0.975)), ("se", F.stddev_samp("v")))
+        ], F.count("v").alias("valid")
     )
 
 
 def regression(df: DataFrame, key: str, actual: str, predicted: str, by: str | None = None, resamples: int = 1000, seed: int = 0) -> DataFrame:
     """by (if given, as a string), resample, r2 and mse of every resample, from sums alone: one scan."""
     g = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
-    rows = df.select(g.alias("g"), F.col(actual).cast("double").alias("y"), F.col(predicted).cast("double").alias("f"), key_number(F.col(key)).alias("number"))
+    rows = df.select(
+        g.alias("g"), F.col(actual).cast("double").alias("y"), F.col(predicted).cast("double").alias("f"),
+        key_number(F.col(key)).alias("number")
+    )
     rows = rows.where("y IS NOT NULL AND f IS NOT NULL AND number IS NOT NULL AND NOT isnan(y) AND NOT isnan(f)")
     # An origin near the values keeps the sums of squares exact enough; it changes rounding only.
     origin = rows.limit(1000).agg(F.avg("y")).first()[0] or 0.0

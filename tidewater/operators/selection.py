@@ -110,9 +110,15 @@ def backward_vif(df: DataFrame, columns: Sequence[str], limit: float = 10.0) ->
 #: Panels for clustering: names by role; those in log are taken as log(1 + x).
 PANELS = {
     "five": {"columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c"), "log": ("import_insulin", "import_c_peptide")},
-    "five_by_group": {"columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c"), "log": ("import_insulin", "import_c_peptide", "import_hba1c")},
+    "five_by_group": {
+        "columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_hba1c"),
+        "log": ("import_insulin", "import_c_peptide", "import_hba1c")
+    },
     "nine": {
-        "columns": ("age", "bmi", "import_insulin", "import_c_peptide", "import_creatinine", "uacr", "import_triglycerides", "import_hdl", "import_crp"),
+        "columns": (
+            "age", "bmi", "import_insulin", "import_c_peptide", "import_creatinine", "uacr", "import_triglycerides", "import_hdl",
+            "import_crp"
+        ),
         "log": ("import_insulin", "import_c_peptide", "import_creatinine", "uacr", "import_triglycerides", "import_crp"),
     },
 }

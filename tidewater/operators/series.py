@@ -41,7 +41,10 @@ def by_slot() -> WindowSpec:
 def readings(df: DataFrame, spec: SeriesSpec, where: Column | None = None) -> DataFrame:
     """series, t, tie, g: known readings only; NaN and infinities count as unknown."""
     rows = df.where(where) if where is not None else df
-    named = rows.select(F.col(spec.key).alias("series"), F.col(spec.time).alias("t"), F.col(spec.tie).alias("tie"), finite(F.col(spec.value)).alias("g"))
+    named = rows.select(
+        F.col(spec.key).alias("series"), F.col(spec.time).alias("t"), F.col(spec.tie).alias("tie"),
+        finite(F.col(spec.value)).alias("g")
+    )
     return named.where("series IS NOT NULL AND t IS NOT NULL AND g IS NOT NULL")
 
 

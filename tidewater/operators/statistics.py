@@ -64,17 +64,26 @@ def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank")
 def pairwise_u(df: DataFrame, group: str, value: str) -> DataFrame:
     """For each pair of groups: sizes, U of the first, tie-corrected z, area under the ROC curve of
     the second group as positive, p and its Bonferroni bound."""
-    counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counts = df.where(
+        F.col(value).isNotNull() & F.col(group).isNotNull()
+    ).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
     names = [r["g"] for r in df.select(F.col(group).alias("g")).where("g IS NOT NULL").distinct().orderBy("g").collect()]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     if not pairs:
         pairs = [(None, None)]
     listed = F.array(*[F.struct(F.lit(a).alias("group_1"), F.lit(b).alias("group_2")) for a, b in pairs])
     each = counts.select("*", F.explode(listed).alias("pair")).where("g = pair.group_1 OR g = pair.group_2")
-    merged = each.groupBy("pair", "v").agg(F.sum(F.when(F.expr("g = pair.group_1"), F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.expr("g = pair.group_2"), F.col("n")).otherwise(0)).alias("n2"))
-    placed = running(merged, ["pair"], "v", "n2").withColumn("u", F.col("n1") * (F.col("below_n2") + F.col("n2") / 2.0)).withColumn("t", F.col("n1") + F.col("n2"))
+    merged = each.groupBy("pair", "v").agg(
+        F.sum(F.when(F.expr("g = pair.group_1"), F.col("n")).otherwise(0)).alias("n1"),
+        F.sum(F.when(F.expr("g = pair.group_2"), F.col("n")).otherwise(0)).alias("n2")
+    )
+    placed = running(merged, ["pair"], "v", "n2").withColumn(
+        "u", F.col("n1") * (F.col("below_n2") + F.col("n2") / 2.0)
+    ).withColumn("t", F.col("n1") + F.col("n2"))
     out = placed.groupBy("pair").agg(
-        F.sum("n1").alias("n_1"), F.sum("n2").alias("n_2"), F.sum("u").alias("u_statistic"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties")
+        F.sum("n1").alias("n_1"), F.sum("n2").alias("n_2"), F.sum("u").alias("u_statistic"), F.sum(
+            F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")
+        ).alias("ties")
     )
     n, both = F.col("n_1") + F.col("n_2"), F.col("n_1") * F.col("n_2").cast("double")
     sigma = F.sqrt(both / 12 * (n + 1 - ratio(F.col("ties"), n * (n - 1.0))))
@@ -88,9 +97,13 @@ def one_vs_rest_u(df: DataFrame, level: str, value: str, at_least: int = 15) ->
     """Each level with enough rows against all others: size, U and z."""
     known = df.where(F.col(level).isNotNull() & F.col(value).isNotNull())
     ranks = average_ranks(known, value, [])
-    whole = known.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("t")).agg(F.sum("t").alias("n"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties")).first()
+    whole = known.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("t")).agg(
+        F.sum("t").alias("n"), F.sum(F.pow(F.col("t").cast("double"), F.lit(3.0)) - F.col("t")).alias("ties")
+    ).first()
     n, ties = whole["n"] or 0, whole["ties"] or 0.0
-    out = ranks.groupBy(F.col(level).alias("level")).agg(F.count("*").alias("n_level"), F.sum("rank").alias("r")).where(F.col("n_level") >= at_least).where(F.col("n_level") < n)
+    out = ranks.groupBy(F.col(level).alias("level")).agg(
+        F.count("*").alias("n_level"), F.sum("rank").alias("r")
+    ).where(F.col("n_level") >= at_least).where(F.col("n_level") < n)
     k = F.col("n_level").cast("double")
     u = F.col("r") - k * (k + 1) / 2
     sigma = F.sqrt(k * (n - k) / 12 * (n + 1 - ties / max(1.0, n * (n - 1.0))))
@@ -126,7 +139,10 @@ def outcome_comparison(df: DataFrame, by: list[str], value: str, label: str) ->
     z = ratio(F.greatest(F.abs(F.col("u") - both / 2) - 0.5, F.lit(0.0)), sigma)
     tests = sizes.where("n_1 > 0 AND n_0 > 0").count()
     u = F.when(both > 0, F.col("u"))
-    tested = out.select(*by, "n_1", "n_0", *[c.alias(k) for k, c in named.items()], u.alias("u_statistic"), z.alias("z"), ratio(u, both).alias("auroc"))
+    tested = out.select(
+        *by, "n_1", "n_0", *[c.alias(k) for k, c in named.items()], u.alias("u_statistic"), z.alias("z"),
+        ratio(u, both).alias("auroc")
+    )
     return tested.withColumn("p_value", normal_p(F.col("z"))).withColumn("p_value_bonferroni", bonferroni(F.col("p_value"), tests))
 
 
@@ -134,7 +150,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row: H, corrected for ties, its degrees of freedom and p."""
     known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     sums = average_ranks(known, value, []).groupBy(group).agg(F.sum("rank").alias("r"), F.count("*").alias("n"))
-    ties = known.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties")).first()["ties"] or 0.0
+    ties = known.groupBy(value).agg(F.count("*").cast("double").alias("t")).agg(
+        F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties")
+    ).first()["ties"] or 0.0
     n = F.sum("n").cast("double")
     h = 12 / (n * (n + 1)) * F.sum(F.col("r") * F.col("r") / F.col("n")) - 3 * (n + 1)
     one = sums.agg((h / (1 - ties / (n * n * n - n))).alias("h"), (F.count("*") - 1).alias("dof"), n.cast("long").alias("n"))
@@ -148,11 +166,15 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     col = cells.groupBy(b).agg(F.sum("o").alias("col"))
     total = cells.agg(F.sum("o").alias("n")).first()["n"] or 0
     # All cells, also empty ones: tables of categories, not of rows.
-    full = row.join(col, F.lit(True)).join(cells, [a, b], "left").withColumn("e", F.col("row") * F.col("col") / float(max(1, total))).na.fill({"o": 0})
+    full = row.join(col, F.lit(True)).join(cells, [a, b], "left").withColumn(
+        "e", F.col("row") * F.col("col") / float(max(1, total))
+    ).na.fill({"o": 0})
     dof = (F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)
     plain, shifted = F.abs(F.col("o") - F.col("e")), F.greatest(F.abs(F.col("o") - F.col("e")) - 0.5, F.lit(0.0))
     one = full.agg(F.sum(plain * plain / F.col("e")).alias("plain"), F.sum(shifted * shifted / F.col("e")).alias("shifted"), dof.alias("dof"))
-    return one.select(F.when((F.col("dof") == 1) & F.lit(yates), F.col("shifted")).otherwise(F.col("plain")).alias("chi2"), "dof").withColumn("p_value", chi2_p("chi2", "dof"))
+    return one.select(
+        F.when((F.col("dof") == 1) & F.lit(yates), F.col("shifted")).otherwise(F.col("plain")).alias("chi2"), "dof"
+    ).withColumn("p_value", chi2_p("chi2", "dof"))
 
 
 def _rank_correlation(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -162,7 +184,16 @@ def _rank_correlation(pairs: DataFrame, by: list[str]) -> DataFrame:
     for v in ("x", "y"):
         counts = met.groupBy(*by, v).agg(F.sum("k").alias("_n"))
         met = met.join(running(counts, by, v, "_n").select(*by, v, (F.col("below__n") + (F.col("_n") + 1) / 2.0).alias(f"r{v}")), [*by, v])
-    sizes = met.groupBy(*by).agg(F.sum("k").alias("n"), *[F.sum(F.col("k") * f).alias(c) for c, f in (("sx", F.col("rx")), ("sy", F.col("ry")), ("xx", F.col("rx") * F.col("rx")), ("yy", F.col("ry") * F.col("ry")), ("xy", F.col("rx") * F.col("ry")))])
+    sizes = met.groupBy(*by).agg(
+        F.sum("k").alias("n"),
+        *[
+            F.sum(F.col("k") * f).alias(c) for c,
+            f in (
+                ("sx", F.col("rx")), ("sy", F.col("ry")), ("xx", F.col("rx") * F.col("rx")), ("yy", F.col("ry") * F.col("ry")),
+                ("xy", F.col("rx") * F.col("ry"))
+            )
+        ]
+    )
     spread = lambda a, b, c: F.col(a) - F.col(b) * F.col(c) / F.col("n")
     rho = ratio(spread("xy", "sx", "sy"), F.sqrt(spread("xx", "sx", "sx") * spread("yy", "sy", "sy")))
     return sizes.select(*by, rho.alias("rho"), "n").withColumn("p_value", spearman_p("rho", "n"))
@@ -170,32 +201,48 @@ def _rank_correlation(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: correlation of average ranks, n and p."""
-    return _rank_correlation(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), [])
+    return _rank_correlation(
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")),
+        []
+    )
 
 
 def spearman_table(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Each feature's rank correlation with the target, by absolute value, with Bonferroni p."""
-    long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.expr("stack({}, {}) AS (feature, x)".format(len(features), ", ".join(f"'{c}', cast(`{c}` AS double)" for c in features)))).where("x IS NOT NULL")
+    long = df.where(F.col(target).isNotNull()).select(
+        F.col(target).alias("y"),
+        F.expr("stack({}, {}) AS (feature, x)".format(len(features), ", ".join(f"'{c}', cast(`{c}` AS double)" for c in features)))
+    ).where("x IS NOT NULL")
     out = _rank_correlation(long.select("feature", "x", F.col("y").cast("double").alias("y")), ["feature"])
     return out.withColumn("p_value_bonferroni", bonferroni(F.col("p_value"), len(features))).orderBy(F.abs("rho").desc(), "feature")
 
 
 def thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
     """Cumulative true and false positives at each distinct score, from the highest."""
-    counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(label) > 0).cast("long")).alias("p"), F.sum((F.col(label) <= 0).cast("long")).alias("q"))
+    counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+        F.sum((F.col(label) > 0).cast("long")).alias("p"), F.sum((F.col(label) <= 0).cast("long")).alias("q")
+    )
     whole = counts.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
     pos, neg = F.lit(whole["p"] or 0).cast("long"), F.lit(whole["q"] or 0).cast("long")
-    return running(counts, [], "threshold", "p", "q").select("threshold", "p", (pos - F.col("below_p")).alias("tp"), (neg - F.col("below_q")).alias("fp"), pos.alias("pos"), neg.alias("neg"))
+    return running(counts, [], "threshold", "p", "q").select(
+        "threshold", "p", (pos - F.col("below_p")).alias("tp"), (neg - F.col("below_q")).alias("fp"), pos.alias("pos"),
+        neg.alias("neg")
+    )
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    return thresholds(df, label, score).select("threshold", ratio(F.col("tp"), F.col("pos")).alias("tpr"), ratio(F.col("fp"), F.col("neg")).alias("fpr"))
+    return thresholds(df, label, score).select(
+        "threshold", ratio(F.col("tp"), F.col("pos")).alias("tpr"), ratio(F.col("fp"), F.col("neg")).alias("fpr")
+    )
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Step-wise: precision at each threshold times the recall it adds."""
     t = thresholds(df, label, score)
-    return t.agg(F.sum(F.col("tp") / (F.col("tp") + F.col("fp")) * ratio(F.col("p"), F.col("pos"))).alias("average_precision"), F.max("pos").alias("n_positive"), (F.max("pos") + F.max("neg")).alias("n"))
+    return t.agg(
+        F.sum(F.col("tp") / (F.col("tp") + F.col("fp")) * ratio(F.col("p"), F.col("pos"))).alias("average_precision"),
+        F.max("pos").alias("n_positive"), (F.max("pos") + F.max("neg")).alias("n")
+    )
 
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -206,13 +253,18 @@ def rates(df: DataFrame, label: str, predicted: str, by: list[str] | None = None
     """Sensitivity, specificity and accuracy; null for a class without rows."""
     yes, hit = F.col(label) > 0, F.col(predicted) > 0
     return df.groupBy(*(by or [])).agg(
-        ratio(F.count_if(yes & hit), F.count_if(yes)).alias("sensitivity"), ratio(F.count_if(~yes & ~hit), F.count_if(~yes)).alias("specificity"), F.avg((yes == hit).cast("double")).alias("accuracy"), F.count("*").alias("n")
+        ratio(F.count_if(yes & hit), F.count_if(yes)).alias("sensitivity"), ratio(
+            F.count_if(~yes & ~hit), F.count_if(~yes)
+        ).alias("specificity"), F.avg((yes == hit).cast("double")).alias("accuracy"), F.count("*").alias("n")
     )
 
 
 def regression_scores(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None) -> DataFrame:
     error = F.col(actual) - F.col(predicted)
-    return df.groupBy(*(by or [])).agg((1 - ratio(F.avg(error * error), F.var_pop(actual))).alias("r2"), F.avg(error * error).alias("mse"), F.count("*").alias("n"))
+    return df.groupBy(*(by or [])).agg(
+        (1 - ratio(F.avg(error * error), F.var_pop(actual))).alias("r2"), F.avg(error * error).alias("mse"),
+        F.count("*").alias("n")
+    )
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -259,10 +311,16 @@ def smoothed(df: DataFrame, by: str, key: str, x: str, y: str, share: float = 0.
 
 
 def formula_against_model(df: DataFrame, formula: Column, actual: str, predicted: str) -> DataFrame:
-    """One row: scores of a fixed formula and of a model, and their rank agreement with the truth."""
+    """One row: R2 and mean squared error of a fixed formula and of a model, and the rank correlation
+    of each with the truth, over the rows that have all three."""
     rows = df.withColumn("_f", formula).where(F.col("_f").isNotNull() & F.col(predicted).isNotNull() & F.col(actual).isNotNull())
-    scores = {n: regression_scores(rows, actual, c).select(F.col("r2").alias(f"{n}_r2"), F.col("mse").alias(f"{n}_mse")) for n, c in (("formula", "_f"), ("model", predicted))}
-    return scores["formula"].join(scores["model"], F.lit(True))
+    rows = once(rows.select(F.col(actual).alias("_t"), "_f", F.col(predicted).alias("_m")))
+    cells, spread = [], F.var_pop("_t")
+    for name, c in (("formula", "_f"), ("model", "_m")):
+        error = (F.col("_t") - F.col(c)) * (F.col("_t") - F.col(c))
+        cells += [(1 - ratio(F.avg(error), spread)).alias(f"{name}_r2"), F.avg(error).alias(f"{name}_mse")]
+    rho = {f"{n}_rho": F.lit(spearman(rows, "_t", c).first()["rho"]).cast("double") for n, c in (("formula", "_f"), ("model", "_m"))}
+    return rows.agg(*cells).withColumns(rho)
 
 
 def thresholded(df: DataFrame, score: str, cut: float, name: str = "predicted") -> DataFrame:
@@ -270,19 +328,30 @@ def thresholded(df: DataFrame, score: str, cut: float, name: str = "predicted")
     return df.withColumn(name, (F.col(score) >= cut).cast("int"))
 
 
-def bootstrap(df: DataFrame, key: str, metric: dict[str, Column], resamples: int = 1000, seed: int = 0, by: list[str] | None = None, at_least: int = 1) -> DataFrame:
+def bootstrap(
+    df: DataFrame, key: str, metric: dict[str, Column], resamples: int = 1000, seed: int = 0, by: list[str] | None = None,
+    at_least: int = 1
+) -> DataFrame:
     """Percentile intervals of aggregate metrics over Poisson resamples, unknown if fewer than
     `at_least` resamples give a value: each row's weight in each
     resample is drawn from a hash of its key, so resamples need no shuffle of rows and reruns
     agree; weights enter as repeats, and aggregates are combined in the scan."""
     text = F.concat_ws("|", F.lit(seed).cast("string"), F.col("resample").cast("string"), F.col(key).cast("string"))
     u = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    bounds = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+    bounds = [
+        0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
+        0.9999167588507119
+    ]
     weight = sum(((u > b).cast("int") for b in bounds), F.lit(0))
-    drawn = df.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), weight)))
+    drawn = df.withColumn(
+        "resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))
+    ).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), weight)))
     each = drawn.groupBy(*(by or []), "resample").agg(*[c.alias(n) for n, c in metric.items()])
     cells = []
     for n in metric:
         enough = F.count(n) >= at_least
-        cells += [F.when(enough, f).alias(f"{n}_{end}") for end, f in (("lo", F.percentile(n, 0.025)), ("hi", F.percentile(n, 0.975)), ("se", F.stddev_samp(n)))] + [F.count(n).alias(f"{n}_valid")]
+        cells += [
+            F.when(enough, f).alias(f"{n}_{end}") for end,
+            f in (("lo", F.percentile(n, 0.025)), ("hi", F.percentile(n, 0.975)), ("se", F.stddev_samp(n)))
+        ] + [F.count(n).alias(f"{n}_valid")]
     return each.groupBy(*(by or [])).agg(*cells)

@@ -19,9 +19,14 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     labs = o.groupBy("o_custkey").agg(
         F.count("*").alias("n_orders"), F.avg("o_totalprice").alias("lab_a"), F.max("o_totalprice").alias("lab_b"), F.avg(F.when(urgent, F.col("o_totalprice"))).alias("lab_u"), F.count_if(urgent).alias("n_urgent")
     )
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("study_group"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("study_group"), F.col("c_nationkey").alias("nation"),
+        F.col("c_acctbal").alias("balance")
+    )
     joined = c.join(labs, c.id == labs.o_custkey, "left").drop("o_custkey")
-    return joined.withColumn("split", prep.split_of(F.col("id"))).withColumn("qc", F.when(F.col("n_urgent") > 0, F.least(F.col("n_urgent") * 35.0, F.lit(100.0))))
+    return joined.withColumn("split", prep.split_of(F.col("id"))).withColumn(
+        "qc", F.when(F.col("n_urgent") > 0, F.least(F.col("n_urgent") * 35.0, F.lit(100.0)))
+    )
 
 
 COHORT = f"""WITH cohort AS (SELECT c_custkey AS id, c_mktsegment AS study_group, c_nationkey AS nation, c_acctbal AS balance, n_orders, lab_a, lab_b, lab_u, n_urgent,
@@ -30,7 +35,10 @@ FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalpric
 count(*) FILTER (o_orderpriority = '{URGENT}') AS n_urgent FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey) """
 
 
-@query("cohort_table", COHORT + "SELECT id, study_group, nation, balance, n_orders, round_even(lab_a, 6) AS lab_a, lab_b, round_even(lab_u, 6) AS lab_u, n_urgent, split, qc FROM cohort")
+@query(
+    "cohort_table",
+    COHORT + "SELECT id, study_group, nation, balance, n_orders, round_even(lab_a, 6) AS lab_a, lab_b, round_even(lab_u, 6) AS lab_u, n_urgent, split, qc FROM cohort"
+)
 def cohort_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cohort(spark, sf_dir), 6)
 
@@ -51,7 +59,10 @@ def excluded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.excluded(rows, prep.quality_gate(rows, "qc", keep_unknown=False), "id").select("id", "qc")
 
 
-@query("median_impute_by_split", COHORT + "SELECT id, split, round_even(coalesce(lab_u, median(lab_u) OVER (PARTITION BY split)), 6) AS lab_u, round_even(coalesce(qc, median(qc) OVER (PARTITION BY split)), 6) AS qc FROM cohort")
+@query(
+    "median_impute_by_split",
+    COHORT + "SELECT id, split, round_even(coalesce(lab_u, median(lab_u) OVER (PARTITION BY split)), 6) AS lab_u, round_even(coalesce(qc, median(qc) OVER (PARTITION BY split)), 6) AS qc FROM cohort"
+)
 def median_impute_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prep.impute_by_group(cohort(spark, sf_dir), "split", ["lab_u", "qc"]).select("id", "split", "lab_u", "qc"), 6)
 
@@ -63,30 +74,54 @@ CASE WHEN p_size / 5e0 < 5.7 THEN 'normal' WHEN p_size / 5e0 < 6.5 THEN 'prediab
 )
 def bmi_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     bmi = F.col("p_size").cast("double")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), bmi.alias("bmi"), prep.bmi_class(bmi).alias("weight_class"), prep.hba1c_class(bmi / 5.0).alias("hba1c_class"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), bmi.alias("bmi"), prep.bmi_class(bmi).alias("weight_class"),
+        prep.hba1c_class(bmi / 5.0).alias("hba1c_class")
+    )
 
 
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-@query("dummy_encode", "SELECT c_custkey AS id, " + ", ".join(f"(c_mktsegment = '{s}')::INT AS study_group_{s}" for s in SEGMENTS[1:]) + " FROM customer")
+@query(
+    "dummy_encode",
+    "SELECT c_custkey AS id, " + ", ".join(f"(c_mktsegment = '{s}')::INT AS study_group_{s}" for s in SEGMENTS[1:]) + " FROM customer"
+)
 def dummy_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prep.dummies(cohort(spark, sf_dir), "study_group", SEGMENTS)
     return rows.select("id", *[f"study_group_{s}" for s in SEGMENTS[1:]])
 
 
-@query("one_hot_collapse", "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_returnflag = 'N' THEN 'N' WHEN l_returnflag = 'R' THEN 'R' ELSE 'N' END AS race FROM lineitem")
+@query(
+    "one_hot_collapse",
+    "SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_returnflag = 'N' THEN 'N' WHEN l_returnflag = 'R' THEN 'R' ELSE 'N' END AS race FROM lineitem"
+)
 def one_hot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), *[(F.col("l_returnflag") == c).cast("int").alias(f"race_{c}") for c in "NR"])
+    flags = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"),
+        *[(F.col("l_returnflag") == c).cast("int").alias(f"race_{c}") for c in "NR"]
+    )
     return prep.collapse_one_hot(flags, "race_", "race").select("id", "line", "race")
 
 
-@query("safe_ratio", COHORT + "SELECT id, round_even(lab_b / nullif(balance, 0), 6) AS lab_ratio, round_even(100e0 * n_urgent / nullif(n_orders, 0), 6) AS urgent_pct FROM cohort")
+@query(
+    "safe_ratio",
+    COHORT + "SELECT id, round_even(lab_b / nullif(balance, 0), 6) AS lab_ratio, round_even(100e0 * n_urgent / nullif(n_orders, 0), 6) AS urgent_pct FROM cohort"
+)
 def safe_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cohort(spark, sf_dir).select("id", ratio(F.col("lab_b"), F.col("balance")).alias("lab_ratio"), ratio(100.0 * F.col("n_urgent"), F.col("n_orders")).alias("urgent_pct")), 6)
+    return rounded(
+        cohort(spark, sf_dir).select(
+            "id", ratio(F.col("lab_b"), F.col("balance")).alias("lab_ratio"),
+            ratio(100.0 * F.col("n_urgent"), F.col("n_orders")).alias("urgent_pct")
+        ),
+        6
+    )
 
 
-@query("strata_keys", COHORT + "SELECT id, coalesce(nation::VARCHAR, 'nan') || '_' || study_group AS strata_nation, coalesce(split, 'nan') || '_' || study_group AS strata_split FROM cohort")
+@query(
+    "strata_keys",
+    COHORT + "SELECT id, coalesce(nation::VARCHAR, 'nan') || '_' || study_group AS strata_nation, coalesce(split, 'nan') || '_' || study_group AS strata_split FROM cohort"
+)
 def strata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.strata(cohort(spark, sf_dir), "study_group", nation="nation", split="split").select("id", "strata_nation", "strata_split")
 
@@ -97,7 +132,10 @@ def strata_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def category_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = prep.merge_categories(F.col("study_group"), ["BUILDING", "FURNITURE"], "Other")
-    return cohort(spark, sf_dir).select("id", merged.alias("merged"), prep.renamed_values(F.col("split"), {"train": "learn"}).alias("part"), (F.col("study_group") == "MACHINERY").cast("int").alias("target"))
+    return cohort(spark, sf_dir).select(
+        "id", merged.alias("merged"), prep.renamed_values(F.col("split"), {"train": "learn"}).alias("part"),
+        (F.col("study_group") == "MACHINERY").cast("int").alias("target")
+    )
 
 
 @query("row_minimum", COHORT + "SELECT id, least(lab_a, lab_u) AS lowest, round_even(ln(1 + lab_b), 6) AS log_lab FROM cohort")
@@ -114,18 +152,27 @@ def zscore_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prep.standardise(z, ["lab_b"], population=False, suffix="_s").select("id", "balance_z", "lab_u_z", "lab_b_s"), 6)
 
 
-@query("train_quantile_label", COHORT + "SELECT id, split, (lab_b >= (SELECT quantile_cont(lab_b, 0.9) FROM cohort WHERE split = 'train'))::INT AS label FROM cohort")
+@query(
+    "train_quantile_label",
+    COHORT + "SELECT id, split, (lab_b >= (SELECT quantile_cont(lab_b, 0.9) FROM cohort WHERE split = 'train'))::INT AS label FROM cohort"
+)
 def train_quantile_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.quantile_label(cohort(spark, sf_dir), "lab_b", 0.9, F.col("split") == "train").select("id", "split", "label")
 
 
-@query("feature_merge", COHORT + "SELECT id, study_group, n, round_even(value, 9) AS lab_a FROM cohort LEFT JOIN (SELECT user_id, count(*) AS n, avg(value) AS value FROM events GROUP BY user_id) ON user_id = id")
+@query(
+    "feature_merge",
+    COHORT + "SELECT id, study_group, n, round_even(value, 9) AS lab_a FROM cohort LEFT JOIN (SELECT user_id, count(*) AS n, avg(value) AS value FROM events GROUP BY user_id) ON user_id = id"
+)
 def feature_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.avg("value").alias("lab_a"))
     return rounded(prep.merge_features(cohort(spark, sf_dir), features, "id").select("id", "study_group", "n", "lab_a"))
 
 
-@query("assignment_join_integrity", "SELECT o_orderkey AS id, o_custkey AS participant, c_mktsegment AS study_group FROM orders JOIN customer ON c_custkey = o_custkey")
+@query(
+    "assignment_join_integrity",
+    "SELECT o_orderkey AS id, o_custkey AS participant, c_mktsegment AS study_group FROM orders JOIN customer ON c_custkey = o_custkey"
+)
 def assignment_join_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("participant"))
     groups = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("participant"), F.col("c_mktsegment").alias("study_group"))
@@ -140,7 +187,10 @@ def elapsed_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prep.elapsed_days(table(spark, sf_dir, "events"), "user_id", "ts", 1, 3).select("event_id", "elapsed_days"), 6)
 
 
-@query("overnight_readings", "SELECT event_id, hour(ts) + minute(ts) / 60e0 AS hour_of_day, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE hour(ts) < 6 AND event_type IN ('click', 'error')")
+@query(
+    "overnight_readings",
+    "SELECT event_id, hour(ts) + minute(ts) / 60e0 AS hour_of_day, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE hour(ts) < 6 AND event_type IN ('click', 'error')"
+)
 def overnight_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.functions.numeric import hour_of_day
 
@@ -148,10 +198,16 @@ def overnight_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", hour_of_day(F.col("ts")).alias("hour_of_day"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
-@query("group_profile", COHORT + "SELECT study_group, split, count(*) AS n, round_even(avg(lab_a), 6) AS lab_a, round_even(avg(balance), 6) AS balance, round_even(median(lab_b), 6) AS median_b, round_even(quantile_cont(lab_b, 0.75) - quantile_cont(lab_b, 0.25), 6) AS iqr_b FROM cohort GROUP BY study_group, split")
+@query(
+    "group_profile",
+    COHORT + "SELECT study_group, split, count(*) AS n, round_even(avg(lab_a), 6) AS lab_a, round_even(avg(balance), 6) AS balance, round_even(median(lab_b), 6) AS median_b, round_even(quantile_cont(lab_b, 0.75) - quantile_cont(lab_b, 0.25), 6) AS iqr_b FROM cohort GROUP BY study_group, split"
+)
 def group_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.percentile("lab_b", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = cohort(spark, sf_dir).groupBy("study_group", "split").agg(F.count("*").alias("n"), F.avg("lab_a").alias("lab_a"), F.avg("balance").alias("balance"), p[1].alias("median_b"), (p[2] - p[0]).alias("iqr_b"))
+    rows = cohort(spark, sf_dir).groupBy("study_group", "split").agg(
+        F.count("*").alias("n"), F.avg("lab_a").alias("lab_a"), F.avg("balance").alias("balance"), p[1].alias("median_b"),
+        (p[2] - p[0]).alias("iqr_b")
+    )
     return rounded(rows, 6)
 
 
@@ -163,15 +219,28 @@ def modal_group_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.modal_share(cohort(spark, sf_dir), "nation", "study_group"), 6)
 
 
-@query("crosstab", "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag")
+@query(
+    "crosstab",
+    "SELECT l_returnflag, count(*) FILTER (l_linestatus = 'F') AS F, count(*) FILTER (l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag"
+)
 def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).count()
     return wide.na.fill(0)
 
 
-@query("scenario_pivot", "SELECT o_orderpriority AS scenario, " + ", ".join(f"round_even(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 6) AS {s}" for s in "FOP") + " FROM orders GROUP BY o_orderpriority")
+@query(
+    "scenario_pivot",
+    "SELECT o_orderpriority AS scenario, " + ", ".join(
+        f"round_even(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 6) AS {s}" for s in "FOP"
+    ) + " FROM orders GROUP BY o_orderpriority"
+)
 def scenario_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scenario")).pivot("o_orderstatus", list("FOP")).agg(F.avg("o_totalprice")), 6)
+    return rounded(
+        table(spark, sf_dir, "orders").groupBy(
+            F.col("o_orderpriority").alias("scenario")
+        ).pivot("o_orderstatus", list("FOP")).agg(F.avg("o_totalprice")),
+        6
+    )
 
 
 @query(
@@ -181,13 +250,21 @@ def scenario_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hour_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
     clicks = table(spark, sf_dir, "events").where("event_type = 'click'")
-    means = clicks.groupBy(F.hour("ts").alias("hour")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.avg(F.when(F.col("value") < 70, 100.0).otherwise(0.0)).alias("low_pct"))
+    means = clicks.groupBy(F.hour("ts").alias("hour")).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"),
+        F.avg(F.when(F.col("value") < 70, 100.0).otherwise(0.0)).alias("low_pct")
+    )
     return rounded(hours.join(means, "hour", "left").na.fill(0, ["n"]), 6)
 
 
-@query("distinct_counts", "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT ts::DATE) AS days, count(*) AS n FROM events GROUP BY event_type")
+@query(
+    "distinct_counts",
+    "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT ts::DATE) AS days, count(*) AS n FROM events GROUP BY event_type"
+)
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct(F.to_date("ts")).alias("days"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.count_distinct(F.to_date("ts")).alias("days"), F.count("*").alias("n")
+    )
 
 
 @query("value_counts", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type")
@@ -195,7 +272,10 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.value_counts(table(spark, sf_dir, "part"), "p_type")
 
 
-@query("descriptive_summary", COHORT + "SELECT study_group, count(balance) AS n, round_even(avg(balance), 6) AS mean, round_even(stddev_samp(balance), 6) AS sd, min(balance) AS low, round_even(quantile_cont(balance, 0.25), 6) AS q1, round_even(median(balance), 6) AS q2, round_even(quantile_cont(balance, 0.75), 6) AS q3, max(balance) AS high FROM cohort GROUP BY study_group")
+@query(
+    "descriptive_summary",
+    COHORT + "SELECT study_group, count(balance) AS n, round_even(avg(balance), 6) AS mean, round_even(stddev_samp(balance), 6) AS sd, min(balance) AS low, round_even(quantile_cont(balance, 0.25), 6) AS q1, round_even(median(balance), 6) AS q2, round_even(quantile_cont(balance, 0.75), 6) AS q3, max(balance) AS high FROM cohort GROUP BY study_group"
+)
 def descriptive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.percentile("balance", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     rows = cohort(spark, sf_dir).groupBy("study_group").agg(
@@ -204,15 +284,25 @@ def descriptive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, 6)
 
 
-@query("best_and_worst", "SELECT o_custkey AS participant, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS best, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS worst FROM orders GROUP BY o_custkey")
+@query(
+    "best_and_worst",
+    "SELECT o_custkey AS participant, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS best, arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS worst FROM orders GROUP BY o_custkey"
+)
 def best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = F.struct("o_totalprice", "o_orderkey")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("participant")).agg(F.max_by("o_orderkey", by).alias("best"), F.min_by("o_orderkey", by).alias("worst"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("participant")).agg(
+        F.max_by("o_orderkey", by).alias("best"), F.min_by("o_orderkey", by).alias("worst")
+    )
 
 
-@query("top_values", "SELECT id, price FROM (SELECT o_orderkey AS id, o_totalprice AS price FROM orders) ORDER BY abs(price - 200000) DESC, id LIMIT 10")
+@query(
+    "top_values",
+    "SELECT id, price FROM (SELECT o_orderkey AS id, o_totalprice AS price FROM orders) ORDER BY abs(price - 200000) DESC, id LIMIT 10"
+)
 def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")).orderBy(F.abs(F.col("price") - 200000).desc(), "id").limit(10)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price")
+    ).orderBy(F.abs(F.col("price") - 200000).desc(), "id").limit(10)
 
 
 @query("union_distinct", "SELECT nation FROM (SELECT c_nationkey AS nation FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY nation")

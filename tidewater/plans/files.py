@@ -20,7 +20,10 @@ def _path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("read_readings", "SELECT user_id, ts, value FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL")
+@query(
+    "read_readings",
+    "SELECT user_id, ts, value FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND value IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL"
+)
 def read_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
     return io.read_readings(spark, f"{sf_dir}/events.parquet", ["user_id", "ts", "value"], keep=kind)
@@ -41,7 +44,10 @@ def csv_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_csv(spark, path, index=True).withColumns({c: F.col(c).cast("long") for c in ("index", "n_regionkey")})
 
 
-@query("metadata_merge", COHORT + """SELECT 'best' AS name, '{"group": "' || min(study_group) || '"}' AS value FROM cohort UNION ALL SELECT 'rows', count(*)::VARCHAR FROM cohort UNION ALL SELECT 'stage', '"second"' """)
+@query(
+    "metadata_merge",
+    COHORT + """SELECT 'best' AS name, '{"group": "' || min(study_group) || '"}' AS value FROM cohort UNION ALL SELECT 'rows', count(*)::VARCHAR FROM cohort UNION ALL SELECT 'stage', '"second"' """
+)
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later entries take the place of former ones, others stay; what is kept is counted in the cohort."""
     path = _path(spark, "meta")
@@ -61,7 +67,10 @@ def results_written_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(path).select("study_group", "n", "mean"), 6)
 
 
-@query("report_lines", COHORT + "SELECT 'group ' || study_group || ': ' || count(*) || ' participants, ' || count(lab_u) || ' with urgent orders' AS line FROM cohort GROUP BY study_group")
+@query(
+    "report_lines",
+    COHORT + "SELECT 'group ' || study_group || ': ' || count(*) || ' participants, ' || count(lab_u) || ' with urgent orders' AS line FROM cohort GROUP BY study_group"
+)
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cohort(spark, sf_dir).groupBy("study_group").agg(F.count("*").alias("n"), F.count("lab_u").alias("k"))
     return spark.createDataFrame([(x,) for x in io.report(rows, "group {study_group}: {n} participants, {k} with urgent orders")], "line string")
@@ -72,7 +81,9 @@ FAMILIES = ("cgm_central", "cgm_percentiles", "cgm_time_in_range", "cgm_gmi_jind
 
 def _dictionary_sql() -> str:
     """Features, in the published order, with units by name and how many users have them."""
-    parts = [f"SELECT feature, value FROM (UNPIVOT (SELECT * EXCLUDE (series) FROM ({ORACLES[f]})) ON COLUMNS(*) INTO NAME feature VALUE value)" for f in FAMILIES]
+    parts = [
+        f"SELECT feature, value FROM (UNPIVOT (SELECT * EXCLUDE (series) FROM ({ORACLES[f]})) ON COLUMNS(*) INTO NAME feature VALUE value)" for f in FAMILIES
+    ]
     order = ", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(ORDER))
     return f"""SELECT place, name AS "column", CASE WHEN name LIKE '%\\_glucose' ESCAPE '\\' THEN 'mg/dL' WHEN ends_with(name, '_pct') THEN '%' ELSE '' END AS unit, count(*) AS n_known
 FROM (VALUES {order}) AS t(place, name) JOIN ({' UNION ALL '.join(parts)}) ON feature = name GROUP BY ALL"""

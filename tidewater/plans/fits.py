@@ -28,7 +28,10 @@ T_P = (
 @query("mann_whitney_p", _U + f""", q AS (SELECT *, greatest(abs(u_statistic - n_1 * n_2 / 2e0) - 0.5, 0) / s AS z FROM v), t AS (SELECT *, {NORMAL_P.format(z="z")} AS p FROM q)
 SELECT group_1, group_2, round_even(p, 6) AS p_value, round_even(least(p * count(*) OVER (), 1e0), 6) AS p_value_bonferroni FROM t""")
 def mann_whitney_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.pairwise_u(cohort(spark, sf_dir), "study_group", "lab_b").select("group_1", "group_2", "p_value", "p_value_bonferroni"), 6)
+    return rounded(
+        statistics.pairwise_u(cohort(spark, sf_dir), "study_group", "lab_b").select("group_1", "group_2", "p_value", "p_value_bonferroni"),
+        6
+    )
 
 
 _RANKED = ", r AS (SELECT study_group, rank() OVER (ORDER BY lab_b) + (count(*) OVER (PARTITION BY lab_b) - 1) / 2e0 AS rk, count(*) OVER (PARTITION BY lab_b) AS t FROM cohort WHERE lab_b IS NOT NULL), n AS (SELECT count(*)::DOUBLE AS n, sum(t * t - 1e0) AS ties FROM r) "
@@ -50,7 +53,10 @@ def kruskal_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT a, b, x.k * y.k / n::DOUBLE AS e FROM (SELECT a, sum(o) AS k FROM c GROUP BY a) x, (SELECT b, sum(o) AS k FROM c GROUP BY b) y, t),
 s AS (SELECT sum((coalesce(o, 0) - e) * (coalesce(o, 0) - e) / e) AS x, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS dof FROM e LEFT JOIN c USING (a, b)) SELECT dof, round_even({CHI2_P.format(x="x", dof="dof")}, 6) AS p_value FROM s""")
 def chi_square_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.chi_square(cohort(spark, sf_dir).withColumn("region", F.col("nation") % 5), "study_group", "region").select("dof", "p_value"), 6)
+    return rounded(
+        statistics.chi_square(cohort(spark, sf_dir).withColumn("region", F.col("nation") % 5), "study_group", "region").select("dof", "p_value"),
+        6
+    )
 
 
 @query("chi_square_yates", COHORT + """, c AS (SELECT split AS a, lab_b > 300000 AS b, count(*)::DOUBLE AS o FROM cohort WHERE lab_b IS NOT NULL GROUP BY ALL), t AS (SELECT sum(o) AS n FROM c),
@@ -67,7 +73,12 @@ def spearman_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.spearman(cohort(spark, sf_dir), "lab_a", "balance").select("n", "p_value"), 6)
 
 
-_WEIGHT = " + ".join(f"(u > {b})::INT" for b in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119))
+_WEIGHT = " + ".join(
+    f"(u > {b})::INT" for b in (
+        0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
+        0.9999167588507119
+    )
+)
 
 
 def _bootstrap_sql(resamples: int, at_least: int, where: str) -> str:
@@ -80,23 +91,40 @@ CASE WHEN count(m) >= {at_least} THEN round_even(stddev_samp(m), 6) END AS m_se,
 @query("bootstrap_interval", _bootstrap_sql(1000, 1, "true"))
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1000 resamples of each group's mean balance."""
-    return rounded(statistics.bootstrap(cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": F.avg("balance")}, resamples=1000, by=["study_group"]), 6)
+    return rounded(
+        statistics.bootstrap(
+            cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": F.avg("balance")}, resamples=1000,
+            by=["study_group"]
+        ),
+        6
+    )
 
 
 @query("bootstrap_guarded", _bootstrap_sql(15, 20, "true"))
 def bootstrap_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewer resamples than an interval needs: it is unknown."""
-    return rounded(statistics.bootstrap(cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": F.avg("balance")}, resamples=15, by=["study_group"], at_least=20), 6)
+    return rounded(
+        statistics.bootstrap(
+            cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": F.avg("balance")}, resamples=15,
+            by=["study_group"], at_least=20
+        ),
+        6
+    )
 
 
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cohort(spark, sf_dir).where("lab_b IS NOT NULL").select("id", "study_group", "split", F.col("n_orders").cast("double").alias("n_orders"), "lab_a", "lab_b")
+    return cohort(spark, sf_dir).where("lab_b IS NOT NULL").select(
+        "id", "study_group", "split", F.col("n_orders").cast("double").alias("n_orders"), "lab_a", "lab_b"
+    )
 
 
 _LINES = COHORT + ", k AS (SELECT * FROM cohort WHERE lab_b IS NOT NULL), m AS (SELECT study_group, regr_slope(lab_b, n_orders) AS b, regr_intercept(lab_b, n_orders) AS c, stddev_pop(n_orders) AS s, count(*) AS n FROM k WHERE split = 'train' GROUP BY study_group HAVING count(*) >= 20) "
 
 
-@query("per_group_scores", _LINES + "SELECT study_group, round_even(1 - avg(pow(lab_b - c - b * n_orders, 2)) / var_pop(lab_b), 6) AS r2, round_even(avg(pow(lab_b - c - b * n_orders, 2)) / 1e6, 2) AS mse, count(*) AS n FROM k JOIN m USING (study_group) WHERE split = 'test' GROUP BY study_group")
+@query(
+    "per_group_scores",
+    _LINES + "SELECT study_group, round_even(1 - avg(pow(lab_b - c - b * n_orders, 2)) / var_pop(lab_b), 6) AS r2, round_even(avg(pow(lab_b - c - b * n_orders, 2)) / 1e6, 2) AS mse, count(*) AS n FROM k JOIN m USING (study_group) WHERE split = 'test' GROUP BY study_group"
+)
 def per_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model for each group with rows enough, scored on its own test rows."""
     scores = models.coefficients_table(_known(spark, sf_dir), "study_group", "id", ["n_orders"], "lab_b")[1]
@@ -113,7 +141,10 @@ b AS (SELECT (xt * yy - yt * xy) / (xx * yy - xy * xy) AS bx, (yt * xx - xt * xy
 g AS (SELECT study_group, t, mt + bx * (x - mx) + by_ * (y - my) AS two, mt + b1 * (x - mx) AS one FROM p, b WHERE split = 'test') """
 
 
-@query("ols_scores", COHORT + _TWO + "SELECT study_group, round_even(1 - avg((t - two) * (t - two)) / var_pop(t), 6) AS r2, round_even(avg((t - two) * (t - two)) / 1e6, 2) AS mse, count(*) AS n FROM g GROUP BY study_group")
+@query(
+    "ols_scores",
+    COHORT + _TWO + "SELECT study_group, round_even(1 - avg((t - two) * (t - two)) / var_pop(t), 6) AS r2, round_even(avg((t - two) * (t - two)) / 1e6, 2) AS mse, count(*) AS n FROM g GROUP BY study_group"
+)
 def ols_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least squares on two columns, pooled, scored by group."""
     rows = prep.standardise(_known(spark, sf_dir), ["n_orders", "lab_a"], learn="split = 'train'")
@@ -122,7 +153,10 @@ def ols_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("study_group", F.bround("r2", 6).alias("r2"), F.bround(F.col("mse") / 1e6, 2).alias("mse"), "n")
 
 
-@query("ablation_scores", COHORT + _TWO + """SELECT '1_base' AS scenario, round_even(1 - avg((t - one) * (t - one)) / var_pop(t), 6) AS r2, count(*) AS n FROM g UNION ALL SELECT '2_add_lab_a', round_even(1 - avg((t - two) * (t - two)) / var_pop(t), 6), count(*) FROM g""")
+@query(
+    "ablation_scores",
+    COHORT + _TWO + """SELECT '1_base' AS scenario, round_even(1 - avg((t - one) * (t - one)) / var_pop(t), 6) AS r2, count(*) AS n FROM g UNION ALL SELECT '2_add_lab_a', round_even(1 - avg((t - two) * (t - two)) / var_pop(t), 6), count(*) FROM g"""
+)
 def ablation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     guesses = models.ablation(_known(spark, sf_dir), "id", "lab_b", selection.one_added(["n_orders"], ["lab_a"]), "ols")
     return rounded(statistics.regression_scores(guesses, "actual", "predicted", ["scenario"]).select("scenario", "r2", "n"), 6)
@@ -136,32 +170,52 @@ def _folded(spark: SparkSession, sf_dir: str, reverse: bool) -> DataFrame:
 _FOLDED = ", f AS (SELECT id, n_orders AS x, lab_b AS t, ('0x' || substr(md5('0|' || id), 1, 8))::BIGINT % 5 AS fold FROM cohort WHERE lab_b IS NOT NULL), r AS (SELECT * FROM range(0, 5) AS t(run)) "
 
 
-@query("fold_protocol", COHORT + _FOLDED + ", m AS (SELECT run, regr_slope(t, x) AS b, regr_intercept(t, x) AS c FROM f, r WHERE fold <> run GROUP BY run) SELECT run, id, t AS actual, round_even(c + b * x, 4) AS predicted FROM f JOIN m ON fold = run")
+@query(
+    "fold_protocol",
+    COHORT + _FOLDED + ", m AS (SELECT run, regr_slope(t, x) AS b, regr_intercept(t, x) AS c FROM f, r WHERE fold <> run GROUP BY run) SELECT run, id, t AS actual, round_even(c + b * x, 4) AS predicted FROM f JOIN m ON fold = run"
+)
 def fold_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fold is predicted by a regressor that learned from the others."""
     return _folded(spark, sf_dir, False)
 
 
-@query("fold_to_others", COHORT + _FOLDED + ", m AS (SELECT run, regr_slope(t, x) AS b, regr_intercept(t, x) AS c FROM f, r WHERE fold = run GROUP BY run) SELECT run, id, t AS actual, round_even(c + b * x, 4) AS predicted FROM f JOIN m ON fold <> run")
+@query(
+    "fold_to_others",
+    COHORT + _FOLDED + ", m AS (SELECT run, regr_slope(t, x) AS b, regr_intercept(t, x) AS c FROM f, r WHERE fold = run GROUP BY run) SELECT run, id, t AS actual, round_even(c + b * x, 4) AS predicted FROM f JOIN m ON fold <> run"
+)
 def fold_to_others(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each other fold is predicted by a regressor that learned from one."""
     return _folded(spark, sf_dir, True)
 
 
-@query("mean_absolute_attribution", COHORT + ", k AS (SELECT n_orders, lab_a FROM cohort WHERE lab_b IS NOT NULL), m AS (SELECT avg(n_orders) AS a, avg(lab_a) AS b FROM k) SELECT 'n_orders' AS feature, round_even(avg(abs(2 * (n_orders - a))), 6) AS mean_abs FROM k, m UNION ALL SELECT 'lab_a', round_even(avg(abs(0.5 * (lab_a - b))), 6) FROM k, m")
+@query(
+    "mean_absolute_attribution",
+    COHORT + ", k AS (SELECT n_orders, lab_a FROM cohort WHERE lab_b IS NOT NULL), m AS (SELECT avg(n_orders) AS a, avg(lab_a) AS b FROM k) SELECT 'n_orders' AS feature, round_even(avg(abs(2 * (n_orders - a))), 6) AS mean_abs FROM k, m UNION ALL SELECT 'lab_a', round_even(avg(abs(0.5 * (lab_a - b))), 6) FROM k, m"
+)
 def mean_absolute_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = models.linear_attributions(_known(spark, sf_dir), {"n_orders": 2.0, "lab_a": 0.5}, "id")
     return rounded(models.mean_absolute(each, ["n_orders", "lab_a"]), 6)
 
 
-@query("formula_scores", COHORT + ", k AS (SELECT lab_b AS t, lab_a * 1.5 AS f, n_orders * 20000e0 AS m FROM cohort WHERE lab_b IS NOT NULL) SELECT round_even(1 - avg((t - f) * (t - f)) / var_pop(t), 6) AS formula_r2, round_even(avg((t - f) * (t - f)) / 1e6, 2) AS formula_mse, round_even(1 - avg((t - m) * (t - m)) / var_pop(t), 6) AS model_r2, round_even(avg((t - m) * (t - m)) / 1e6, 2) AS model_mse FROM k")
+_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2e0 AS r{0}"
+FORMULA_SQL = COHORT + f""", k AS (SELECT lab_b AS t, lab_a * 1.5 AS f, n_orders * 20000e0 AS m FROM cohort WHERE lab_b IS NOT NULL),
+r AS (SELECT *, {", ".join(_RANK.format(c) for c in "tfm")} FROM k)
+SELECT round_even(1 - avg((t - f) * (t - f)) / var_pop(t), 6) AS formula_r2, round_even(avg((t - f) * (t - f)) / 1e6, 2) AS formula_mse,
+  round_even(1 - avg((t - m) * (t - m)) / var_pop(t), 6) AS model_r2, round_even(avg((t - m) * (t - m)) / 1e6, 2) AS model_mse,
+  round_even(corr(rt, rf), 6) AS formula_rho, round_even(corr(rt, rm), 6) AS model_rho FROM r"""
+
+
+@query("formula_scores", FORMULA_SQL)
 def formula_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _known(spark, sf_dir).withColumn("guess", F.col("n_orders") * 20000.0)
     found = statistics.formula_against_model(rows, F.col("lab_a") * 1.5, "lab_b", "guess")
     return found.select(*[(F.bround(F.col(c) / 1e6, 2) if c.endswith("mse") else F.bround(c, 6)).alias(c) for c in found.columns])
 
 
-@query("thresholded_rates", COHORT + ", k AS (SELECT lab_b > 300000 AS y, lab_a > 150000 AS p FROM cohort WHERE lab_b IS NOT NULL) SELECT round_even(count(*) FILTER (y AND p) / count(*) FILTER (y)::DOUBLE, 6) AS sensitivity, round_even(count(*) FILTER (NOT y AND NOT p) / count(*) FILTER (NOT y)::DOUBLE, 6) AS specificity, round_even(avg((y = p)::INT), 6) AS accuracy, count(*) AS n FROM k")
+@query(
+    "thresholded_rates",
+    COHORT + ", k AS (SELECT lab_b > 300000 AS y, lab_a > 150000 AS p FROM cohort WHERE lab_b IS NOT NULL) SELECT round_even(count(*) FILTER (y AND p) / count(*) FILTER (y)::DOUBLE, 6) AS sensitivity, round_even(count(*) FILTER (NOT y AND NOT p) / count(*) FILTER (NOT y)::DOUBLE, 6) AS specificity, round_even(avg((y = p)::INT), 6) AS accuracy, count(*) AS n FROM k"
+)
 def thresholded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A regression's score taken as a class by a cut."""
     rows = _known(spark, sf_dir).withColumn("label", (F.col("lab_b") > 300000).cast("int"))
@@ -176,13 +230,19 @@ def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.principal_components(rows, ["lab_a_z", "lab_b_z"], 2)[0]
 
 
-@query("principal_components", COHORT + _Z + "SELECT id, round_even(abs(a + b) / sqrt(2e0), 5) AS pc1, round_even(abs(a - b) / sqrt(2e0), 5) AS pc2 FROM z")
+@query(
+    "principal_components",
+    COHORT + _Z + "SELECT id, round_even(abs(a + b) / sqrt(2e0), 5) AS pc1, round_even(abs(a - b) / sqrt(2e0), 5) AS pc2 FROM z"
+)
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two standardised columns that correlate positively; sizes, as signs are a convention."""
     return rounded(_pair(spark, sf_dir).select("id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), 5)
 
 
-@query("supplementary_variables", COHORT + _Z + "SELECT 'balance' AS variable, 'pc1' AS component, round_even(abs(corr(balance, a + b)), 5) AS r FROM z UNION ALL SELECT 'balance', 'pc2', round_even(abs(corr(balance, a - b)), 5) FROM z")
+@query(
+    "supplementary_variables",
+    COHORT + _Z + "SELECT 'balance' AS variable, 'pc1' AS component, round_even(abs(corr(balance, a + b)), 5) AS r FROM z UNION ALL SELECT 'balance', 'pc2', round_even(abs(corr(balance, a - b)), 5) FROM z"
+)
 def supplementary_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cluster.supplementary(_pair(spark, sf_dir), ["pc1", "pc2"], ["balance"])
     return rounded(found.withColumn("r", F.abs("r")), 5)

@@ -21,7 +21,10 @@ _FOLD = "('0x' || substr(md5('0|' || id), 1, 8))::BIGINT % 5"
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Participants with a target: features as doubles, and a fold of five."""
     rows = cohort(spark, sf_dir).where("lab_b IS NOT NULL")
-    return models.folds(rows.select("id", "study_group", "split", F.col("n_orders").cast("double").alias("n_orders"), "lab_a", "lab_b", "balance"), "id")
+    return models.folds(
+        rows.select("id", "study_group", "split", F.col("n_orders").cast("double").alias("n_orders"), "lab_a", "lab_b", "balance"),
+        "id"
+    )
 
 
 def high(rows: DataFrame) -> DataFrame:
@@ -50,8 +53,13 @@ def boosted_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = boosting.boost(known(spark, sf_dir).where("split = 'train'"), "id", FEATURES, "lab_b", [boosting.Setting(1, 1.0)], 1, bins=8)
     t = model.rounds[0]
     f = int(t.feature[0, 0])
-    row = (model.features[f], float(model.edges[f][t.cut[0, 0]]), int(t.cover[0, 1]), int(t.cover[0, 2]), float(t.gain[0, 0]) / 1e9, float(t.value[0, 1]), float(t.value[0, 2]))
-    found = spark.createDataFrame([row], "feature string, threshold double, n_left long, n_right long, gain double, value_left double, value_right double")
+    row = (
+        model.features[f], float(model.edges[f][t.cut[0, 0]]), int(t.cover[0, 1]), int(t.cover[0, 2]), float(t.gain[0, 0]) / 1e9,
+        float(t.value[0, 1]), float(t.value[0, 2])
+    )
+    found = spark.createDataFrame(
+        [row], "feature string, threshold double, n_left long, n_right long, gain double, value_left double, value_right double"
+    )
     return found.withColumns({c: F.bround(c, d) for c, d in (("threshold", 4), ("gain", 3), ("value_left", 2), ("value_right", 2))})
 
 
@@ -64,12 +72,23 @@ def boosted_grid(spark: SparkSession, sf_dir: str, options: dict = GRID, folds:
     on the test rows: place, setting, mse, r2, test_r2 (of place 1)."""
     settings, rounds = boosting.grid(options)
     rows = known(spark, sf_dir)
-    model, scores = boosting.boost(rows.where("split = 'train'"), "id", FEATURES, "lab_b", settings, rounds[-1], folds=folds, fold="fold", score_at=rounds)
+    model, scores = boosting.boost(
+        rows.where("split = 'train'"), "id", FEATURES, "lab_b", settings, rounds[-1], folds=folds, fold="fold", score_at=rounds
+    )
     order = boosting.chosen(model, scores)
     guessed = boosting.predict(rows.where("split = 'test'"), model, {"guess": (order[0]["run"], order[0]["rounds"])})
     test = statistics.regression_scores(guessed, "lab_b", "guess").first()["r2"]
-    listed = [(i, o["setting"].depth, o["setting"].rate, o["setting"].rows, o["setting"].columns, o["rounds"], o["mse"], o["r2"], test if i == 1 else None) for i, o in enumerate(order, 1)]
-    return spark.createDataFrame(listed, "place int, depth int, rate double, rows double, columns double, rounds int, mse double, r2 double, test_r2 double")
+    listed = [
+        (
+            i, o["setting"].depth, o["setting"].rate, o["setting"].rows, o["setting"].columns, o["rounds"], o["mse"], o["r2"],
+            test if i == 1 else None
+        ) for i,
+        o in enumerate(order, 1)
+    ]
+    return spark.createDataFrame(
+        listed,
+        "place int, depth int, rate double, rows double, columns double, rounds int, mse double, r2 double, test_r2 double"
+    )
 
 
 query("boosted_grid")(boosted_grid)
@@ -80,7 +99,10 @@ def boosted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted classifiers by average precision over the folds, and that of the best on test rows."""
     settings, rounds = boosting.grid({"rounds": (6, 12), "depth": (2, 3), "rate": (0.1, 0.3), "rows": (1.0,), "columns": (1.0,)})
     rows = high(known(spark, sf_dir))
-    model, scores = boosting.boost(rows.where("split = 'train'"), "id", FEATURES[1:], "label", settings, rounds[-1], folds=5, fold="fold", loss="logistic", score_at=rounds)
+    model, scores = boosting.boost(
+        rows.where("split = 'train'"), "id", FEATURES[1:], "label", settings, rounds[-1], folds=5, fold="fold", loss="logistic",
+        score_at=rounds
+    )
     order = boosting.chosen(model, scores, "precision")
     guessed = boosting.predict(rows.where("split = 'test'"), model, {"p": (order[0]["run"], order[0]["rounds"])})
     test = statistics.average_precision(guessed, "label", "p").first()["average_precision"]
@@ -292,15 +314,35 @@ def forced_clusters_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranked = resampling.intervals(resampling.ranked(test, "id", "y", "p"), ["average_precision"])
         rates = resampling.intervals(resampling.rates(test, "id", "y", "predicted"), ["sensitivity"])
         whole = statistics.average_precision(test, "y", "p").first(), statistics.rates(test, "y", "predicted").first()
-        value = F.when(F.col("metric") == "sensitivity", F.lit(whole[1]["sensitivity"]).cast("double")).otherwise(F.lit(whole[0]["average_precision"]).cast("double"))
-        part = ranked.unionByName(rates).select(F.lit(c).alias("cluster"), "metric", value.alias("value"), "lo", "hi", "valid", F.lit(whole[0]["n_positive"]).cast("long").alias("n_positive"))
+        value = F.when(
+            F.col("metric") == "sensitivity", F.lit(whole[1]["sensitivity"]).cast("double")
+        ).otherwise(F.lit(whole[0]["average_precision"]).cast("double"))
+        part = ranked.unionByName(rates).select(
+            F.lit(c).alias("cluster"), "metric", value.alias("value"), "lo", "hi", "valid",
+            F.lit(whole[0]["n_positive"]).cast("long").alias("n_positive")
+        )
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("lowess_lines", COHORT + "SELECT nation, id, n_orders::DOUBLE AS x, round_even(3e0 * n_orders + nation, 6) AS smooth FROM cohort WHERE n_orders IS NOT NULL")
+@query(
+    "lowess_lines",
+    COHORT + "SELECT nation, id, n_orders::DOUBLE AS x, round_even(3e0 * n_orders + nation, 6) AS smooth FROM cohort WHERE n_orders IS NOT NULL"
+)
 def lowess_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local lines over points of a straight line, one of each nation, lie on it."""
     rows = cohort(spark, sf_dir).where("n_orders IS NOT NULL").select("nation", "id", F.col("n_orders").cast("double").alias("x"))
     lines = rows.withColumn("y", 3.0 * F.col("x") + F.col("nation"))
     return rounded(statistics.smoothed(lines, "nation", "id", "x", "y"), 6)
+
+
+CANONICAL_SQL = K_SQL + """, c AS (SELECT corr(lab_a, lab_b) AS r FROM k)
+SELECT 1 AS component, round_even(abs(r), 6) AS correlation, variable, 1e0 AS size FROM c, (VALUES ('lab_a'), ('lab_b')) AS v(variable)"""
+
+
+@query("canonical_pair", CANONICAL_SQL)
+def canonical_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one column on each side: the canonical correlation is theirs, and each is its own component."""
+    found = cluster.canonical_correlation(known(spark, sf_dir), ["lab_a"], ["lab_b"], 1)
+    rows = spark.createDataFrame(found).select(F.col("component").cast("int").alias("component"), "correlation", "variable", F.abs("loading").alias("size"))
+    return rounded(rows, 6)

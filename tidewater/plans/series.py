@@ -39,11 +39,16 @@ _HYPER = f"({_PCT.format('g > 250')} + 0.5e0 * {_PCT.format('g > 180 AND g <= 25
 RAW: dict[str, tuple[Callable[[], dict[str, Column]], dict[str, str]]] = {
     "cgm_central": (
         glucose.central,
-        {"mean_glucose": "avg(g)", "sd_glucose": "stddev_samp(g)", "cv_pct": "100 * stddev_samp(g) / nullif(avg(g), 0)", "min_glucose": "min(g)", "max_glucose": "max(g)", "range_glucose": "max(g) - min(g)"},
+        {
+            "mean_glucose": "avg(g)", "sd_glucose": "stddev_samp(g)", "cv_pct": "100 * stddev_samp(g) / nullif(avg(g), 0)",
+            "min_glucose": "min(g)", "max_glucose": "max(g)", "range_glucose": "max(g) - min(g)"
+        },
     ),
     "cgm_percentiles": (
         glucose.percentiles,
-        {f"p{p}_glucose": f"quantile_cont(g, {p / 100})" for p in (10, 25, 75, 90)} | {"median_glucose": "quantile_cont(g, 0.5)", "iqr_glucose": "quantile_cont(g, 0.75) - quantile_cont(g, 0.25)"},
+        {f"p{p}_glucose": f"quantile_cont(g, {p / 100})" for p in (10, 25, 75, 90)} | {
+            "median_glucose": "quantile_cont(g, 0.5)", "iqr_glucose": "quantile_cont(g, 0.75) - quantile_cont(g, 0.25)"
+        },
     ),
     "cgm_moments": (glucose.moments, {}),
     "cgm_time_in_range": (
@@ -99,7 +104,10 @@ def cgm_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(glucose.per_series(_rows(spark, sf_dir, USERS), USERS, glucose.coverage(USERS)))
 
 
-@query("cgm_mad", _base("user_id") + ", m AS (SELECT series, abs(g - median(g) OVER (PARTITION BY series)) AS d FROM k) SELECT series, round_even(median(d), 9) AS mad_glucose FROM m GROUP BY series")
+@query(
+    "cgm_mad",
+    _base("user_id") + ", m AS (SELECT series, abs(g - median(g) OVER (PARTITION BY series)) AS d FROM k) SELECT series, round_even(median(d), 9) AS mad_glucose FROM m GROUP BY series"
+)
 def cgm_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(glucose.absolute_deviation(_rows(spark, sf_dir, USERS), USERS))
 
@@ -146,7 +154,11 @@ _daily(
     "within_day_sd", "between_day_sd",
 )
 _daily("cgm_adrr", "round_even(avg(risk) FILTER (n >= 12), 9) AS adrr", "adrr")
-_daily("cgm_daily_auc", "round_even(avg(hi) FILTER (n >= 12), 9) AS hyper_auc_per_day, round_even(avg(lo) FILTER (n >= 12), 9) AS hypo_auc_per_day", "hyper_auc_per_day", "hypo_auc_per_day")
+_daily(
+    "cgm_daily_auc",
+    "round_even(avg(hi) FILTER (n >= 12), 9) AS hyper_auc_per_day, round_even(avg(lo) FILTER (n >= 12), 9) AS hypo_auc_per_day",
+    "hyper_auc_per_day", "hypo_auc_per_day"
+)
 
 
 @query(
@@ -164,7 +176,10 @@ def cgm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.grid(series.enough(_rows(spark, sf_dir, TYPES), TYPES), TYPES)
 
 
-@query("cgm_resample_mean", _base("event_type") + "SELECT series, floor(epoch(t) / 3600)::BIGINT AS slot, round_even(avg(g), 9) AS g FROM r GROUP BY ALL")
+@query(
+    "cgm_resample_mean",
+    _base("event_type") + "SELECT series, floor(epoch(t) / 3600)::BIGINT AS slot, round_even(avg(g), 9) AS g FROM r GROUP BY ALL"
+)
 def cgm_resample_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.clock_means(_rows(spark, sf_dir, TYPES), TYPES))
 
@@ -216,7 +231,11 @@ _dynamics(
 SELECT series, CASE WHEN n >= 3 THEN round_even(a, 9) END AS poincare_sd1, CASE WHEN n >= 3 THEN round_even(b, 9) END AS poincare_sd2, CASE WHEN n >= 3 THEN round_even(a / nullif(b, 0), 9) END AS poincare_ratio FROM q""",
     "poincare_sd1", "poincare_sd2", "poincare_ratio",
 )
-_dynamics("cgm_autocorr", _LAG.format(1) + "SELECT series, CASE WHEN count(g1) >= 3 THEN round_even(corr(g, g1), 9) END AS autocorr_lag1 FROM l GROUP BY series", "autocorr_lag1")
+_dynamics(
+    "cgm_autocorr",
+    _LAG.format(1) + "SELECT series, CASE WHEN count(g1) >= 3 THEN round_even(corr(g, g1), 9) END AS autocorr_lag1 FROM l GROUP BY series",
+    "autocorr_lag1"
+)
 
 
 @query(
@@ -309,11 +328,22 @@ def _table_oracle() -> str:
         + """SELECT series, count(*) AS qc_n_egv, (max(epoch_us(t)) - min(epoch_us(t))) / 1e6 / 86400 AS qc_wear_span_days, count(DISTINCT t::DATE) AS qc_n_days,
 100e0 * count(*) / ((max(epoch_us(t)) - min(epoch_us(t))) / 1e6 / 86400 * 24) AS qc_pct_active FROM k GROUP BY series"""
     )
-    parts.append(_base("event_type") + ", m AS (SELECT series, abs(g - median(g) OVER (PARTITION BY series)) AS d FROM k) SELECT series, round_even(median(d), 9) AS mad_glucose FROM m GROUP BY series")
-    parts.append(_base("event_type") + "SELECT series, CASE WHEN min(g) >= 18 THEN avg(least(greatest(425e0 * pow(log10(log10(greatest(g, 18.0001e0) / 18e0)) + 0.16e0, 2), 0e0), 50e0)) END AS grade FROM k GROUP BY series")
-    shared = ("cosinor", "daily_range", "within_between_sd", "adrr", "daily_auc", "modd", "conga", "roc", "mag", "poincare", "autocorr", "dfa", "sample_entropy", "spectral")
+    parts.append(
+        _base("event_type") + ", m AS (SELECT series, abs(g - median(g) OVER (PARTITION BY series)) AS d FROM k) SELECT series, round_even(median(d), 9) AS mad_glucose FROM m GROUP BY series"
+    )
+    parts.append(
+        _base("event_type") + "SELECT series, CASE WHEN min(g) >= 18 THEN avg(least(greatest(425e0 * pow(log10(log10(greatest(g, 18.0001e0) / 18e0)) + 0.16e0, 2), 0e0), 50e0)) END AS grade FROM k GROUP BY series"
+    )
+    shared = (
+        "cosinor", "daily_range", "within_between_sd", "adrr", "daily_auc", "modd", "conga", "roc", "mag", "poincare", "autocorr",
+        "dfa", "sample_entropy", "spectral"
+    )
     parts += [ORACLES[f"cgm_{n}"] for n in shared]
-    parts += [ORACLES[f"cgm_{n}"].replace("SELECT user_id AS series", "SELECT event_type AS series").replace("5e0) FILTER", "60e0) FILTER") for n in ("mage", "episodes")]
+    parts += [
+        ORACLES[f"cgm_{n}"].replace(
+            "SELECT user_id AS series", "SELECT event_type AS series"
+        ).replace("5e0) FILTER", "60e0) FILTER") for n in ("mage", "episodes")
+    ]
     cells = [f"round_even({c}, 9) AS {c}" if c in glucose.DIGITS else f"{c} AS {c}" for c in glucose.ORDER]
     joined = " LEFT JOIN ".join([f"({parts[0]}) q0"] + [f"({p}) q{i} USING (series)" for i, p in enumerate(parts) if i])
     return f"SELECT series, {', '.join(cells)} FROM {joined}"

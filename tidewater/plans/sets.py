@@ -9,7 +9,10 @@ from tidewater.plans.cohort import COHORT, cohort
 from tidewater.plans.registry import ORACLES, query, rounded, table
 from tidewater.plans.series import RAW, USERS
 
-COLUMNS = ["id", "study_group", "age", "bmi", "race_a", "race_b", "sex_f", "avg_daily_steps", "import_glucose", "import_insulin", "import_c_peptide", "import_hdl", "mage", "modd"]
+COLUMNS = [
+    "id", "study_group", "age", "bmi", "race_a", "race_b", "sex_f", "avg_daily_steps", "import_glucose", "import_insulin",
+    "import_c_peptide", "import_hdl", "mage", "modd"
+]
 #: The cohort under the names that feature sets are made from: columns of the cohort, as SQL.
 NAMED = {
     "age": "n_orders", "bmi": "lab_a / 1e4", "race_a": "nation % 2", "race_b": "1 - nation % 2", "sex_f": "id % 2", "avg_daily_steps": "n_urgent",
@@ -42,7 +45,13 @@ _THREE = f"{_BASE} bmi avg_daily_steps"
 _FOUR = f"{_THREE} import_hdl"
 
 
-@query("ladder", _values(_1=_BASE, _2=f"{_BASE} bmi", _3=_THREE, _4=_FOUR, _5a=f"{_FOUR} mage modd", _5b=f"{_FOUR} import_glucose", _6a=f"{_THREE} mage modd", _6b=f"{_THREE} import_glucose"))
+@query(
+    "ladder",
+    _values(
+        _1=_BASE, _2=f"{_BASE} bmi", _3=_THREE, _4=_FOUR, _5a=f"{_FOUR} mage modd", _5b=f"{_FOUR} import_glucose",
+        _6a=f"{_THREE} mage modd", _6b=f"{_THREE} import_glucose"
+    )
+)
 def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, sf_dir, selection.ladder(COLUMNS, exclude_c_peptide=True, sensor=("mage", "modd")))
 
@@ -50,7 +59,13 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MINIMAL = "age bmi race_a race_b sex_f"
 
 
-@query("minimal_scenarios", _values(_1_no_glucose=_MINIMAL, _2_sensed=f"{_MINIMAL} mage modd", _3_labs=f"{_MINIMAL} import_glucose", _4_both=f"{_MINIMAL} mage modd import_glucose"))
+@query(
+    "minimal_scenarios",
+    _values(
+        _1_no_glucose=_MINIMAL, _2_sensed=f"{_MINIMAL} mage modd", _3_labs=f"{_MINIMAL} import_glucose",
+        _4_both=f"{_MINIMAL} mage modd import_glucose"
+    )
+)
 def minimal_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, sf_dir, selection.minimal(COLUMNS, ["mage", "modd"], ["import_glucose"]))
 
@@ -60,7 +75,13 @@ def glucose_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, sf_dir, selection.glucose_scenarios(["age"], ["mage"], ["import_glucose"]))
 
 
-@query("one_added_scenarios", _values(_1_base="age", _2_add_import_c_peptide="age import_c_peptide", _3_add_mage="age mage", _4_add_import_c_peptide_mage="age import_c_peptide mage"))
+@query(
+    "one_added_scenarios",
+    _values(
+        _1_base="age", _2_add_import_c_peptide="age import_c_peptide", _3_add_mage="age mage",
+        _4_add_import_c_peptide_mage="age import_c_peptide mage"
+    )
+)
 def one_added_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, sf_dir, selection.one_added(["age"], ["import_c_peptide", "mage"], ["import_c_peptide", "mage"]))
 
@@ -68,17 +89,32 @@ def one_added_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("one_added_without", _values(_1_base="age", _3_add_mage="age mage"))
 def one_added_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenarios without C-peptide: what is left equal to the one before goes."""
-    return _listed(spark, sf_dir, selection.without(selection.one_added(["age"], ["import_c_peptide", "mage"], ["import_c_peptide", "mage"]), "import_c_peptide"))
+    return _listed(
+        spark, sf_dir,
+        selection.without(selection.one_added(["age"], ["import_c_peptide", "mage"], ["import_c_peptide", "mage"]), "import_c_peptide")
+    )
 
 
-@query("excluded_features", _values(all_but="age bmi race_a race_b sex_f avg_daily_steps import_insulin import_hdl", usable="age bmi race_a race_b sex_f avg_daily_steps import_glucose import_insulin import_c_peptide import_hdl mage modd"))
+@query(
+    "excluded_features",
+    _values(
+        all_but="age bmi race_a race_b sex_f avg_daily_steps import_insulin import_hdl",
+        usable="age bmi race_a race_b sex_f avg_daily_steps import_glucose import_insulin import_c_peptide import_hdl mage modd"
+    )
+)
 def excluded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     admin = ["id", "study_group", "split"]
-    lists = {"all_but": selection.all_but(COLUMNS, admin, "import_glucose", ["import_c_peptide", "mage", "modd"]), "usable": prep.usable_features(COLUMNS, admin, "split")}
+    lists = {
+        "all_but": selection.all_but(COLUMNS, admin, "import_glucose", ["import_c_peptide", "mage", "modd"]),
+        "usable": prep.usable_features(COLUMNS, admin, "split")
+    }
     return _listed(spark, sf_dir, lists)
 
 
-FAMILIES = ("cgm_central", "cgm_percentiles", "cgm_moments", "cgm_time_in_range", "cgm_gmi_jindex", "cgm_mvalue", "cgm_risk_lbgi_hbgi", "cgm_gri", "cgm_circadian_windows")
+FAMILIES = (
+    "cgm_central", "cgm_percentiles", "cgm_moments", "cgm_time_in_range", "cgm_gmi_jindex", "cgm_mvalue", "cgm_risk_lbgi_hbgi",
+    "cgm_gri", "cgm_circadian_windows"
+)
 
 
 def _lists_sql() -> str:
@@ -103,23 +139,43 @@ def feature_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which features of the raw families are curated, and for how many users they are known."""
     families = {n: c for f in FAMILIES for n, c in RAW[f][0]().items()}
     rows = glucose.per_series(series.readings(table(spark, sf_dir, "events"), USERS), USERS, families)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in selection.CURATED).alias("curated"), F.count(c).alias("n_known")) for c in families if c in selection.FEATURES])
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"), F.lit(c in selection.CURATED).alias("curated"), F.count(c).alias("n_known")
+            ) for c in families if c in selection.FEATURES
+        ]
+    )
     return rows.agg(cells.alias("cells")).select(F.inline("cells")).where("n_known > 0")
 
 
-PLAIN = {"a_g_ratio": ("A/G ratio", "lab_a"), "a_g_ratio_2": ("a g-Ratio", "lab_b"), "column": ("%", "qc"), "pulse_vsorres_heart_rate_bpm": ("pulse_vsorres, Heart Rate (bpm)", "balance")}
+PLAIN = {
+    "a_g_ratio": ("A/G ratio", "lab_a"), "a_g_ratio_2": ("a g-Ratio", "lab_b"), "column": ("%", "qc"),
+    "pulse_vsorres_heart_rate_bpm": ("pulse_vsorres, Heart Rate (bpm)", "balance")
+}
 
 
-@query("plain_names", COHORT + " UNION ALL ".join(f"SELECT '{n}' AS name, '{old}' AS old, count({c}) AS n_known, round_even(avg({c}), 6) AS mean FROM cohort" for n, (old, c) in PLAIN.items()))
+@query(
+    "plain_names",
+    COHORT + " UNION ALL ".join(
+        f"SELECT '{n}' AS name, '{old}' AS old, count({c}) AS n_known, round_even(avg({c}), 6) AS mean FROM cohort" for n,
+        (old, c) in PLAIN.items()
+    )
+)
 def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohort under awkward names, read by plain ones."""
     rows = cohort(spark, sf_dir).select(*[F.col(c).cast("double").alias(old) for old, c in PLAIN.values()])
     plain, names = prep.snake_case(rows)
-    cells = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(old).alias("old"), F.count(n).alias("n_known"), F.avg(n).alias("mean")) for n, old in names.items()])
+    cells = F.array(
+        *[F.struct(F.lit(n).alias("name"), F.lit(old).alias("old"), F.count(n).alias("n_known"), F.avg(n).alias("mean")) for n, old in names.items()]
+    )
     return rounded(plain.agg(cells.alias("cells")).select(F.inline("cells")), 6)
 
 
-@query("renamed_values", "SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'house' WHEN 'MACHINERY' THEN 'plant' ELSE c_mktsegment END AS study_group FROM customer")
+@query(
+    "renamed_values",
+    "SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'house' WHEN 'MACHINERY' THEN 'plant' ELSE c_mktsegment END AS study_group FROM customer"
+)
 def renamed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.plans.registry import table
 
@@ -127,20 +183,29 @@ def renamed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), named.alias("study_group"))
 
 
-@query("log_panel", COHORT + "SELECT id, n_orders::DOUBLE AS age, round_even(lab_a, 6) AS bmi, round_even(ln(1 + lab_b), 6) AS import_insulin, round_even(ln(1 + lab_u), 6) AS import_c_peptide, round_even(qc, 6) AS import_hba1c FROM cohort WHERE n_orders IS NOT NULL AND lab_a IS NOT NULL AND lab_b IS NOT NULL AND lab_u IS NOT NULL AND qc IS NOT NULL")
+@query(
+    "log_panel",
+    COHORT + "SELECT id, n_orders::DOUBLE AS age, round_even(lab_a, 6) AS bmi, round_even(ln(1 + lab_b), 6) AS import_insulin, round_even(ln(1 + lab_u), 6) AS import_c_peptide, round_even(qc, 6) AS import_hba1c FROM cohort WHERE n_orders IS NOT NULL AND lab_a IS NOT NULL AND lab_b IS NOT NULL AND lab_u IS NOT NULL AND qc IS NOT NULL"
+)
 def log_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"n_orders": "age", "lab_a": "bmi", "lab_b": "import_insulin", "lab_u": "import_c_peptide", "qc": "import_hba1c"}
     rows = cohort(spark, sf_dir).select("id", *[F.col(a).cast("double").alias(b) for a, b in names.items()])
     return rounded(selection.panel(rows, "five"), 6)
 
 
-@query("constant_features", COHORT + "SELECT c AS feature FROM (SELECT stddev_samp(lab_a) AS a, stddev_samp(0 * lab_a) AS b, stddev_samp(lab_u) FILTER (id < 0) AS d FROM cohort), (VALUES ('lab_a'), ('flat'), ('unknown')) AS t(c) WHERE coalesce(CASE c WHEN 'lab_a' THEN a WHEN 'flat' THEN b ELSE d END, 0) = 0")
+@query(
+    "constant_features",
+    COHORT + "SELECT c AS feature FROM (SELECT stddev_samp(lab_a) AS a, stddev_samp(0 * lab_a) AS b, stddev_samp(lab_u) FILTER (id < 0) AS d FROM cohort), (VALUES ('lab_a'), ('flat'), ('unknown')) AS t(c) WHERE coalesce(CASE c WHEN 'lab_a' THEN a WHEN 'flat' THEN b ELSE d END, 0) = 0"
+)
 def constant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cohort(spark, sf_dir).withColumns({"flat": F.col("lab_a") * 0, "unknown": F.when(F.col("id") < 0, F.col("lab_u"))})
     return spark.createDataFrame([(c,) for c in selection.constant_columns(rows, ["lab_a", "flat", "unknown"])], "feature string")
 
 
-@query("zscore_sample", COHORT + "SELECT id, round_even((lab_a - avg(lab_a) OVER ()) / stddev_samp(lab_a) OVER (), 6) AS lab_a_z, round_even((qc - avg(qc) OVER ()) / stddev_samp(qc) OVER (), 6) AS qc_z FROM cohort")
+@query(
+    "zscore_sample",
+    COHORT + "SELECT id, round_even((lab_a - avg(lab_a) OVER ()) / stddev_samp(lab_a) OVER (), 6) AS lab_a_z, round_even((qc - avg(qc) OVER ()) / stddev_samp(qc) OVER (), 6) AS qc_z FROM cohort"
+)
 def zscore_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(prep.standardise(cohort(spark, sf_dir), ["lab_a", "qc"], population=False).select("id", "lab_a_z", "qc_z"), 6)
 

@@ -15,9 +15,15 @@ u AS (SELECT group_1, group_2, count(*) FILTER (study_group = group_1) AS n_1, c
 v AS (SELECT *, r1 - n_1 * (n_1 + 1) / 2e0 AS u_statistic, sqrt(n_1 * n_2 / 12e0 * (n_1 + n_2 + 1 - ties / ((n_1 + n_2) * (n_1 + n_2 - 1e0)))) AS s FROM u) """
 
 
-@query("mann_whitney_pairs", _U + "SELECT group_1, group_2, n_1, n_2, u_statistic, round_even(greatest(abs(u_statistic - n_1 * n_2 / 2e0) - 0.5, 0) / s, 6) AS z FROM v")
+@query(
+    "mann_whitney_pairs",
+    _U + "SELECT group_1, group_2, n_1, n_2, u_statistic, round_even(greatest(abs(u_statistic - n_1 * n_2 / 2e0) - 0.5, 0) / s, 6) AS z FROM v"
+)
 def mann_whitney_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.pairwise_u(cohort(spark, sf_dir), "study_group", "lab_b").select("group_1", "group_2", "n_1", "n_2", "u_statistic", "z"), 6)
+    return rounded(
+        statistics.pairwise_u(cohort(spark, sf_dir), "study_group", "lab_b").select("group_1", "group_2", "n_1", "n_2", "u_statistic", "z"),
+        6
+    )
 
 
 @query("pairwise_auroc", _U + "SELECT group_1, group_2, round_even(1 - u_statistic / (n_1 * n_2), 6) AS auroc FROM v")
@@ -61,7 +67,10 @@ def chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANK2 = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2e0"
 
 
-@query("spearman", COHORT + f", k AS (SELECT {_RANK2.format('lab_a')} AS x, {_RANK2.format('lab_u')} AS y FROM cohort WHERE lab_a IS NOT NULL AND lab_u IS NOT NULL) SELECT round_even(corr(x, y), 6) AS rho, count(*) AS n FROM k")
+@query(
+    "spearman",
+    COHORT + f", k AS (SELECT {_RANK2.format('lab_a')} AS x, {_RANK2.format('lab_u')} AS y FROM cohort WHERE lab_a IS NOT NULL AND lab_u IS NOT NULL) SELECT round_even(corr(x, y), 6) AS rho, count(*) AS n FROM k"
+)
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.spearman(cohort(spark, sf_dir), "lab_a", "lab_u").select("rho", "n"), 6)
 
@@ -74,10 +83,16 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def spearman_bonferroni(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(statistics.spearman_table(cohort(spark, sf_dir), ["balance", "n_orders", "lab_a", "lab_u"], "lab_b").select("feature", "rho", "n"), 6)
+    return rounded(
+        statistics.spearman_table(cohort(spark, sf_dir), ["balance", "n_orders", "lab_a", "lab_u"], "lab_b").select("feature", "rho", "n"),
+        6
+    )
 
 
-@query("ols_line", COHORT + "SELECT study_group, round_even(regr_slope(lab_b, lab_a), 6) AS slope, round_even(regr_intercept(lab_b, lab_a), 4) AS intercept, regr_count(lab_b, lab_a)::BIGINT AS n FROM cohort GROUP BY study_group")
+@query(
+    "ols_line",
+    COHORT + "SELECT study_group, round_even(regr_slope(lab_b, lab_a), 6) AS slope, round_even(regr_intercept(lab_b, lab_a), 4) AS intercept, regr_count(lab_b, lab_a)::BIGINT AS n FROM cohort GROUP BY study_group"
+)
 def ols_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statistics.ols_line(cohort(spark, sf_dir), "lab_a", "lab_b", ["study_group"])
     return rows.select("study_group", F.bround("slope", 6).alias("slope"), F.bround("intercept", 4).alias("intercept"), "n")
@@ -91,17 +106,26 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = "WITH s AS (SELECT doc_id, quality AS y, n_chars AS x, lang FROM labels JOIN documents USING (doc_id)), c AS (SELECT x AS threshold, sum(y) AS p, sum(1 - y) AS q FROM s GROUP BY x), t AS (SELECT *, sum(p) OVER (ORDER BY threshold DESC) AS tp, sum(q) OVER (ORDER BY threshold DESC) AS fp, sum(p) OVER () AS pos, sum(q) OVER () AS neg FROM c) "
 
 
-@query("roc_points", _S + "SELECT threshold, round_even(tp / nullif(pos, 0)::DOUBLE, 9) AS tpr, round_even(fp / nullif(neg, 0)::DOUBLE, 9) AS fpr FROM t")
+@query(
+    "roc_points",
+    _S + "SELECT threshold, round_even(tp / nullif(pos, 0)::DOUBLE, 9) AS tpr, round_even(fp / nullif(neg, 0)::DOUBLE, 9) AS fpr FROM t"
+)
 def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.roc_points(_scored(spark, sf_dir), "quality", "n_chars"))
 
 
-@query("average_precision", _S + "SELECT round_even(sum(tp::DOUBLE / (tp + fp) * p / pos), 9) AS average_precision, max(pos)::BIGINT AS n_positive, (max(pos) + max(neg))::BIGINT AS n FROM t")
+@query(
+    "average_precision",
+    _S + "SELECT round_even(sum(tp::DOUBLE / (tp + fp) * p / pos), 9) AS average_precision, max(pos)::BIGINT AS n_positive, (max(pos) + max(neg))::BIGINT AS n FROM t"
+)
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.average_precision(_scored(spark, sf_dir), "quality", "n_chars"))
 
 
-@query("confusion", "SELECT quality AS actual, (n_chars >= 500)::INT AS predicted, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL")
+@query(
+    "confusion",
+    "SELECT quality AS actual, (n_chars >= 500)::INT AS predicted, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL"
+)
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.confusion(_scored(spark, sf_dir).withColumn("guess", F.col("n_chars") >= 500), "quality", "guess")
 
@@ -115,13 +139,21 @@ def sens_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.rates(rows, "quality", "guess", ["lang"]))
 
 
-@query("r2_mse", "SELECT l_returnflag, round_even(1 - avg(pow(l_extendedprice - l_quantity * 2500e0, 2)) / var_pop(l_extendedprice), 6) AS r2, round_even(avg(pow(l_extendedprice - l_quantity * 2500e0, 2)), 0) AS mse, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+@query(
+    "r2_mse",
+    "SELECT l_returnflag, round_even(1 - avg(pow(l_extendedprice - l_quantity * 2500e0, 2)) / var_pop(l_extendedprice), 6) AS r2, round_even(avg(pow(l_extendedprice - l_quantity * 2500e0, 2)), 0) AS mse, count(*) AS n FROM lineitem GROUP BY l_returnflag"
+)
 def r2_mse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("guess", F.col("l_quantity") * 2500.0)
-    return statistics.regression_scores(rows, "l_extendedprice", "guess", ["l_returnflag"]).select("l_returnflag", F.bround("r2", 6).alias("r2"), F.bround("mse", 0).alias("mse"), "n")
+    return statistics.regression_scores(rows, "l_extendedprice", "guess", ["l_returnflag"]).select(
+        "l_returnflag", F.bround("r2", 6).alias("r2"), F.bround("mse", 0).alias("mse"), "n"
+    )
 
 
-@query("subgroup_scores", COHORT + ", f AS (SELECT regr_slope(lab_b, lab_a) AS m, regr_intercept(lab_b, lab_a) AS c FROM cohort WHERE split = 'train') SELECT study_group, round_even(1 - avg(pow(lab_b - (m * lab_a + c), 2)) / var_pop(lab_b), 6) AS r2, count(*) AS n FROM cohort, f WHERE split = 'test' AND lab_a IS NOT NULL GROUP BY study_group")
+@query(
+    "subgroup_scores",
+    COHORT + ", f AS (SELECT regr_slope(lab_b, lab_a) AS m, regr_intercept(lab_b, lab_a) AS c FROM cohort WHERE split = 'train') SELECT study_group, round_even(1 - avg(pow(lab_b - (m * lab_a + c), 2)) / var_pop(lab_b), 6) AS r2, count(*) AS n FROM cohort, f WHERE split = 'test' AND lab_a IS NOT NULL GROUP BY study_group"
+)
 def subgroup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line fitted to all training rows, scored by subgroup of the test rows."""
     rows = cohort(spark, sf_dir)
@@ -130,16 +162,24 @@ def subgroup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.regression_scores(test, "lab_b", "guess", ["study_group"]).select("study_group", "r2", "n"), 6)
 
 
-@query("linear_attribution", COHORT + ", f AS (SELECT regr_slope(lab_b, lab_a) AS m, avg(lab_a) AS a FROM cohort WHERE split = 'train') SELECT study_group, round_even(avg(abs(m * (lab_a - a))), 4) AS mean_abs_shap FROM cohort, f GROUP BY study_group")
+@query(
+    "linear_attribution",
+    COHORT + ", f AS (SELECT regr_slope(lab_b, lab_a) AS m, avg(lab_a) AS a FROM cohort WHERE split = 'train') SELECT study_group, round_even(avg(abs(m * (lab_a - a))), 4) AS mean_abs_shap FROM cohort, f GROUP BY study_group"
+)
 def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cohort(spark, sf_dir)
     fit = rows.where("split = 'train'").agg(F.regr_slope("lab_b", "lab_a").alias("m"), F.avg("lab_a").alias("a")).first()
     return rounded(rows.groupBy("study_group").agg(F.avg(F.abs(fit["m"] * (F.col("lab_a") - fit["a"]))).alias("mean_abs_shap")), 4)
 
 
-@query("delta_vs_baseline", "WITH m AS (SELECT o_orderpriority AS scenario, o_orderstatus AS study_group, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT a.scenario, a.study_group, round_even(a.v - b.v, 5) AS delta FROM m a JOIN m b ON a.study_group = b.study_group AND b.scenario = '1-URGENT'")
+@query(
+    "delta_vs_baseline",
+    "WITH m AS (SELECT o_orderpriority AS scenario, o_orderstatus AS study_group, avg(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT a.scenario, a.study_group, round_even(a.v - b.v, 5) AS delta FROM m a JOIN m b ON a.study_group = b.study_group AND b.scenario = '1-URGENT'"
+)
 def delta_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("scenario"), F.col("o_orderstatus").alias("study_group")).agg(F.avg("o_totalprice").alias("v"))
+    m = table(spark, sf_dir, "orders").groupBy(
+        F.col("o_orderpriority").alias("scenario"), F.col("o_orderstatus").alias("study_group")
+    ).agg(F.avg("o_totalprice").alias("v"))
     base = m.where("scenario = '1-URGENT'").select("study_group", F.col("v").alias("b"))
     return m.join(base, "study_group").select("scenario", "study_group", F.bround(F.col("v") - F.col("b"), 5).alias("delta"))
 
@@ -154,7 +194,13 @@ def adjusted_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.adjusted_rand(cohort(spark, sf_dir).withColumn("other", F.col("nation") % 5), "study_group", "other"))
 
 
-@query("corr_matrix", COHORT + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round_even(corr({a}, {b}), 9) AS r FROM cohort" for i, a in enumerate(("balance", "lab_a", "lab_b", "lab_u")) for b in ("balance", "lab_a", "lab_b", "lab_u")[i + 1 :]))
+@query(
+    "corr_matrix",
+    COHORT + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round_even(corr({a}, {b}), 9) AS r FROM cohort" for i,
+        a in enumerate(("balance", "lab_a", "lab_b", "lab_u")) for b in ("balance", "lab_a", "lab_b", "lab_u")[i + 1 :]
+    )
+)
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.correlations(cohort(spark, sf_dir), ["balance", "lab_a", "lab_b", "lab_u"]))
 

@@ -82,7 +82,9 @@ def unit_of(column: str) -> str:
 
 def dictionary(spark: SparkSession) -> DataFrame:
     """The feature table's columns, in order, with their published digits, and units by name."""
-    return spark.createDataFrame([(i + 1, c, DIGITS.get(c), unit_of(c)) for i, c in enumerate(ORDER)], "place int, column string, digits int, unit string")
+    return spark.createDataFrame(
+        [(i + 1, c, DIGITS.get(c), unit_of(c)) for i, c in enumerate(ORDER)], "place int, column string, digits int, unit string"
+    )
 
 
 def report(df: DataFrame, template: str) -> list[str]:
@@ -101,5 +103,8 @@ def synthetic_readings(spark: SparkSession, days: int = 10, subjects: int = 1, i
     meals = sum((a * F.exp(-F.pow(hour - h, F.lit(2.0)) / w) for a, h, w in ((40.0, 8.0, 2.0), (45.0, 13.0, 2.0), (50.0, 19.0, 1.5))), F.lit(0.0))
     value = F.least(F.greatest(wave + meals + 8 * F.randn(seed), F.lit(40.0)), F.lit(400.0))
     at = F.timestamp_add("MINUTE", slot * interval_min, F.lit("2024-01-01").cast("timestamp_ntz"))
-    rows = spark.range(subjects * days * per_day).select(subject.alias("participant_id"), at.alias("t"), value.alias("glucose"), F.rand(seed + 1).alias("_u"), F.col("id").alias("reading"))
+    rows = spark.range(subjects * days * per_day).select(
+        subject.alias("participant_id"), at.alias("t"), value.alias("glucose"), F.rand(seed + 1).alias("_u"),
+        F.col("id").alias("reading")
+    )
     return rows.where("_u > 0.05").drop("_u")
