@@ -258,7 +258,14 @@ def test_queries_cover_whole_tables(spark):
 
     for name, query in QUERIES.items():
         table = "pages" if name.startswith(("op1_", "op5_")) else "documents"
-        assert query(spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count(), name
+        rows, source = query(spark, sf), spark.read.parquet(f"{sf}/{table}.parquet")
+        if name.startswith("op11_"):  # a row a piece: every document has its first one, and once
+            rows = rows.where("piece = 0")
+        elif name.startswith("op12_"):  # a row an item: every group with another source in its language
+            rows, source = rows.where("part = 'pair'").select("lang", "source").distinct(), source.select("lang", "source").distinct()
+            alone = source.groupBy("lang").count().where("count = 1")
+            source = source.join(alone, "lang", "left_anti")
+        assert rows.count() == source.count(), name
 
 
 def test_queries_equal_their_sql(spark):
