@@ -79,10 +79,10 @@ s AS (SELECT "group", measure, count(*) FILTER (y > 0) AS n_1, count(*) FILTER (
   FROM r GROUP BY ALL),
 u AS (SELECT *, CASE WHEN n_1 > 0 AND n_0 > 0 THEN k - n_1 * (n_1 + 1) / 2e0 END AS u, (n_1 + n_0)::DOUBLE AS n, n_1 * n_0::DOUBLE AS b
   FROM s JOIN t USING ("group", measure) JOIN x USING ("group")),
-z AS (SELECT *, greatest(abs(u - b / 2) - 0.5, 0) / nullif(sqrt(b / 12 * (n + 1 - ties / (n * (n - 1)))), 0) AS z, count(u) OVER () AS tests FROM u)
+z AS (SELECT *, CASE WHEN u IS NOT NULL THEN greatest(abs(u - b / 2) - 0.5, 0) END / nullif(sqrt(b / 12 * (n + 1 - ties / (n * (n - 1)))), 0) AS z, count(u) OVER () AS tests FROM u)
 SELECT "group", measure, n_excluded, n_1, n_0, p25_1, median_1, p75_1, p25_0, median_0, p75_0, u AS u_statistic, round_even(z, 9) AS z,
-  round_even(u / nullif(b, 0), 9) AS auroc, round_even({NORMAL_P.format(z="z")}, 9) AS p_value,
-  round_even(least(1, {NORMAL_P.format(z="z")} * tests), 9) AS p_value_bonferroni
+  round_even(u / nullif(b, 0), 9) AS auroc, CASE WHEN z IS NOT NULL THEN round_even({NORMAL_P.format(z="z")}, 9) END AS p_value,
+  CASE WHEN z IS NOT NULL THEN round_even(least(1, {NORMAL_P.format(z="z")} * tests), 9) END AS p_value_bonferroni
 FROM z
 """
 

@@ -70,7 +70,7 @@ def test_equal_to_plain_ranks(spark, tmp_path):
             for name, q in (("p25", 25), ("median", 50), ("p75", 75)):
                 assert r[f"{name}_{c}"] == (pytest.approx(np.percentile(values, q)) if values else None)
         if not one:
-            assert r["auroc"] is None and r["z"] is None and r["p_value"] is None
+            assert r["auroc"] is None and r["z"] is None and r["p_value"] is None and r["p_value_bonferroni"] is None
             continue
         u = sum((a > b) + 0.5 * (a == b) for a in one for b in zero)
         assert r["u_statistic"] == pytest.approx(u) and r["auroc"] == pytest.approx(u / len(one) / len(zero))

@@ -143,7 +143,8 @@ def outcome_comparison(df: DataFrame, by: list[str], value: str, label: str) ->
         *by, "n_1", "n_0", *[c.alias(k) for k, c in named.items()], u.alias("u_statistic"), z.alias("z"),
         ratio(u, both).alias("auroc")
     )
-    return tested.withColumn("p_value", normal_p(F.col("z"))).withColumn("p_value_bonferroni", bonferroni(F.col("p_value"), tests))
+    p = tested.withColumn("p_value", normal_p(F.col("z")))
+    return p.withColumn("p_value_bonferroni", F.when(F.col("p_value").isNotNull(), bonferroni(F.col("p_value"), tests)))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
