@@ -58,6 +58,15 @@ def data():
     return x, x[:, 0] * 2 + (x[:, 1] > 9) * x[:, 2] + rng.normal(0, 1, 150)
 
 
+def test_edges_are_exact_beyond_any_summary(spark):
+    """An approximate summary of 10,000 values is off by some of 60,000 rows."""
+    x = np.random.default_rng(8).permutation(60_001).astype(float)
+    df = spark.createDataFrame([(float(v), float(v % 3)) for v in x] + [(None, float("nan"))], "a double, b double").repartition(7)
+    a, b = boosting.quantile_edges(df, ["a", "b"], 64)
+    assert a.tolist() == [float(-(-i * 60_001 // 64) - 1) for i in range(1, 64)] and b.tolist() == [0.0, 1.0, 2.0]
+    assert [e.tolist() for e in boosting.quantile_edges(df.where("false"), ["a", "b"], 8)] == [[], []]
+
+
 @pytest.mark.parametrize("loss", ["squared", "logistic"])
 def test_equal_to_exact_splits(spark, data, loss):
     x, y = data
