@@ -69,6 +69,26 @@ def test_bootstrap_needs_enough_resamples(spark):
     assert statistics.bootstrap(df, "id", {"m": F.avg("x")}, resamples=10, at_least=20).first()["m_lo"] is None
 
 
+def test_bootstrap_of_means_equals_that_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "DRAWN", 20)
+    rows = [(i, "a" if i % 3 else None, None if i % 7 == 0 else i * 1.5) for i in range(60)] + [(None, "a", 3.0), (10**60, "b", 4.0)]
+    df = spark.createDataFrame([(None if i is None else str(i), g, x) for i, g, x in rows], "id string, g string, x double")
+    found = {}
+    for made in (statistics.bootstrap(df, "id", {"m": F.avg("x")}, 40, by=["g"]), statistics.bootstrap_means(df, "id", {"m": "x"}, 40, by=["g"])):
+        for r in made.collect():
+            found.setdefault(r["g"], []).append(r)
+    assert set(found) == {"a", "b", None}
+    for a, b in found.values():
+        assert a["m_valid"] == b["m_valid"] and [a[c] for c in ("m_lo", "m_hi", "m_se")] == pytest.approx([b[c] for c in ("m_lo", "m_hi", "m_se")])
+
+
+def test_bootstrap_of_means_skips_what_is_not_drawn(spark):
+    """A million weights of a thousand rows in seconds, and an infinity counts only where it is drawn."""
+    df = spark.range(1000).select("id", F.when(F.col("id") == 5, float("inf")).otherwise(1.0).alias("x"))
+    row = statistics.bootstrap_means(df, "id", {"m": "x"}).first()
+    assert row["m_lo"] == 1.0 and row["m_hi"] == float("inf") and row["m_valid"] == 1000
+
+
 def test_lowess_follows_a_line_and_ignores_an_outlier(spark):
     df = spark.createDataFrame([("a", i, float(i), 2.0 * i + (50 if i == 10 else 0)) for i in range(30)], "g string, id int, x double, y double")
     smooth = {r["id"]: r["smooth"] for r in statistics.smoothed(df, "g", "id", "x", "y").collect()}

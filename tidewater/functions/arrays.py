@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -80,3 +81,53 @@ def lowess(x: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 3) ->
             break
         robust = np.clip(1 - (residual / scale) ** 2, 0, None) ** 2
     return fit
+
+
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_INITIAL = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def md5_start(text: np.ndarray) -> np.ndarray:
+    """The first 52 bits of the MD5 of each row of bytes. Rows of up to 55 bytes are one block each, and
+    are hashed side by side, as a call of hashlib costs several times the hash itself."""
+    n, size = text.shape
+    if size > 55:
+        return np.array([int(hashlib.md5(row.tobytes()).hexdigest()[:13], 16) for row in text], np.int64)
+    block = np.zeros((n, 64), np.uint8)
+    block[:, :size], block[:, size], block[:, 56], block[:, 57] = text, 128, 8 * size & 255, 8 * size >> 8
+    word = np.ascontiguousarray(block.view("<u4").T)
+    a, b, c, d = (np.full(n, v) for v in _INITIAL)
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+            at = i
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+            at = (5 * i + 1) % 16
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            at = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            at = 7 * i % 16
+        f += a
+        f += _SINES[i]
+        if at <= size // 4 or at == 14:  # other words are 0
+            f += word[at]
+        turn = np.uint32(_TURNS[i // 16][i % 4])
+        np.left_shift(f, turn, out=t)
+        f >>= np.uint32(32) - turn
+        t |= f
+        t += b
+        a, d, c, b, t = d, c, b, t, a
+    first, second = ((v + w).byteswap().astype(np.int64) for v, w in zip((a, b), _INITIAL))
+    return first << 20 | second >> 12

@@ -92,8 +92,8 @@ CASE WHEN count(m) >= {at_least} THEN round_even(stddev_samp(m), 6) END AS m_se,
 def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1000 resamples of each group's mean balance."""
     return rounded(
-        statistics.bootstrap(
-            cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": F.avg("balance")}, resamples=1000,
+        statistics.bootstrap_means(
+            cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": "balance"}, resamples=1000,
             by=["study_group"]
         ),
         6
@@ -104,8 +104,8 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewer resamples than an interval needs: it is unknown."""
     return rounded(
-        statistics.bootstrap(
-            cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": F.avg("balance")}, resamples=15,
+        statistics.bootstrap_means(
+            cohort(spark, sf_dir).select("id", "study_group", "balance"), "id", {"m": "balance"}, resamples=15,
             by=["study_group"], at_least=20
         ),
         6
