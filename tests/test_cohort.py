@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import tails
 from tidewater.functions.trees import Leaf, attributions, expected
+from tidewater.functions import arrays
 from tidewater.operators import cluster, models, pairs, prep, selection, statistics
 from tidewater.sources import io
 from tidewater.streaming import ranges
@@ -95,6 +96,36 @@ def test_lowess_follows_a_line_and_ignores_an_outlier(spark):
     assert all(abs(smooth[i] - 2 * i) < 0.5 for i in range(30))
 
 
+def plain_lowess(x, y, share=0.5, rounds=3):
+    k, robust = max(2, int(share * len(x) + 1e-10)), np.ones(len(x))
+    for _ in range(rounds + 1):
+        fit = np.empty(len(x))
+        for i in range(len(x)):
+            gap = np.abs(x - x[i])
+            w = np.clip(1 - (gap / max(np.sort(gap)[k - 1], 1e-12)) ** 3, 0, None) ** 3 * robust
+            mx, my = np.average(x, weights=w), np.average(y, weights=w)
+            sxx = (w * (x - mx) ** 2).sum()
+            fit[i] = my + ((w * (x - mx) * (y - my)).sum() / sxx * (x[i] - mx) if sxx > 1e-12 else 0)
+        scale = 6 * np.median(np.abs(y - fit))
+        robust = np.clip(1 - (np.abs(y - fit) / scale) ** 2, 0, None) ** 2
+    return fit
+
+
+@pytest.mark.parametrize("weights", [40, 2_000_000])
+def test_lowess_equals_a_line_for_each_point(monkeypatch, weights):
+    monkeypatch.setattr(arrays, "WEIGHTS", weights)
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=70), rng.integers(0, 9, 70).astype(float)):
+        y = np.sin(x) + rng.normal(0, 0.2, 70)
+        assert arrays.lowess(x, y) == pytest.approx(plain_lowess(x, y), abs=1e-9)
+
+
+def test_lowess_of_many_points_of_few_values_needs_no_matrix():
+    """A matrix of 60,000 points would take 29 GB."""
+    x = np.arange(60_000.0) % 30
+    assert arrays.lowess(x, 3 * x + 1) == pytest.approx(3 * x + 1)
+
+
 def test_panels_and_scenarios(spark):
     columns = selection.PANELS["five"]["columns"]
     df = spark.createDataFrame([tuple(1.0 for _ in columns), tuple([None, *[1.0 for _ in columns[1:]]])], ", ".join(f"{c} double" for c in columns))

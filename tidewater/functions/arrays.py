@@ -58,23 +58,41 @@ def spectrum(slot: np.ndarray, g: np.ndarray, slots: int, interval_min: int, per
     return float(power[(frequency >= 1 / 28) & (frequency <= 1 / 20)].sum() / total), float(1 / frequency[1 + int(share.argmax())]), entropy
 
 
+#: Weights of points that a local line takes at once.
+WEIGHTS = 2_000_000
+
+
 def lowess(x: np.ndarray, y: np.ndarray, share: float = 0.5, rounds: int = 3) -> np.ndarray:
     """Locally weighted straight lines over the nearest share of points, made robust by weighing
-    residuals, at every x."""
+    residuals, at every x. Points of one x share a line, so lines are as many as different values; each
+    is fitted from sums by value within its reach, WEIGHTS of them at once: memory grows with the points."""
     n = len(x)
     if n < 3:
         return y.astype(float).copy()
     k, robust, fit = min(n, max(2, int(share * n + 1e-10))), np.ones(n), y.astype(float).copy()
-    gap = np.abs(x[:, None] - x[None])
-    reach = np.maximum(np.partition(gap, k - 1, axis=1)[:, k - 1], 1e-12)
-    near = np.clip(1 - (gap / reach[:, None]) ** 3, 0, None) ** 3
+    u, at = np.unique(x, return_inverse=True)
+    # The k nearest are a run of the sorted points; around the run centred on a value one is the nearest.
+    ordered = np.sort(x)
+    first = np.searchsorted(ordered[: n - k + 1] + ordered[k - 1 :], 2 * u, "right")
+    runs = np.clip(first[:, None] + np.arange(-2, 2), 0, n - k)
+    reach = np.maximum(np.maximum(u[:, None] - ordered[runs], ordered[runs + k - 1] - u[:, None]).min(1), 1e-12)
+    low, high = np.searchsorted(u, u - reach, "left"), np.searchsorted(u, u + reach, "right")
     for _ in range(rounds + 1):
-        w = near * robust
-        total = np.maximum(w.sum(1), 1e-300)
-        mx, my = w @ x / total, w @ y / total
-        sxx = (w * (x[None] - mx[:, None]) ** 2).sum(1)
-        sxy = (w * (x[None] - mx[:, None]) * (y[None] - my[:, None])).sum(1)
-        fit = my + np.where(sxx > 1e-12, sxy / np.maximum(sxx, 1e-12), 0) * (x - mx)
+        weight, weighed, line = np.bincount(at, robust), np.bincount(at, robust * y), np.empty(len(u))
+        start = 0
+        while start < len(u):
+            stop = start + max(1, WEIGHTS // max(1, high[start] - low[start]) // 2)
+            mine, near_ = slice(start, stop), slice(low[start:stop].min(), high[start:stop].max())
+            v, own = u[near_], u[mine, None]
+            near = np.clip(1 - (np.abs(own - v[None]) / reach[mine, None]) ** 3, 0, None) ** 3
+            total = np.maximum(near @ weight[near_], 1e-300)
+            mx, my = near @ (weight[near_] * v) / total, near @ weighed[near_] / total
+            off = v[None] - mx[:, None]
+            sxx = (near * off**2) @ weight[near_]
+            sxy = (near * off) @ weighed[near_] - my * ((near * off) @ weight[near_])
+            line[mine] = my + np.where(sxx > 1e-12, sxy / np.maximum(sxx, 1e-12), 0) * (u[mine] - mx)
+            start = stop
+        fit = line[at]
         residual = np.abs(y - fit)
         scale = 6 * np.median(residual)
         if scale <= 0:
