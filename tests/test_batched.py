@@ -50,6 +50,22 @@ def test_partitions_do_not_matter(data):
     assert len({round(u.cost, 6) for u in a}) >= 1
 
 
+def test_points_are_dealt_to_all_cores(spark, data):
+    """However few partitions their bytes make."""
+    assert batched.points(data[2].coalesce(1), "id", ["a", "b"]).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_passes_of_resamples_draw_no_weights(data, monkeypatch):
+    """Stored weights are those that are drawn, and stand for them."""
+    _, _, df = data
+    rows = batched.points(df, "id", ["a", "b"])
+    number = np.array([r["number"] for r in rows.collect()])
+    kept = {r["number"]: np.frombuffer(r["drawn"], np.uint8) for r in batched._weighed(rows, 5).collect()}
+    assert (np.stack([kept[n] for n in number]) == resampling.weights(number, 5)).all()
+    runs = [Run(2, 0, 3), Run(2, 0, 0)]
+    assert (batched._weight(np.stack([kept[n] for n in number]), runs) == batched._weight(number, runs)).all()
+
+
 def test_elbow_and_labels(data):
     x, _, df = data
     table, best = batched.elbow(df, "id", ["a", "b"], range(1, 6), starts=10)

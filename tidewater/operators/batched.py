@@ -20,6 +20,8 @@ from tidewater.operators.resampling import key_number, weights
 
 #: Distances that a task computes at once.
 BLOCK = 2_000_000
+#: The column of stored weights.
+DRAWN = "drawn"
 #: Added to the variances of a mixture's components (fixed value).
 FLOOR = 1e-6
 
@@ -64,16 +66,35 @@ class Mixture:
 
 def points(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """number (of the key) and the columns as doubles; rows with an unknown value take no part. Kept
-    in the shared folder while passes read it."""
+    in the shared folder while passes read it, dealt to all cores: few bytes are many distances."""
     rows = df.select(key_number(F.col(key)).alias("number"), *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     known = " AND ".join(["number IS NOT NULL", *[f"x{i} IS NOT NULL AND NOT isnan(x{i})" for i in range(len(columns))]])
-    return rows.where(known).checkpoint()
+    return rows.where(known).repartition(2 * df.sparkSession.sparkContext.defaultParallelism, "number").checkpoint()
+
+
+def _weighed(rows: DataFrame, resamples: int) -> DataFrame:
+    """`points` with each row's weights in so many resamples, a byte each: passes read them instead of
+    drawing them again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn, number = [], batch.column(0).to_numpy()
+            for i in range(0, len(number), step):
+                drawn += [w.tobytes() for w in weights(number[i : i + step], resamples).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.binary())], [*batch.schema.names, DRAWN])
+
+    step = max(1, BLOCK // resamples)
+    return rows.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in rows.dtypes] + [f"{DRAWN} binary"])).checkpoint()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of rows, or their stored weights (rows, resamples), and the rows."""
     for batch in batches:
-        x = np.stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns)], 1)
+        stored = batch.schema.names[-1] == DRAWN
+        x = np.stack([batch.column(i).to_numpy() for i in range(1, batch.num_columns - stored)], 1)
         number, step = batch.column(0).to_numpy(), max(1, BLOCK // max(1, wide))
+        if stored and len(x):
+            number = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), np.uint8).reshape(len(x), -1)
         for i in range(0, len(x), step):
             yield number[i : i + step], x[i : i + step]
 
@@ -81,6 +102,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], wide: int) -> Iterator[tuple[np.n
 def _weight(number: np.ndarray, runs: Sequence[Run]) -> np.ndarray:
     """Weights (rows, runs) of the rows in each run's resample."""
     last = max(r.resample for r in runs)
+    if number.ndim == 2:
+        return np.concatenate((np.ones((len(number), 1), np.uint8), number), 1)[:, [r.resample for r in runs]].astype(float)
     drawn = np.concatenate((np.ones((len(number), 1), np.int64), weights(number, last) if last else np.ones((len(number), 0), np.int64)), 1)
     return drawn[:, [r.resample for r in runs]].astype(float)
 
@@ -170,23 +193,23 @@ def lloyd(rows: DataFrame, runs: Sequence[Run], centres: Sequence[np.ndarray], a
     stacked = np.concatenate([centres[i] for i in active])
 
     def sums(number: np.ndarray, x: np.ndarray) -> dict[int, np.ndarray]:
-        w, d, out = _weight(number, [runs[i] for i in active]), _distances(x, stacked), {}
-        for j, i in enumerate(active):
-            mine = d[:, ends[j] : ends[j + 1]]
-            own = mine.argmin(1)
-            total = np.zeros((runs[i].k, p + 2))
-            for c in range(runs[i].k):
-                m = own == c
-                total[c, :p], total[c, p], total[c, p + 1] = w[m, j] @ x[m], w[m, j].sum(), w[m, j] @ mine[m, c]
-            out[i] = total.ravel()
-        return out
+        w, d, at = _weight(number, [runs[i] for i in active]), _distances(x, stacked), np.arange(len(x))
+        # Weights at each run's nearest centres: one product sums the rows of all clusters of all runs.
+        chosen, cost = np.zeros(d.shape), np.empty(len(active))
+        for j in range(len(active)):
+            own = ends[j] + d[:, ends[j] : ends[j + 1]].argmin(1)
+            chosen[at, own] = w[:, j]
+            cost[j] = w[:, j] @ d[at, own]
+        total = chosen.T @ np.concatenate((x, np.ones((len(x), 1))), 1)
+        return {i: np.concatenate((total[ends[j] : ends[j + 1]].ravel(), cost[j : j + 1])) for j, i in enumerate(active)}
 
     found = _summed(rows, sums, len(stacked))
     out = {}
     for i in active:
-        t = found[i].reshape(runs[i].k, p + 2) if i in found else np.zeros((runs[i].k, p + 2))
-        n = t[:, p : p + 1]
-        out[i] = np.where(n > 0, t[:, :p] / np.maximum(n, 1e-300), centres[i]), float(t[:, p + 1].sum())
+        raw = found[i] if i in found else np.zeros(runs[i].k * (p + 1) + 1)
+        t = raw[:-1].reshape(runs[i].k, p + 1)
+        n = t[:, p:]
+        out[i] = np.where(n > 0, t[:, :p] / np.maximum(n, 1e-300), centres[i]), float(raw[-1])
     return out
 
 
@@ -195,6 +218,8 @@ def kmeans(rows: DataFrame, runs: Sequence[Run], iterations: int = 300, tol: flo
     p = len(rows.columns) - 1
     centres = first_centres(rows, runs, p)
     cost, active = [np.inf] * len(runs), list(range(len(runs)))
+    if any(r.resample for r in runs):
+        rows = _weighed(rows, max(r.resample for r in runs))
     for _ in range(iterations):
         still = []
         for i, (moved, before) in lloyd(rows, runs, centres, active).items():
@@ -284,7 +309,7 @@ def mixtures(rows: DataFrame, starts: Sequence[Clustering], iterations: int = 10
     size = lambda k: k * (1 + p + p * p) + 2
 
     def moments(resp: np.ndarray, x: np.ndarray, like: float) -> np.ndarray:
-        second = np.einsum("nc,ni,nj->cij", resp, x, x)
+        second = resp.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
         return np.concatenate((resp.sum(0), (resp.T @ x).ravel(), second.ravel(), [like, len(x)]))
 
     def maximised(run: Run, t: np.ndarray) -> Mixture:
