@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import tails
 from tidewater.functions.trees import Leaf, attributions, expected
 from tidewater.functions import arrays
-from tidewater.operators import cluster, models, pairs, prep, selection, statistics
+from tidewater.operators import cluster, models, pairs, prep, selection, spectral, statistics
 from tidewater.sources import io
 from tidewater.streaming import ranges
 
@@ -270,3 +270,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("tir").collect())) == sorted(map(tuple, batch.collect()))
     lows = ranges.low_sessions(rows.withColumn("g", F.when(F.minute("t") < 20, 60.0).otherwise(100.0)))
     assert lows.count() > 0
+
+
+def _bent(n, seed, copies=1):
+    """Two bent strips, one within the other."""
+    rng = np.random.default_rng(seed)
+    t = rng.uniform(0, np.pi, n)
+    inner = np.arange(n) % 2 == 0
+    x, y = np.where(inner, np.cos(t), 1 - np.cos(t)), np.where(inner, np.sin(t), 0.5 - np.sin(t))
+    x, y = x + rng.normal(size=n) * 0.06, y + rng.normal(size=n) * 0.06
+    return [(seed, int(c * 10_000 + seed * 1000 + i), float(x[i]), float(y[i])) for c in range(copies) for i in range(n)]
+
+
+def _shares(found):
+    """Clusters by key, without their numbers."""
+    of = {}
+    for r in found.collect():
+        of.setdefault((r["grp"], r["cluster"]), set()).add(r["id"])
+    return {frozenset(s) for s in of.values()}
+
+
+def test_spectral_clusters_of_large_groups_equal_those_of_a_matrix(spark, monkeypatch):
+    df = spark.createDataFrame(_bent(300, 1) + _bent(260, 2) + _bent(30, 3), "grp int, id long, x double, y double")
+    want = _shares(cluster.spectral(df, "grp", "id", ["x", "y"], 2, neighbours=6))
+    monkeypatch.setattr(cluster, "MATRIX_ROWS", 100)
+    for name, value in (("LEAF", 40), ("SEEDS", 4), ("WIDE", 64)):
+        monkeypatch.setattr(spectral, name, value)
+    got = _shares(cluster.spectral(df, "grp", "id", ["x", "y"], 2, neighbours=6))
+    assert len(got) == 6 and got == want
+
+
+def test_spectral_clusters_of_copies_equal_those_of_one(spark):
+    """Copies are no neighbours that hide others, and a group of many rows is no error."""
+    df = spark.createDataFrame(_bent(200, 1, 30), "grp int, id long, x double, y double")
+    one = _shares(cluster.spectral(df.where("id < 10000"), "grp", "id", ["x", "y"], 2))
+    assert {frozenset(i for i in s if i < 10_000) for s in _shares(cluster.spectral(df, "grp", "id", ["x", "y"], 2))} == one
