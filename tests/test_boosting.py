@@ -1,6 +1,7 @@
 """Boosted trees against exact splits in NumPy, and their sampling, folds, unknown values and leaves."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +174,16 @@ def test_left_out_precision_of_a_logistic_loss(spark, data):
         assert r["precision"] == pytest.approx(want, abs=0.02)
     best = boosting.chosen(model, scores, "precision")
     assert best[0]["precision"] >= best[-1]["precision"] and len(best) == 4
+
+
+def test_margins_are_read_in_place_and_by_slices():
+    """A batch of any length is taken in parts of STEP rows, whose numbers are not copied."""
+    n, rng = 2 * boosting.STEP + 5, np.random.default_rng(3)
+    codes, f = rng.integers(0, 255, (n, 3)).astype(np.uint8), rng.normal(size=(n, 7))
+    plain = [pa.array(np.arange(n)), pa.array(np.arange(n) / 2), pa.array(np.zeros(n, np.int32))]
+    batch = pa.RecordBatch.from_arrays([*plain, boosting._binary(codes), boosting._binary(f)], ["id", "y", "fold", "codes", "f"])
+    assert batch.column("f").to_pylist() == [x.tobytes() for x in f]
+    parts = [boosting._rows(b, 7, 3) for b in boosting._slices([batch])]
+    assert [len(p[0]) for p in parts] == [boosting.STEP, boosting.STEP, 5]
+    assert all((np.concatenate([p[i] for p in parts]) == want).all() for i, want in ((0, np.arange(n)), (3, codes), (4, f)))
+    assert not any(p[4].flags.owndata for p in parts)
