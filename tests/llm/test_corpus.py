@@ -94,6 +94,39 @@ def test_near_duplicates_edge_tables(spark, awkward, empty):
     assert near.near_duplicates(empty).count() == 0 and near.keep_representatives(empty).count() == 0
 
 
+def test_components_take_few_shuffles_and_read_links_once(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(50)]
+    rng.shuffle(pairs)
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    key = "lpad(cast({} AS string), 16, '0')"
+    rows = spark.createDataFrame(pairs, "a long, b long").repartition(3).selectExpr(*[f"cast({key.format(c)} AS binary) AS {c}" for c in "ab"])
+    shuffles = {}
+    for limit in (near.BROADCAST_LABELS, 0):
+        monkeypatch.setattr(near, "BROADCAST_LABELS", limit)
+        before = read.value
+        spark.sparkContext.setJobGroup(f"components {limit}", "")
+        got = near.components(rows.mapInArrow(counted, rows.schema))
+        tracker = spark.sparkContext.statusTracker()
+        jobs = tracker.getJobIdsForGroup(f"components {limit}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        shuffles[limit] = len({s for j in jobs if (info := tracker.getJobInfo(j)) for s in info.stageIds})
+        assert {int(r["node"]): int(r["label"]) for r in got.collect()} == label
+        assert read.value - before == len(pairs)
+    # 135 and 135 when links were taken by a union, and labels met edges and their own labels in shuffles.
+    assert shuffles[20_000] <= 64 and shuffles[0] <= 115, shuffles
+
+
 def test_lines_of_the_plane():
     lines = [set(x) for x in near.lines()]
     assert len(lines) == 20 and all(len(a & b) <= 1 for i, a in enumerate(lines) for b in lines[i + 1 :])
