@@ -84,6 +84,16 @@ def test_scores_equal_a_plain_markov_model(spark, monkeypatch):
     assert sorted(map(str, urls.judge_urls(df, URL_RULES).collect())) == sorted(map(str, found))
 
 
+def test_only_the_most_frequent_grams_are_broadcast(spark, monkeypatch):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, f"http://{rng.choice(['a.com/fr/', 'b.com/de/', 'e.net/'])}{rng.randrange(10**6)}") for i in range(150)], "page_id long, url string")
+    want, sent, broadcast = sorted(map(str, urls.judge_urls(df, URL_RULES).collect())), [], F.broadcast
+    monkeypatch.setattr(urls, "BROADCAST_GRAMS", 30)
+    monkeypatch.setattr(urls.F, "broadcast", lambda rows: (sent.append(rows.count()), broadcast(rows))[1])
+    assert sorted(map(str, urls.judge_urls(df, URL_RULES).collect())) == want
+    assert len(sent) == 1 and 0 < sent[0] <= 30
+
+
 def test_url_edge_tables(spark):
     df = spark.createDataFrame([(1, "http://x.net/1"), (1, "http://x.net/1"), (2, "h://" + "x" * 200_000), (None, "http://x.net/1"), (None, None)], "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS score", "2 AS row", "3 AS gram", "4 AS half")
     rows = urls.judge_urls(df, URL_RULES).collect()
