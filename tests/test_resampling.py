@@ -1,7 +1,10 @@
 """Resampled metrics against plain weighted ranks, for every resample."""
 
+import random
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +123,20 @@ def test_rates_equal_plain(data):
                 n = (w[:, b] * c).sum()
                 want = (w[:, b] * c * (p == (name == "sensitivity"))).sum() / n if n else None
                 assert got[g, b + 1][name] == (pytest.approx(want) if n else None)
+
+
+def test_ranked_resamples_hold_bounded_blocks_of_scores(spark, monkeypatch):
+    """Also where all scores differ, and where a score's rows travel as sums: same values, small blocks."""
+    rng = random.Random(31)
+    rows = [(i, int(rng.random() < 0.3), rng.random() if i % 3 else 0.5) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, y int, p double").repartition(2)
+    want = resampling.ranked(df, "id", "y", "p", resamples=50).orderBy("resample").collect()
+    monkeypatch.setattr(resampling, "BLOCK", 50 * 7)
+    got = resampling.ranked(df, "id", "y", "p", resamples=50).orderBy("resample").collect()
+    for a, b in zip(want, got, strict=True):
+        assert a["auroc"] == pytest.approx(b["auroc"], abs=1e-12) and a["average_precision"] == pytest.approx(b["average_precision"], abs=1e-12)
+    table = pa.table({"g": [""] * 900, "score": [p for _, _, p in rows], "label": [y for _, y, _ in rows], "number": [i for i, _, _ in rows], "sums": pa.array([None] * 900, pa.binary())})
+    for down in (False, True):
+        (name, blocks), = resampling._levels(table, 50, 0, down)
+        sizes = [len(pos) for pos, neg in blocks if pos.shape == neg.shape]
+        assert name == "" and max(sizes) == 7 and sum(sizes) == len({p for _, _, p in rows})

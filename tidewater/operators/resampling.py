@@ -2,8 +2,8 @@
 
 A row's Poisson weight in a resample is drawn from a hash of its key by integer arithmetic, so weights
 are computed where they are needed and never stored or shuffled. Scores are cut into ranges of about
-equal size. A range's task sorts its scores once and takes the running sums of all resamples together;
-ranges are joined by their sums, of which there are as many as resamples. Rows that share a score with
+equal size. A range's task sorts its scores once and takes the running sums of all resamples together,
+over blocks of BLOCK weights; ranges are joined by their sums, of which there are as many as resamples. Rows that share a score with
 many others travel as one row of weight sums, so that a common score is no task's burden."""
 
 from __future__ import annotations
@@ -92,24 +92,31 @@ def _dealt(cuts: np.ndarray, resamples: int, seed: int):  # noqa: ANN202
     return run
 
 
-def _levels(rows: pa.Table, resamples: int, seed: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _levels(rows: pa.Table, resamples: int, seed: int, down: bool = False) -> Iterator[tuple[str, Iterator[tuple[np.ndarray, np.ndarray]]]]:
     """For each group of a range: its name, and the weights of positives and negatives (distinct
-    scores from the lowest on, resamples)."""
+    scores from the lowest on, resamples) in blocks of about BLOCK weights, the last one first if down."""
     for name in sorted(set(rows.column("g").to_pylist())):
         mine = rows.filter(pa.compute.equal(rows.column("g"), name))
+        mine = mine.take(pa.array(np.argsort(mine.column("score").to_numpy(), kind="stable")))
         score, label, number = (mine.column(c).to_numpy() for c in ("score", "label", "number"))
         scores, at = np.unique(score, return_inverse=True)
-        raw = mine.column("sums").to_pylist()
-        single = np.array([r is None for r in raw], bool)
-        both = []
-        for positive in (True, False):
-            i = np.flatnonzero(single & ((label > 0) == positive))
-            i = i[np.argsort(at[i], kind="stable")]
-            total = _sums(number[i], at[i], len(scores), resamples, seed)
-            for j in np.flatnonzero(~single & ((label > 0) == positive)).tolist():
-                total[at[j]] += np.frombuffer(raw[j], "<i8")
-            both.append(total)
-        yield name, *both
+        raw = mine.column("sums")
+        single, step = raw.is_null().to_numpy(), max(1, BLOCK // resamples)
+
+        def block(first: int) -> tuple[np.ndarray, np.ndarray]:
+            n, both = min(step, len(scores) - first), []  # noqa: B023
+            a, b = np.searchsorted(at, (first, first + n))  # noqa: B023
+            for positive in (True, False):
+                own = (label[a:b] > 0) == positive  # noqa: B023
+                i = a + np.flatnonzero(single[a:b] & own)  # noqa: B023
+                total = _sums(number[i], at[i] - first, n, resamples, seed)  # noqa: B023
+                for j in (a + np.flatnonzero(~single[a:b] & own)).tolist():  # noqa: B023
+                    total[at[j] - first] += np.frombuffer(raw[j].as_py(), "<i8")  # noqa: B023
+                both.append(total)
+            return both[0], both[1]
+
+        firsts = range(0, len(scores), step)
+        yield name, map(block, reversed(firsts) if down else firsts)
 
 
 def _raw(values: Sequence[np.ndarray], kind: str) -> pa.Array:
@@ -132,9 +139,12 @@ def ranked(df: DataFrame, key: str, label: str, score: str, by: str | None = Non
 
     def totals(rows: pa.Table) -> pa.Table:
         out = []
-        for name, pos, neg in _levels(rows, resamples, seed):
-            below = np.cumsum(neg, 0) - neg
-            out.append((rows.column("part")[0].as_py(), name, pos.sum(0), neg.sum(0), (pos * (below + neg / 2.0)).sum(0)))
+        for name, blocks in _levels(rows, resamples, seed):
+            p, n, u = np.zeros((3, resamples))
+            for pos, neg in blocks:
+                u += (pos * (n + np.cumsum(neg, 0) - neg / 2.0)).sum(0)
+                p, n = p + pos.sum(0), n + neg.sum(0)
+            out.append((rows.column("part")[0].as_py(), name, p, n, u))
         part, names, *sums = zip(*out)
         return pa.table({"part": pa.array(part, pa.int32()), "g": pa.array(names), **{c: _raw(v, "<f8") for c, v in zip(("p", "n", "u"), sums)}})
 
@@ -152,12 +162,14 @@ def ranked(df: DataFrame, key: str, label: str, score: str, by: str | None = Non
     def precision(rows: pa.Table, known: pa.Table) -> pa.Table:
         at = {r["g"]: r for r in known.to_pylist()}
         out = []
-        for name, pos, neg in _levels(rows, resamples, seed):
+        for name, blocks in _levels(rows, resamples, seed, down=True):
             get = lambda c: np.frombuffer(at[name][c], "<f8")  # noqa: E731, B023
-            tp = get("above_p") + np.cumsum(pos[::-1], 0)[::-1]
-            fp = get("above_n") + np.cumsum(neg[::-1], 0)[::-1]
-            some = np.maximum(tp + fp, 1)
-            out.append((name, (tp / some * pos).sum(0), get("p"), get("n"), get("u")))
+            above_p, above_n, ap = get("above_p"), get("above_n"), np.zeros(resamples)
+            for pos, neg in blocks:
+                tp, fp = above_p + np.cumsum(pos[::-1], 0), above_n + np.cumsum(neg[::-1], 0)
+                ap += (tp / np.maximum(tp + fp, 1) * pos[::-1]).sum(0)
+                above_p, above_n = tp[-1], fp[-1]
+            out.append((name, ap, get("p"), get("n"), get("u")))
         names, *values = zip(*out)
         return pa.table({"g": pa.array(names), **{c: _raw(v, "<f8") for c, v in zip(("ap", "p", "n", "u"), values)}})
 
